@@ -85,7 +85,7 @@ t AS (SELECT src, source_size, least(cap::DOUBLE, coalesce((SELECT arg_min(tried
 q AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate FROM t),
 b AS (SELECT *, floor(rate)::BIGINT AS whole, (rate - floor(rate)) * {float(mixing._SPACE)} AS below FROM q),
 p AS (SELECT src, any_value(whole) AS whole, any_value(source_size) AS source_size, any_value(target) AS target, [{sums}] AS sums FROM d JOIN b USING (src) GROUP BY src),
-o AS (SELECT src, list_transform(sums, x -> abs(whole * source_size + x - target)) AS off FROM p),
+o AS (SELECT src, list_transform(sums, lambda x: abs(whole * source_size + x - target)) AS off FROM p),
 c AS (SELECT src, list_position(off, list_min(off)) - 1 AS seed FROM o)
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN {draw('seed')} < below THEN 1 ELSE 0 END))::BIGINT AS taken FROM d JOIN b USING (src) JOIN c USING (src)"""
 
