@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import mixing, sharding, url_reputation, warc
+from marginalia.llm import mixing, near_duplicates, sharding, url_reputation, warc
 
 #: (rule, verdict), as the contract of op2 fixes them.
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -25,6 +25,10 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -41,7 +45,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_reputation, op5_source_mixing, op6_interleaved_shards, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op2_url_reputation, op4_minhash, op5_source_mixing, op6_interleaved_shards, op10_warc_revisits)}
 
 
 def _op2_sql() -> str:
@@ -100,4 +104,17 @@ SELECT page_id, payload_bytes, {digest} AS payload_digest, CASE WHEN page_id = f
     CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h)"""
 
 
-ORACLES = {"op2_url_reputation": _op2_sql(), "op5_source_mixing": _op5_sql(), "op10_warc_revisits": _op10_sql()}
+#: All pairs by shared shingles, then reachability.
+_OP4_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s), u AS (SELECT doc_id, unnest(s) AS g FROM s),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.g = y.g AND x.doc_id < y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+    GROUP BY 1, 2 HAVING 180 * count(*) >= 80 * (any_value(nx.n) + any_value(ny.n))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)"""
+
+
+ORACLES = {"op4_minhash": _OP4_SQL, "op2_url_reputation": _op2_sql(), "op5_source_mixing": _op5_sql(), "op10_warc_revisits": _op10_sql()}
