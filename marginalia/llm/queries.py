@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import mixing, near_duplicates, sharding, url_reputation, warc
+from marginalia.llm import mixing, near_duplicates, packing, sharding, url_reputation, warc
 
 #: (rule, verdict), as the contract of op2 fixes them.
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=packing.with_crc32)
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label of the document that its url's number names."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -45,7 +51,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_reputation, op4_minhash, op5_source_mixing, op6_interleaved_shards, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_url_reputation, op4_minhash, op5_source_mixing, op6_interleaved_shards, op10_warc_revisits)}
 
 
 def _op2_sql() -> str:
