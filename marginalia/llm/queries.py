@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import chat, mixing, near_duplicates, packing, pseudonyms, quality, sharding, url_reputation, warc
+from marginalia.llm import chat, embedding_duplicates, mixing, near_duplicates, packing, pseudonyms, quality, sharding, url_reputation, warc
 
 #: (rule, verdict), as the contract of op2 fixes them.
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -64,12 +64,16 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "quality")
 
 
+def op9_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates.near_embeddings(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_url_reputation, op3_pii_pseudonyms, op4_minhash, op5_source_mixing, op6_interleaved_shards, op7_chat_prefixes, op8_weak_supervision, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_url_reputation, op3_pii_pseudonyms, op4_minhash, op5_source_mixing, op6_interleaved_shards, op7_chat_prefixes, op8_weak_supervision, op9_itq_embeddings, op10_warc_revisits)}
 
 
 def _op2_sql() -> str:
@@ -152,4 +156,13 @@ a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, length(formatted) AS formatted_chars FROM a"""
 
 
-ORACLES = {"op7_chat_prefixes": _op7_sql(), "op4_minhash": _OP4_SQL, "op2_url_reputation": _op2_sql(), "op5_source_mixing": _op5_sql(), "op10_warc_revisits": _op10_sql()}
+_OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
+ORACLES = {"op9_itq_embeddings": _OP9_SQL, "op7_chat_prefixes": _op7_sql(), "op4_minhash": _OP4_SQL, "op2_url_reputation": _op2_sql(), "op5_source_mixing": _op5_sql(), "op10_warc_revisits": _op10_sql()}
