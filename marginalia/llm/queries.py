@@ -78,7 +78,7 @@ QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_url_reputation, op3_
 
 def _op2_sql() -> str:
     shrunk = "({0}.k + {1} * {2}) / ({0}.n + {2})"
-    strength = "(SELECT CASE WHEN rho <= 0 THEN 10000.0 ELSE least(greatest((1 - rho) / rho, 1.0), 10000.0) END FROM (SELECT greatest(coalesce(CASE WHEN isnan(r) THEN 0 ELSE r END, 0), 0) AS rho FROM (SELECT (k2 - kk * (kk / nn) - (kk / nn) * (1 - kk / nn) * (m - 1)) / ((kk / nn) * (1 - kk / nn) * (nn - n2 / nn - (m - 1))) AS r FROM (SELECT count(*)::DOUBLE AS m, sum(n)::DOUBLE AS nn, sum(n * n)::DOUBLE AS n2, sum(k)::DOUBLE AS kk, sum(k * k / n) AS k2 FROM {} WHERE n > 0))))"
+    strength = "(SELECT CASE WHEN r IS NULL OR isnan(r) OR isinf(r) THEN 1.0 WHEN r <= 0 THEN 10000.0 ELSE least(greatest((1 - r) / r, 1.0), 10000.0) END FROM (SELECT (k2 - kk * (kk / nn) - (kk / nn) * (1 - kk / nn) * (m - 1)) / ((kk / nn) * (1 - kk / nn) * (nn - n2 / nn - (m - 1))) AS r FROM (SELECT count(*)::DOUBLE AS m, sum(n)::DOUBLE AS nn, sum(n * n)::DOUBLE AS n2, sum(k)::DOUBLE AS kk, sum(k * k / n) AS k2 FROM {} WHERE n > 0)))"
     rules = sorted(URL_RULES, key=lambda x: -len(x[0]))
     fits = lambda rule: (lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}'))")(*rule.split("/", 1))
     case = lambda k: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[k]}'" for r in rules) + " END"
