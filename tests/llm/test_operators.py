@@ -212,8 +212,8 @@ def brute_near(rows, k, percent):
 @pytest.mark.parametrize("k", [2, 5])
 @pytest.mark.parametrize("small", [24, 2])
 def test_near_duplicates_equal_brute_force(docs, k, small, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "SMALL", small)  # 2: nearly every bucket passes through leader rounds
-    monkeypatch.setattr(near_duplicates, "LEADERS", 1)
+    monkeypatch.setattr(near_duplicates, "SMALL", small)  # 2: nearly every bucket passes through leaders and clusters
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
     sizes, groups = brute_near(docs.collect(), k, 80)
     got = near_duplicates.near_duplicates(docs.withColumn("component_id", F.lit("x")), k=k).collect()
     assert {r.doc_id: r.n_shingles for r in got} == sizes
