@@ -37,7 +37,7 @@ def squeezed(column: Column) -> Column:
 
 def source_text(column: Column) -> Column:
     """A source's text without heading marks, emphasis, dot leaders, and spaces before punctuation; line ends stay."""
-    return replace_all(column, ("(?m)^[ \\t]*#{1,6}[ \\t]+", ""), ("(\\*\\*|__|\\*)(?=\\S)(.+?)(?<=\\S)\\1", "$2"), ("\\.{4,}", " "), ("[ \\t]+([,.;:!?)\\]])", "$1"), ("([(\\[])[ \\t]+", "$1"))
+    return replace_all(column, ("(?m)^[ \\t]*#{1,6}[ \\t]+", ""), ("(\\*\\*|__|\\*)(?=\\S)(.+?)(?<=\\S)\\1", "$2"), ("[ \\t]*\\.{4,}[ \\t]*", " "), ("[ \\t]+([,.;:!?)\\]])", "$1"), ("([(\\[])[ \\t]+", "$1"))
 
 
 def comparable(column: Column) -> Column:
