@@ -1,0 +1,113 @@
+"""The structure of sources: numbered paragraphs, pages, sections, and the sentences that notes are anchored to."""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
+from marginalia.functions.text import words
+from marginalia.operators.quotes import line_blocks
+
+#: Fixed: how paragraphs are marked at the start of a line, in order of trust, and the limits of what counts as a structure.
+STYLES = (("bracket", "^\\s*\\[([0-9]{1,4})\\]"), ("dot", "^\\s*([0-9]{1,4})[.)]\\s"), ("bare", "^\\s*([0-9]{1,4})\\s+\\S"))
+GAP, LEAST_RUN, LEAST_WORDS, LEAST_SPAN, LEAST_SUBSTANCE = 8, 5, 12, 0.05, 0.70
+_ABBREVIATED = "v|vs|cf|Mr|Mrs|Ms|Dr|Prof|Hon|No|Nos|para|paras|s|ss|p|pp|art|arts|c|cl|ch|Inc|Ltd|Co|Corp|St|J|JJ|eg|ie"
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def ascending_scopes(numbers: pa.Array) -> pa.Array:
+    """Scope of each number of a list in reading order: it continues the scope whose last number is nearest below it, by at most GAP,
+    the latest of equals; otherwise it begins a scope. This is greedy and depends on what came before, so it is no window."""
+
+    def one(row: list[int]) -> list[int]:
+        last: list[int] = []
+        out = []
+        for n in row:
+            below = [(n - x, -i) for i, x in enumerate(last) if 0 < n - x <= GAP]
+            at = -min(below)[1] if below else len(last)
+            last[at : at + 1] = [n]
+            out.append(at)
+        return out
+
+    return pa.array([None if r is None else one(r) for r in numbers.to_pylist()], pa.list_(pa.int32()))
+
+
+def _cut(marks: DataFrame, sources: DataFrame) -> DataFrame:
+    """marks (doc_id, label, start and more) with end and text: up to the next mark, or the end of the source."""
+    w = Window.partitionBy("doc_id").orderBy("start")
+    ended = marks.withColumn("_next", F.lead("start").over(w)).join(sources.select("doc_id", F.col("text").alias("_all")), "doc_id")
+    ended = ended.withColumn("end", F.coalesce(F.col("_next"), F.length("_all").cast("long")))
+    return ended.withColumn("text", F.regexp_replace(F.substring("_all", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), "\\s+$", "")).drop("_next", "_all")
+
+
+def paragraphs(sources: DataFrame) -> DataFrame:
+    """(doc_id, style, number, start, end, text) of each source's paragraphs, if it has a believable numbering.
+
+    A style's markers are put into ascending scopes. A scope counts from LEAST_RUN markers on, if it spans LEAST_SPAN of the source,
+    its blocks have a median of LEAST_WORDS words, and, unless in brackets, LEAST_SUBSTANCE of them have that many. Scopes that begin
+    at up to 5 come first; then the longest, the most trusted style, the lowest first number."""
+    lines = line_blocks(sources)
+    found = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("style"), F.regexp_extract("text", pattern, 1).alias("label")) for rank, (name, pattern) in enumerate(STYLES)])
+    marks = lines.select("doc_id", "start", F.explode(found).alias("m")).filter("m.label <> ''").select("doc_id", "start", "m.rank", "m.style", F.col("m.label").cast("int").alias("number"))
+    listed = marks.groupBy("doc_id", "rank", "style").agg(F.array_sort(F.collect_list(F.struct("start", "number"))).alias("_m"))
+    scoped = listed.withColumn("_s", ascending_scopes(F.transform("_m", lambda m: m["number"])))
+    each = scoped.select("doc_id", "rank", "style", F.explode(F.arrays_zip("_m", "_s")).alias("z")).select("doc_id", "rank", "style", F.col("z._s").alias("scope"), F.col("z._m.start").alias("start"), F.col("z._m.number").alias("number"))
+    by = ["doc_id", "rank", "scope"]
+    runs = each.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).filter(F.col("_n") >= LEAST_RUN)
+    w = Window.partitionBy(*by).orderBy("start")
+    cut = runs.withColumn("_next", F.lead("start").over(w)).join(sources.select("doc_id", F.col("text").alias("_all")), "doc_id")
+    cut = cut.withColumn("end", F.coalesce("_next", F.length("_all").cast("long"))).withColumn("text", F.regexp_replace(F.substring("_all", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), "\\s+$", ""))
+    counted = cut.withColumn("_w", F.size(words(F.col("text"))))
+    judged = counted.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("number").alias("_first"), F.median("_w").alias("_median"), F.avg((F.col("_w") >= LEAST_WORDS).cast("double")).alias("_share"),
+        ((F.max("start") - F.min("start")) / F.greatest(F.max(F.length("_all")), F.lit(1))).alias("_span"))
+    good = judged.filter((F.col("_median") >= LEAST_WORDS) & (F.col("_span") >= LEAST_SPAN) & ((F.col("rank") == 0) | (F.col("_share") >= LEAST_SUBSTANCE)))
+    best = good.groupBy("doc_id").agg(F.max_by(F.struct("rank", "scope"), F.struct(F.col("_first") <= 5, "_n", -F.col("rank"), -F.col("_first"))).alias("b")).select("doc_id", "b.*")
+    return cut.join(best, by, "left_semi").select("doc_id", "style", "number", "start", "end", "text")
+
+
+def pages(sources: DataFrame, least: int = 3) -> DataFrame:
+    """(doc_id, label, start, end, text) between page marks ([page 12], or Page 12 on a line of its own) whose numbers follow each
+    other without a gap: the longest such run if it is the only longest and has at least `least` marks. Its last page, whose end is
+    not known, is left out."""
+    lines = line_blocks(sources)
+    marked = lines.withColumn("label", F.regexp_extract("text", "(?i)^\\s*(?:\\[page ([0-9]{1,5})\\]|page ([0-9]{1,5})\\s*$)", 0)).filter("label <> ''").withColumn("number", F.regexp_extract("label", "([0-9]+)", 1).cast("int"))
+    w = Window.partitionBy("doc_id").orderBy("start")
+    runs = marked.withColumn("_b", F.when(F.col("number") - F.lag("number").over(w) == 1, 0).otherwise(1)).withColumn("_run", F.sum("_b").over(w))
+    sized = runs.groupBy("doc_id", "_run").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    ranked = sized.withColumn("_top", F.max("_n").over(Window.partitionBy("doc_id"))).filter("_n = _top").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k"), F.max("_run").alias("_run")).filter("_k = 1")
+    kept = runs.join(ranked.select("doc_id", "_run"), ["doc_id", "_run"]).select("doc_id", "number", "start")
+    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("start").desc())) == 1
+    return _cut(kept.withColumn("_last", last), sources).filter("not _last").select("doc_id", F.col("number").cast("string").alias("label"), "start", "end", "text")
+
+
+def sections(sources: DataFrame) -> DataFrame:
+    """(doc_id, label, parents, start, end, text) of numbered sections (12, 12.1, 12-3) that ascend, from the source's first 70 % on
+    and over at least a tenth of it; parents are the labels above, the nearest first."""
+    lines = line_blocks(sources).withColumn("label", F.regexp_extract("text", "^\\s*([0-9]+(?:[.-][0-9]+)*)\\.?\\s+[\\p{Lu}(]", 1)).filter("label <> ''")
+    order = F.transform(F.split("label", "[.-]"), lambda x: x.cast("int"))
+    w = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    rising = lines.withColumn("_o", order).withColumn("_max", F.max("_o").over(w)).filter("_max is null or _o > _max")
+    span = rising.groupBy("doc_id").agg(F.min("start").alias("_lo"), F.max("start").alias("_hi"), F.count(F.lit(1)).alias("_n")).join(sources.select("doc_id", F.length("text").alias("_len")), "doc_id")
+    good = span.filter("_n >= 2 and _hi - _lo >= 0.1 * _len and _lo <= 0.7 * _len").select("doc_id")
+    parts = F.split("label", "\\.")
+    parents = F.when(F.size(parts) > 1, F.transform(F.sequence(F.size(parts) - 1, F.lit(1)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).otherwise(F.array().cast("array<string>"))
+    return _cut(rising.join(good, "doc_id", "left_semi").select("doc_id", "label", parents.alias("parents"), "start"), sources).select("doc_id", "label", "parents", "start", "end", "text")
+
+
+def sentence_before(text: Column, position: Column) -> Column:
+    """The last sentence that begins before the position (characters before an anchor): abbreviations and numbers don't end one."""
+    ended = F.regexp_replace(F.substring(text, F.lit(1), position), f"(?<!\\b(?:{_ABBREVIATED}|\\p{{Lu}}))([.!?][\"”’)\\]]*)\\s+(?=[\\p{{Lu}}“\"(\\[])", "$1␟")
+    return F.trim(F.element_at(F.split(F.rtrim(ended), "␟"), -1))
+
+
+def propositions(paragraphs_: DataFrame, anchors: DataFrame) -> DataFrame:
+    """anchors (doc_key, footnote_id, number, position) with the sentence that each note supports. A note whose sentence begins before
+    the note before it takes what follows that note."""
+    plain = paragraphs_.filter("part = 'paragraph'").select("doc_key", "number", F.regexp_replace("text", "⟦FN:\\d+⟧", "").alias("_t"))
+    joined = anchors.join(plain, ["doc_key", "number"])
+    before = F.coalesce(F.lag("position").over(Window.partitionBy("doc_key", "number").orderBy("position", "footnote_id")), F.lit(0))
+    cut = joined.withColumn("_s", sentence_before(F.col("_t"), F.col("position"))).withColumn("_since", F.trim(F.substring("_t", before + 1, F.col("position") - before)))
+    return cut.withColumn("proposition", F.when((F.length("_since") > 0) & (F.length("_since") < F.length("_s")), F.col("_since")).otherwise(F.col("_s"))).drop("_t", "_s", "_since")

