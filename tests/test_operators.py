@@ -349,3 +349,43 @@ def test_locations(spark):
     assert got == {1: ("cited", [3]), 2: ("alternate", [3]), 3: ("uncited", [3]), 4: ("scope_unavailable", [3]), 5: ("scope_unavailable_document", []), 6: ("unmatched", []), 7: ("uncited", [])} or got[5][0] == "alternate_document"
     matches = spark.createDataFrame([(1, "7", 0.9), (1, "7(1)", 0.9), (1, "8", 0.9), (2, "7", 1.0), (2, "7.2", 0.8)], "item_id int, label string, score double")
     assert {(r.item_id, r.label) for r in scopes.specific_labels(matches).collect()} == {(1, "7(1)"), (1, "8"), (2, "7"), (2, "7.2")}
+
+
+# ---- citations and fragments
+
+
+def test_what_citations_say(spark):
+    from marginalia.functions import citations
+
+    assert column(spark, ["[1988] 2 S.C.R. 833 at 840", "(2001) 39 Osgoode Hall LJ 1", "2020 SCC 1"], citations.first_page) == ["833", "1", ""]
+    assert column(spark, ["A, “One Two,” and ‘Three’ and \"one two\""], citations.quoted_titles) == [["One Two", "Three"]]
+    got = column(spark, ["“T” (2001) 39:2 Osgoode Hall LJ 101", "none"], citations.journal_details)
+    assert tuple(got[0]) == ("2001", "39", "2", "Osgoode Hall LJ", "101") and set(got[1]) == {""}
+    assert column(spark, ["2020 SCC 1", "RSC 1985, c C-46", "Smith"], citations.dataset_of) == ["SCC", "LEGISLATION-FED", None]
+    assert column(spark, ["[2020] UKSC 5", "410 U.S. 113", "3:21-cv-00123", "2401234/2020", "x"], citations.provider) == ["uk_case_law", "us_reporter", "us_docket", "uk_employment", None]
+    assert column(spark, ["R.S.C. 1985,  c. C-46", "LRC 1985"], citations.statute_text) == ["RSC 1985, c. C-46", "RSC 1985"]
+    assert column(spark, ["2023 SCC 17 at para 4", "x"], citations.case_url) == ["https://example.org/en/scc/2023/2023scc17/2023scc17.html#par4", ""]
+    rows = spark.createDataFrame([("u#par1", "ibid", True), ("u#par1", "supra", False), ("u#par1", "at para 9", False)], "l string, c string, i boolean").select(citations.anchored_link(F.col("l"), F.col("c"), F.col("i")).alias("r")).collect()
+    assert [r.r for r in rows] == ["u#par1", "u", "u#par9"]
+    found = citations.only_match(spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "id int, url string"), "id", "url")
+    assert {r.id: r.url for r in found.collect()} == {1: "a", 2: ""}
+
+
+def test_datasets_are_pruned(spark, corpus):
+    from marginalia.functions import citations
+
+    held = corpus.withColumn("dataset", F.when(F.col("dataset") == "A", "SCC").otherwise("BCCA"))
+    assert citations.prune(spark.createDataFrame([("2020 SCC 1",)], "citation string"), held).count() == 2
+    assert citations.prune(spark.createDataFrame([("2020 SCC 1",), ("x",)], "citation string"), held).count() == 4
+
+
+def test_fragments(spark):
+    from marginalia.functions import fragments
+
+    made = spark.createDataFrame([("a-b", "c, d", "", "é")], "p string, s string, e string, x string").select(fragments.directive(F.col("p"), F.col("s"), F.col("e"), F.col("x")).alias("d"))
+    assert made.first().d == "#:~:text=a%2Db-,c%2C%20d,-%C3%A9"
+    assert tuple(made.select(fragments.parsed(F.col("d")).alias("r")).first().r) == ("a-b", "c, d", "", "é")
+    lines = spark.createDataFrame([(1, 0, "the cat sat here"), (1, 1, "and the cat ran off"), (1, 2, "alone")], "doc_id int, block int, text string")
+    targets = spark.createDataFrame([(1, 1, "cat"), (2, 1, "alone"), (3, 1, "dog")], "id int, doc_id int, target string")
+    got = {r.id: r.directive for r in fragments.unique_fragments(targets, lines).collect()}
+    assert got == {1: "#:~:text=the-,cat,-sat%20here", 2: "#:~:text=alone", 3: None}
