@@ -97,6 +97,24 @@ def sections(sources: DataFrame) -> DataFrame:
     return _cut(rising.join(good, "doc_id", "left_semi").select("doc_id", "label", parents.alias("parents"), "start"), sources).select("doc_id", "label", "parents", "start", "end", "text")
 
 
+def provisions(sources: DataFrame) -> DataFrame:
+    """(doc_id, block, path, text) of the lines of a provision that begin with (1), (a), (i) or (A): path joins the labels above and
+    the line's own, as (1)(a)(ii). A letter that could be a roman numeral is a letter if it follows the last letter."""
+    lines = line_blocks(sources).withColumn("label", F.regexp_extract("text", "^\\s*\\(([0-9]{1,3}|[a-z]{1,5}|[A-Z])\\)", 1)).filter("label <> ''")
+    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    roman = F.col("label").rlike("^[ivxl]+$")
+    letter = F.last(F.when(F.col("label").rlike("^[a-z]$") & (~roman | F.col("label").isin("l")), F.ascii("label")), ignorenulls=True).over(before)
+    follows = (F.length("label") == 1) & (F.ascii("label") - F.coalesce(letter, F.lit(0)) == 1)
+    level = F.when(F.col("label").rlike("^[0-9]"), 1).when(F.col("label").rlike("^[A-Z]$"), 4).when(roman & ~follows, 3).otherwise(2)
+    placed = lines.withColumn("level", level)
+    now = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    for n in (1, 2, 3, 4):
+        placed = placed.withColumn(f"_l{n}", F.last(F.when(F.col("level") == n, F.struct("block", "label")), ignorenulls=True).over(now))
+    higher = lambda n: F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"_l{m}.block"), F.lit(-1)) for m in range(1, n)])
+    part = lambda n: F.when((F.col("level") >= n) & (F.col(f"_l{n}.block") > higher(n)), F.concat(F.lit("("), F.col(f"_l{n}.label"), F.lit(")")))
+    return placed.select("doc_id", "block", F.concat_ws("", *[part(n) for n in (1, 2, 3, 4)]).alias("path"), "text")
+
+
 def sentence_before(text: Column, position: Column) -> Column:
     """The last sentence that begins before the position (characters before an anchor): abbreviations and numbers don't end one."""
     ended = F.regexp_replace(F.substring(text, F.lit(1), position), f"(?<!\\b(?:{_ABBREVIATED}|\\p{{Lu}}))([.!?][\"”’)\\]]*)\\s+(?=[\\p{{Lu}}“\"(\\[])", "$1␟")

@@ -27,6 +27,18 @@ def quote_manifest(quotes: DataFrame, targets: DataFrame) -> DataFrame:
     return both.groupBy("doc_key", "footnote_id").agg(F.sum("n").alias("quote_count"), F.array_join(F.array_sort(F.collect_set("reason")), ";").alias("include_reason"))
 
 
+def projected(rows: DataFrame, detail: str, shown: list[str]) -> DataFrame:
+    """The columns of an export: display, display-json (all of it as one JSON column), or diagnostic (internal ones, which begin with
+    an underscore, behind the shown ones)."""
+    if detail == "display":
+        return rows.select(*shown)
+    if detail == "display-json":
+        return rows.select(F.to_json(F.struct(*shown)).alias("row"))
+    if detail == "diagnostic":
+        return rows.select(*shown, *[c for c in rows.columns if c.startswith("_")])
+    raise ValueError(f"no export detail {detail!r}")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 

@@ -21,6 +21,7 @@ def db():
 
 
 def rows(table):
+    """Rows as text, whatever the integer width."""
     table = table.select(sorted(table.column_names))
     return sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r.values())) for r in table.to_pylist())
 
@@ -29,7 +30,7 @@ def rows(table):
 def test_query_equals_its_sql(spark, db, name):
     got = queries.QUERIES[name](spark, SF)
     if name in queries.ORACLES:
-        assert rows(got.toArrow()) == rows(db.execute(queries.ORACLES[name]).fetch_arrow_table())
+        assert rows(got.toArrow()) == rows(db.execute(queries.ORACLES[name]).to_arrow_table())
     else:
         assert got.columns and got.count() >= 0
 

@@ -389,3 +389,38 @@ def test_fragments(spark):
     targets = spark.createDataFrame([(1, 1, "cat"), (2, 1, "alone"), (3, 1, "dog")], "id int, doc_id int, target string")
     got = {r.id: r.directive for r in fragments.unique_fragments(targets, lines).collect()}
     assert got == {1: "#:~:text=the-,cat,-sat%20here", 2: "#:~:text=alone", 3: None}
+
+
+# ---- links and provisions
+
+
+def test_links(spark):
+    from marginalia.operators import links
+
+    link, method = links.cascade(("identity", F.col("a")), ("provider", F.col("b")))
+    rows = spark.createDataFrame([("", "x"), ("y", "x"), (None, " ")], "a string, b string").select(link.alias("l"), method.alias("m")).collect()
+    assert [(r.l, r.m) for r in rows] == [("x", "provider"), ("y", "identity"), (None, None)]
+    parts = spark.createDataFrame([("d", "1", "a", None, "L1"), ("d", "2", "b", "1", ""), ("d", "3", "c", "b", ""), ("d", "4", "e", "4", "L4")], "doc_id string, display_key string, internal_key string, origin_key string, link string")
+    assert {r.display_key: r.origin_link for r in links.attach_origin(parts, ("link",)).collect()} == {"1": None, "2": "L1", "3": "", "4": None}
+    laws = spark.createDataFrame([("RSC 1985, c C-46", "https://x/laws/stat/rsc-1985-c-c-46/latest"), ("SC 1, c 2", "https://x/laws/stat/a/1"), ("SC 1, c 2", "https://x/laws/stat/b/1")], "citation string, url string")
+    given = spark.createDataFrame([(1, "https://x/laws/stat/wrong/latest", "RSC 1985, c C-46"), (2, "https://x/laws/stat/q/1", "SC 1, c 2"), (3, "https://y/a", "RSC 1985, c C-46")], "id int, link string, citation string")
+    assert {r.id: r.repaired for r in links.repair_slugs(given, laws).collect()} == {1: "https://x/laws/stat/rsc-1985-c-c-46/latest", 2: "https://x/laws/stat/q/1", 3: "https://y/a"}
+    assert column(spark, [["a"], ["a", "b"], ["a", "b", "c", "d"]], links.summary, "array<string>") == ["a", "a, b", "a, b [+2 more instances]"]
+    kinds = spark.createDataFrame([("IBID", "", "author"), ("SUPRA", "u", "author"), ("SUPRA", "u", "registry"), ("", "", None)], "k string, l string, m string")
+    assert [r.r for r in kinds.select(links.should_inherit(F.col("k"), F.col("l"), F.col("m")).alias("r")).collect()] == [True, False, True, False]
+
+
+def test_provisions(spark):
+    from marginalia.operators import structure
+
+    law = "(1) one\n(a) x\n(i) y\n(ii) z\n(A) q\n(b) w\n(2) two\n(h) h\n(i) letter\nplain"
+    rows = structure.provisions(spark.createDataFrame([(1, law)], "doc_id int, text string")).orderBy("block").collect()
+    assert [r.path for r in rows] == ["(1)", "(1)(a)", "(1)(a)(i)", "(1)(a)(ii)", "(1)(a)(ii)(A)", "(1)(b)", "(2)", "(2)(h)", "(2)(i)"]
+
+
+def test_export_details(spark):
+    rows = spark.createDataFrame([("a", 1, 2)], "x string, y int, _z int")
+    assert sinks.projected(rows, "display", ["x"]).columns == ["x"] and sinks.projected(rows, "diagnostic", ["x"]).columns == ["x", "_z"]
+    assert sinks.projected(rows, "display-json", ["x", "y"]).first().row == '{"x":"a","y":1}'
+    with pytest.raises(ValueError):
+        sinks.projected(rows, "none", ["x"])
