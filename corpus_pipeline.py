@@ -21,7 +21,7 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with pseudonyms for personal data; the key is a fixture, a real run gets its own from a secret store."""
-    return pseudonyms.pseudonymize(docs, key="fixture").select(*docs.columns)
+    return pseudonyms.pseudonymize(docs, key="fixture", spans="_pii_spans").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

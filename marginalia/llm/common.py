@@ -44,6 +44,17 @@ def lookup(big: DataFrame, small: DataFrame, key: str, salt: Column, rows: int |
     return big.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
 
 
+def wrapped(df: DataFrame, **columns: Column) -> DataFrame:
+    """df as one struct column _row, beside the given columns: whatever names df has, they meet no others until unwrapped."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unwrapped(df: DataFrame, *added: str) -> DataFrame:
+    """The columns of _row, without those that are added anew, and the added ones."""
+    fields = df.schema["_row"].dataType.fieldNames()
+    return df.select(*[F.col("_row").getField(f).alias(f) for f in fields if f not in added], *added)
+
+
 def code_point_key(column: Column) -> Column:
     """A string that is never null, sorts by code point, and puts null after all else."""
     return F.when(column.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), column.cast("string")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WORD, code_point_key, lookup
+from marginalia.llm.common import WORD, code_point_key, lookup, unwrapped, wrapped
 
 #: Seeds tried for each source; the one whose draws come nearest the target is used.
 SEEDS = 16
@@ -39,16 +39,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most:
     return level.select("_source", "source_size", target.alias("target"))
 
 
-def mixing_plan(df: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 5) -> DataFrame:
-    """Every row of df with size (words; null text: 0), source_size, target and copies, the times that the mixture holds it.
+def planned_rows(df: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 5) -> DataFrame:
+    """Every row of df, as the struct _row, with size (words; null text: 0), source_size, target and copies, the times that the
+    mixture holds it.
 
     A source's repetition rate is target / source_size, at most `most`. Each row is taken floor(rate) times, and once more if its
     hash of seed and key, turned by the source's own seed, falls below the fraction: a Bernoulli draw that every rerun repeats.
     Of SEEDS such seeds a source uses the one whose taken words come nearest its target. Null keys count as one value (they share
-    a draw), as do repeated keys; a source without words is taken 0 times; an empty table gives none. Columns that start with _
-    are reserved; df must not have the added columns."""
+    a draw), as do repeated keys; a source without words is taken 0 times; an empty table gives none."""
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
-    rows = df.withColumns({"_source": code_point_key(F.col(source)), "size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), "_u": draw})
+    rows = wrapped(df, _source=code_point_key(F.col(source)), size=F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), _u=draw)
     sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     rates = source_targets(sizes, weights, most).withColumn("_rate", rate).withColumn("_whole", F.floor("_rate")).withColumn("_below", (F.col("_rate") - F.col("_whole")) * F.lit(float(_SPACE))).persist()
@@ -65,7 +65,12 @@ def mixing_plan(df: DataFrame, source: str = "source", key: str = "doc_id", text
     return chosen.withColumn("copies", copies.cast("int")).drop("_source", "_u", "_rate", "_whole", "_below", "_seed")
 
 
+def mixing_plan(df: DataFrame, **options) -> DataFrame:
+    """planned_rows with df's columns, of which size, source_size, target and copies are replaced."""
+    return unwrapped(planned_rows(df, **options), "size", "source_size", "target", "copies")
+
+
 def mix(df: DataFrame, **options) -> DataFrame:
     """The mixture itself: each row of df as often as mixing_plan takes it, with df's columns."""
-    plan = mixing_plan(df, **options).filter("copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*df.columns)
+    plan = planned_rows(df, **options).filter("copies > 0")
+    return unwrapped(plan.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))))

@@ -215,14 +215,15 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), found
 
 
-def pseudonymize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Every row of df with pseudonyms in its text and the column pii, the kind, start and end of each in the new text.
+def pseudonymize(df: DataFrame, key: str, text: str = "text", spans: str = "pii") -> DataFrame:
+    """Every row of df with pseudonyms in its text and the column spans, the kind, start and end of each in the new text.
 
     Card numbers (Luhn), IBANs (mod 97), IPv4 addresses, dates (1900 to 2099, valid in the calendar), social security numbers,
     phone numbers, e-mail addresses (the local part) and secrets (keys, tokens, passwords) are permuted within their format by a
     Feistel network under key, so equal values stay equal across documents and check digits hold. What fails its check stays.
     A null text stays null with no pii; empty and very long texts are handled whole; other columns and repeated rows pass
-    through."""
+    through; a column that df has under the name of spans is replaced."""
+    df = df.drop(spans)
     names, secret = df.columns, key.encode()
     at = names.index(text)
 
@@ -233,7 +234,7 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
             done = [(None, []) if t is None else change(t) for t in batch.column(at).to_pylist()]
             columns = [batch.column(i) if i != at else pa.array([d[0] for d in done], pa.string()) for i in range(len(names))]
             found = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in d[1]] for d in done], kind)
-            yield pa.RecordBatch.from_arrays([*columns, found], [*names, "pii"])
+            yield pa.RecordBatch.from_arrays([*columns, found], [*names, spans])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, pii array<struct<kind: string, start: int, end: int>>")
+    return df.mapInArrow(run, f"{schema}, `{spans}` array<struct<kind: string, start: int, end: int>>")

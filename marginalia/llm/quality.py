@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize
+from marginalia.llm.common import materialize, unwrapped, wrapped
 from marginalia.llm.words import texts
 
 _SPACES, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"  # fixed: white space and symbols of the contract
@@ -146,8 +146,9 @@ def judge(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
 
     kept is false for texts of fewer than 50 words, for those with more than half of their words in repeated three-word windows,
     and for those whose posterior probability of being good is below least. Null, empty and blank texts have no words and fail.
-    Repeated rows vote as often as they occur; an empty table gives none; other columns pass through."""
-    voted = materialize(with_votes(df, text).drop(text), "votes")
+    Repeated rows vote as often as they occur; an empty table gives none; other columns pass through, but
+    for those whose names are added here."""
+    voted = materialize(with_votes(df.drop(*COUNTS, "votes", "quality", "base_failed", "kept"), text).drop(text), "votes")
     return judged(voted, fit_votes(voted), voted, least)
 
 
@@ -155,4 +156,4 @@ def good_rows(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFram
     """The rows of df that judge keeps, with df's columns: votes are cast once to fit the model and again to filter by it."""
     seen = materialize(with_votes(df.select(text), text).groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "votes")
     model = VoteModel({r[0]: r[1] for r in seen.collect()})
-    return judged(with_votes(df, text), model, seen, least).filter("kept").select(*df.columns)
+    return unwrapped(judged(with_votes(wrapped(df, _text=F.col(text)), "_text"), model, seen, least).filter("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bucket_bits, code_point_key, hash60, rank_within
+from marginalia.llm.common import bucket_bits, code_point_key, hash60, rank_within, unwrapped, wrapped
 
 
 def interleave(df: DataFrame, shards: int, source: str = "source", key: str = "doc_id", seed: int = 11) -> DataFrame:
@@ -15,22 +15,22 @@ def interleave(df: DataFrame, shards: int, source: str = "source", key: str = "d
     source. Rows sorted by fractional rank, ties by source, hash and key, are cut into equal runs, so shards differ by one row
     at most and each holds nearly the same share of every source, in an order that keeps the mixture throughout. A null source
     is a source of its own and sorts last; a null key counts as a value; repeated rows are ranked one after the other, equal
-    rows being interchangeable; an empty table gives none. Other columns pass through; names starting with _ are reserved.
+    rows being interchangeable; an empty table gives none. Other columns pass through; a shard or slot that df has is replaced.
 
     Both rankings deal a group into hash ranges (the second: ranges of the fractional rank) and add up the ranges' counts,
     so a source with a third of all rows is spread like the rest.
     """
     rows = df.count()
     bits = bucket_bits(rows)
-    keyed = df.withColumn("_source", code_point_key(F.col(source))).withColumn("_hash", hash60(F.lit(seed), F.col(key)))
-    ranked = rank_within(keyed, "_source", "_hash", [F.col(key)], bits, "_rank", "_of")
+    keyed = wrapped(df, _source=code_point_key(F.col(source)), _hash=hash60(F.lit(seed), F.col(key)), _key=F.col(key))
+    ranked = rank_within(keyed, "_source", "_hash", [F.col("_key")], bits, "_rank", "_of")
     place = ranked.withColumn("_place", (F.col("_rank") * 2 + 1) / (F.col("_of") * 2)).withColumn("_range", F.floor(F.col("_place") * (1 << bits)))
     counts = place.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most 65,536 rows
     before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("_range").orderBy("_place", "_source", "_hash", key)
+    order = Window.partitionBy("_range").orderBy("_place", "_source", "_hash", "_key")
     position = F.col("_before") + F.row_number().over(order) - 1
     out = place.join(before, "_range").withColumn("_position", position)
     shard = F.expr(f"(_position * {shards}) div {max(rows, 1)}")
     out = out.withColumn("shard", shard.cast("int"))
     slot = F.col("_position") - F.expr(f"(cast(shard as bigint) * {rows} + {shards - 1}) div {shards}")
-    return out.withColumn("slot", slot).drop("_source", "_hash", "_rank", "_of", "_place", "_range", "_before", "_position")
+    return unwrapped(out.withColumn("slot", slot), "shard", "slot")

@@ -35,9 +35,11 @@ def resolve_revisits(pages: DataFrame, key: str = "page_id", html: str = "html",
     """Every row of pages with payload_bytes, payload_digest, record_type and refers_to.
 
     Of the rows with one payload of at least `least` bytes, the smallest key's is the response and the others revisit it; smaller
-    payloads are responses. Null text is the empty payload. A null key is never the smallest where there is another. Rows that
+    payloads are responses. Null text is the empty payload. Columns of these names
+    that pages has are replaced. A null key is never the smallest where there is another. Rows that
     repeat the response's key are responses too. Only headers (key and digest) are shuffled to find the groups; the counts are
     added up before the shuffle, so a payload that a third of all pages share costs no more than another."""
+    pages = pages.drop("payload_bytes", "payload_digest", "record_type", "refers_to", "_first", "_salt")
     body = F.coalesce(F.col(html), F.lit(""))
     headed = pages.withColumn("payload_bytes", F.octet_length(body).cast("long")).withColumn("payload_digest", payload_digest(body))
     firsts = headed.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")

@@ -445,3 +445,27 @@ def test_archives_round_trip(spark):
     assert warc.archive_pages(pages.limit(0)).collect() == []
     least = {r.page_id: r.record_type for r in warc.archive_pages(pages, least=10).collect()}
     assert least[7] == least[2] == "response" and least[3] == "revisit"
+
+
+# ---- clashing names
+
+
+def test_columns_with_clashing_names(spark, docs):
+    clash = ["size", "source_size", "target", "copies", "shard", "slot", "votes", "quality", "kept", "base_failed", "n_words", "pii", "component_id", "sequence_id", "ids", "piece", "_row", "_rank", "_bucket", "_source", "_hash", "_u", "_salt", "_text", "_n"]
+    odd = docs.limit(40).select("*", *[F.lit("mine").alias(c) for c in clash])
+    same = lambda df: df.columns == odd.columns and all(r[c] == "mine" for r in df.collect() for c in clash)
+    assert same(mixing.mix(odd)) and same(quality.good_rows(odd)) and same(near_duplicates.deduplicated(odd))
+    plan = mixing.mixing_plan(odd).collect()
+    assert len(plan) == 40 and all(isinstance(r.copies, int) and r.shard == "mine" for r in plan)
+    rows = sharding.interleave(odd, 4).collect()
+    assert sorted(r.shard for r in rows) == [s for s in range(4) for _ in range(10)] and all(r._rank == r.size == "mine" for r in rows)
+    assert quality.judge(odd).count() == 40 and all(isinstance(r.pii, list) and r.size == "mine" for r in pseudonyms.pseudonymize(odd, "k").collect())
+    assert same(pseudonyms.pseudonymize(odd, "k", spans="other").drop("other"))
+    pages = spark.createDataFrame([(1, "http://a.b/c", "x"), (2, "http://a.b/d", "x")], "page_id long, url string, html string").select("*", *[F.lit("mine").alias(c) for c in ("host", "path", "rule", "verdict", "quality", "payload_digest", "record_type", "refers_to", "good", "_salt", "_first")])
+    judged = url_reputation.filter_urls(pages, spark.createDataFrame([(1, 1)], "page_id long, good int")).collect()
+    assert {r.host for r in judged} == {"a.b"} and {r.good for r in judged} == {"mine"}
+    assert {r.page_id: r.refers_to for r in warc.archive_pages(pages).collect()} == {1: None, 2: 1}
+    turns = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string").select("*", *[F.lit("mine").alias(c) for c in ("turns", "roles", "formatted", "spans")])
+    assert chat.read_back(chat.format_conversations(turns)).first().n_turns == 1
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<double>").select("*", *[F.lit("mine").alias(c) for c in ("digest", "code", "node", "rep", "valid", "n_links")])
+    assert [(r.n_links, r.component_id) for r in embedding_duplicates.near_embeddings(vectors).collect()] == [(1, 1), (1, 1)]
