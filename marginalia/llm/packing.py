@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import re
@@ -15,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import bucket_bits, hash60, materialize, rank_within
+from marginalia.llm.words import process_own, slices
 
 #: White space that a chunk's encoding could depend on beyond its own characters: runs, and at either end.
 _LOOSE = re.compile(r"\s\s|^\s|\s$")
 #: A space between two visible characters: no token reaches over it from the left, so what stands on either side is encoded
 #: alone, with the same ids as in the whole text.
 _SEAM = re.compile(r"(?<=\S)(?= \S)")
-_KEPT, _LONG = 800_000, 24
+_KEPT, _LONG = 500_000, 24
 
 
 def _merger(path: str) -> Callable[[str], list[int]] | None:
@@ -42,12 +42,6 @@ def _merger(path: str) -> Callable[[str], list[int]] | None:
     return tiktoken.Encoding("words", pat_str=r" ?\p{L}+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-@functools.lru_cache(maxsize=1)
-def token_bytes(path: str) -> TokenBytes:
-    """The process's own, so that the tasks of a Python worker share what they have met."""
-    return TokenBytes(path)
-
-
 class TokenBytes(dict):
     """Ids of texts, as little-endian unsigned 32-bit numbers. A dictionary of the ids of chunks met before, each a word that
     a space precedes; emptied when it grows too large. Words at the start of a line have a dictionary of their own."""
@@ -104,9 +98,9 @@ def cut_pieces(df: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, ke
     apart only by their text). Every row has at least one piece. Whole texts, however long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_bytes(tokenizer)
+        tokens = process_own(TokenBytes, tokenizer)
         last = np.array([end], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             keys, pieces, starts, lengths, data = [], [], [], [], []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = tokens(t or "") + last

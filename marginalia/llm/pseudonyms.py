@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from marginalia.llm.words import slices
 
 ROUNDS = 8
 _DIGITS, _HEX = "0123456789", "0123456789abcdef"
@@ -230,7 +231,7 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", spans: str = "pii"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = Pseudonyms(secret)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in slices(batches):
             done = [(None, []) if t is None else change(t) for t in batch.column(at).to_pylist()]
             columns = [batch.column(i) if i != at else pa.array([d[0] for d in done], pa.string()) for i in range(len(names))]
             found = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in d[1]] for d in done], kind)

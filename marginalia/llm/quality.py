@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import materialize, unwrapped, wrapped
-from marginalia.llm.words import texts
+from marginalia.llm.words import slices, texts
 
 _SPACES, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"  # fixed: white space and symbols of the contract
 COUNTS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64()}
@@ -77,7 +77,7 @@ def with_votes(df: DataFrame, text: str = "text") -> DataFrame:
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             measured = [_measure(t) for t in texts(batch.column(at))]
             counts = np.array([m[0] for m in measured], dtype=np.int64).reshape(-1, len(COUNTS))
             said = votes_of(np.array([m[1] for m in measured], dtype=float).reshape(-1, len(RULES)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,17 @@ class WordHashes(dict):
 
 
 @functools.lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    """The process's own, so that the tasks of a Python worker share what they have met."""
-    return WordHashes()
+def process_own(kind: Callable, *args):
+    """One object of a kind for the process, so that the tasks of a Python worker share what they have met. It gives way to
+    the next kind, so a worker that runs several stages holds one cache at a time."""
+    return kind(*args)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
