@@ -22,15 +22,19 @@ def lookup_index(corpus: DataFrame, unicode: bool = True) -> DataFrame:
     return long.withColumn("lookup_type", F.when(named, "name").otherwise("citation")).withColumn("lookup_key", F.when(named, name_key(F.col("exact_value"), unicode)).otherwise(citation_key(F.col("exact_value"), unicode)))
 
 
-def exact_lookup(asked: DataFrame, index: DataFrame, kind: str = "citation") -> DataFrame:
-    """asked (lookup_key and more) with row_ids, all different rows under the key, and status found, ambiguous or not_found.
-    Keys that are not found stay, with no row_ids."""
+def matches(asked: DataFrame, index: DataFrame, kind: str = "citation") -> DataFrame:
+    """(lookup_key, row_id): all different rows under the asked keys, one row each."""
     hits = index.filter(F.col("lookup_type") == kind).select("lookup_key", "row_id").distinct()
-    wanted = hits.join(asked.select("lookup_key").distinct(), "lookup_key", "left_semi")
-    found = wanted.groupBy("lookup_key").agg(F.array_sort(F.collect_list("row_id")).alias("row_ids"))
-    n = F.size("row_ids")
-    joined = asked.join(found, "lookup_key", "left").withColumn("row_ids", F.coalesce("row_ids", F.array().cast("array<bigint>")))
-    return joined.withColumn("status", F.when(n == 0, "not_found").when(n == 1, "found").otherwise("ambiguous"))
+    return hits.join(asked.select("lookup_key").distinct(), "lookup_key", "left_semi")
+
+
+def exact_lookup(asked: DataFrame, index: DataFrame, kind: str = "citation") -> DataFrame:
+    """asked (lookup_key and more) with hits, the number of different rows under the key, status (found, ambiguous, not_found), and
+    row_id where there is exactly one. Keys that are not found stay. A key's rows are counted, not gathered; matches lists them."""
+    found = matches(asked, index, kind).groupBy("lookup_key").agg(F.count(F.lit(1)).alias("hits"), F.min("row_id").alias("_row"))
+    joined = asked.join(found, "lookup_key", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    status = F.when(F.col("hits") == 0, "not_found").when(F.col("hits") == 1, "found").otherwise("ambiguous")
+    return joined.withColumn("status", status).withColumn("row_id", F.when(F.col("hits") == 1, F.col("_row"))).drop("_row")
 
 
 def names_to_citations(names: DataFrame, index: DataFrame) -> DataFrame:
@@ -42,11 +46,13 @@ def names_to_citations(names: DataFrame, index: DataFrame) -> DataFrame:
     return keys.join(cited, "citation_key").select("lookup_key", "citation_key", "row_id").distinct()
 
 
-def prefetch_stats(answered: DataFrame, cached: DataFrame, datasets: DataFrame) -> DataFrame:
+def prefetch_stats(asked: DataFrame, index: DataFrame, cached: DataFrame, datasets: DataFrame) -> DataFrame:
     """One row: keys requested, those already cached, partitions and rows that the others need. datasets: (row_id, dataset)."""
-    keys = answered.select("lookup_key", "row_ids").dropDuplicates(["lookup_key"]).join(cached.select("lookup_key", F.lit(True).alias("_c")).distinct(), "lookup_key", "left")
-    rows = keys.filter("_c is null").select(F.explode("row_ids").alias("row_id")).distinct().join(datasets, "row_id")
-    return keys.agg(F.count(F.lit(1)).alias("requested"), F.count("_c").alias("cached")).crossJoin(rows.agg(F.count_distinct("dataset").alias("partitions"), F.count(F.lit(1)).alias("rows")))
+    keys = asked.select("lookup_key").distinct()
+    have = cached.select("lookup_key").distinct()
+    rows = matches(keys.join(have, "lookup_key", "left_anti"), index).select("row_id").distinct().join(datasets, "row_id")
+    counts = keys.join(have.withColumn("_c", F.lit(1)), "lookup_key", "left").agg(F.count(F.lit(1)).alias("requested"), F.count("_c").alias("cached"))
+    return counts.crossJoin(rows.agg(F.count_distinct("dataset").alias("partitions"), F.count(F.lit(1)).alias("rows")))  # one row each
 
 
 def with_alias(asked: DataFrame, aliases: DataFrame, unicode: bool = True) -> DataFrame:

@@ -46,8 +46,9 @@ def exact_matches(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     middle = (F.size("_p") / 2).cast("int")
     anchored = q.filter(F.size("_p") >= 5).withColumn("gram", F.array_join(F.slice("_p", middle, 3), " ")).drop("_p")
     hay = sources.select("doc_id", text.comparable(F.col("text")).alias("_d"))
-    runs = hay.withColumn("gram", F.explode(F.array_distinct(ngrams(F.split("_d", " "), 3))))
-    long = runs.join(small(anchored), "gram").filter(text.contained(F.col("_q"), F.col("_d"))).select("item_id", "doc_id")
+    runs = hay.select("doc_id", F.explode(F.array_distinct(ngrams(F.split("_d", " "), 3))).alias("gram"))  # without the text
+    hits = runs.join(small(anchored.select("item_id", "gram")), "gram").select("item_id", "doc_id").distinct()
+    long = hay.join(hits, "doc_id").join(small(anchored.select("item_id", "_q")), "item_id").filter(text.contained(F.col("_q"), F.col("_d"))).select("item_id", "doc_id")
     short = q.filter((F.size("_p") < 5) & (F.length("_q") > 0)).drop("_p")
     few = hay.join(small(short), text.contained(F.col("_q"), F.col("_d"))).select("item_id", "doc_id")  # a stated list of short quotations
     return long.unionByName(few).distinct()

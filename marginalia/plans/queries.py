@@ -36,7 +36,7 @@ def exact_lookup_batch(spark, sf_dir):
     (orders,) = _read(spark, sf_dir, "orders")
     asked = orders.select(F.col("o_orderkey").alias("id"), keys.citation_key(F.concat(F.lit("C 4."), (F.col("o_custkey") * 2).cast("string")), unicode=False).alias("lookup_key"))
     found = lookup.exact_lookup(asked, lookup.lookup_index(_corpus(spark, sf_dir), unicode=False).withColumn("row_id", F.substring_index("row_id", " ", -1).cast("long")))
-    return found.select("id", "lookup_key", F.array_join(F.col("row_ids").cast("array<string>"), ",").alias("row_ids"), "status")
+    return found.select("id", "lookup_key", "hits", F.coalesce("row_id", F.lit(-1)).alias("row_id"), "status")
 
 
 def name_citation_self_join(spark, sf_dir):
@@ -49,7 +49,7 @@ def lookup_status(spark, sf_dir):
     (docs,) = _read(spark, sf_dir, "documents")
     keyed = docs.select("doc_id", F.md5(F.lower(F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", " ")))).alias("lookup_key"))
     index = keyed.select("lookup_key", F.col("doc_id").alias("row_id"), F.lit("citation").alias("lookup_type"))
-    return lookup.exact_lookup(keyed, index).select("doc_id", "status", F.size("row_ids").alias("hits"))
+    return lookup.exact_lookup(keyed, index).select("doc_id", "status", "hits")
 
 
 def coverage_by_dataset(spark, sf_dir):
@@ -60,9 +60,9 @@ def prefetch_statistics(spark, sf_dir):
     (orders, customer) = _read(spark, sf_dir, "orders", "customer")
     key = lambda c: keys.citation_key(F.concat(F.lit("C 4."), c.cast("string")), unicode=False).alias("lookup_key")
     corpus = _corpus(spark, sf_dir)
-    answered = lookup.exact_lookup(orders.select(key(F.col("o_custkey"))), lookup.lookup_index(corpus, unicode=False).withColumn("row_id", F.xxhash64("row_id")))
+    index = lookup.lookup_index(corpus, unicode=False)
     cached = customer.filter("c_mktsegment = 'BUILDING'").select(key(F.col("c_custkey")))
-    return lookup.prefetch_stats(answered, cached, corpus.select(F.xxhash64("row_id").alias("row_id"), "dataset"))
+    return lookup.prefetch_stats(orders.select(key(F.col("o_custkey"))), index, cached, corpus.select("row_id", "dataset"))
 
 
 def alias_tails(spark, sf_dir):
@@ -383,13 +383,13 @@ r AS (SELECT *, CASE WHEN accepted = 0 THEN 'NO_MATCH' ELSE CASE WHEN all_altern
 ORACLES = {
     "lookup_index_build": f"WITH {_CORPUS} SELECT * FROM idx",
     "exact_lookup_batch": f"""WITH {_CORPUS}, a AS (SELECT o_orderkey AS id, 'c4dot' || (o_custkey * 2) AS lookup_key FROM orders),
-h AS (SELECT lookup_key, string_agg(DISTINCT substr(row_id, 3), ',') AS row_ids, count(DISTINCT row_id) AS n FROM idx WHERE lookup_type = 'citation' GROUP BY 1)
-SELECT id, lookup_key, coalesce(row_ids, '') AS row_ids, CASE coalesce(n, 0) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM a LEFT JOIN h USING (lookup_key)""",
+h AS (SELECT lookup_key, min(substr(row_id, 3)::BIGINT) AS r, count(DISTINCT row_id) AS n FROM idx WHERE lookup_type = 'citation' GROUP BY 1)
+SELECT id, lookup_key, coalesce(n, 0) AS hits, CASE WHEN n = 1 THEN r ELSE -1 END AS row_id, CASE coalesce(n, 0) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM a LEFT JOIN h USING (lookup_key)""",
     "name_citation_self_join": f"""WITH {_CORPUS}, n AS (SELECT DISTINCT lower(p_name) AS k FROM part WHERE p_size >= 40),
 k AS (SELECT DISTINCT a.lookup_key, c.lookup_key AS citation_key FROM idx a JOIN n ON a.lookup_key = n.k JOIN idx c USING (row_id) WHERE a.lookup_type = 'name' AND c.lookup_type = 'citation')
 SELECT DISTINCT k.lookup_key, citation_key, row_id FROM k JOIN idx c ON c.lookup_key = citation_key WHERE c.lookup_type = 'citation'""",
     "lookup_status": """WITH k AS (SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS k FROM documents)
-SELECT doc_id, CASE WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS status, n::INT AS hits FROM (SELECT doc_id, count(*) OVER (PARTITION BY k) AS n FROM k)""",
+SELECT doc_id, CASE WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS status, n AS hits FROM (SELECT doc_id, count(*) OVER (PARTITION BY k) AS n FROM k)""",
     "coverage_by_dataset": f"WITH {_CORPUS} SELECT dataset, count(*) AS n, count(DISTINCT name_en) AS names FROM corpus GROUP BY 1",
     "prefetch_statistics": """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'), n AS (SELECT k FROM a WHERE k NOT IN (SELECT k FROM c) AND k IN (SELECT c_custkey FROM customer))
 SELECT (SELECT count(*) FROM a) AS requested, (SELECT count(*) FROM a WHERE k IN (SELECT k FROM c)) AS cached, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END::BIGINT AS partitions, count(*) AS rows FROM n""",

@@ -104,8 +104,9 @@ def test_lookup_statuses(spark, corpus):
     index = lookup.lookup_index(corpus)
     assert index.count() == 8
     asked = spark.createDataFrame([("2020 scc 1",), ("2020 SCC 2",), ("1999 SCC 9",), ("[2020] 1 S.C.R. 5",)], "c string").withColumn("lookup_key", keys.citation_key(F.col("c")))
-    got = {r.c: (r.status, r.row_ids) for r in lookup.exact_lookup(asked, index).collect()}
-    assert got == {"2020 scc 1": ("found", [1]), "2020 SCC 2": ("ambiguous", [2, 3]), "1999 SCC 9": ("not_found", []), "[2020] 1 S.C.R. 5": ("found", [2])}
+    got = {r.c: (r.status, r.hits, r.row_id) for r in lookup.exact_lookup(asked, index).collect()}
+    assert got == {"2020 scc 1": ("found", 1, 1), "2020 SCC 2": ("ambiguous", 2, None), "1999 SCC 9": ("not_found", 0, None), "[2020] 1 S.C.R. 5": ("found", 1, 2)}
+    assert {r.row_id for r in lookup.matches(asked, index).collect()} == {1, 2, 3}
     names = spark.createDataFrame([("R. v. Jones",)], "n string").select(keys.name_key(F.col("n")).alias("lookup_key"))
     assert {(r.citation_key, r.row_id) for r in lookup.names_to_citations(names, index).collect()} == {("2020scc2", 2), ("2020scc2", 3), ("20201scr5", 2)}
 
