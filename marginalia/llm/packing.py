@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import bucket_bits, hash60, materialize, rank_within
-from marginalia.llm.words import process_own, slices
+from marginalia.llm.words import process_own, slices, small_batches
 
 #: White space that a chunk's encoding could depend on beyond its own characters: runs, and at either end.
 _LOOSE = re.compile(r"\s\s|^\s|\s$")
 #: A space between two visible characters: no token reaches over it from the left, so what stands on either side is encoded
 #: alone, with the same ids as in the whole text.
 _SEAM = re.compile(r"(?<=\S)(?= \S)")
-_KEPT, _LONG = 500_000, 24
+_KEPT, _LONG = 400_000, 24
 
 
 def _merger(path: str) -> Callable[[str], list[int]] | None:
@@ -110,7 +110,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, ke
                     keys.append(doc), pieces.append(i), starts.append(a), lengths.append(b - a), data.append(ids[4 * a : 4 * b])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return small_batches(df).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def patterns(lengths: list[int], size: int, most: int = 3) -> list[tuple[int, ...]]:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marginalia.llm.words import slices
+from marginalia.llm.words import slices, small_batches
 
 ROUNDS = 8
 _DIGITS, _HEX = "0123456789", "0123456789abcdef"
@@ -238,4 +238,4 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", spans: str = "pii"
             yield pa.RecordBatch.from_arrays([*columns, found], [*names, spans])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, `{spans}` array<struct<kind: string, start: int, end: int>>")
+    return small_batches(df).mapInArrow(run, f"{schema}, `{spans}` array<struct<kind: string, start: int, end: int>>")

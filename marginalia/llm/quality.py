@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, unwrapped, wrapped
-from marginalia.llm.words import slices, texts
+from marginalia.llm.common import materialize
+from marginalia.llm.words import slices, small_batches, texts
 
 _SPACES, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"  # fixed: white space and symbols of the contract
 COUNTS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64()}
 _RUNS = re.compile(rb"[#*$%&|<>]+")
+_ADDED = (*COUNTS, "votes", "quality", "base_failed", "kept")
 #: A rule compares a ratio with its limits: beyond the second it votes bad (b), within the first, where there is one, good (g);
 #: otherwise it abstains (-). Where low is true, small ratios are bad. A ratio that is not a number abstains.
 RULES: dict[str, tuple[float | None, float, bool]] = {
@@ -84,7 +85,7 @@ def with_votes(df: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(said, pa.string())], [*names, *COUNTS, "votes"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, {', '.join(f'{c} long' for c in COUNTS)}, votes string")
+    return small_batches(df).mapInArrow(run, f"{schema}, {', '.join(f'{c} long' for c in COUNTS)}, votes string")
 
 
 class VoteModel:
@@ -148,7 +149,7 @@ def judge(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     and for those whose posterior probability of being good is below least. Null, empty and blank texts have no words and fail.
     Repeated rows vote as often as they occur; an empty table gives none; other columns pass through, but
     for those whose names are added here."""
-    voted = materialize(with_votes(df.drop(*COUNTS, "votes", "quality", "base_failed", "kept"), text).drop(text), "votes")
+    voted = materialize(with_votes(df.drop(*_ADDED), text).drop(text), "votes")
     return judged(voted, fit_votes(voted), voted, least)
 
 
@@ -156,4 +157,6 @@ def good_rows(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFram
     """The rows of df that judge keeps, with df's columns: votes are cast once to fit the model and again to filter by it."""
     seen = materialize(with_votes(df.select(text), text).groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "votes")
     model = VoteModel({r[0]: r[1] for r in seen.collect()})
-    return unwrapped(judged(with_votes(wrapped(df, _text=F.col(text)), "_text"), model, seen, least).filter("kept"))
+    own = {c: f"_own_{c}" for c in df.columns if c in _ADDED}
+    kept = judged(with_votes(df.withColumnsRenamed(own), text), model, seen, least).filter("kept")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in df.columns])

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed: the 64-bit golden ratio, odd
 _KEPT = 1 << 19
@@ -32,6 +33,15 @@ def process_own(kind: Callable, *args):
     return kind(*args)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after seeing to it that its session hands at most so many rows at once to Python (10,000 are usual): whole texts can be
+    long. The setting stays as it is where it is lower already."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces, so that a worker holds few texts as Python objects at once."""
     for batch in batches:
