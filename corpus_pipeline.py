@@ -30,9 +30,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of at most 1024 tokens stands in the sequences, one row a piece, with the CRC-32 of its token ids; the ids
-    themselves follow from the documents, so they are not shuffled to be ranked."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), digest=packing.with_crc32)
+    """The training sequences: one row a piece of at most 1024 tokens, with its token ids and where it stands in which sequence."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [(f.__name__, f) for f in (quality_rules, near_duplicate_removal, pii_pseudonyms, source_mixing, best_fit_packing)]

@@ -248,13 +248,13 @@ def assign(pieces: DataFrame, size: int = 1024, seed: int = 3) -> DataFrame:
 
 def with_crc32(pieces: DataFrame) -> DataFrame:
     """Replace ids by their CRC-32."""
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pieces.select(*[F.crc32("ids").alias("ids_crc32") if c == "ids" else c for c in pieces.columns])
 
 
 def pack(df: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, key: str = "doc_id", text: str = "text", digest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All rows of df, tokenized, cut and packed into sequences of at most size tokens: one row a piece, with its ids, sequence_id
-    and offset (gapless from 0). digest may replace the ids before the pieces are written and dealt out.
+    and offset (gapless from 0). digest may replace the ids of the placed pieces; they are ranked and placed with their ids.
 
     A null text is empty (one piece with the end id); null keys pass through; repeated rows are packed as often as they occur."""
-    pieces = cut_pieces(df, tokenizer, size, end, key, text)
-    return assign(materialize(digest(pieces) if digest else pieces, "pieces"), size)
+    placed = assign(materialize(cut_pieces(df, tokenizer, size, end, key, text), "pieces"), size)
+    return digest(placed) if digest else placed

@@ -16,9 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CRC-32s are those of the placed pieces' ids."""
     import public_tokenizers
 
-    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=packing.with_crc32)
+    return packing.with_crc32(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

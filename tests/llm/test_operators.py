@@ -126,6 +126,17 @@ def test_packed_pieces_rebuild_every_document(docs, empty, tokenizer):
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in digests) == Counter((r.doc_id, r.piece, zlib.crc32(bytes(r.ids))) for r in rows)
 
 
+def test_op1_places_pieces_with_their_ids(spark, docs, tokenizer, tmp_path, monkeypatch):
+    from marginalia.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    placed, assign = [], packing.assign
+    monkeypatch.setattr(packing, "assign", lambda pieces, *more: placed.append(assign(pieces, *more)) or placed[-1])
+    got = queries.op1_pattern_packing(spark, str(tmp_path)).collect()
+    ids = Counter((r.doc_id, r.piece, r.sequence_id, r.offset, zlib.crc32(bytes(r.ids))) for r in placed[0].collect())
+    assert ids and ids == Counter((r.doc_id, r.piece, r.sequence_id, r.offset, r.ids_crc32) for r in got)
+
+
 # ---- URL reputation
 
 

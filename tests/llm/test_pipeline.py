@@ -75,3 +75,17 @@ def test_run_joins_the_stages(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     plan = mixing.mixing_plan(spark.read.parquet(f"{folder}/documents.parquet"))
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and 0 < got.count() and {r.doc_id for r in got.collect()} <= {r.doc_id for r in plan.collect()}
+
+
+def test_sequences_hold_the_ids_of_every_copy(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 20 or doc_id > 100")
+    docs = docs.unionByName(docs.filter("doc_id < 5"))
+    encode, rows = packing.TokenBytes(tokenizer), docs.collect()
+    whole, got = Counter(), Counter()
+    for r in rows:
+        whole[r.doc_id] += len(encode(r.text or "")) // 4 + 1
+    for r in corpus_pipeline.best_fit_packing(spark, docs, folder).collect():
+        ids = encode(next(d.text for d in rows if d.doc_id == r.doc_id) or "") + (2).to_bytes(4, "little")
+        assert bytes(r.ids) == ids[4 * r.start : 4 * (r.start + r.length)] and len(r.ids) == 4 * r.length
+        got[r.doc_id] += r.length
+    assert got == whole
