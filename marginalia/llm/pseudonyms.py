@@ -30,6 +30,12 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-][0-9]{3,4}(?![0-9]|[.\-][0-9])|(?<![\w+])\+[0-9]{9,14}(?![0-9])",
 }
 _ALL = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+_KINDS = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+_DIGIT_GROUP = re.compile("[0-9]+")
+_TOKEN = re.compile(r"[A-Za-z0-9]+")
+#: Digits in groups of a card number: if their check fails they are a mistyped card, and no phone numbers.
+_FOURS = re.compile(r"[0-9]{4}([ \-])[0-9]{4}(?:\1[0-9]{4})*\1[0-9]{1,4}")
+_CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
 #: One of these stands in every stretch that a pattern can match; texts without any are left alone at once.
 _MARK = re.compile("[0-9@]")
 _NAMES = ("token", "secret", "key", "passwd", "password", "pwd", "akia", "sk-")
@@ -196,23 +202,78 @@ class Pseudonyms:
         body = self._text("card", digits[:-1], _DIGITS)
         return _refill(s, body + luhn_digit(body))
 
+    def _cards(self, text: str, start: int) -> list[tuple[bool, int, str]]:
+        """The stretches of whole digit groups from start that are valid cards: (grouped otherwise than cards are, end, new),
+        those in a card's groups first, then the longest."""
+        found, groups, digits, at = [], [], 0, start
+        while digits <= 19 and (m := _DIGIT_GROUP.match(text, at)):
+            groups.append(m.end() - at)
+            digits += groups[-1]
+            decimal = text[m.end() : m.end() + 1] == "." and text[m.end() + 1 : m.end() + 2].isdigit()
+            if 13 <= digits <= 19 and not decimal and (new := self.card(text[start : m.end()])) is not None:
+                found.append((tuple(groups) not in _CARD_GROUPS, m.end(), new))
+            if text[m.end() : m.end() + 1] not in (" ", "-"):
+                break
+            at = m.end() + 1
+        return sorted(found, key=lambda c: (c[0], -c[1]))
+
+    def _candidate(self, text: str, start: int, kind: str, barred: int) -> tuple[tuple[str, int, int, str] | None, int]:
+        """What stands from start on: (kind, start, end, new) of the first kind, from kind on, one of whose stretches passes its
+        check, or None; and the end of a mistyped card, inside which no phone number is looked for."""
+        for k in list(PATTERNS)[list(PATTERNS).index(kind) :]:
+            m = _KINDS[k].match(text, start)
+            if m is None:
+                continue
+            if k == "card":
+                own = self._cards(text, start)
+                if own and not own[0][0]:
+                    return (k, start, *own[0][1:]), 0
+                # a card in its own groups that begins inside goes before one that only fits by its check digit
+                for group in re.finditer(r"(?<=[ \-])[0-9]+", m[0]):
+                    inner = self._cards(text, start + group.start())
+                    if inner and not inner[0][0]:
+                        at = start + group.start()
+                        for before in _KINDS["phone"].finditer(text, start, at - 1):
+                            if (new := self.phone(before[0])) is not None:
+                                return ("phone", before.start(), before.end(), new), 0
+                        return (k, at, *inner[0][1:]), 0
+                if own and "-" in (held := text[start : own[0][1]]) and " " in held:  # so does a phone number of one mark between others
+                    for before in _KINDS["phone"].finditer(text, start, own[0][1]):
+                        if len(set(re.sub("[0-9]", "", before[0]))) == 1 and (new := self.phone(before[0])) is not None:
+                            return ("phone", before.start(), before.end(), new), 0
+                if own:
+                    return (k, start, *own[0][1:]), 0
+                if _FOURS.fullmatch(m[0]):
+                    barred = max(barred, m.end())
+            elif k == "iban":  # the whole stretch, then without its last words
+                for end in [m.end(), *(start + g.start() for g in reversed(list(re.finditer(" ", m[0]))))]:
+                    if (new := self.iban(text[start:end])) is not None:
+                        return (k, start, end, new), 0
+            elif not (k == "phone" and m.end() <= barred) and (new := getattr(self, k)(m[0])) is not None:
+                return (k, start, m.end(), new), 0
+        return None, barred
+
     def __call__(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each in the new text."""
         if not _MARK.search(text):
             low = text.lower()
             if not any(name in low for name in _NAMES):
                 return text, []
-        out, at, place, found = [], 0, 0, []
-        for m in _ALL.finditer(text):
+        out, at, place, found, pos, barred = [], 0, 0, [], 0, 0
+        while m := _ALL.search(text, pos):
             kind = next(k for k in PATTERNS if m[k] is not None)
-            new = getattr(self, kind)(m[0])
-            if new is None:
+            hit, mistyped = self._candidate(text, m.start(), kind, barred)
+            barred = max(barred, mistyped)
+            if hit is None:  # go on behind the first group of the stretch, not behind all of it
+                token = _TOKEN.match(text, m.start())
+                pos = token.end() if token else m.start() + 1
                 continue
-            out += [text[at : m.start()], new]
-            place += m.start() - at
+            kind, start, end, new = hit
+            out += [text[at:start], new]
+            place += start - at
             found.append((kind, place, place + len(new)))
             place += len(new)
-            at = m.end()
+            at = pos = end
         return "".join([*out, text[at:]]), found
 
 
@@ -221,7 +282,8 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", spans: str = "pii"
 
     Card numbers (Luhn), IBANs (mod 97), IPv4 addresses, dates (1900 to 2099, valid in the calendar), social security numbers,
     phone numbers, e-mail addresses (the local part) and secrets (keys, tokens, passwords) are permuted within their format by a
-    Feistel network under key, so equal values stay equal across documents and check digits hold. What fails its check stays.
+    Feistel network under key, so equal values stay equal across documents and check digits hold. What fails its check stays,
+    but shorter stretches of it, later ones from the next group of characters on, and other kinds are tried first.
     A null text stays null with no pii; empty and very long texts are handled whole; other columns and repeated rows pass
     through; a column that df has under the name of spans is replaced."""
     df = df.drop(spans)

@@ -198,6 +198,27 @@ def test_what_is_not_valid_stays():
         assert change(text) == (text, [])
 
 
+NEIGHBOURS = [
+    ("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"), ("4111111111111111 12/26", "4111111111111111", "card"), ("2 4111 1111 1111 1111", "4111 1111 1111 1111", "card"), ("2-4111-1111-1111-1111", "4111-1111-1111-1111", "card"),
+    ("555-123-4567 2024", "555-123-4567", "phone"), ("2024 555-123-4567", "555-123-4567", "phone"), ("555 123 4568 2024", "555 123 4568", "phone"), ("ID42 WEST HIGH 555-123-4567", "555-123-4567", "phone"),
+    ("ES9121000418450200051332 2024", "ES9121000418450200051332", "iban"), ("BE68 5390 0754 7034 IBAN", "BE68 5390 0754 7034", "iban"), ("NR12 BE68 5390 0754 7034", "BE68 5390 0754 7034", "iban"), ("AB12 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+]
+
+
+@pytest.mark.parametrize(("text", "value", "kind"), NEIGHBOURS)
+def test_valid_values_beside_other_numbers_and_words_change(text, value, kind):
+    change = pseudonyms.Pseudonyms(b"key")
+    alone, at = change(value)[0], text.index(value)
+    assert change(f"x {text}, y") == (f"x {text.replace(value, alone)}, y", [(kind, at + 2, at + 2 + len(value))]) and alone != value
+
+
+def test_two_values_in_one_stretch_and_mistyped_cards():
+    change = pseudonyms.Pseudonyms(b"key")
+    assert [f[0] for f in change("555-123-4567 4111 1111 1111 1111")[1]] == ["phone", "card"]
+    assert change("4845 1681 1440 7328") == ("4845 1681 1440 7328", [])
+    assert change("1234 5678 " * 20_000)[0].count(" ") == 40_000
+
+
 def test_pseudonyms_over_rows(docs, empty, spark):
     rows = spark.createDataFrame([(1, "x a.1@b.org", "p"), (2, None, "q"), (3, "", None), (1, "x a.1@b.org", "p"), (4, "plain " * 50_000, "r")], "doc_id long, text string, kind string")
     got = sorted(pseudonyms.pseudonymize(rows, "key").collect(), key=lambda r: r.doc_id)
