@@ -43,17 +43,21 @@ def resolve_chains(parts: DataFrame, rounds: int = 40) -> DataFrame:
     return parts.join(ended, "part")
 
 
-def selection_closure(selected: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """All nodes that the selected ones (node) need, over edges (source, target): the front moves on until nothing new is met."""
+def selection_closure(selected: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """All nodes that the selected ones (node) need, over edges (source, target): the front moves on until nothing new is met,
+    however long the chains are. With rounds, an error if something new is met after so many."""
     seen = materialize(selected.select("node").distinct(), "seen")
-    front = seen
-    for _ in range(rounds):
+    front, done = seen, 0
+    while True:
         reached = edges.join(front.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node")).distinct()
         new = materialize(reached.join(seen, "node", "left_anti"), "front")
         if new.isEmpty():
-            break
-        seen, front = seen.unionByName(new), new
-    return seen
+            return seen
+        if done == rounds:
+            raise RuntimeError(f"the closure is not complete after {rounds} rounds")
+        seen, front, done = seen.unionByName(new), new, done + 1
+        if done % 16 == 0:  # keeps the union short
+            seen = materialize(seen, "seen")
 
 
 def inherited(parts: DataFrame, fields: tuple[str, ...], inherit: str = "inherit") -> DataFrame:

@@ -147,6 +147,15 @@ def test_closure_and_inheritance(spark):
     assert {r.part: r.link for r in got.collect()} == {"a": "L", "b": "L", "c": "own", "d": None}
 
 
+def test_closure_follows_long_chains_or_raises(spark):
+    edges = spark.range(1, 104).selectExpr("id AS source", "id + 1 AS target").coalesce(1)
+    start = spark.createDataFrame([(1,)], "node long")
+    assert {r.node for r in chains.selection_closure(start, edges).collect()} == set(range(1, 105))
+    assert {r.node for r in chains.selection_closure(start, edges.filter("source < 3"), rounds=2).collect()} == {1, 2, 3}
+    with pytest.raises(RuntimeError):
+        chains.selection_closure(start, edges, rounds=2)
+
+
 def test_registry_tiers(spark):
     registry = spark.createDataFrame([("d", 1, 1, "Smith", "Smith v Roe", "u1#a"), ("d", 2, 2, "Act", "Big Act, Smith", "u2"), ("d", 9, 5, "Late", "x", "u9")], "doc_id string, seq int, note int, short_form string, verbatim string, link string")
     asked = spark.createDataFrame([("d", 3, "Smith", 2), ("d", 4, "Smith", None), ("d", 5, "Roe", None), ("d", 6, "Late", None), ("d", 7, "", None)], "doc_id string, seq int, token string, note int")
