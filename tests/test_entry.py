@@ -35,6 +35,14 @@ def test_query_equals_its_sql(spark, db, name):
         assert got.columns and got.count() >= 0
 
 
+def test_title_search_asks_every_part(spark):
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    got = queries.title_search(spark, SF).collect()
+    assert {r.query_id for r in got} == {r.p_partkey for r in part.select("p_partkey").collect()}
+    names = {r.p_partkey: r.p_name for r in part.collect()}
+    assert all(names[r.query_id] == names[r.article_id] for r in got if r["rank"] == 1)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 40
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
