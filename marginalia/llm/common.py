@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows that a lookup table may have and still be broadcast; wider tables than about 200 bytes a row are not passed here.
 BROADCAST_ROWS = 100_000
@@ -16,11 +18,18 @@ SALTS = 32
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Rows of a key from which a join spreads it over several tasks.
+HOT_ROWS = 2_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one of our own only where none is set."""
+    """The folder that the cluster shares (spark.checkpoint.dir). A local run that sets none gets one of its own; elsewhere that
+    is an error, as no executor could read what another wrote."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,6 +53,22 @@ def lookup(big: DataFrame, small: DataFrame, key: str, salt: Column, rows: int |
     return big.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
 
 
+def spread_join(big: DataFrame, small: DataFrame, key: str, many: str, salt: Column, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join big with small, whose column many says how many rows of big hold the key. Keys of more than HOT_ROWS rows are dealt
+    over tasks of about that many; the list of these keys is counted before it is broadcast. small should be materialized."""
+    hot = small.filter(F.col(many) > HOT_ROWS).select(key, F.ceil(F.col(many) / HOT_ROWS).cast("int").alias("_salts")).distinct()
+    n = hot.count()
+    if not n:
+        return big.join(small, key, how)
+    if n > limit:  # too many to broadcast: then every key is dealt over SALTS tasks
+        spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return big.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(spread, [key, "_salt"], how).drop("_salt")
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(salt, salts).cast("int")).drop("_salts")
+    spread = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
+
+
 def wrapped(df: DataFrame, **columns: Column) -> DataFrame:
     """df as one struct column _row, beside the given columns: whatever names df has, they meet no others until unwrapped."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(name) for name, c in columns.items()])
@@ -55,6 +80,11 @@ def unwrapped(df: DataFrame, *added: str) -> DataFrame:
     return df.select(*[F.col("_row").getField(f).alias(f) for f in fields if f not in added], *added)
 
 
+def widened(df: DataFrame, *added: StructField, without: Sequence[str] = ()) -> StructType:
+    """The schema of df, but for some columns, with the fields added: whatever names and nested types df has."""
+    return StructType([f for f in df.schema.fields if f.name not in without] + list(added))
+
+
 def code_point_key(column: Column) -> Column:
     """A string that is never null, sorts by code point, and puts null after all else."""
     return F.when(column.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), column.cast("string")))

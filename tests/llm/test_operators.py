@@ -244,7 +244,7 @@ def brute_near(rows, k, percent):
 @pytest.mark.parametrize("k", [2, 5])
 @pytest.mark.parametrize("small", [24, 2])
 def test_near_duplicates_equal_brute_force(docs, k, small, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "SMALL", small)  # 2: nearly every bucket passes through leaders and clusters
+    monkeypatch.setattr(near_duplicates, "SMALL", small)  # 2: nearly every bucket passes through leaders and blocks
     monkeypatch.setattr(near_duplicates, "BLOCK", 7)
     sizes, groups = brute_near(docs.collect(), k, 80)
     got = near_duplicates.near_duplicates(docs.withColumn("component_id", F.lit("x")), k=k).collect()
@@ -262,6 +262,34 @@ def test_near_duplicates_of_odd_tables(spark, docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, c in brute_near(docs.collect(), 5, 80)[1].items() if d == c}
 
 
+def test_links_of_very_long_texts_are_counted_in_full(spark):
+    draw = np.random.default_rng(7)
+    common_, tail = [f"w{x}" for x in draw.permutation(266_668)], [[f"{c}{i}" for i in range(33_332)] for c in "ab"]
+    rows = spark.createDataFrame([(i, " ".join(common_ + tail[i])) for i in (0, 1)] + [(2, " ".join(common_[:-9] + tail[0] + [f"c{i}" for i in range(9)]))], "doc_id long, text string")
+    sets = [{tuple(x) for x in zip(w, w[1:], strict=False)} for w in (r.text.split() for r in rows.collect())]
+    linked = lambda x, y: 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(rows, k=2).collect()}
+    assert len(sets[0] & sets[1]) == 266_667 and linked(0, 1) and got == {0: 0, 1: 0, 2: 0}
+
+
+def test_signatures_keep_pairs_at_the_threshold():
+    draw, alike = np.random.default_rng(11), near_duplicates.least_alike(80)
+    assert 55 <= alike <= 70
+    for _ in range(30):
+        x = draw.integers(0, 2**63, 900, dtype=np.uint64)
+        _, minima = near_duplicates.signatures([np.unique(x[:850]), np.unique(np.concatenate([x[:750], x[850:]]))])
+        assert (minima[0] == minima[1]).sum() >= alike
+
+
+def test_spread_join_deals_hot_keys(spark, monkeypatch):
+    big = spark.range(900).select("id", F.when(F.col("id") < 600, 1).otherwise(F.col("id")).alias("k"))
+    small = big.groupBy("k").agg(F.count(F.lit(1)).alias("many")).withColumn("v", F.col("k") * 2)
+    plain = Counter(map(tuple, big.join(small, "k").select("id", "k", "v").collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    for limit in (1000, 0):
+        assert plain == Counter(map(tuple, common.spread_join(big, small, "k", "many", F.col("id"), limit=limit).select("id", "k", "v").collect()))
+
+
 def test_shingles_and_components(spark):
     words = WordHashes()
     assert len(shingles(words.of(b"a b a b".split()), 2)) == 2 and len(shingles(words.of([]), 2)) == 0
