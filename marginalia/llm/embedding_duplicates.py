@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField
 
-from marginalia.llm.common import lookup, materialize
+from marginalia.llm.blocks import by_unit, dealt
+from marginalia.llm.common import lookup, materialize, spread_join, widened
 from marginalia.llm.components import components
 
-#: Vectors that the rotation is learnt from at most, the smallest by hash; every vector is indexed.
+#: Vectors that the rotations are learnt from at most, the smallest by hash; every vector is indexed.
 SAMPLE = 20_000
-#: Bits of a code at most, bits that a table compares, and tables. Tables take disjoint stretches of a code's bits, then
-#: disjoint stretches of a second order of the bits, and so on. At a cosine of 0.95 codes differ in about a tenth of the bits, so
-#: a pair shares a stretch of 16 bits with a probability of 0.185, and one of 16 stretches with 0.96; at 0.975 with 0.998.
-CODE, CHUNK, TABLES = 64, 16, 16
+#: 64-bit words of a code, each from rotations of its own, and bits of a code.
+WORDS = 4
+BITS = 64 * WORDS
+#: Part of the trial pairs, at the threshold and nearer, that the tables must bring together; trial pairs; tables at most.
+SEEN, TRIALS, MOST = 0.98, 12_000, 128
 #: Rows of a bucket that are compared in one piece; larger buckets are cut into blocks, and pairs of blocks are compared.
 BLOCK = 1024
 
 
-def learn_rotation(sample: np.ndarray, bits: int = CODE, rounds: int = 50, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotation(sample: np.ndarray, bits: int = 64, rounds: int = 30, seed: int = 0, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection) of balanced binary codes: principal directions of the centred sample, turned by the rotation that
-    brings them nearest to the corners of the cube, found by alternating between corners and rotation."""
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
+    brings them nearest to the corners of the cube, found by alternating between corners and rotation. Not centred: mean 0."""
+    mean = sample.mean(axis=0) if len(sample) and centred else np.zeros(sample.shape[1])
     v = sample - mean
     bits = min(bits, sample.shape[1])
     _, axes = np.linalg.eigh(v.T @ v)
@@ -39,13 +42,46 @@ def learn_rotation(sample: np.ndarray, bits: int = CODE, rounds: int = 50, seed:
     return mean, axes @ turn
 
 
-def table_masks(bits: int, seed: int = 1) -> list[int]:
-    """The bits that each table compares."""
-    draw, chunk, masks = np.random.default_rng(seed), min(CHUNK, bits), []
-    while len(masks) < TABLES:
-        order = np.arange(bits) if not masks else draw.permutation(bits)
-        masks += [sum(1 << int(b) for b in order[i : i + chunk]) for i in range(0, bits - chunk + 1, chunk)]
-    return masks[:TABLES]
+def learn_code(sample: np.ndarray, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection to BITS columns): as many rotations, each learnt from another start, as the bits need."""
+    mean, first = learn_rotation(sample, centred=centred)
+    many = -(-BITS // first.shape[1])
+    return mean, np.concatenate([first, *(learn_rotation(sample, seed=i, centred=centred)[1] for i in range(1, many))], axis=1)[:, :BITS]
+
+
+def trial_pairs(sample: np.ndarray, least: float, seed: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors u of the sample, for each a unit vector near it, and the pair's group: at a cosine of least, half way from there
+    to 1, or almost 1; in any direction, or towards another vector of the sample."""
+    draw = np.random.default_rng(seed)
+    group = np.arange(TRIALS) % 6
+    u = sample[draw.integers(0, len(sample), TRIALS)]
+    w = np.where(group[:, None] % 2 == 0, sample[draw.integers(0, len(sample), TRIALS)], draw.standard_normal(u.shape))
+    w = w - (w * u).sum(axis=1, keepdims=True) * u
+    length = np.sqrt((w * w).sum(axis=1, keepdims=True))
+    w = np.where(length > 1e-9, w / np.where(length > 1e-9, length, 1.0), 0.0)
+    near = np.array([least, (1 + least) / 2, 1 - (1 - least) / 1000])[group // 2][:, None]
+    return u, near * u + np.sqrt(1 - near * near) * w, group
+
+
+def plan_tables(apart: np.ndarray, group: np.ndarray, rows: int, seed: int = 1) -> tuple[list[np.ndarray], float]:
+    """The bits that each table compares, and the part of the trial pairs that agree in some table, in the group that does worst.
+    apart: which bits of the trial pairs differ. A table takes about log2(rows) bits, so that buckets stay small however many rows
+    there are; tables are added, from one order of the bits after another, until SEEN of each group is met; if MOST tables don't
+    reach it, they take fewer bits."""
+    width = int(np.clip(np.ceil(np.log2(max(rows, 2))), 4, 31))
+    while True:
+        draw, met, tables = np.random.default_rng(seed), np.zeros(len(apart), dtype=bool), []
+        while len(tables) < MOST:
+            order = draw.permutation(BITS)
+            for i in range(0, min(BITS - width + 1, (MOST - len(tables)) * width), width):
+                tables.append(order[i : i + width])
+                met |= ~apart[:, tables[-1]].any(axis=1)
+                worst = min(met[group == g].mean() for g in range(6))
+                if worst >= SEEN:
+                    return tables, worst
+        if width <= 4:
+            return tables, worst
+        width -= 2
 
 
 def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,19 +102,89 @@ def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, valid
 
 
-def _coded(df: DataFrame, dim: int, mean: np.ndarray, project: np.ndarray, key: str, vector: str) -> DataFrame:
-    """(vec_id, digest of the direction, valid, code, vector) of every row. Invalid rows have digests of their own."""
-    weights = np.uint64(1) << np.arange(project.shape[1], dtype=np.uint64)
+class Index:
+    """What a fit to the sample gives: the code, the tables, their masks over a code's words, and how many bits a pair at the
+    threshold may differ in (the most that trial pairs do, and an eighth of all bits more)."""
+
+    def __init__(self, sample: np.ndarray, rows: int, least: float):
+        self.dim = sample.shape[1]
+        sample = sample if len(sample) else np.eye(1, self.dim)
+        held = len(sample) // 5 if len(sample) >= 100 else 0  # trial pairs lie about vectors that the rotations were not learnt from
+        u, v, group = trial_pairs(sample[:held] if held else sample, least)
+        sample = sample[held:]
+        for centred in (True, False):  # vectors about their mean are told apart by planes through the origin only
+            self.mean, self.project = learn_code(sample, centred)
+            apart = self.bits(u) != self.bits(v)
+            self.tables, met = plan_tables(apart, group, rows)
+            if met >= SEEN:
+                break
+        self.masks = np.array([[sum(1 << int(b % 64) for b in t if b // 64 == w) for w in range(WORDS)] for t in self.tables], dtype=np.uint64)
+        self.far = int(apart.sum(axis=1).max()) + BITS // 8
+
+    def bits(self, u: np.ndarray) -> np.ndarray:
+        return (u - self.mean) @ self.project > 0
+
+    def words(self, bits: np.ndarray) -> np.ndarray:
+        """The bits of each row, 64 in a word."""
+        return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+    def buckets(self, bits: np.ndarray) -> np.ndarray:
+        """The bucket of each row in each table; tables don't share buckets."""
+        return np.stack([(bits[:, t] @ (np.int64(1) << np.arange(len(t), dtype=np.int64))) + (np.int64(i) << 32) for i, t in enumerate(self.tables)], axis=1)
+
+
+_CODE = [f"code{w}" for w in range(WORDS)]
+
+
+def _coded(df: DataFrame, index: Index) -> DataFrame:
+    """The rows (vec_id, vector) with digest (of the direction), valid, code words and buckets. Invalid rows have digests of
+    their own."""
+    added = [StructField("digest", BinaryType()), StructField("valid", BooleanType()), *(StructField(c, LongType()) for c in _CODE), StructField("buckets", ArrayType(LongType()))]
+    schema = widened(df, *added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, valid = unit_vectors(batch.column(1), dim)
-            code = (((u - mean) @ project > 0) * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
+            u, valid = unit_vectors(batch.column(1), index.dim)
+            bits = index.bits(u)
+            words, buckets = index.words(bits).view(np.int64), index.buckets(bits)
             digest = [xxhash.xxh128_digest(r.tobytes()) if ok else b"?%r" % i for r, ok, i in zip(u, valid, batch.column(0).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(valid), pa.array(code), batch.column(1)], ["vec_id", "digest", "valid", "code", "vector"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * len(index.tables), pa.int32()), pa.array(buckets.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(valid), *(pa.array(words[:, w]) for w in range(WORDS)), lists], schema.fieldNames())
+
+    return df.mapInArrow(run, schema)
+
+
+_UNIT = ("bucket", "left", "right")
+
+
+def _near(t: pa.Table, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of a unit whose codes are near enough, and that no earlier table brings together."""
+    code = np.stack([t[c].to_numpy() for c in _CODE], axis=1).view(np.uint64)
+    block, bucket = t["block"].to_numpy(), t["bucket"][0].as_py()
+    apart = np.zeros((len(code), len(code)), dtype=np.uint16)
+    for w in range(WORDS):
+        apart += np.bitwise_count(code[:, None, w] ^ code[None, :, w])
+    near = np.triu(apart <= index.far, 1)
+    if t["left"][0].as_py() != t["right"][0].as_py():  # two blocks: each row against the rows of the other
+        near &= block[:, None] != block[None, :]
+    a, b = np.nonzero(near)
+    earlier = index.masks[: bucket >> 32]
+    new = np.ones(len(a), dtype=bool)
+    for s in range(0, len(a), 1 << 14):
+        differ = code[a[s : s + (1 << 14)]] ^ code[b[s : s + (1 << 14)]]
+        new[s : s + (1 << 14)] = ((differ[:, None, :] & earlier[None]) != 0).any(axis=2).all(axis=1)
+    return a[new], b[new]
 
-    kind = df.schema[vector].dataType.simpleString()
-    return df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector")).mapInArrow(run, f"vec_id long, digest binary, valid boolean, code long, vector {kind}")
+
+def _flagged(units: DataFrame, index: Index) -> DataFrame:
+    """The rows of units, without codes, that are in some pair to rerank. Pairs are not emitted."""
+
+    def work(t: pa.Table) -> Iterable[tuple]:
+        hit = np.unique(np.concatenate(_near(t, index)))
+        if len(hit):
+            yield tuple(t[c].to_numpy()[hit] for c in (*_UNIT, "block", "node"))
+
+    return by_unit(units, _UNIT, work, "bucket long, left int, right int, block int, node long", (*_UNIT, "block", "node"))
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,63 +200,26 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _bucket_links(units: DataFrame, dim: int, masks: list[int], least: float) -> DataFrame:
-    """(node, n, root): for the rows of each bucket block that are linked there, the linked vectors and the smallest row reached.
-
-    Rows come sorted by bucket block. A pair that several tables find counts in the first of them only, which the two codes tell;
-    so neither pairs nor their duplicates are ever emitted."""
-    masks_ = np.array(masks, dtype=np.uint64)
-    group = ("tab", "bucket", "left", "right")
-
-    def compare(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        keys = np.stack([t[c].to_numpy() for c in group])
-        ids, many, block = (t[c].to_numpy() for c in ("node", "many", "block"))
-        code = t["code"].to_numpy().view(np.uint64)
-        u, _ = unit_vectors(t["vector"], dim)
-        starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]]))
-        out = []
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            if e - s < 2:
-                continue
-            near = np.triu(u[s:e] @ u[s:e].T >= least, 1)
-            if keys[2, s] != keys[3, s]:  # two blocks: each row against the rows of the other
-                near &= block[s:e, None] != block[None, s:e]
-            a, b = np.nonzero(near)
-            if not len(a):
-                continue
-            apart = code[s + a] ^ code[s + b]
-            first = ((apart[:, None] & masks_[None, : keys[0, s]]) != 0).all(axis=1)
-            a, b = a[first], b[first]
-            if not len(a):
-                continue
-            n = np.bincount(a, many[s + b], e - s) + np.bincount(b, many[s + a], e - s)
-            hit = np.flatnonzero(n)
-            order = np.argsort(ids[s:e], kind="stable")
-            rank = np.empty(e - s, dtype=np.int64)
-            rank[order] = np.arange(e - s)
-            root = ids[s:e][order][_forest(e - s, rank[a], rank[b])][rank]
-            out.append((ids[s:e][hit], n[hit].astype(np.int64), root[hit]))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            keys = np.stack([t[c].to_numpy() for c in group])
-            same = (keys == keys[:, -1:]).all(axis=0)
-            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            held = t.slice(cut)
-            if cut:
-                yield from emit(compare(t.slice(0, cut).combine_chunks()))
-        if held is not None:
-            yield from emit(compare(held.combine_chunks()))
+def _reranked(units: DataFrame, index: Index, least: float) -> DataFrame:
+    """(node, n, root): for the rows of each unit that are linked there, the linked vectors and the smallest row reached. A pair
+    counts in the first table that brings it together, so neither pairs nor their duplicates are ever emitted."""
 
-    def emit(rows: list) -> Iterator[pa.RecordBatch]:
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["node", "n", "root"])
+    def work(t: pa.Table) -> Iterable[tuple]:
+        ids, many = t["node"].to_numpy(), t["many"].to_numpy()
+        u, _ = unit_vectors(t["vector"], index.dim)
+        a, b = _near(t, index)
+        linked = (u @ u.T)[a, b] >= least
+        a, b = a[linked], b[linked]
+        if not len(a):
+            return
+        n = np.bincount(a, many[b], len(ids)) + np.bincount(b, many[a], len(ids))
+        hit, order = np.flatnonzero(n), np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[order] = np.arange(len(ids))
+        root = ids[order][_forest(len(ids), rank[a], rank[b])][rank]
+        yield ids[hit], n[hit].astype(np.int64), root[hit]
 
-    return units.mapInArrow(run, "node long, n long, root long")
+    return by_unit(units, _UNIT, work, "node long, n long, root long", ("node", "n", "root"))
 
 
 def near_embeddings(df: DataFrame, least: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -159,34 +228,36 @@ def near_embeddings(df: DataFrame, least: float = 0.95, key: str = "vec_id", vec
 
     Cosines are computed in double precision from the original vectors, so no link is false. Vectors that are null, empty, zero,
     or hold null or non-finite components are linked with nothing; shorter vectors count as padded with zeros. Rows with one
-    key are one node; a null key keeps a null component. Other columns, labels too, are ignored; an empty table gives none.
+    key are one node; keys must be whole numbers or cast to them; a null key keeps a null component. Other columns, labels too,
+    are ignored; an empty table gives none.
 
-    Vectors of one direction form a class and go on as one member with its count. Members meet in the buckets of TABLES tables;
-    a bucket of more than BLOCK members is cut into blocks by hash, and every two blocks are compared in a task of their own."""
-    spark = df.sparkSession
+    Vectors of one direction form a class and go on as one member with its count. Members meet in the buckets of the tables; the
+    bits of a table grow with the rows, and the number of tables with what trial pairs need. A bucket of more than BLOCK members is
+    cut into blocks by hash. First the codes alone (60 bytes a row and table) tell which members have a near code in their
+    bucket; only these are met again with their vectors."""
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
-    dim = max(1, rows.agg(F.max(F.size("vector"))).first()[0] or 1)
+    size, n = rows.agg(F.max(F.size("vector")), F.count(F.lit(1))).first()
     drawn = rows.filter("vector is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()["vector"]
-    sample, valid = unit_vectors(drawn, dim)
-    mean, project = learn_rotation(sample[valid])
-    masks = table_masks(project.shape[1])
-    coded = materialize(_coded(rows, dim, mean, project, "vec_id", "vector"), "codes")
-    classes = materialize(coded.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many")), "classes")
-    members = coded.filter("valid and vec_id is not null").join(classes.withColumn("vec_id", F.col("rep")).drop("rep"), ["vec_id", "digest"]).select(F.col("vec_id").alias("node"), "many", "code", "vector").dropDuplicates(["node", "code"])
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("bucket")) for i, m in enumerate(signed)])
-    named = members.withColumn("_key", F.explode(keys)).select("node", "many", "code", "vector", "_key.*")
-    crowded = named.groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2 * BLOCK)
-    crowded = materialize(crowded.select(F.xxhash64("tab", "bucket").alias("_hot"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")).groupBy("_hot").agg(F.max("_blocks").alias("_blocks")), "crowded")
-    dealt = lookup(named.withColumn("_hot", F.xxhash64("tab", "bucket")), crowded, "_hot", F.col("node")).withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    units = dealt.select("tab", "bucket", F.least("block", "_other").alias("left"), F.greatest("block", "_other").alias("right"), "block", "node", "many", "code", "vector")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    units = units.repartition(parts, "tab", "bucket", "left", "right").sortWithinPartitions("tab", "bucket", "left", "right")
-    found = materialize(_bucket_links(units, dim, masks, least), "found")
-    reach = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    links = found.groupBy("node").agg(F.sum("n").alias("_n")).withColumnRenamed("node", "rep")
-    placed = coded.select("vec_id", "digest", "valid").join(classes, "digest").join(links, "rep", "left").join(reach, "rep", "left")
-    n = F.when(F.col("valid"), F.coalesce("_n", F.lit(0)) + F.col("many") - 1).otherwise(0).cast("long")
-    out = placed.select("vec_id", n.alias("n_links"), F.when(F.col("valid"), F.coalesce("component", "rep")).otherwise(F.col("vec_id")).alias("component_id"))
+    sample, valid = unit_vectors(drawn, max(1, size or 1))
+    index = Index(sample[valid], n, least)
+    coded = materialize(_coded(rows, index), "codes")
+    classes = coded.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"))
+    classes = materialize(classes, "classes")
+    first = classes.select(F.col("rep").alias("vec_id"), "digest", "many")
+    found = coded.filter("valid and vec_id is not null").join(first, ["vec_id", "digest"]).withColumnRenamed("vec_id", "node")
+    members = materialize(found.select("node", "digest", *_CODE, "buckets").dropDuplicates(["node", "digest"]), "members")
+    named = members.select("node", *_CODE, F.explode("buckets").alias("bucket"))
+    crowded = materialize(named.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2 * BLOCK).select("bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "crowded")
+    placed = lookup(named, crowded, "bucket", F.col("node")).withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    units = dealt(placed, F.pmod(F.xxhash64("node"), F.col("_blocks")), F.sequence(F.lit(0), F.col("_blocks") - 1)).drop("_blocks")
+    flagged = materialize(_flagged(units, index), "flagged")
+    wanted = flagged.select("node").distinct()
+    vectors = materialize(found.select("node", "digest", "many", *_CODE, "vector").join(wanted, "node", "left_semi").dropDuplicates(["node", "digest"]).drop("digest"), "vectors")
+    links = materialize(_reranked(flagged.join(vectors, "node"), index, least), "links")
+    reach = components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    counts = links.groupBy("node").agg(F.sum("n").alias("_n")).withColumnRenamed("node", "rep")
+    known = materialize(classes.join(counts, "rep", "left").join(reach, "rep", "left"), "known")
+    placed = spread_join(coded.select("vec_id", "digest", "valid"), known, "digest", "many", F.xxhash64("vec_id"))
+    total = F.when(F.col("valid"), F.coalesce("_n", F.lit(0)) + F.col("many") - 1).otherwise(0).cast("long")
+    out = placed.select("vec_id", total.alias("n_links"), F.when(F.col("valid"), F.coalesce("component", "rep")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
