@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from marginalia.llm.common import bucket_bits, hash60, materialize, rank_within
+from marginalia.llm.common import bucket_bits, hash60, materialize, rank_within, widened
 from marginalia.llm.words import process_own, slices, small_batches
 
 #: White space that a chunk's encoding could depend on beyond its own characters: runs, and at either end.
@@ -92,25 +93,44 @@ class TokenBytes(dict):
         return self._line_end.join(lines)
 
 
-def cut_pieces(df: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def id_code(tokenizer: str, end: int = 2) -> str:
+    """The narrowest unsigned little-endian numbers that hold every id: two bytes for vocabularies of up to 65,536."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+
+
+def cut_pieces(df: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, key: str = "doc_id", text: str = "text", code: str = "<u4") -> DataFrame:
     """Token ids of each row (null text: empty) with the id `end` behind them, cut into pieces of size tokens, of which the first
-    may be shorter: (doc_id, piece, start, length, ids as little-endian 32-bit numbers, row: a number that tells repeated rows
-    apart only by their text). Every row has at least one piece. Whole texts, however long."""
+    may be shorter: (doc_id, piece, start, length, ids as numbers of the given code, row: a running number of the task, which
+    tells repeated rows apart). Every row has at least one piece, an empty table has none. Whole texts, however long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = process_own(TokenBytes, tokenizer)
         last = np.array([end], dtype="<u4").tobytes()
+        seen = 0
         for batch in slices(batches):
-            keys, pieces, starts, lengths, data = [], [], [], [], []
+            keys, pieces, starts, lengths, data, rows = [], [], [], [], [], []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokens(t or "") + last
-                n = len(ids) // 4
+                ids = np.frombuffer(tokens(t or "") + last, dtype="<u4").astype(code)
+                n, seen = len(ids), seen + 1
                 cuts = [0, *range(n - (n - 1) // size * size, n, size), n]
                 for i, (a, b) in enumerate(itertools.pairwise(cuts)):
-                    keys.append(doc), pieces.append(i), starts.append(a), lengths.append(b - a), data.append(ids[4 * a : 4 * b])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+                    keys.append(doc), pieces.append(i), starts.append(a), lengths.append(b - a), data.append(ids[a:b].tobytes()), rows.append(seen)
+            columns = [pa.array(keys, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(data, pa.binary()), pa.array(rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids", "row"])
+
+    return small_batches(df).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, row long")
+
 
-    return small_batches(df).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+def wide_ids(column: pa.Array, code: str) -> pa.Array:
+    """Ids of the given code as little-endian 32-bit numbers."""
+    if code == "<u4":
+        return column
+    held = column.to_pylist()
+    flat = np.frombuffer(b"".join(held), dtype=code).astype("<u4")
+    ends = np.cumsum([0, *map(len, held)], dtype=np.int64) * 4 // np.dtype(code).itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def patterns(lengths: list[int], size: int, most: int = 3) -> list[tuple[int, ...]]:
@@ -209,11 +229,13 @@ def plan_packing(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], i
     return sorted(plan.items())
 
 
-def assign(pieces: DataFrame, size: int = 1024, seed: int = 3) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, length and other columns): pieces of one length are ranked, and the
-    rank says which repeat of which pattern takes the piece. pieces should be materialized, as it is read three times.
+def assign(pieces: DataFrame, size: int = 1024, seed: int = 3, code: str = "<u4") -> DataFrame:
+    """Add sequence_id and offset to pieces (doc_id, piece, length, row, ids of the given code, and other columns), drop row and
+    make ids 32-bit numbers: pieces of one length are ranked, and the rank says which repeat of which pattern takes the piece.
+    pieces should be materialized, as it is read three times.
 
     Only the histogram (size numbers) is packed on the driver; the table of slots it gives back is bounded by the histogram too.
+    The order within a length is a hash of key, piece and row, so that neither null nor repeated keys fall into one range of it.
     Repeated rows are pieces of their own; an empty table gives none."""
     histogram = np.zeros(size + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most size rows
@@ -228,22 +250,24 @@ def assign(pieces: DataFrame, size: int = 1024, seed: int = 3) -> DataFrame:
             at += length
         sequences += n
     table = {k: tuple(np.array(c) for c in zip(*v, strict=True)) for k, v in slots.items()}
-    ranked = rank_within(pieces.withColumn("_hash", hash60(F.lit(seed), F.col("doc_id"), F.col("piece"))), "length", "_hash", [F.col("doc_id"), F.col("piece")], bucket_bits(int(histogram.sum())), "_rank").drop("_hash")
+    hashed = pieces.withColumn("_hash", hash60(F.lit(seed), F.col("doc_id"), F.col("piece"), F.col("row")))
+    ranked = rank_within(hashed, "length", "_hash", [F.col("doc_id"), F.col("piece"), F.col("row")], bucket_bits(int(histogram.sum())), "_rank").drop("_hash", "row")
     names = [c for c in ranked.columns if c != "_rank"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, ranks = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
+            own = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            lengths, ranks = own["length"].to_numpy(), own["_rank"].to_numpy()
             sequence, offset = np.empty(len(ranks), dtype=np.int64), np.empty(len(ranks), dtype=np.int64)
             for length in np.unique(lengths):
                 mine = lengths == length
                 first, base, at = table[int(length)]
                 slot = np.searchsorted(first, ranks[mine], side="right") - 1
                 sequence[mine], offset[mine] = base[slot] + ranks[mine] - first[slot], at[slot]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            own["ids"] = wide_ids(own["ids"], code)
+            yield pa.RecordBatch.from_arrays([*(own[c] for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, widened(ranked, StructField("sequence_id", LongType()), StructField("offset", LongType()), without=["_rank"]))
 
 
 def with_crc32(pieces: DataFrame) -> DataFrame:
@@ -255,6 +279,8 @@ def pack(df: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, key: str
     """All rows of df, tokenized, cut and packed into sequences of at most size tokens: one row a piece, with its ids, sequence_id
     and offset (gapless from 0). digest may replace the ids of the placed pieces; they are ranked and placed with their ids.
 
-    A null text is empty (one piece with the end id); null keys pass through; repeated rows are packed as often as they occur."""
-    placed = assign(materialize(cut_pieces(df, tokenizer, size, end, key, text), "pieces"), size)
+    A null text is empty (one piece with the end id); null keys pass through, other columns don't; repeated rows are packed as
+    often as they occur; an empty table gives none. Until they are placed, ids take two bytes where the vocabulary allows it."""
+    code = id_code(tokenizer, end)
+    placed = assign(materialize(cut_pieces(df, tokenizer, size, end, key, text, code), "pieces"), size, code=code)
     return digest(placed) if digest else placed
