@@ -10,7 +10,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from marginalia.llm.common import widened
 from marginalia.llm.words import slices, small_batches
 
 ROUNDS = 8
@@ -36,9 +38,9 @@ _TOKEN = re.compile(r"[A-Za-z0-9]+")
 #: Digits in groups of a card number: if their check fails they are a mistyped card, and no phone numbers.
 _FOURS = re.compile(r"[0-9]{4}([ \-])[0-9]{4}(?:\1[0-9]{4})*\1[0-9]{1,4}")
 _CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
-#: One of these stands in every stretch that a pattern can match; texts without any are left alone at once.
-_MARK = re.compile("[0-9@]")
-_NAMES = ("token", "secret", "key", "passwd", "password", "pwd", "akia", "sk-")
+#: One of these stands in every stretch that a pattern can match (a digit, an e-mail's sign, or the name or prefix of a secret, of
+#: which an underscore or "sk-" may be all that is there besides letters); texts without any are left alone at once.
+_GATE = re.compile(r"[0-9@]|AKIA|sk-|gh[pousr]_|(?i:token|secret|api[_\-]?key|passw(?:or)?d|pwd)")
 
 
 class Feistel:
@@ -255,10 +257,8 @@ class Pseudonyms:
 
     def __call__(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each in the new text."""
-        if not _MARK.search(text):
-            low = text.lower()
-            if not any(name in low for name in _NAMES):
-                return text, []
+        if not _GATE.search(text):
+            return text, []
         out, at, place, found, pos, barred = [], 0, 0, [], 0, 0
         while m := _ALL.search(text, pos):
             kind = next(k for k in PATTERNS if m[k] is not None)
@@ -299,5 +299,5 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", spans: str = "pii"
             found = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in d[1]] for d in done], kind)
             yield pa.RecordBatch.from_arrays([*columns, found], [*names, spans])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return small_batches(df).mapInArrow(run, f"{schema}, `{spans}` array<struct<kind: string, start: int, end: int>>")
+    found = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
+    return small_batches(df).mapInArrow(run, widened(df, StructField(spans, ArrayType(found))))
