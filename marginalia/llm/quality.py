@@ -9,28 +9,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField
 
-from marginalia.llm.common import materialize
+from marginalia.llm.common import materialize, widened
 from marginalia.llm.words import slices, small_batches, texts
 
 _SPACES, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"  # fixed: white space and symbols of the contract
 COUNTS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64()}
 _RUNS = re.compile(rb"[#*$%&|<>]+")
 _ADDED = (*COUNTS, "votes", "quality", "base_failed", "kept")
-#: A rule compares a ratio with its limits: beyond the second it votes bad (b), within the first, where there is one, good (g);
-#: otherwise it abstains (-). Where low is true, small ratios are bad. A ratio that is not a number abstains.
+#: A rule compares a ratio with its limits: beyond the second it votes bad (b), within the first good (g), and between them it
+#: abstains (-). Where low is true, small ratios are bad. A ratio that is not a number abstains.
 RULES: dict[str, tuple[float | None, float, bool]] = {
     "prose": (0.88, 0.75, True),  # small and non-ASCII letters among the visible bytes
-    "symbols": (None, 0.30, False),  # symbols a word
-    "marked": (None, 0.20, False),  # runs of symbols a word
-    "capitals": (None, 0.50, False),  # capitals among the ASCII letters
-    "shouting": (None, 0.30, False),  # exclamation marks a word
-    "repeats": (None, 0.40, False),  # words in repeated three-word windows
-    "echoes": (None, 0.30, False),  # words equal to the word before
-    "variety": (None, 0.15, True),  # distinct among the words, for texts of up to 400
-    "lines": (None, 0.50, False),  # lines that repeat an earlier one
-    "stretch": (None, 20.0, False),  # code points a word
+    "symbols": (0.05, 0.30, False),  # symbols a word
+    "marked": (0.03, 0.20, False),  # runs of symbols a word
+    "capitals": (0.15, 0.50, False),  # capitals among the ASCII letters
+    "shouting": (0.03, 0.30, False),  # exclamation marks a word
+    "repeats": (0.10, 0.40, False),  # words in repeated three-word windows
+    "echoes": (0.03, 0.30, False),  # words equal to the word before
+    "variety": (0.40, 0.15, True),  # distinct among the words of a stretch of STRETCH words, on average over the text
+    "lines": (0.10, 0.50, False),  # lines that repeat an earlier one
+    "stretch": (10.0, 20.0, False),  # code points a word
 }
+STRETCH = 400
+
+
+def _variety(w: np.ndarray, distinct: int) -> float:
+    """The part of different words in whole stretches of STRETCH words, on average; of all words where there are fewer."""
+    if len(w) < STRETCH:
+        return distinct / len(w) if len(w) else float("nan")
+    cut = np.sort(w[: len(w) // STRETCH * STRETCH].reshape(-1, STRETCH), axis=1)
+    return float(((cut[:, 1:] != cut[:, :-1]).sum(axis=1) + 1).mean() / STRETCH)
 
 
 def _measure(data: bytes) -> tuple[list[int], list[float]]:
@@ -57,7 +67,7 @@ def _measure(data: bytes) -> tuple[list[int], list[float]]:
     symbols = int(byte[list(_SYMBOLS)].sum())
     upper, lower, visible = int(byte[65:91].sum()), int(byte[97:123].sum()), len(data) - int(byte[list(_SPACES)].sum())
     per = lambda x, y: x / y if y else float("nan")
-    ratios = [per(lower + int(byte[128:].sum()), visible), per(symbols, n), per(len(_RUNS.findall(data)) if symbols else 0, n), per(upper, upper + lower), per(int(byte[33]), n), per(again, n), per(int((w[1:] == w[:-1]).sum()), n), per(len(ids), n) if n <= 400 else float("nan"), per(dup, len(lines)), per(chars, n)]
+    ratios = [per(lower + int(byte[128:].sum()), visible), per(symbols, n), per(len(_RUNS.findall(data)) if symbols else 0, n), per(upper, upper + lower), per(int(byte[33]), n), per(again, n), per(int((w[1:] == w[:-1]).sum()), n), _variety(w, len(ids)), per(dup, len(lines)), per(chars, n)]
     return [n, chars, symbols, dup, again], ratios
 
 
@@ -84,32 +94,34 @@ def with_votes(df: DataFrame, text: str = "text") -> DataFrame:
             said = votes_of(np.array([m[1] for m in measured], dtype=float).reshape(-1, len(RULES)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(said, pa.string())], [*names, *COUNTS, "votes"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return small_batches(df).mapInArrow(run, f"{schema}, {', '.join(f'{c} long' for c in COUNTS)}, votes string")
+    return small_batches(df).mapInArrow(run, widened(df, *(StructField(c, LongType()) for c in COUNTS), StructField("votes", StringType())))
 
 
 class VoteModel:
-    """The accuracy of each rule's votes and the part of good texts, fitted by expectation-maximisation to counts of vote patterns.
+    """How often each rule votes bad on good and on bad texts, and the part of good texts, fitted by expectation-maximisation to
+    counts of vote patterns.
 
-    Whether a vote is right is taken to be independent of the other votes, and to abstain says nothing. An accuracy is believed to
-    be 0.9 beforehand, with the weight of a hundredth of the texts, and at least 0.6: a rule is better than chance, which keeps
-    good and bad what they are called."""
+    Given a text's class its votes are taken to be independent, and to abstain says nothing. Rates of either class are estimated
+    apart, so a rule that knows one kind of junk only, and votes good on all others, weighs little when it votes good and much
+    when it votes bad. Beforehand a vote on a good text is believed to be bad in a hundredth of all cases, one on a bad text in
+    half of them, and the part `good` of the texts to be good, with the weight of a hundredth of the texts; a rule is never taken to be worse
+    than chance, which keeps good and bad what they are called."""
 
-    def __init__(self, patterns: dict[str, int], rounds: int = 200):
+    def __init__(self, patterns: dict[str, int], rounds: int = 200, good: float = 0.9):
         keys = sorted(patterns)
         n = np.array([patterns[k] for k in keys], dtype=float)
         votes = self._signs(keys)
-        total = n.sum()
+        total, bad, cast = n.sum(), votes < 0, votes != 0
         weight = 5.0 + 0.01 * total
-        self.good, self.right = 0.9, np.full(len(RULES), 0.9)
+        self.good, self.on_good, self.on_bad = good, np.full(len(RULES), 0.01), np.full(len(RULES), 0.5)
         for _ in range(rounds):
             p = self._posterior(votes)
-            agree = (n[:, None] * np.where(votes > 0, p[:, None], np.where(votes < 0, 1 - p[:, None], 0))).sum(axis=0)
-            cast = (n[:, None] * (votes != 0)).sum(axis=0)
-            was = self.right
-            self.right = np.clip((agree + 0.9 * weight) / (cast + weight), 0.6, 0.999)
-            self.good = float(np.clip((n @ p + 0.9 * weight) / (total + weight), 0.5, 0.999))
-            if np.abs(was - self.right).max() < 1e-10:
+            was = np.concatenate([self.on_good, self.on_bad])
+            rate = lambda share, believed: ((n * share) @ bad + believed * weight) / ((n * share) @ cast + weight)
+            self.on_good = np.clip(rate(p, 0.01), 1e-4, 0.4)
+            self.on_bad = np.clip(rate(1 - p, 0.5), self.on_good, 0.999)
+            self.good = float(np.clip((n @ p + good * weight) / (total + weight), 0.5, 0.999))
+            if np.abs(was - np.concatenate([self.on_good, self.on_bad])).max() < 1e-10:
                 break
 
     @staticmethod
@@ -117,7 +129,8 @@ class VoteModel:
         return np.array([[{"g": 1, "b": -1, "-": 0}[c] for c in k] for k in patterns], dtype=int).reshape(len(patterns), len(RULES))
 
     def _posterior(self, votes: np.ndarray) -> np.ndarray:
-        odds = np.log(self.good / (1 - self.good)) + votes @ np.log(self.right / (1 - self.right))
+        said_good, said_bad = np.log((1 - self.on_good) / (1 - self.on_bad)), np.log(self.on_good / self.on_bad)
+        odds = np.log(self.good / (1 - self.good)) + (votes > 0) @ said_good + (votes < 0) @ said_bad
         return 1 / (1 + np.exp(-odds))
 
     def quality(self, pattern: str) -> float:
@@ -125,7 +138,8 @@ class VoteModel:
         return float(self._posterior(self._signs([pattern]))[0])
 
     def accuracy(self) -> dict[str, float]:
-        return dict(zip(RULES, map(float, self.right), strict=True))
+        """How often a vote of each rule is right."""
+        return dict(zip(RULES, map(float, self.good * (1 - self.on_good) + (1 - self.good) * self.on_bad), strict=True))
 
 
 def fit_votes(voted: DataFrame) -> VoteModel:
@@ -154,9 +168,8 @@ def judge(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
 
 
 def good_rows(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of df that judge keeps, with df's columns: votes are cast once to fit the model and again to filter by it."""
-    seen = materialize(with_votes(df.select(text), text).groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "votes")
-    model = VoteModel({r[0]: r[1] for r in seen.collect()})
+    """The rows of df that judge keeps, with df's columns. Votes are cast once, and written to the shared folder with the rows."""
     own = {c: f"_own_{c}" for c in df.columns if c in _ADDED}
-    kept = judged(with_votes(df.withColumnsRenamed(own), text), model, seen, least).filter("kept")
-    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in df.columns])
+    voted = materialize(with_votes(df.withColumnsRenamed(own), text), "voted")
+    kept = judged(voted, fit_votes(voted), voted, least).filter("kept")
+    return kept.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in df.columns])
