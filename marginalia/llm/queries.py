@@ -83,14 +83,17 @@ def _op2_sql() -> str:
     rules = sorted(URL_RULES, key=lambda x: -len(x[0]))
     fits = lambda rule: (lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}'))")(*rule.split("/", 1))
     case = lambda k: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[k]}'" for r in rules) + " END"
+    public = url_reputation.suffix_pattern()
     upper, lower = url_reputation._UPPER, url_reputation._LOWER
     return f"""
 WITH parsed AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{upper}', '{lower}') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
     try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]{{1,18}})', 1) AS BIGINT) AS num FROM pages),
 outcomes AS (SELECT page_id, min(quality) AS good FROM parsed JOIN labels ON num = doc_id GROUP BY 1),
-hosts AS (SELECT host, count(good) AS n, coalesce(sum(good), 0)::BIGINT AS k, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '([^.]*)$', 1) AS suffix,
-    regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '([^.]*\\.)?[^.]*$', 0) AS domain FROM parsed LEFT JOIN outcomes USING (page_id) GROUP BY host),
+bare AS (SELECT page_id, host, CASE WHEN starts_with(host, '[') THEN regexp_extract(host, '^(\\[[^\\]]*\\]?)', 1) ELSE regexp_replace(host, ':[0-9]*$', '') END AS b FROM parsed),
+named AS (SELECT page_id, host, regexp_matches(b, '{url_reputation._ADDRESS}') AS numbers, b, regexp_extract(b, '(?:^|\\.){public}', 1) AS s, regexp_extract(b, '(?:^|\\.)([^.]*(?:^|\\.){public})', 1) AS d FROM bare),
+hosts AS (SELECT host, count(good) AS n, coalesce(sum(good), 0)::BIGINT AS k, any_value(CASE WHEN numbers THEN b ELSE s END) AS suffix,
+    any_value(CASE WHEN numbers THEN b WHEN d = '' THEN s ELSE d END) AS domain FROM named LEFT JOIN outcomes USING (page_id) GROUP BY host),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM hosts GROUP BY 1),
 domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM hosts GROUP BY 1, 2),
 world AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS m0, {strength.format('suffixes')} AS s0, {strength.format('domains')} AS s1, {strength.format('hosts')} AS s2 FROM hosts),
@@ -103,7 +106,7 @@ FROM parsed JOIN judged USING (host)"""
 
 
 def _op5_sql() -> str:
-    draw = lambda i: f"((u + {i} * {mixing._SPACE // mixing.SEEDS}) % {mixing._SPACE})"
+    draw = lambda i: f"((u + {i}::BIGINT * {mixing._SPACE // mixing.SEEDS}::BIGINT) % {mixing._SPACE}::BIGINT)"
     sums = ", ".join(f"sum(CASE WHEN {draw(i)} < below THEN size ELSE 0 END)" for i in range(mixing.SEEDS))
     return f"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
