@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import lookup, materialize, shared_dir
+from marginalia.llm.common import lookup, materialize, shared_dir, unwrapped, wrapped
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
@@ -31,62 +31,84 @@ def payload_digest(payload: Column) -> Column:
     return F.concat(*letters)
 
 
-def resolve_revisits(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
-    """Every row of pages with payload_bytes, payload_digest, record_type and refers_to.
+def resolve_revisits(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", least: int = 0) -> DataFrame:
+    """Every row of pages with payload_bytes, payload_digest, record_type, refers_to and refers_to_url.
 
     Of the rows with one payload of at least `least` bytes, the smallest key's is the response and the others revisit it; smaller
-    payloads are responses. Null text is the empty payload. Columns of these names
-    that pages has are replaced. A null key is never the smallest where there is another. Rows that
-    repeat the response's key are responses too. Only headers (key and digest) are shuffled to find the groups; the counts are
-    added up before the shuffle, so a payload that a third of all pages share costs no more than another."""
-    pages = pages.drop("payload_bytes", "payload_digest", "record_type", "refers_to", "_first", "_salt")
+    payloads are responses. Null text is the empty payload. Columns of these names that pages has are replaced; all others pass
+    through. A null key is never the smallest where there is another. Rows that repeat the response's key are responses too; an
+    empty table gives none. Only headers (key, url and digest) are shuffled to find the groups; they are added up before the
+    shuffle, so a payload that a third of all pages share costs no more than another."""
     body = F.coalesce(F.col(html), F.lit(""))
-    headed = pages.withColumn("payload_bytes", F.octet_length(body).cast("long")).withColumn("payload_digest", payload_digest(body))
-    firsts = headed.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    firsts = materialize(firsts, "firsts")
-    joined = lookup(headed, firsts, "payload_digest", F.xxhash64(F.col(key)))
-    again = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col(key))
-    return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("_first"))).drop("_first")
-
-
-def write_archives(resolved: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write the rows of resolve_revisits as WARC 1.1 files under path: the full payload for responses, none for revisits, with
-    fresh headers for both. One text record is one WARC record, and the line separator is the two line ends that close it. Line
-    ends in a url are percent-encoded, so that no header can be forged."""
-    uri = F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A")
+    headed = wrapped(pages, _key=F.col(key), _url=F.col(url), payload_bytes=F.octet_length(body).cast("long"), payload_digest=payload_digest(body))
+    first = F.min(F.when(F.col("_key").isNotNull(), F.struct("_key", "_url"))).alias("_first")
+    firsts = headed.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(first, F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    joined = lookup(headed, materialize(firsts, "firsts"), "payload_digest", F.xxhash64("_key", "_url"))
+    again = F.col("_first").isNotNull() & ~F.col("_first._key").eqNullSafe(F.col("_key"))
+    said = joined.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first._key")), "refers_to_url": F.when(again, F.col("_first._url"))})
+    return unwrapped(said, "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_url")
+
+
+def _record_id(*named: Column) -> Column:
+    """A UUID that follows from what it names."""
+    h = F.md5(F.concat_ws("\n", *[F.coalesce(c.cast("string"), F.lit("\r")) for c in named]))
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+
+
+def write_archives(resolved: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", date: str | Column = "2024-01-01T00:00:00Z") -> None:
+    """Write the rows of resolve_revisits as WARC 1.1 files under path: an HTTP head with the full payload for responses, the head
+    alone for revisits, fresh WARC headers for both, and one warcinfo record that all name. Record ids follow from key, url and
+    digest: rows that agree in all three are the same record, written as often as they occur. One text record is one WARC record,
+    and the line separator is the two line ends that close it. Line ends in a url are percent-encoded, so that no header can be
+    forged. date: when the pages were fetched, one for all or a column."""
+    clean = lambda c: F.regexp_replace(F.regexp_replace(c, "\r", "%0D"), "\n", "%0A")
     again = F.col("record_type") == "revisit"
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda field, value: F.concat(F.lit(f"{field}: "), value, F.lit("\r\n"))
-    body = F.when(again, F.lit("")).otherwise(F.coalesce(F.col(html), F.lit("")))
+    some = lambda c, text: F.when(c.isNull(), F.lit("")).otherwise(text)
+    info = "<urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, path)) + ">"
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(_END))
+    body = F.concat(head, F.when(again, F.lit("")).otherwise(F.coalesce(F.col(html), F.lit(""))))
+    when = F.lit(date) if isinstance(date, str) else date
     record = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", name(F.col(key))), line("WARC-Date", F.lit(date)),
-        F.when(F.col(url).isNull(), F.lit("")).otherwise(line("WARC-Target-URI", uri)), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(again, F.concat(line("WARC-Refers-To", name(F.col("refers_to"))), line("WARC-Profile", F.lit(_PROFILE)), line("X-Payload-Length", F.col("payload_bytes").cast("string")))).otherwise(F.lit("")),
-        F.lit("Content-Type: text/html; charset=utf-8\r\n"), F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(_END), body)
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", _record_id(F.col(key), F.col(url), F.col("payload_digest"))), line("WARC-Date", when), line("WARC-Warcinfo-ID", F.lit(info)),
+        some(F.col(url), line("WARC-Target-URI", clean(F.col(url)))), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), some(F.col(key), line("X-Page-Key", F.col(key).cast("string"))),
+        F.when(again, F.concat(
+            line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("refers_to_url"), F.col("payload_digest"))), some(F.col("refers_to_url"), line("WARC-Refers-To-Target-URI", clean(F.col("refers_to_url")))),
+            line("WARC-Profile", F.lit(_PROFILE)), line("X-Refers-To-Page-Key", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
+        F.lit("Content-Type: application/http; msgtype=response\r\n"), F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(_END), body)
+    about = "software: marginalia\r\nformat: WARC File Format 1.1\r\n"
     mean = resolved.select(F.avg("payload_bytes")).first()[0] or 0
-    resolved.select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 500)))).text(path)
+    started = date if isinstance(date, str) else resolved.agg(F.min(when)).first()[0] or "2024-01-01T00:00:00Z"
+    own = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {info}\r\nWARC-Date: {started}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}{_END}{about}"
+    rows = resolved.select(record.alias("value")).unionByName(resolved.sparkSession.range(1, numPartitions=1).select(F.lit(own).alias("value")))
+    rows.write.option("lineSep", _END).option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 800)))).text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple]:
-    """The records of one archive, by their Content-Length: rows of RECORDS."""
+    """The responses and revisits of one archive, by their Content-Length: rows of RECORDS. Other records are passed over."""
     at = 0
-    number = lambda s: None if s in (None, "<urn:page:null>") else int(s[10:-1])
+    number = lambda s: None if s is None else int(s)
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
         first, *lines = content[at:end].decode().split("\r\n")
         if first != "WARC/1.1":
             raise ValueError(f"no WARC record at byte {at}")
         head = dict(x.split(": ", 1) for x in lines)
-        size = int(head["Content-Length"])
-        payload = content[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
-        again = head["WARC-Type"] == "revisit"
+        block = content[end + 4 : end + 4 + int(head["Content-Length"])]
+        at = end + 4 + len(block) + 4
+        kind = head["WARC-Type"]
+        if kind not in ("response", "revisit"):
+            continue
+        http, _, payload = block.partition(b"\r\n\r\n")
+        stated = int(dict(x.split(b": ", 1) for x in http.split(b"\r\n")[1:])[b"Content-Length"])
+        again = kind == "revisit"
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:") if again else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        yield (number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"], number(head.get("WARC-Refers-To")), digest, int(head["X-Payload-Length"]) if again else size, None if again else payload)
+        yield (number(head.get("X-Page-Key")), head.get("WARC-Target-URI"), kind, number(head.get("X-Refers-To-Page-Key")), digest, stated if again else len(payload), None if again else payload)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records under path, one row each (RECORDS): digests of responses are computed anew from their payloads."""
+    """The records under path, one row each (RECORDS): digests and sizes of responses are computed anew from their payloads. Keys
+    are whole numbers."""
 
     def records(batches):
         for batch in batches:
