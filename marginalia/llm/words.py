@@ -35,7 +35,8 @@ def process_own(kind: Callable, *args):
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df, after seeing to it that its session hands at most so many rows at once to Python (10,000 are usual): whole texts can be
-    long. The setting stays as it is where it is lower already."""
+    long. This sets spark.sql.execution.arrow.maxRecordsPerBatch of the session, and leaves it so: Spark reads it when the plan
+    is carried out, which is later than this call. The setting stays as it is where it is lower already."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= rows:
         conf.set(name, str(rows))
