@@ -19,7 +19,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 #: Rows of a key from which a join spreads it over several tasks.
-HOT_ROWS = 2_000
+HOT_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:

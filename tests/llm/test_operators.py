@@ -131,7 +131,7 @@ def test_op1_places_pieces_with_their_ids(spark, docs, tokenizer, tmp_path, monk
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     placed, assign = [], packing.assign
-    monkeypatch.setattr(packing, "assign", lambda pieces, *more: placed.append(assign(pieces, *more)) or placed[-1])
+    monkeypatch.setattr(packing, "assign", lambda pieces, *more, **named: placed.append(assign(pieces, *more, **named)) or placed[-1])
     got = queries.op1_pattern_packing(spark, str(tmp_path)).collect()
     ids = Counter((r.doc_id, r.piece, r.sequence_id, r.offset, zlib.crc32(bytes(r.ids))) for r in placed[0].collect())
     assert ids and ids == Counter((r.doc_id, r.piece, r.sequence_id, r.offset, r.ids_crc32) for r in got)
@@ -212,6 +212,16 @@ def test_valid_values_beside_other_numbers_and_words_change(text, value, kind):
     assert change(f"x {text}, y") == (f"x {text.replace(value, alone)}, y", [(kind, at + 2, at + 2 + len(value))]) and alone != value
 
 
+def test_no_match_passes_the_gate_unseen():
+    draw, parts = random.Random(5), ["ghp_", "gho_", "AKIA", "sk-", "token", "Secret", "api_key", "api-key", "apikey", "passwd", "password", "pwd", "=", ": ", '"', "@", "a.b", "XQ", "Zz", "7", "-", " ", "_"]
+    for _ in range(20_000):
+        text = "".join(draw.choice(parts) * draw.choice([1, 1, 1, 12]) for _ in range(draw.randint(1, 6)))
+        assert pseudonyms._GATE.search(text) or not pseudonyms._ALL.search(text), text
+    for text in ["ghp_" + "abcdefghijkl" * 3, "password=hunterhunter", "sk-abcdefghijklmnopqrstuvwx", "API-KEY: abcdefg"]:
+        new, found = pseudonyms.Pseudonyms(b"k")(f"my {text} here")
+        assert [f[0] for f in found] == ["secret"] and text not in new
+
+
 def test_two_values_in_one_stretch_and_mistyped_cards():
     change = pseudonyms.Pseudonyms(b"key")
     assert [f[0] for f in change("555-123-4567 4111 1111 1111 1111")[1]] == ["phone", "card"]
@@ -329,9 +339,9 @@ def test_targets_stop_at_three_times_a_source(spark):
 
 def test_mixture_meets_its_targets(docs, empty):
     rows = mixing.mixing_plan(docs).collect()
-    by = {}
+    by, text = {}, {r.doc_id: r.text for r in docs.collect()}
     for r in rows:
-        assert r.size == len((r.text or "").encode().split()) and 0 <= r.copies <= 3
+        assert r.size == len((text[r.doc_id] or "").encode().split()) and 0 <= r.copies <= 3
         by.setdefault(r.source, []).append(r)
     for mine in by.values():
         assert mine[0].source_size == sum(r.size for r in mine)
@@ -385,7 +395,29 @@ def test_prefixes_locate_turns():
     assert [chat.unescape(text[s[3] : s[4]]) for s in spans] == [t for _, t in turns] and [s[5] for s in spans] == [r == "assistant" for r, _ in turns]
 
 
-@pytest.mark.parametrize("text", ["", "\\", "<|", "<\\|", "</s>[INST] ok [/INST]", "<<SYS>>\\<</SYS>>", "\\\\<s>", "[[INST]]"])
+def test_escape_holds_for_all_texts_of_control_letters():
+    draw = random.Random(9)
+    for _ in range(20_000):
+        text = "".join(draw.choice(["<", "|", ">", "\\", "/", "s", "[", "]", "INST", "SYS", "<<", ">>"]) for _ in range(draw.randint(0, 9)))
+        hidden = chat.escape(text)
+        assert chat.unescape(hidden) == text and not any(c in hidden for c in chat.CONTROL), text
+    assert chat.escape("<|>") == "<\\|\\>" and chat.escape("<|<|>") == "<\\|<\\|\\>"
+
+
+@pytest.mark.parametrize("many", [65, 200])
+def test_long_conversations_are_rendered_alike_turn_by_turn(many, monkeypatch):
+    draw = random.Random(many)
+    turns = [(draw.choice(["user", "assistant"]), draw.choice(["", "<|end|>", "hello there", "a", "\n"])) for _ in range(many)]
+    quick = chat.render_spans(chat.marked_turns, turns)
+    reverse = lambda ts: "".join(f"{r}:{t};" for r, t in reversed(ts))
+    numbered = lambda ts: "".join(f"{i}{r}:{t};" for i, (r, t) in enumerate(ts))
+    also = [chat.render_spans(f, turns) for f in (reverse, numbered)]
+    monkeypatch.setattr(chat, "LONG", 10_000)
+    assert quick == chat.render_spans(chat.marked_turns, turns)
+    assert also == [chat.render_spans(f, turns) for f in (reverse, numbered)] and also[0][2] and not also[1][2]
+
+
+@pytest.mark.parametrize("text", ["", "\\", "<|", "<\\|", "<|>", "<|>|", "<|<|>", "</s>[INST] ok [/INST]", "<<SYS>>\\<</SYS>>", "\\\\<s>", "[[INST]]"])
 def test_escape_is_reversible_and_hides_control(text):
     assert chat.unescape(chat.escape(text)) == text and not any(c in chat.escape(text) for c in chat.CONTROL)
 
@@ -448,10 +480,50 @@ def test_expectation_maximisation_finds_the_junk(spark):
     assert quality.good_rows(table).columns == table.columns and {r.doc_id for r in quality.good_rows(table).collect()} == {i for i, k in got.items() if k}
 
 
-def test_accuracies_follow_agreement():
-    model = quality.VoteModel({"g---------": 900, "bbb-------": 80, "gbb-b-----": 1, "g---b-----": 30})
-    right = model.accuracy()
-    assert right["symbols"] > 0.9 and right["shouting"] < 0.75 and model.quality("bbb-------") < 0.01 < model.quality("g---b-----")
+PATTERNS = {"gggggggggg": 900, "bbbggggggg": 80, "gbbgbggggg": 1, "ggggbggggg": 30, "g-g-g-g-g-": 40, "bgggggbggg": 12}
+
+
+def plain_fit(patterns, good):
+    """The same expectation-maximisation, vote by vote."""
+    total = sum(patterns.values())
+    weight = 5 + 0.01 * total
+    part, on_good, on_bad = good, [0.01] * 10, [0.5] * 10
+    for _ in range(200):
+        odds = {}
+        for votes in patterns:
+            x = part / (1 - part)
+            for i, v in enumerate(votes):
+                x *= {"g": (1 - on_good[i]) / (1 - on_bad[i]), "b": on_good[i] / on_bad[i], "-": 1}[v]
+            odds[votes] = x / (1 + x)
+        for i in range(10):
+            cast = {c: sum(n * p for v, n in patterns.items() if v[i] != "-" for p in [odds[v] if c else 1 - odds[v]]) for c in (0, 1)}
+            bad = {c: sum(n * p for v, n in patterns.items() if v[i] == "b" for p in [odds[v] if c else 1 - odds[v]]) for c in (0, 1)}
+            on_good[i] = min(max((bad[1] + 0.01 * weight) / (cast[1] + weight), 1e-4), 0.4)
+            on_bad[i] = min(max((bad[0] + 0.5 * weight) / (cast[0] + weight), on_good[i]), 0.999)
+        part = min(max((sum(n * odds[v] for v, n in patterns.items()) + good * weight) / (total + weight), 0.5), 0.999)
+    return part, on_good, on_bad, odds
+
+
+@pytest.mark.parametrize("good", [0.9, 0.7])
+def test_expectation_maximisation_equals_a_plain_one(good):
+    part, on_good, on_bad, odds = plain_fit(PATTERNS, good)
+    model = quality.VoteModel(PATTERNS, good=good)
+    assert model.good == pytest.approx(part, abs=1e-6) and list(model.on_good) == pytest.approx(on_good, abs=1e-6) and list(model.on_bad) == pytest.approx(on_bad, abs=1e-6)
+    assert all(model.quality(v) == pytest.approx(p, abs=1e-6) for v, p in odds.items())
+
+
+def test_what_is_believed_beforehand_matters_little():
+    a, b = (quality.VoteModel(PATTERNS, good=g) for g in (0.9, 0.7))
+    assert all(abs(a.accuracy()[r] - b.accuracy()[r]) < 0.05 for r in quality.RULES)
+    assert a.quality("bbbggggggg") < 0.01 and b.quality("bbbggggggg") < 0.01 and a.quality("gggggggggg") > 0.95 and b.quality("gggggggggg") > 0.9
+    assert sum(limit[0] is not None for limit in quality.RULES.values()) >= 5
+
+
+def test_variety_sees_all_of_a_long_text():
+    draw, words = random.Random(2), vocabulary(3000)
+    few = words[:12]
+    ratio = lambda text: quality._measure(text.encode())[1][list(quality.RULES).index("variety")]
+    assert ratio(prose(draw, few, 5000)) == pytest.approx(12 / 400) and ratio(prose(draw, words, 5000)) > 0.8 and ratio(prose(draw, few, 60)) == 12 / 60
 
 
 # ---- embeddings
@@ -478,6 +550,43 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     assert embedding_duplicates.near_embeddings(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("dim", [2, 8, 16, 32, 64, 128])
+@pytest.mark.parametrize("shift", [0.0, 0.7])
+def test_tables_meet_pairs_at_the_threshold(dim, shift):
+    """Pairs at a cosine of 0.95 exactly, around vectors that were not learnt from, centred or in a cone."""
+    draw = np.random.default_rng(dim)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    cloud = unit(draw.standard_normal((5000, dim)) / np.sqrt(dim) + shift * unit(np.ones((1, dim))))
+    index = embedding_duplicates.Index(cloud[:3000], 100_000, 0.95)
+    u = cloud[3000:]
+    w = draw.standard_normal(u.shape)
+    v = 0.95 * u + (1 - 0.95**2) ** 0.5 * unit(w - (w * u).sum(axis=1, keepdims=True) * u)
+    a, b = index.bits(u), index.bits(v)
+    met = (index.buckets(a) == index.buckets(b)).any(axis=1) & ((a != b).sum(axis=1) <= index.far)
+    assert met.mean() >= 0.93
+
+
+@pytest.mark.parametrize("dim", [8, 64])
+def test_recall_at_the_threshold_by_brute_force(spark, dim):
+    draw = np.random.default_rng(dim)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    u = unit(draw.standard_normal((600, dim)))
+    w = draw.standard_normal(u.shape)
+    close = draw.uniform(0.95, 0.96, (600, 1))
+    v = close * u + (1 - close**2) ** 0.5 * unit(w - (w * u).sum(axis=1, keepdims=True) * u)
+    every = np.concatenate([u, v])
+    table = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(every)], "vec_id long, embedding array<double>")
+    degree = ((unit(every) @ unit(every).T) >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_duplicates.near_embeddings(table).collect()}
+    assert all(n <= degree[i] for i, n in got.items()) and sum(got.values()) >= 0.93 * degree.sum() > 1000
+
+
+def test_repeated_and_null_keys_of_vectors(spark):
+    rows = [(4, [1.0, 0.0]), (4, [1.0, 0.0]), (None, [1.0, 0.0]), (7, [1.0, 0.01]), (None, None)]
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_duplicates.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == Counter({(4, 3, 4, True): 2, (None, 3, 4, False): 1, (7, 3, 4, False): 1, (None, 0, None, True): 1})
+
+
 def test_rotation_gives_balanced_codes():
     draw = np.random.default_rng(0)
     sample = draw.standard_normal((2000, 24)) @ draw.standard_normal((24, 24)) + 5
