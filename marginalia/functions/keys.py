@@ -14,7 +14,8 @@ _AT_PAGE = "[ ,]+at +[0-9].*$"
 
 
 def _plain(column: Column, unicode: bool) -> Column:
-    column = nfkc(column) if unicode else column
+    if unicode:  # only rows with a character beyond ASCII carry text to Python
+        column = F.coalesce(nfkc(F.when(column.rlike("[^\\x00-\\x7F]"), column)), column)
     return F.lower(F.trim(F.translate(column, DASHES, "-" * len(DASHES))))
 
 

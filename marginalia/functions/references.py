@@ -80,7 +80,7 @@ def guarded_fragments(kind: Column, found: Column) -> Column:
 
 
 def neutral_citation(column: Column) -> Column:
-    return F.regexp_extract(column, "\\b((?:19|20)[0-9]{2} [A-Z]{2,8} [0-9]+)\\b", 1)
+    return F.regexp_extract(column, "\\b((?:17|18|19|20)[0-9]{2} [A-Z][A-Z0-9-]{1,15} [0-9]+)\\b", 1)
 
 
 def kind(column: Column) -> Column:
@@ -101,3 +101,15 @@ def page_link(url: Column, page: Column, first: Column, mapped: Column) -> Colum
     """url with #page=: the mapped page, else page - first + 1; pages before the first give the bare url."""
     n = F.coalesce(mapped, page - first + 1)
     return F.when(n >= 1, F.concat(F.split_part(url, F.lit("#"), F.lit(1)), F.lit("#page="), n.cast("string"))).otherwise(F.split_part(url, F.lit("#"), F.lit(1)))
+
+
+def repaired_sections(found: Column, text: Column) -> Column:
+    """Section fragments with the decimals that the text gives them: sec672 becomes sec672.54 if that is the only decimal section of
+    that number in the text; all others stay."""
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)\\b(?:ss?|sections?)\\.?\\s*([0-9]+\\.[0-9]+)"), F.lit(1)))
+
+    def one(x: Column) -> Column:
+        under = F.filter(named, lambda n: F.concat(F.lit("sec"), F.split_part(n, F.lit("."), F.lit(1))) == x)
+        return F.when(x.rlike("^sec[0-9]+$") & (F.size(under) == 1), F.concat(F.lit("sec"), F.get(under, F.lit(0)))).otherwise(x)
+
+    return F.transform(found, one)

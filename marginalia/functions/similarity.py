@@ -1,8 +1,10 @@
-"""Ratcliff-Obershelp similarity over Arrow batches. It is quadratic, so callers give it candidates only."""
+"""Ratcliff-Obershelp similarity over Arrow batches, and how a quotation is shown with its source's words. Alignment is quadratic,
+so callers give it candidates only."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -11,7 +13,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-_TOKEN = re.compile(r"\.\.\.|[^\W_]+(?:['’][^\W_]+)*|[^\w\s]|_", re.UNICODE)
+#: Fixed: what a token is, the limits beyond which a source is long, the lengths of anchor phrases, punctuation that a quotation may
+#: add at its end, and marks that compare equal.
+_UNIT = r"[^\W_]+(?:['’][^\W_]+)*"
+LONG_CHARS, LONG_TOKENS = 80_000, 8_000
+ANCHORS = (8, 6, 5, 4, 3)
+_END = frozenset((".", ",", ";", ":", "!", "?", "…", "..."))
+_SAME = {**dict.fromkeys('"“”«»„', '"'), **dict.fromkeys("'‘’‚", "'"), **dict.fromkeys("-\u00ad‐‑‒–—―−", "-")}
+#: Words and bracketed insertions that touch are one token, as test[ing].
+_TOKEN = re.compile(rf"\.\.\.|(?:\[[^\]]+\]|{_UNIT})+|[^\w\s]")
+_WORDS, _PLAIN = re.compile(_UNIT), re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+_ENDING = re.compile(r"([a-z]+)((?:\[[a-z]+\])+)")
 
 
 @lru_cache(maxsize=4096)
@@ -19,46 +31,227 @@ def tokens(text: str) -> tuple[str, ...]:
     return tuple(_TOKEN.findall(text))
 
 
+def _core(quote: str) -> tuple[str, ...]:
+    """A quotation's tokens without punctuation at the end."""
+    own = tokens(quote.strip())
+    n = len(own)
+    while n and own[n - 1] in _END:
+        n -= 1
+    return own[:n]
+
+
+def wordlike(token: str) -> bool:
+    return bool(_WORDS.search(token))
+
+
+@lru_cache(maxsize=1 << 16)
+def canonical(token: str) -> str:
+    """A token as it is compared: marks and dashes unified, [T]he as The, plain words in lower case."""
+    if token in _SAME:
+        return _SAME[token]
+    plain = re.sub(r"^\[([A-Za-z])\](?=[A-Za-z]+$)", r"\1", "".join(_SAME.get(c, c) for c in token))
+    return plain.lower() if _PLAIN.fullmatch(plain) else plain
+
+
+def endings(quote: tuple[str, ...]) -> dict[str, str]:
+    """For words with bracketed endings: test and testing, both as test[ing], which either of them matches."""
+    out = {}
+    for token in quote:
+        if m := _ENDING.fullmatch(canonical(token).lower()):
+            whole = m[1] + re.sub(r"[\[\]]", "", m[2])
+            out[m[1]] = out[whole] = f"{m[1]}|{whole}"
+    return out
+
+
+def _aligned(token: str, alias: dict[str, str]) -> str:
+    c = canonical(token).lower()
+    c = _ENDING.sub(lambda m: m[1], c) if _ENDING.fullmatch(c) else c
+    return alias.get(c, c)
+
+
+def exact_but_endings(source: str, quote: str) -> bool:
+    """Whether the quotation's words stand in the source one after the other, if bracketed endings may be there or not."""
+    own = _core(quote)
+    alias = endings(own)
+    if not alias:
+        return False
+    listed = lambda ts: "\0".join(["", *(_aligned(t, alias) for t in ts if wordlike(t)), ""])
+    return listed(own) != "\0" and listed(own) in listed(tokens(source))
+
+
+def _blocks(a, b) -> int:
+    return sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def _phrases(words: list[str]) -> list[tuple[str, ...]]:
+    """Runs of words that a long source is searched for: of each length at the start, a quarter, the middle and the end."""
+    found: dict[tuple[str, ...], None] = {}
+    for n in ANCHORS:
+        if len(words) >= n:
+            for at in (0, len(words) // 4, len(words) // 2, len(words) - n):
+                at = min(at, len(words) - n)
+                found[tuple(words[at : at + n])] = None
+    return list(found)
+
+
+def _long_share(source: str, quote: tuple[str, ...]) -> float:
+    """The matched share in a long source: words only, in windows around the quotation's phrases; the share of words that occur at
+    all where that is low, or no phrase is found."""
+    mine = [t.lower() for t in quote if wordlike(t)]
+    theirs = [w.lower() for w in _WORDS.findall(source)]
+    if not mine or not theirs:
+        return 0.0
+    held = set(theirs)
+    overlap = sum(w in held for w in mine) / len(mine)
+    if overlap < 0.6:
+        return overlap
+    line, best, met = "\0".join(["", *theirs, ""]), 0.0, set()
+    for phrase in _phrases(mine):
+        at = line.find("\0".join(["", *phrase, ""]))
+        if at < 0:
+            continue
+        first = line.count("\0", 0, at)
+        window = (max(0, first - len(mine)), first + len(phrase) + 3 * len(mine))
+        if window not in met and best < 0.98:
+            met.add(window)
+            best = max(best, _blocks(theirs[slice(*window)], mine) / len(mine))
+    return best or min(overlap, 0.59)
+
+
 def matched_share(source: str, quote: str) -> float:
-    """Tokens of the quotation that lie in blocks it shares with the source, as a part of its tokens."""
-    a, b = tokens(source), tokens(quote)
-    return sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) / len(b) if b else 0.0
+    """Tokens of the quotation that lie in blocks it shares with the source, as a part of its tokens: 1 where only bracketed endings
+    differ; by words around anchor phrases in sources beyond the limits, by all tokens of the whole source within them."""
+    own = _core(quote)
+    if not own or not source.strip():
+        return 0.0
+    if exact_but_endings(source, quote):
+        return 1.0
+    if len(source) > LONG_CHARS or len(theirs := tokens(source)) > LONG_TOKENS:
+        return _long_share(source, own)
+    return _blocks(theirs, own) / len(own)
+
+
+def _rows(kind: pa.DataType, one: Callable, *columns: pa.Array) -> pa.Array:
+    """one of each row without a null; null for the others."""
+    return pa.array([None if None in row else one(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], kind)
 
 
 @F.arrow_udf(DoubleType())
 def match_score(source: pa.Array, quote: pa.Array) -> pa.Array:
-    pairs = zip(source.to_pylist(), quote.to_pylist(), strict=True)
-    return pa.array([None if s is None or q is None else matched_share(s, q) for s, q in pairs], pa.float64())
+    return _rows(pa.float64(), matched_share, source, quote)
 
 
 @F.arrow_udf(DoubleType())
 def title_ratio(query: pa.Array, title: pa.Array) -> pa.Array:
-    pairs = zip(query.to_pylist(), title.to_pylist(), strict=True)
-    return pa.array([None if q is None or t is None else SequenceMatcher(None, q, t).ratio() for q, t in pairs], pa.float64())
+    return _rows(pa.float64(), lambda q, t: SequenceMatcher(None, q, t).ratio(), query, title)
+
+
+def _inside(quoted: str, given: str) -> str | None:
+    """test[ing] of testing and test: one insertion into a word that is otherwise the same; None for other words."""
+    if set("[]") & set(quoted + given):
+        return None
+    steps = SequenceMatcher(None, given, quoted, autojunk=False).get_opcodes()
+    added = [s for s in steps if s[0] == "insert"]
+    if len(added) != 1 or any(s[0] not in ("equal", "insert") for s in steps):
+        return None
+    n = added[0][4] - added[0][3]
+    if len(quoted) - n < min(3, len(given)) or n > max(4, len(given) // 2 + 1):
+        return None
+    return "".join(given[s[1] : s[2]] if s[0] == "equal" else f"[{quoted[s[3] : s[4]]}]" for s in steps)
+
+
+def _shown(quoted: list[str], given: list[str]) -> list[str]:
+    """What the quotation has in place of given words of the source: in brackets, but for marks and what has brackets already."""
+    if len(quoted) == 1 and wordlike(quoted[0]):
+        for other in [t for t in given if wordlike(t)][:1]:
+            if found := _inside(quoted[0], other):
+                return [found]
+    if not any(wordlike(t) for t in quoted) or any("[" in t for t in quoted):
+        return quoted
+    return [f"[{spaced(quoted)}]"]
+
+
+def _kept(quoted: str, given: str) -> str:
+    """A token that both have, as the source has it, unless the quotation changes its first letter's case, which stays marked."""
+    if re.fullmatch(r"\[[A-Za-z]\][A-Za-z]+", quoted):
+        return quoted
+    if quoted != given and quoted[1:] == given[1:] and quoted[:1].lower() == given[:1].lower() and wordlike(given):
+        return f"[{quoted[0]}]{quoted[1:]}"
+    return given
+
+
+def spaced(parts: list[str]) -> str:
+    """Tokens as text: no space before closing marks and behind opening ones."""
+    out, opened = "", False
+    for p in parts:
+        straight = p == '"'
+        closing = p in tuple(",.;:!?…)”’»") or (straight and opened)
+        glue = "" if not out or closing or out[-1] in "(“‘«" or (out[-1] == '"' and opened) else " "
+        out += glue + p
+        opened = opened != straight
+    return out
+
+
+def corrected(source: str, quote: str) -> str:
+    """The quotation as the source has it: what it leaves out inside becomes ..., its own additions and changes go in brackets."""
+    a, b = list(tokens(source.strip())), list(tokens(quote.strip()))
+    if not a or not b:
+        return source.strip() if not b else quote.strip()
+    if _SAME.get(b[0]) != '"':
+        while a and _SAME.get(a[0]) == '"':
+            a.pop(0)
+    if not (core := _core(quote)) or _SAME.get(core[-1]) != '"':
+        while a and _SAME.get(a[-1]) == '"':
+            a.pop()
+    out: list[str] = []
+    for kind, i1, i2, j1, j2 in SequenceMatcher(None, [canonical(t) for t in a], [canonical(t) for t in b], autojunk=False).get_opcodes():
+        if kind == "equal":
+            out += [_kept(q, s) for q, s in zip(b[j1:j2], a[i1:i2], strict=True)]
+        elif kind != "delete":
+            out += _shown(b[j1:j2], a[i1:i2])
+        elif not any(wordlike(t) for t in a[i1:i2]):
+            out += a[i1:i2]
+        elif out and j1 < len(b) and out[-1] != "...":
+            out.append("...")
+    return spaced(out)
 
 
 @F.arrow_udf(StringType())
 def corrected_quote(source: pa.Array, quote: pa.Array) -> pa.Array:
-    """The quotation as the source has it: words that it leaves out become ..., words that are not in the source go in brackets."""
-
-    def one(s: str, q: str) -> str:
-        a, b, out = s.split(), q.split(), []
-        blocks = [m for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
-        if not blocks:
-            return f"[{q}]" if q else ""
-        at_a, at_b = blocks[0].a, 0
-        for m in blocks:
-            if m.b > at_b:
-                out.append(f"[{' '.join(b[at_b : m.b])}]")
-            elif m.a > at_a:
-                out.append("...")
-            out += a[m.a : m.a + m.size]
-            at_a, at_b = m.a + m.size, m.b + m.size
-        if at_b < len(b):
-            out.append(f"[{' '.join(b[at_b:])}]")
-        return " ".join(out)
-
-    return pa.array([None if s is None or q is None else one(s, q) for s, q in zip(source.to_pylist(), quote.to_pylist(), strict=True)], pa.string())
+    """corrected of each row."""
+    return _rows(pa.string(), corrected, source, quote)
+
+
+def fragment(source: str, quote: str, most: int = 900) -> str:
+    """The stretch of the source that the quotation stands for: aligned tokens, cut where more than 8 lie between, of which the
+    stretch with the most words is taken; without a paragraph's number before it; empty if there is none or it is too long."""
+    spans = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(source)]
+    own = tokens(quote)
+    alias = endings(own)
+    steps = SequenceMatcher(None, [_aligned(t[0], alias) for t in spans], [_aligned(t, alias) for t in own], autojunk=False).get_opcodes()
+    count = lambda ts: sum(map(wordlike, ts))
+    runs: list[list[int]] = []
+    for kind, i1, i2, j1, j2 in steps:
+        given, quoted = count(t[0] for t in spans[i1:i2]), count(own[j1:j2])
+        if kind not in ("equal", "replace") or not given or not quoted or (kind == "replace" and abs(given - quoted) > 2):
+            continue
+        if runs and i1 - runs[-1][1] <= 8:
+            runs[-1][1] = i2
+        else:
+            runs.append([i1, i2])
+    if not runs:
+        return ""
+    lo, hi = max(runs, key=lambda r: (count(t[0] for t in spans[r[0] : r[1]]), r[0] - r[1]))
+    found = re.sub(r"\s+", " ", source[spans[lo][1] : spans[hi - 1][2]]).strip()
+    if not (first := _WORDS.findall(quote)) or not first[0].isdigit():
+        found = re.sub(r"^(?:\[\s*\d{1,4}\s*\]|\d{1,4}\s*\(\d{1,4}\)|\d{1,4})\s+(?=\S)", "", found)
+    return "" if len(found) > most or re.fullmatch(r"\[[^\]]+\]", found) else found
+
+
+@F.arrow_udf(StringType())
+def source_fragment(source: pa.Array, quote: pa.Array) -> pa.Array:
+    """fragment of each row."""
+    return _rows(pa.string(), fragment, source, quote)
 
 
 def score(source: Column, quote: Column, exact: Column) -> Column:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Quotation marks that compare equal, dashes that compare equal, and words that carry no content.
-SINGLE_QUOTES, DOUBLE_QUOTES, DASHES = "‘’‚‛`", "“”„‟«»", "‐‑‒–—−"
+SINGLE_QUOTES, DOUBLE_QUOTES, DASHES = "‘’‚‛`", "“”„‟«»", "\u00ad‐‑‒–—―−"
 STOP_WORDS = (
-    "a an and are as at be been but by for from had has have he her his if in into is it its no not of on or our she so such that the their "
-    "them then there these they this to was we were what when which who will with would you your"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "by", "for", "from", "in", "is", "it", "its", "of", "on", "or", "that", "the", "their", "to", "was", "were",
+    "with",
+)
 _WORD = "[\\p{L}\\p{N}]+(?:['’][\\p{L}\\p{N}]+)*"
 
 
@@ -42,10 +42,10 @@ def source_text(column: Column) -> Column:
 
 def comparable(column: Column) -> Column:
     """How quotations are compared: quotation marks and dashes unified, hyphens inside words and white space as one space, outer
-    quotation marks and punctuation at the end dropped, lower case."""
+    quotation marks and punctuation at the end dropped, an editor's first letter ([T]he) without its brackets, lower case."""
     c = F.translate(column, SINGLE_QUOTES + DOUBLE_QUOTES + DASHES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES))
     c = F.lower(squeezed(F.regexp_replace(c, "(?<=[\\p{L}\\p{N}])-(?=[\\p{L}\\p{N}])", " ")))
-    return F.trim(replace_all(c, ('^["\']+|["\']+$', ""), ('"(?=[,.;:!?])', ""), ("[ ,.;:!?]+$", "")))
+    return F.trim(replace_all(c, ('^["\']+|["\']+$', ""), ('"(?=[,.;:!?])', ""), ("[ ,.;:!?]+$", ""), (r"^\[([a-z])\](?=[a-z])", "$1")))
 
 
 def words(column: Column) -> Column:
@@ -54,15 +54,16 @@ def words(column: Column) -> Column:
 
 
 def content_words(column: Column) -> Column:
-    """Distinct words that are no stop words."""
-    return F.array_except(words(column), F.array(*map(F.lit, STOP_WORDS)))
+    """Distinct words that are neither stop words nor single letters."""
+    return F.filter(F.array_except(words(column), F.array(*map(F.lit, STOP_WORDS))), lambda w: (F.length(w) > 1) | ~w.rlike("^\\p{L}$"))
 
 
 def plausible(quote: Column, source: Column) -> Column:
-    """Whether enough of the quotation's content words stand in the source: 1 of up to 2, 2 of up to 4, else 35 %."""
-    mine = content_words(quote)
-    n, shared = F.size(mine), F.size(F.array_intersect(mine, content_words(source)))
-    return F.when(n == 0, False).when(n <= 2, shared >= 1).when(n <= 4, shared >= 2).otherwise(shared * 100 >= n * 35)
+    """Whether enough of the quotation's content words stand in the source: 1 of up to 2, 2 of up to 4, else 35 %. A quotation
+    without content words can't be told and is plausible; a source without any is not."""
+    mine, theirs = content_words(quote), content_words(source)
+    n, shared = F.size(mine), F.size(F.array_intersect(mine, theirs))
+    return F.when(n == 0, True).when(n <= 2, shared >= 1).when(n <= 4, shared >= 2).otherwise(shared * 100 >= n * 35)
 
 
 def inline_quotes(column: Column) -> Column:

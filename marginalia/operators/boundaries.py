@@ -1,0 +1,209 @@
+"""Where one citation of a note ends and the next begins. Nothing of a note is lost: its parts and what stands between make it up.
+
+Candidate places are found by looking ahead for what may begin a citation, and kept if there is evidence of a source on both sides. All
+of it is expressions over one row, so notes are split where they lie."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Fixed: the forms by which citations are recognised.
+YEAR = "(?:17|18|19|20)[0-9]{2}"
+URL = "(?i:\\b(?:https?://|www\\.)[^\\s<>]+|\\bperma\\.cc/[A-Z0-9-]+|\\bdoi:\\s*10\\.[0-9]{4,9}/\\S+)"
+NEUTRAL = f"\\b{YEAR}\\s+[A-Z][A-Z0-9-]{{1,15}}\\s+[0-9]+\\b"
+_SERIES = "[A-Z][A-Za-z&.'-]{1,16}(?:\\s+[A-Z][A-Za-z&.'-]{1,16}){0,4}"
+_EDITION = "(?:\\s+\\([0-9]+[A-Za-z]{0,3}\\))?\\s+[0-9]{1,5}"
+REPORTER = (
+    f"(?i:(?<![\\w.])(?:[\\[(]{YEAR}[\\])]\\s+(?:[0-9]{{1,4}}\\s+)?{_SERIES}{_EDITION}|[0-9]{{1,4}}\\s+{_SERIES}{_EDITION})"
+    "(?=\\s*(?:[,;.]|\\bat\\b|\\band\\b|\\bwith\\b|\\(|\\[|$)))")
+STATUTE = (
+    "(?i:\\b(?:RSC|RSO|RSA|RSS|RSM|RSQ|RSY|RSBC|RSNL|RSNB|RSNS|RSPEI|RSNWT|SC|SO|SA|SS|SM|SQ|SY|SBC|SNL|SNB|SNS|SNWT|CQLR|CCSM)\\b"
+    "\\s*[, ]\\s*[0-9]{4}(?:\\s*,?\\s*c\\s+[A-Za-z0-9.-]+)?)")
+JOURNAL = f"\\(?{YEAR}\\)?\\s+[0-9]{{1,4}}(?::\\s*[A-Za-z0-9.-]+)?\\s+[A-Z][A-Za-z&.'’(), -]{{1,100}}?\\s+[0-9]{{1,5}}\\b"
+BOOK = f"\\([A-Z][A-Za-z .,'-]{{1,50}}:\\s*[^()]{{0,80}},?\\s*{YEAR}\\)"
+ANCHORS = {"neutral": NEUTRAL, "reporter": REPORTER, "statute": STATUTE, "journal": JOURNAL, "book": BOOK, "url": URL}
+_NAME = "[A-Z][A-Za-zÀ-ÖØ-öø-ÿ.'’\\-]*"
+_ELSE = (
+    "(?i:\\b(?:supra|ibid)\\b|\\b(?:above|below)\\s+note(?:\\s+[0-9]+)?\\b|\\bnote\\s+[0-9]+\\b)",
+    f"(?i:[\"“][^\"”]{{3,240}}[\"”][^.;]{{0,220}}(?:\\b{YEAR}\\b|\\b(?:online|perma\\.cc|doi)\\b))",
+    f"(?<!\\w)[A-Z][^.;]{{2,220}}\\((?:[^()]|\\([^()]*\\)){{0,160}}{YEAR}\\)(?:\\s*\\[[^\\]]+\\])?(?:\\s+at\\b|\\s*[,.;]|\\s*$)",
+    "(?i:\\b(?:Model\\s+)?(?:Code|Rules?)\\s+of\\s+[A-Z][A-Za-z'’ -]{2,100})",
+    "(?i:^\\s*(?:s(?:ection)?|r(?:ule)?|art(?:icle)?)\\.?\\s*[0-9])",
+)
+_LAW = "(?<!\\w)(?:(?:and\\s+)?the\\s+)?[A-Z][A-Za-z'’() -]{1,100}?\\s+(?:Act|Code|Rules?|Regulations?|Convention|Treaty)(?=\\b|,)"
+EVIDENCE = "|".join(f"(?:{p})" for p in (*ANCHORS.values(), *_ELSE, _LAW))
+#: Fixed: what may begin a citation, by rule, in the order in which the rules are asked.
+STARTS = {
+    "source_signal": (
+        "(?i:\\b(?:citing|(?:as\\s+)?cited\\s+in|quoting|quoted\\s+in|discussing|(?:as\\s+)?discussed(?:\\s+e\\.?g\\.?)?\\s+in|applying|applied\\s+in|relying\\s+on|relied\\s+on|following|followed\\s+in|"
+        "adopting|adopted\\s+in|(?:as\\s+)?amended\\s+by|amending|adding|rev[’']?d|reversed\\s+by|aff[’']?d|affirmed\\s+by|penalty\\s+at|republished\\b[^.;]{0,100}\\bin|"
+        "accord|but\\s+see|(?<!but\\s)see(?:\\s+also|\\s+generally|\\s*,?\\s*e\\.?g\\.?)?|contra|compare|cf\\.?)\\b)"),
+    "new_case_frame": "(?<!\\w)(?:R\\.?\\s+v\\.?|Reference\\s+re|In\\s+re|[A-Z][A-Za-z'’().& -]{1,70}\\s+(?:v\\.?|c))\\s+",
+    "new_author_title_frame": f"(?<!\\w){_NAME}(?:\\s+(?:&|and|et\\s+al|{_NAME})){{1,8}}\\s*,?\\s*(?=[\"“])",
+    "new_note_reference": f"(?<!\\w){_NAME}(?:\\s+(?:et\\s+al|&|and|{_NAME})){{0,6}}\\s+note\\s+[0-9]+\\b",
+    "conjoined_citation": "(?:\\b(?:and|or)\\s+(?=(?:the\\s+)?[A-Z])|&\\s+(?=[A-Z]))",
+    "new_legal_source_frame": _LAW,
+}
+_AFTER_FIRST = ("new_case_frame", "new_author_title_frame", "new_note_reference", "new_legal_source_frame")  # the first of these begins no second source
+_SENTENCE = "(?<=[.!?]\\s{1,4})(?<!\\s\\s)(?=[(\\[\"'‘“]*[A-Z])"
+_NO_END = "(?i)(?:\\be\\.g|\\bi\\.e|\\bcf|\\bno|\\bv|\\bpara|\\bart|\\b[A-Z])\\.\\s*$"
+_REF_NUM = "[0-9]+(?:\\.[0-9]+)?[a-z]?(?:\\s*\\([A-Za-z0-9]+\\))*(?:\\s*[-–]\\s*[0-9]+(?:\\.[0-9]+)?[a-z]?(?:\\s*\\([A-Za-z0-9]+\\))*)?"
+_REF_NUMS = f"{_REF_NUM}(?:\\s*(?:,|and|&)\\s*{_REF_NUM})*"
+#: A part that is nothing but one ibid or supra with a pinpoint.
+REFERENCE = (
+    "(?i)^\\s*(?:(?:see(?:,?\\s+e\\.?g\\.?,?)?(?:\\s+also)?|but\\s+see|contra|compare|cf\\.?|see\\s+generally|citing|quoting|discussing|discussed\\s+in|applying)\\s+)?"
+    "(?:ibid\\.?|(?:[^,;.]{1,60}\\s*,\\s*)?supra(?:\\s+(?:note|nn?\\.?)\\s+[0-9]+)?)(?:\\s*,)?"
+    f"(?:\\s+(?:at\\s+(?:paras?\\.?|pp?\\.?|pages?)?\\s*{_REF_NUMS}(?:ff)?|(?:paras?\\.?|ss?\\.?|(?:sub)?sections?|arts?\\.?|articles?)\\s+{_REF_NUMS}(?:ff)?))?\\s*[.;]?\\s*$")
+_BOUND = "array<struct<at: int, to: int, reason: string>>"
+
+
+def evidence(text: Column) -> Column:
+    """Whether a stretch of a note cites a source."""
+    return text.rlike(EVIDENCE)
+
+
+def places(text: Column, ahead: str) -> Column:
+    """Where the pattern begins to match, from 0: the text is cut before each match, and the lengths of the pieces added up."""
+    pieces = F.split(text, f"(?={ahead})" if not ahead.startswith("(?<=") else ahead)
+    n = F.size(pieces)
+    sums = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.aggregate(F.slice(pieces, F.lit(1), i - 1), F.lit(0), lambda s, x: s + F.length(x)))
+    first = F.when(text.rlike(f"^(?:{ahead})"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(first, F.filter(sums, lambda p: (p > 0) & (p < F.length(text)))))
+
+
+def _part(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, start + 1, end - start)
+
+
+def _quoted(text: Column, at: Column) -> Column:
+    """Whether a place lies inside quotation marks."""
+    before = F.substring(text, F.lit(1), at)
+    return before.rlike("“[^”]*$") | (F.regexp_count(before, F.lit('"')) % 2 == 1)
+
+
+def _bound(at: Column, to: Column, reason: Column) -> Column:
+    return F.struct(at.cast("int").alias("at"), to.cast("int").alias("to"), reason.alias("reason"))
+
+
+def _evidenced(text: Column, reason: str):
+    """Adds a place to the boundaries known so far, if the stretches before and behind it, up to the next ones, cite sources."""
+
+    def kept(known: Column, p: Column) -> Column:
+        left = F.coalesce(F.array_max(F.transform(F.filter(known, lambda b: (b["at"] < p) & (b["to"] <= p)), lambda b: b["to"])), F.lit(0))
+        right = F.coalesce(F.array_min(F.transform(F.filter(known, lambda b: b["at"] > p), lambda b: b["at"])), F.length(text))
+        return F.when(evidence(_part(text, left, p)) & evidence(_part(text, p, right)), F.concat(known, F.array(_bound(p, p, F.lit(reason))).cast(_BOUND))).otherwise(known)
+
+    return kept
+
+
+def with_boundaries(notes: DataFrame, text: str = "text", name: str = "boundaries") -> DataFrame:
+    """notes with an array of (at, to, reason), ascending: where a part ends, where the next begins, and the rule that says so. Every
+    semicolon is one; a sentence with evidence of a source begins a part; the other rules, one after the other, need evidence on
+    both sides, up to the boundaries known by then."""
+    c = F.col(text)
+    semicolons = F.transform(places(c, ";"), lambda p: _bound(p, p + 1, F.lit("semicolon")))
+    starts = F.filter(places(c, _SENTENCE), lambda p: ~_quoted(c, p) & ~F.substring(c, F.lit(1), p).rlike(_NO_END) & (F.trim(F.substring(c, F.lit(1), p)) != ""))
+    done = notes.withColumn(name, semicolons.cast(_BOUND)).withColumn("_s", starts)
+    ends = F.concat(F.slice("_s", F.lit(2), F.greatest(F.size("_s") - 1, F.lit(0))), F.array(F.length(c)))
+    done = done.withColumn("_s", F.zip_with("_s", F.slice(ends, F.lit(1), F.size("_s")), lambda s, e: F.struct(s.alias("s"), e.alias("e"))))
+    sentences = F.transform(F.filter("_s", lambda x: evidence(_part(c, x["s"], x["e"]))), lambda x: _bound(x["s"], x["s"], F.lit("new_citation_sentence")))
+    done = done.withColumn(name, F.concat(name, sentences.cast(_BOUND))).drop("_s")
+    for reason, pattern in STARTS.items():
+        if reason == "conjoined_citation":
+            short = F.length(F.regexp_extract(c, "(?s)^(.*\\b)and\\s+[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’.-]{2,50}\\s*\\.\\s*$", 1))
+            anchored = c.rlike("|".join(f"(?:{p})" for p in ANCHORS.values()))
+            lone = ~anchored & c.rlike("(?i)^\\s*(?:see|compare|cf\\.?|contra)\\b") & (short > 0)
+            done = done.withColumn(name, F.when(lone, F.concat(name, F.array(_bound(short, short, F.lit("conjoined_short_form"))).cast(_BOUND))).otherwise(F.col(name)))
+        found = places(c, pattern)
+        if reason in ("source_signal", "conjoined_citation", "new_legal_source_frame"):
+            found = F.filter(found, lambda p: ~_quoted(c, p))
+        if reason == "new_legal_source_frame":
+            found = F.filter(found, lambda p: ~F.substring(c, F.lit(1), p).rlike("\\[[^\\]]*$"))
+        if reason == "new_case_frame":
+            found = F.filter(found, lambda p, i: (i == 0) | ~F.substring(c, F.lit(1), p).rlike("(?i)(?:\\(|(?:\\b(?:and|or)|&)\\s*)$"))
+        done = done.withColumn("_f", found)
+        found = F.slice("_f", F.lit(2), F.greatest(F.size("_f") - 1, F.lit(0))) if reason in _AFTER_FIRST else F.col("_f")
+        done = done.withColumn(name, F.aggregate(found, F.col(name), _evidenced(c, reason))).drop("_f")
+    cuts = F.transform(F.filter(name, lambda b: b["to"] > b["at"]), lambda b: b["at"])
+    done = done.withColumn("_c", cuts)
+    alone = F.array_sort(F.filter(name, lambda b: (b["to"] > b["at"]) | (~F.array_contains("_c", b["at"]) & ~F.array_contains("_c", b["at"] - 1))))
+    done = done.withColumn(name, alone).drop("_c")
+    again = lambda b, i: (i > 0) & (b["at"] == F.get(F.col(name), i - 1)["at"]) & (b["to"] == F.get(F.col(name), i - 1)["to"])
+    return done.withColumn(name, F.filter(name, lambda b, i: ~F.coalesce(again(b, i), F.lit(False))))
+
+
+def _anchors_of(text: Column) -> Column:
+    """The kinds of anchors that a part has, in a fixed order; 'reference' alone for an ibid or supra. What reads as a neutral citation or
+    an article is no reporter's citation too."""
+    rest = F.regexp_replace(F.regexp_replace(text, JOURNAL, "·"), NEUTRAL, "·")
+    found = F.array_compact(F.array(*[F.when((rest if name == "reporter" else text).rlike(p), name) for name, p in ANCHORS.items()]))
+    return F.when(text.rlike(REFERENCE), F.array(F.lit("reference"))).otherwise(found)
+
+
+def parts_between(bounded: DataFrame, text: str = "text", name: str = "boundaries") -> DataFrame:
+    """bounded notes with part_index (from 1), start, end, verbatim (without white space at its ends), reason (of the boundary before it; null
+    for the first) and anchors: one row a part that is not blank."""
+    own = [c for c in bounded.columns if c != name]
+    starts = F.concat(F.array(F.struct(F.lit(0).alias("s"), F.lit(None).cast("string").alias("reason"))), F.transform(name, lambda b: F.struct(b["to"].alias("s"), b["reason"].alias("reason"))))
+    ends = F.concat(F.transform(name, lambda b: b["at"]), F.array(F.length(text)))
+    raw = F.zip_with(starts, ends, lambda s, e: F.struct(s["s"].alias("s"), e.alias("e"), s["reason"].alias("reason"), _part(F.col(text), s["s"], e).alias("v")))
+    lead = lambda v: F.length(v) - F.length(F.regexp_replace(v, "^\\s+", ""))
+    each = bounded.select(*own, F.posexplode(F.filter(raw, lambda p: F.regexp_replace(p["v"], "\\s", "") != "")).alias("_i", "_p"))
+    start, verbatim = F.col("_p.s") + lead(F.col("_p.v")), F.regexp_replace(F.col("_p.v"), "^\\s+|\\s+$", "")
+    out = each.select(*own, (F.col("_i") + 1).alias("part_index"), start.cast("int").alias("start"), verbatim.alias("verbatim"), F.col("_p.reason").alias("reason"))
+    return out.withColumn("end", F.col("start") + F.length("verbatim")).withColumn("anchors", _anchors_of(F.col("verbatim")))
+
+
+def recall_parts(notes: DataFrame, text: str = "text") -> DataFrame:
+    """The parts of each note by with_boundaries. Blank and null notes have none."""
+    return parts_between(with_boundaries(notes.filter(F.col(text).rlike("\\S")), text), text)
+
+
+def top_level(text: Column, at: Column) -> Column:
+    """Whether a place lies outside quotation marks, brackets and urls."""
+    before = F.substring(text, F.lit(1), at)
+    spoken = F.regexp_replace(F.regexp_replace(before, "“[^”]*(?:”|$)", ""), "\"[^\"]*(?:\"|$)", "")
+    closed = spoken
+    for _ in range(3):  # brackets in brackets
+        closed = F.regexp_replace(closed, "\\([^()\\[\\]{}]*\\)|\\[[^()\\[\\]{}]*\\]|\\{[^()\\[\\]{}]*\\}", "")
+    in_url = before.rlike("(?i)(?:https?://|www\\.)[^\\s<>]*$") & ~F.substring(text, at + 1, F.lit(1)).rlike("\\s|^$")
+    return ~_quoted(text, at) & ~closed.rlike("[(\\[{]") & ~in_url
+
+
+def conservative_parts(notes: DataFrame, text: str = "text") -> DataFrame:
+    """The parts of notes that split without doubt: at semicolons on the top level and signals between two clauses, each of which
+    is one cluster of anchors or a reference. Notes with a doubtful clause are left out."""
+    c = F.col(text)
+    semicolons = F.transform(F.filter(places(c, ";"), lambda p: top_level(c, p)), lambda p: _bound(p, p + 1, F.lit("top_level_semicolon")))
+    signals = F.filter(places(c, "(?i:(?<=[.!?]\\s{1,3})(?:but\\s+see|see|cf|compare|contra)\\b|\\b(?:citing|quoting|quoted\\s+in|discussing|discussed\\s+in|applying|applied\\s+in|relying\\s+on|relied\\s+on|following|followed\\s+in)\\b)"), lambda p: (p > 0) & top_level(c, p))
+    bounds = F.array_sort(F.concat(semicolons.cast(_BOUND), F.transform(signals, lambda p: _bound(p, p, F.lit("explicit_source_signal"))).cast(_BOUND)))
+    found = parts_between(notes.filter(c.rlike("\\S")).withColumn("boundaries", bounds), text)
+    attached = "\\s*(?:\\([^()]{0,160}\\)\\s*)?,?\\s*(?:online:?|available\\s+at|at)\\s*<?\\s*"
+    some = "|".join(f"(?:{p})" for k, p in ANCHORS.items() if k != "url")
+    cluster = f"^[^;]*?(?:{some}|{URL})(?:(?:\\s*,\\s*(?:{some}))|(?:(?:\\s*,\\s*|{attached})(?:{URL})))*"
+    one = F.col("verbatim").rlike(REFERENCE) | (F.regexp_replace("verbatim", cluster, "") .rlike(f"^(?!.*(?:{some}|{URL})).*$") & F.col("verbatim").rlike(f"{some}|{URL}"))
+    key = [x for x in notes.columns if x != text]
+    doubtful = found.groupBy(*key).agg(F.bool_and(one).alias("_sure"), F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("verbatim").rlike(REFERENCE), 1).otherwise(0)).alias("_ref"))
+    sure = doubtful.filter("_sure and (_n > 1 or _ref = 1)").select(*key)
+    return found.join(sure, key, "left_semi")
+
+
+def snapped(notes: DataFrame, proposed: str = "parts", text: str = "text") -> DataFrame:
+    """notes with an array of proposed parts, as (start, end, verbatim) where each stands in the note: the first place behind the
+    part before it, white space counting alike; commas and blanks behind it go with it. Parts that stand nowhere have null places."""
+    flat = lambda c: F.regexp_replace(c, "\\s", " ")
+    hay = flat(F.col(text))
+
+    def place(state: Column, p: Column) -> Column:
+        want = F.trim(flat(p))
+        found = F.position(want, F.substring(hay, state["from"] + 1, F.length(hay)))
+        start = F.when((found > 0) & (want != ""), state["from"] + found - 1)
+        end = start + F.length(want)
+        tail = F.length(F.regexp_extract(F.substring(hay, end + 1, F.length(hay)), "^[ ,]*", 0))
+        item = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), _part(F.col(text), start, end).alias("verbatim"))
+        return F.struct(F.coalesce(end + tail, state["from"]).cast("int").alias("from"), F.concat(state["out"], F.array(item)).alias("out"))
+
+    none = F.array().cast("array<struct<start: int, end: int, verbatim: string>>")
+    done = F.aggregate(proposed, F.struct(F.lit(0).alias("from"), none.alias("out")), place)
+    return notes.withColumn("snapped", done["out"])

@@ -43,6 +43,52 @@ def resolve_chains(parts: DataFrame, rounds: int = 40) -> DataFrame:
     return parts.join(ended, "part")
 
 
+def chain_paths(resolved: DataFrame, label: str, separator: str = " → ") -> DataFrame:
+    """resolved (resolve_chains' result, with a column label) with path, the labels of the references from each part to its origin,
+    and first_page of the origin where the column is there. Chains that loop or break have a null path. By pointer doubling, as
+    resolve_chains; a path is as long as its chain."""
+    sound = resolved.filter("note is null")
+    now = materialize(sound.select("part", F.coalesce("target", "part").alias("at"), F.when(F.col("target").isNotNull(), F.col(label)).alias("path")), "paths")
+    longest = sound.agg(F.max("hops")).first()[0] or 0
+    step = 1
+    while step < longest:
+        onward = now.select(F.col("part").alias("at"), F.col("at").alias("_to"), F.col("path").alias("_on"))
+        joined = now.join(onward, "at")
+        still = F.col("at") != F.col("_to")
+        now = materialize(joined.select("part", F.col("_to").alias("at"), F.when(still, F.concat_ws(separator, "path", "_on")).otherwise(F.col("path")).alias("path")), "paths")
+        step *= 2
+    out = resolved.join(now.select("part", F.coalesce("path", F.lit("")).alias("path")), "part", "left")
+    if "first_page" in resolved.columns:
+        pages = resolved.select(F.col("part").alias("origin"), F.col("first_page").alias("_page"))
+        out = out.join(pages, "origin", "left").withColumn("first_page", F.coalesce(F.nullif("_page", F.lit("")), "first_page")).drop("_page")
+    return out
+
+
+def chain_notes(resolved: DataFrame) -> DataFrame:
+    """resolved with a sentence for each way in which a chain can fail."""
+    said = F.when(F.col("note") == "loop", "Reference chain loop detected.").when(F.col("note") == "missing target", "Reference chain target not found in this document.")
+    return resolved.withColumn("note", said)
+
+
+def reverse_map(edges: DataFrame) -> DataFrame:
+    """(target, source): which nodes point to each, every pair once."""
+    return edges.select("target", "source").distinct()
+
+
+def selection_union(*selections: DataFrame) -> DataFrame:
+    """(doc_key, footnote_id) of all selections together, each once."""
+    out = selections[0].select("doc_key", "footnote_id")
+    for other in selections[1:]:
+        out = out.unionByName(other.select("doc_key", "footnote_id"))
+    return out.distinct()
+
+
+def with_fields(rows: DataFrame, parts: DataFrame, fields: tuple[str, ...], by: tuple[str, ...] = ("doc_id", "footnote_id", "part_index")) -> DataFrame:
+    """rows with the fields of the part that they belong to; null where there is none. Of parts that repeat a key the first is taken."""
+    held = parts.groupBy(*by).agg(F.min(F.struct(*fields)).alias("_f")).select(*by, *[F.col(f"_f.{f}").alias(f) for f in fields])
+    return rows.drop(*fields).join(held, list(by), "left")
+
+
 def selection_closure(selected: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """All nodes that the selected ones (node) need, over edges (source, target): the front moves on until nothing new is met,
     however long the chains are. With rounds, an error if something new is met after so many."""
@@ -72,11 +118,16 @@ def inherited(parts: DataFrame, fields: tuple[str, ...], inherit: str = "inherit
 def registry_match(references: DataFrame, registry: DataFrame) -> DataFrame:
     """references (doc_id, seq, token, note) with the link of the earlier entry of the same document that the best tier names:
     note number, then exact short form, then the token in the citation's first 200 characters. A tier counts only if all its
-    entries share one link up to its fragment; registry: (doc_id, seq, note, short_form, verbatim, link)."""
+    entries share one link up to its fragment; registry: (doc_id, seq, note, short_form, verbatim, link).
+
+    Numbers and short forms are equality joins; entries of a document are met only by references that these leave open."""
     r = registry.select("doc_id", F.col("seq").alias("_seq"), F.col("note").alias("_note"), F.lower("short_form").alias("_short"), F.lower(F.substring("verbatim", 1, 200)).alias("_head"), "link", F.split_part("link", F.lit("#"), F.lit(1)).alias("_base"))
-    near = references.join(r, "doc_id").filter("_seq < seq")
-    token = F.lower("token")
-    tier = F.when(F.col("note") == F.col("_note"), 1).when((F.length(token) > 0) & (F.col("_short") == token), 2).when((F.length(token) > 0) & F.col("_head").contains(token), 3)
-    tiers = near.withColumn("tier", tier).filter("tier is not null").groupBy("doc_id", "seq", "tier").agg(F.count_distinct("_base").alias("_n"), F.min_by("link", "_seq").alias("link"))
-    best = tiers.filter("_n = 1").groupBy("doc_id", "seq").agg(F.min(F.struct("tier", "link")).alias("_b")).select("doc_id", "seq", "_b.*")
+    asked = references.select("doc_id", "seq", F.col("note").alias("_note"), F.lower("token").alias("_short"))
+    one = lambda met, tier: met.filter("_seq < seq").groupBy("doc_id", "seq").agg(F.count_distinct("_base").alias("_n"), F.min_by("link", "_seq").alias("link")).filter("_n = 1").select("doc_id", "seq", F.lit(tier).alias("tier"), "link")
+    numbered = one(asked.drop("_short").join(r, ["doc_id", "_note"]), 1)
+    named = one(asked.drop("_note").filter("_short <> ''").join(r.filter("_short <> ''"), ["doc_id", "_short"]), 2)
+    known = materialize(numbered.unionByName(named), "tiers")
+    left = asked.filter("_short <> ''").select("doc_id", "seq", F.col("_short").alias("_token")).join(known, ["doc_id", "seq"], "left_anti")
+    held = one(left.join(r, "doc_id").filter(F.contains("_head", "_token")), 3)
+    best = known.unionByName(held).groupBy("doc_id", "seq").agg(F.min(F.struct("tier", "link")).alias("_b")).select("doc_id", "seq", "_b.*")
     return references.join(best, ["doc_id", "seq"], "left")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.references import page_link
-from marginalia.functions.similarity import title_ratio
-from marginalia.functions.text import words
+from marginalia.functions.similarity import score, title_ratio
+from marginalia.functions.text import squeezed, words
 from marginalia.sources.shared import small
 
 FLOOR, ACCEPT = 0.50, 0.70  # fixed: similarity that a candidate needs, and that a link needs
@@ -19,26 +19,79 @@ def normal_title(column: Column) -> Column:
 
 def title_candidates(queries: DataFrame, articles: DataFrame, loose: bool = False, n: int | None = None) -> DataFrame:
     """(query_id, article_id): strict, the first three longer words (over two letters) of the query all occur in the title; loose,
-    one of the first five does. Joined by word, so titles that share none never meet."""
+    one of the first five occurs in the title, or in citation_en where the articles have that. Joined by word, so articles that
+    share none never meet."""
     n = n or (5 if loose else 3)
     keys = F.slice(F.filter(words(F.col("title")), lambda w: F.length(w) > 2), 1, n)
     q = queries.withColumn("_keys", F.array_distinct(keys)).withColumn("_need", F.lit(1) if loose else F.size("_keys"))
     asked = q.select("query_id", "_need", F.explode("_keys").alias("word"))
-    held = articles.select("article_id", F.explode(F.array_distinct(words(F.col("name_en")))).alias("word"))
+    own = words(F.concat_ws(" ", "name_en", "citation_en")) if loose and "citation_en" in articles.columns else words(F.col("name_en"))
+    held = articles.select("article_id", F.explode(F.array_distinct(own)).alias("word"))
     met = held.join(small(asked), "word").groupBy("query_id", "article_id").agg(F.count(F.lit(1)).alias("_n"), F.max("_need").alias("_need"))
     return met.filter("_n >= _need").select("query_id", "article_id")
 
 
-def metadata_fits(year: Column, citation: Column, date: Column, volume: Column, have_volume: Column) -> Column:
-    """Year within one of the date's or named in the citation, and volume within one; what the query lacks fits."""
-    y = F.coalesce(F.year(date).between(year - 1, year + 1), F.lit(False)) | F.coalesce(citation.contains(year.cast("string")), F.lit(False))
-    v = F.coalesce(F.abs(have_volume.try_cast("int") - volume.try_cast("int")) <= 1, F.lit(False))
-    return (year.isNull() | y) & (volume.isNull() | v)
+def metadata_fits(year: Column, citation: Column, date: Column, volume: Column, have_volume: Column, issue: Column | None = None, have_issue: Column | None = None, hint: Column | None = None, names: tuple[Column, ...] = ()) -> Column:
+    """Whether an article fits what a citation says of it; what the citation lacks fits. Year: within one of the date's, or one of these
+    years in the citation. Volume: within one, or its digits in the citation. Issue: within one, or behind a colon in the citation.
+    hint: part of one of the names (journal, abbreviation, citation), in any case."""
+    text, whole = F.coalesce(citation, F.lit("")), lambda c: c.try_cast("int")
+    near = lambda have, want: F.coalesce(F.abs(whole(have) - whole(want)) <= 1, F.lit(False))
+    y = F.coalesce(F.year(date).between(year - 1, year + 1), F.lit(False))
+    for step in (-1, 0, 1):
+        y = y | F.contains(text, (year + step).cast("string"))
+    fits = (year.isNull() | y) & (whole(volume).isNull() | near(have_volume, volume) | F.contains(text, whole(volume).cast("string")))
+    if issue is not None:
+        fits = fits & (whole(issue).isNull() | near(have_issue, issue) | F.contains(text, F.concat(F.lit(":"), whole(issue).cast("string"))))
+    if hint is not None:
+        wanted, found = F.lower(F.trim(F.coalesce(hint, F.lit("")))), F.lit(False)
+        for name in names:
+            found = found | F.contains(F.lower(F.coalesce(name, F.lit(""))), wanted)
+        fits = fits & ((wanted == "") | found)
+    return F.coalesce(fits, F.lit(False))
+
+
+def fitting_candidates(queries: DataFrame, articles: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Those of candidates (query_id, article_id) whose article fits the query's year, volume, issue and journal. articles have
+    citation_en, document_date_en, volume, issue, journal_name and journal_abbrev."""
+    q = queries.select("query_id", *[F.col(c).alias(f"_q_{c}") for c in ("year", "volume", "issue", "journal")])
+    a = articles.select("article_id", "citation_en", "document_date_en", "volume", "issue", "journal_name", "journal_abbrev")
+    joined = candidates.join(small(q), "query_id").join(a, "article_id")
+    fits = metadata_fits(
+        F.col("_q_year").try_cast("int"), F.col("citation_en"), F.col("document_date_en").try_cast("date"), F.col("_q_volume"), F.col("volume"), F.col("_q_issue"), F.col("issue"), F.col("_q_journal"),
+        (F.col("journal_name"), F.col("journal_abbrev"), F.col("citation_en")))
+    return joined.filter(fits).select("query_id", "article_id")
+
+
+def article_texts(asked: DataFrame, articles: DataFrame) -> DataFrame:
+    """asked (article_id and others) with the article's text; empty where there is no such article or text."""
+    held = articles.groupBy("article_id").agg(F.min("text").alias("text"))
+    return asked.join(held, "article_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def page_spans(articles: DataFrame) -> DataFrame:
+    """(doc_id, label, start, end, text) of the pages of texts with [page N] markers: from behind a marker to the next, or to the end."""
+    marks = articles.select(F.col("article_id").alias("doc_id"), F.split("text", "(?i)(?=\\[page\\s+[0-9ivxlc]{1,6}\\])").alias("_p"))
+    each = marks.select("doc_id", F.posexplode("_p").alias("_i", "_piece"), F.transform(F.sequence(F.lit(1), F.size("_p")), lambda i: F.aggregate(F.slice("_p", F.lit(1), i - 1), F.lit(0), lambda s, x: s + F.length(x))).alias("_at"))
+    head = F.regexp_extract("_piece", "(?i)^\\[page\\s+([0-9ivxlc]{1,6})\\]", 0)
+    found = each.filter(head != "").select("doc_id", F.regexp_extract("_piece", "(?i)^\\[page\\s+([0-9ivxlc]{1,6})\\]", 1).alias("label"), (F.get("_at", F.col("_i")) + F.length(head)).cast("long").alias("start"), F.substring(F.col("_piece"), F.length(head) + 1, F.length("_piece")).alias("text"))
+    return found.select("doc_id", "label", "start", (F.col("start") + F.length("text")).alias("end"), "text")
+
+
+def pages_of_quotes(asked: DataFrame, spans: DataFrame, least: float = 0.0) -> DataFrame:
+    """(item_id, doc_id, label) of the pages that hold a quotation of asked (item_id, doc_id, quote): its words in one piece whatever the
+    white space and case, or, with least above 0, a match score of at least that."""
+    flat = lambda c: F.lower(squeezed(c))
+    joined = asked.join(spans, "doc_id").filter(squeezed(F.col("quote")) != "")
+    exact = F.contains(flat(F.col("text")), flat(F.col("quote")))
+    if least > 0:
+        exact = exact | (score(F.col("text"), F.col("quote"), exact) >= least)
+    return joined.filter(exact).select("item_id", "doc_id", "label")
 
 
 def best_articles(queries: DataFrame, articles: DataFrame, candidates: DataFrame, n: int = 1, least: float = FLOOR) -> DataFrame:
-    """The n best of each query's candidates by similarity of normal titles, ties by article_id; an equal title scores 1 and is not
-    aligned at all."""
+    """The n best of each query's candidates by similarity of normal titles, ties by article_id; an equal title scores 1, is not
+    aligned at all, and leaves no other candidates. Pairs of equal titles are aligned once."""
     q = queries.select("query_id", normal_title(F.col("title")).alias("_q"))
     a = articles.select("article_id", normal_title(F.col("name_en")).alias("_t"))
     joined = candidates.join(q, "query_id").join(a, "article_id")

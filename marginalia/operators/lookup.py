@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.keys import citation_key, comma_tails, name_key
+from marginalia.functions.keys import broad_citation_key, citation_key, comma_tails, name_key
+from marginalia.sources.shared import small
 
 CITATIONS = ("citation_en", "citation2_en", "citation_fr", "citation2_fr")
 NAMES = ("name_en", "name_fr")
@@ -80,10 +81,65 @@ def section(texts: DataFrame, column: str, wanted: str) -> DataFrame:
 
 def unique_identity(candidates: DataFrame, literal: str = "literal_key", broad: str = "broad_key") -> DataFrame:
     """Per asked row (id, asked_literal, asked_broad) of candidates joined to it (row_id and the two keys): the only row of the best
-    tier. A literal hit rules broad ones out; more than one row of a tier is ambiguous."""
+    tier. A literal hit rules broad ones out; more than one row of a tier is ambiguous. Rows are counted, not gathered."""
     tier = F.when(F.col("asked_literal") == F.col(literal), 1).when(F.col("asked_broad") == F.col(broad), 2)
-    ranked = candidates.withColumn("_tier", tier)
-    best = ranked.withColumn("_best", F.min("_tier").over(Window.partitionBy("id")))
-    got = best.groupBy("id").agg(F.collect_set(F.when(F.col("_tier") == F.col("_best"), F.col("row_id"))).alias("_r"))
-    n = F.size("_r")
-    return got.select("id", F.when(n == 0, "not_found").when(n == 1, "found").otherwise("ambiguous").alias("status"), F.when(n == 1, F.col("_r")[0]).alias("row_id"))
+    per = candidates.withColumn("_tier", tier).groupBy("id", "_tier").agg(F.count_distinct("row_id").alias("_n"), F.min("row_id").alias("_r"))
+    best = per.groupBy("id").agg(F.min(F.when(F.col("_tier").isNotNull(), F.struct("_tier", "_n", "_r"))).alias("_b"))
+    n = F.coalesce("_b._n", F.lit(0))
+    return best.select("id", F.when(n == 0, "not_found").when(n == 1, "found").otherwise("ambiguous").alias("status"), F.when(n == 1, F.col("_b._r")).alias("row_id"))
+
+
+def rule_suffix(citation: Column) -> Column:
+    """The rule, section or article that a law's citation ends with, as 'r:1dot2'; empty for none. It is part of the law's identity."""
+    form = "(?i)[ ,]+(r(?:ules?)?|ss?(?:ections?)?|art(?:icles?)?)\\.?\\s*([0-9]+(?:[.\\-][0-9]+)*)\\s*$"
+    label, number = F.lower(F.regexp_extract(citation, form, 1)), F.regexp_extract(citation, form, 2)
+    family = F.when(label.startswith("r"), "r").when(label.startswith("s"), "s").otherwise("art")
+    return F.when(number == "", "").otherwise(F.concat(family, F.lit(":"), citation_key(number, False)))
+
+
+def identities(asked: DataFrame, corpus: DataFrame, laws: bool = False, unicode: bool = True) -> DataFrame:
+    """asked (id, citation) with status and row_id of the one row of corpus that its citation names, in any of the corpus's citation
+    fields: by the whole key, else by the key without pinpoints. With laws, a row whose citation ends in another rule or section
+    than the asked one's is not meant. Two rows are ambiguous; a name never decides."""
+    have = [c for c in CITATIONS if c in corpus.columns]
+    rows = corpus.unpivot(["row_id"], have, "_field", "_cited").filter(F.trim(F.coalesce("_cited", F.lit(""))) != "")
+    keyed = lambda df, c, x: df.withColumns({f"{x}literal": citation_key(F.col(c), unicode), f"{x}broad": broad_citation_key(F.col(c), unicode), f"{x}suffix": rule_suffix(F.col(c))})
+    rows, wanted = keyed(rows, "_cited", "_"), keyed(asked.select("id", "citation"), "citation", "asked_")
+    literal = wanted.filter("asked_literal <> ''").join(rows, F.col("asked_literal") == F.col("_literal")).select("id", "asked_literal", "asked_broad", "row_id", F.col("_literal").alias("literal_key"), F.col("_broad").alias("broad_key"))
+    other = (F.col("asked_suffix") != "") & (F.col("_suffix") != "") & (F.col("asked_suffix") != F.col("_suffix")) if laws else F.lit(False)
+    loose = wanted.filter("asked_broad <> ''").join(rows, F.col("asked_broad") == F.col("_broad")).filter(~other).select("id", "asked_literal", "asked_broad", "row_id", F.lit(None).cast("string").alias("literal_key"), F.col("_broad").alias("broad_key"))
+    found = unique_identity(literal.unionByName(loose))
+    return asked.join(found, "id", "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
+
+
+def locked_cases(asked: DataFrame, corpus: DataFrame, aliases: DataFrame, unicode: bool = True) -> DataFrame:
+    """asked (id, citation) with status, row_id and method: the case that the citation names, if its court's dataset is in the corpus;
+    else the case that its alias names, if that court's is. not_covered where neither is, so that another source may be asked."""
+    covered = small(corpus.select(F.col("dataset").alias("_dataset")).distinct().withColumn("_covered", F.lit(True)))
+    court = lambda c: F.coalesce(F.upper(F.regexp_extract(c, "(?i)\\b[0-9]{4}\\s+([A-Z][A-Z0-9-]{1,15})\\s+[0-9]+\\b", 1)), F.lit(""))
+    own = with_alias(asked.select("id", "citation"), aliases, unicode).withColumn("_dataset", court(F.col("citation"))).join(covered, "_dataset", "left").withColumnsRenamed({"_covered": "_own"}).drop("_dataset")
+    both = own.withColumn("_dataset", court(F.col("canonical_citation"))).join(covered, "_dataset", "left")
+    use = F.when(F.col("_own"), F.col("citation")).when(F.col("_covered"), F.col("canonical_citation"))
+    method = F.when(F.col("_own"), "citation").when(F.col("_covered"), "alias").otherwise("not_covered")
+    chosen = both.select("id", use.alias("citation"), method.alias("method"))
+    found = identities(chosen.filter("citation is not null"), corpus, unicode=unicode).select("id", "status", "row_id")
+    out = asked.join(chosen.select("id", "method"), "id", "left").join(found, "id", "left")
+    return out.withColumn("status", F.coalesce("status", F.when(F.col("method") == "not_covered", "not_covered").otherwise("not_found")))
+
+
+def fetch_rows(located: DataFrame, corpus: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """located (path, row and others) with the fields of the rows at these places of the corpus's files. A row is found by file and
+    position together; fields that the corpus lacks are null."""
+    have = [f for f in fields if f in corpus.columns]
+    held = corpus.select("path", "row", *have)
+    out = located.join(held, ["path", "row"], "left")
+    return out.select("*", *[F.lit(None).cast("string").alias(f) for f in fields if f not in have])
+
+
+def any_field(corpus: DataFrame, fields: Sequence[str], value: str) -> DataFrame:
+    """Rows any of whose fields is the value; if there is none, those where one is it but for white space at the ends and case."""
+    have = [f for f in fields if f in corpus.columns]
+    exact = corpus.filter(F.lit(value).isin(*[F.col(f) for f in have]))
+    if have and exact.isEmpty():
+        return corpus.filter(F.lit(value.strip().lower()).isin(*[F.lower(F.trim(F.col(f))) for f in have]))
+    return exact

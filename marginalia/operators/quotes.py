@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import similarity, text
-from marginalia.sources.shared import small
+from marginalia.sources.shared import materialize, small
 
 MINIMUM, STRONG, MARGIN = 0.60, 0.98, 0.10  # fixed: thresholds of partial matches, of matches, and between a best and a second
 
@@ -17,41 +19,54 @@ def distinct_quotes(quotes: DataFrame, by: str, quote: str, order: str) -> DataF
     return quotes.withColumn("_key", text.comparable(F.col(quote))).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_key", "_rn")
 
 
-def ngrams(words, n: int):
-    """All runs of n words as strings; none for fewer words. Shifted copies of the list are zipped, so the words are found once a
-    copy and not once a run."""
+def run_hashes(words, n: int):
+    """64-bit hashes of all runs of n words of an array column, which should be a column and no expression, as it is read n times;
+    none for fewer words. Among 10^12 runs of sources and 10^6 of quotations two fall together with a chance of about 0.05."""
     many = F.greatest(F.size(words) - n + 1, F.lit(0))
-    runs = F.slice(words, F.lit(1), many)
+    hashed = lambda i: F.transform(F.slice(words, F.lit(i), many), lambda w: F.xxhash64(w))
+    runs = hashed(1)
     for i in range(2, n + 1):
-        runs = F.zip_with(runs, F.slice(words, F.lit(i), many), lambda a, b: F.concat(a, F.lit(" "), b))
-    return runs
+        runs = F.zip_with(runs, hashed(i), lambda a, b: F.xxhash64(a, b))
+    return F.array_distinct(runs)
 
 
 def ngram_candidates(quotes: DataFrame, sources: DataFrame, n: int = 5, least: int = 1) -> DataFrame:
     """(item_id, doc_id, shared): sources that share at least `least` different n-word runs with a quotation.
 
-    Sources' runs meet the quotations' distinct ones; those are broadcast only if they are few, so a large corpus is read once
-    and what is shuffled are the hits."""
-    q = quotes.select("item_id", F.explode(F.array_distinct(ngrams(text.words(F.col("text")), n))).alias("gram"))
-    runs = sources.select("doc_id", F.explode(F.array_distinct(ngrams(text.words(F.col("text")), n))).alias("gram"))
-    return runs.join(small(q), "gram").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    Words are found once a text; only hashes of runs are exploded, and meet those of the quotations, which are broadcast if they are
+    few. So a large corpus is read once and what is shuffled are the hits."""
+    hashed = lambda df, key: df.select(key, text.words(F.col("text")).alias("_w")).select(key, F.explode(run_hashes(F.col("_w"), n)).alias("run"))
+    return hashed(sources, "doc_id").join(small(hashed(quotes, "item_id")), "run").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
 def exact_matches(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """(item_id, doc_id): sources that contain a quotation, both in comparable form.
 
-    A quotation is looked for where its anchor occurs: the three spaced pieces in its middle, which a source that contains it must
-    have as three whole pieces. Only anchors are joined; the texts are compared for the hits."""
-    q = quotes.select("item_id", text.comparable(F.col("text")).alias("_q")).withColumn("_p", F.split("_q", " "))
-    middle = (F.size("_p") / 2).cast("int")
-    anchored = q.filter(F.size("_p") >= 5).withColumn("gram", F.array_join(F.slice("_p", middle, 3), " ")).drop("_p")
-    hay = sources.select("doc_id", text.comparable(F.col("text")).alias("_d"))
-    runs = hay.select("doc_id", F.explode(F.array_distinct(ngrams(F.split("_d", " "), 3))).alias("gram"))  # without the text
-    hits = runs.join(small(anchored.select("item_id", "gram")), "gram").select("item_id", "doc_id").distinct()
-    long = hay.join(hits, "doc_id").join(small(anchored.select("item_id", "_q")), "item_id").filter(text.contained(F.col("_q"), F.col("_d"))).select("item_id", "doc_id")
-    short = q.filter((F.size("_p") < 5) & (F.length("_q") > 0)).drop("_p")
-    few = hay.join(small(short), text.contained(F.col("_q"), F.col("_d"))).select("item_id", "doc_id")  # a stated list of short quotations
-    return long.unionByName(few).distinct()
+    A quotation is looked for where its anchor occurs: of five pieces and more the three in its middle, of three and four the
+    second, of one the word itself, each of which a source that contains the quotation must have as whole pieces. Hashes of anchors
+    are joined; the texts are compared for the hits. Quotations of two pieces, which have no whole piece for certain, are
+    a list that every source is asked for."""
+    q = quotes.select("item_id", text.comparable(F.col("text")).alias("_q")).filter("_q <> ''").withColumn("_p", F.split("_q", " "))
+    q = materialize(q.withColumn("_n", F.size("_p")), "asked")
+    have = {r[0] for r in q.select(F.when(F.col("_n") >= 5, 3).when(F.col("_n") >= 3, 1).when(F.col("_n") == 1, 0).otherwise(2)).distinct().collect()}  # at most four numbers
+    pieces = sources.select("doc_id", F.split(text.comparable(F.col("text")), " ").alias("_p"))
+    asked = {
+        3: q.filter("_n >= 5").select("item_id", F.explode(run_hashes(F.slice("_p", (F.col("_n") / 2).cast("int"), 3), 3)).alias("run")),
+        1: q.filter("_n in (3, 4)").select("item_id", F.xxhash64(F.xxhash64(F.col("_p")[1])).alias("run")),
+        0: q.filter("_n = 1").select("item_id", F.xxhash64("_q").alias("run"))}
+    alone = F.split(F.regexp_replace(F.array_join("_p", " "), "[^\\p{L}\\p{N}']+", " "), " ")
+    held = {3: run_hashes(F.col("_p"), 3), 1: F.transform(F.array_distinct("_p"), lambda w: F.xxhash64(F.xxhash64(w))), 0: F.transform(F.array_distinct(alone), lambda w: F.xxhash64(w))}
+    found = [pieces.select("doc_id", F.explode(held[k]).alias("run")).join(small(asked[k]), "run").select("item_id", "doc_id") for k in (3, 1, 0) if k in have]
+    if not found:
+        found = [quotes.select("item_id").limit(0).join(sources.select("doc_id").limit(0))]
+    hits = functools.reduce(DataFrame.unionByName, found).distinct()
+    hay = lambda df: df.withColumn("_d", text.comparable(F.col("_t")))  # noqa: E731 - compared behind the join, so for the hits only
+    met = sources.select("doc_id", F.col("text").alias("_t")).join(hits, "doc_id").join(small(q.select("item_id", "_q")), "item_id")
+    exact = hay(met).filter(text.contained(F.col("_q"), F.col("_d"))).select("item_id", "doc_id")
+    if 2 not in have:
+        return exact
+    two = hay(sources.select("doc_id", F.col("text").alias("_t"))).join(small(q.filter("_n = 2").select("item_id", "_q")), text.contained(F.col("_q"), F.col("_d")))
+    return exact.unionByName(two.select("item_id", "doc_id"))
 
 
 def line_blocks(sources: DataFrame) -> DataFrame:
@@ -62,14 +77,27 @@ def line_blocks(sources: DataFrame) -> DataFrame:
     return lines.withColumn("start", start).select("doc_id", "block", "start", (F.col("start") + F.length("text")).alias("end"), "text")
 
 
+def cut(marks: DataFrame, sources: DataFrame, trimmed: bool = False) -> DataFrame:
+    """marks (doc_id, start, end: null for the end of the source, and others) with end filled in and text, what stands between. The
+    marks of a source are gathered, so its text is met once and not once a mark."""
+    others = [c for c in marks.columns if c not in ("doc_id", "start", "end")]
+    listed = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", *others)).alias("_m"))
+    joined = listed.join(sources.select("doc_id", F.col("text").alias("_all")), "doc_id")
+
+    def filled(m):
+        end = F.coalesce(m["end"], F.length("_all").cast("long"))
+        part = F.substring("_all", (m["start"] + 1).cast("int"), (end - m["start"]).cast("int"))
+        return F.struct(m["start"].alias("start"), end.alias("end"), *[m[c].alias(c) for c in others], (F.regexp_replace(part, "\\s+$", "") if trimmed else part).alias("text"))
+
+    return joined.select("doc_id", F.inline(F.transform("_m", filled)))
+
+
 def markers(sources: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, label, start, end, text) of blocks that begin at a marker (pattern's first group is the label, at the start of a
     line) and end at the next marker or with the source."""
-    lines = line_blocks(sources).withColumn("label", F.regexp_extract("text", pattern, 1))
-    total = sources.select("doc_id", F.length("text").cast("long").alias("_len"), F.col("text").alias("_text"))
-    marked = lines.filter("label <> ''").withColumn("_next", F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")))
-    ended = marked.drop("text").join(total, "doc_id").withColumn("end", F.coalesce(F.col("_next") - 1, F.col("_len")))
-    return ended.select("doc_id", "label", "start", "end", F.substring("_text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("text"))
+    marked = line_blocks(sources).withColumn("label", F.regexp_extract("text", pattern, 1)).filter("label <> ''").drop("text", "end")
+    ended = marked.withColumn("end", F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")) - 1)
+    return cut(ended.select("doc_id", "label", "start", "end"), sources).select("doc_id", "label", "start", "end", "text")
 
 
 def monotone_blocks(blocks: DataFrame, least: int = 5, gap: int = 8) -> DataFrame:
@@ -97,24 +125,20 @@ def locate(matches: DataFrame, quotes: DataFrame, blocks: DataFrame) -> DataFram
 
 def scored(pairs: DataFrame, quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """pairs (item_id, doc_id) with exact and score; partial matches below MINIMUM or without enough shared content are dropped.
-    Exact pairs and implausible ones never reach the alignment."""
-    joined = pairs.join(quotes.select("item_id", F.col("text").alias("_q")), "item_id").join(sources.select("doc_id", F.col("text").alias("_d")), "doc_id")
+    Exact pairs and implausible ones never reach the alignment, which sees whole sources (long ones around anchor phrases)."""
+    joined = pairs.join(small(quotes.select("item_id", F.col("text").alias("_q"))), "item_id").join(sources.select("doc_id", F.col("text").alias("_d")), "doc_id")
     exact = text.contained(text.comparable(F.col("_q")), text.comparable(F.col("_d")))
     judged = joined.withColumn("exact", exact).filter(F.col("exact") | text.plausible(F.col("_q"), F.col("_d")))
-    region = matching_region(F.col("_q"), F.col("_d"))
-    out = judged.withColumn("score", similarity.score(region, F.col("_q"), F.col("exact")))
+    out = judged.withColumn("score", similarity.score(F.col("_d"), F.col("_q"), F.col("exact")))
     return out.filter(F.col("score") >= MINIMUM).select("item_id", "doc_id", "exact", F.round("score", 6).alias("score"))
 
 
-def matching_region(quote, source, anchor: int = 4):
-    """The stretch of the source around the first anchor, a run of words of the quotation, that it contains, with the quotation's
-    length to either side; the whole source if it has none or is short. Keeps the alignment's cost by the quotation's length."""
-    q = F.split(text.squeezed(quote), " ")
-    s = text.squeezed(source)
-    found = F.filter(F.transform(ngrams(q, anchor), lambda g: F.instr(s, g)), lambda p: p > 0)
-    size = F.length(quote)
-    start = F.greatest(F.try_element_at(found, F.lit(1)) - size, F.lit(1))
-    return F.when((F.length(s) <= 4 * size) | (F.size(found) == 0), s).otherwise(F.substring(s, start.cast("int"), (size * 3).cast("int")))
+def corrections(matches: DataFrame, quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """matches (item_id, doc_id) with fragment, the stretch of the source that the quotation stands for, and corrected, the
+    quotation in that stretch's words: what it leaves out as ..., its own words in brackets."""
+    joined = matches.select("item_id", "doc_id").join(small(quotes.select("item_id", F.col("text").alias("_q"))), "item_id").join(sources.select("doc_id", F.col("text").alias("_d")), "doc_id")
+    found = joined.withColumn("fragment", similarity.source_fragment(F.col("_d"), F.col("_q"))).drop("_d")
+    return found.withColumn("corrected", similarity.corrected_quote(F.col("fragment"), F.col("_q"))).drop("_q")
 
 
 def clear_winner(scores: DataFrame, by: str = "item_id") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from marginalia.functions.text import words
-from marginalia.operators.quotes import line_blocks
+from marginalia.functions.text import source_text, words
+from marginalia.operators.quotes import cut, line_blocks
+from marginalia.sources.shared import materialize
 
 #: Fixed: how paragraphs are marked at the start of a line, in order of trust, and the limits of what counts as a structure.
 STYLES = (("bracket", "^\\s*\\[([0-9]{1,4})\\]"), ("dot", "^\\s*([0-9]{1,4})[.)]\\s"), ("bare", "^\\s*([0-9]{1,4})\\s+\\S"))
@@ -35,11 +38,8 @@ def ascending_scopes(numbers: pa.Array) -> pa.Array:
 
 
 def _cut(marks: DataFrame, sources: DataFrame) -> DataFrame:
-    """marks (doc_id, label, start and more) with end and text: up to the next mark, or the end of the source."""
-    w = Window.partitionBy("doc_id").orderBy("start")
-    ended = marks.withColumn("_next", F.lead("start").over(w)).join(sources.select("doc_id", F.col("text").alias("_all")), "doc_id")
-    ended = ended.withColumn("end", F.coalesce(F.col("_next"), F.length("_all").cast("long")))
-    return ended.withColumn("text", F.regexp_replace(F.substring("_all", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), "\\s+$", "")).drop("_next", "_all")
+    """marks (doc_id, start and more) with end and text: up to the next mark, or the end of the source."""
+    return cut(marks.withColumn("end", F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))), sources, trimmed=True)
 
 
 def paragraphs(sources: DataFrame) -> DataFrame:
@@ -56,22 +56,22 @@ def paragraphs(sources: DataFrame) -> DataFrame:
     each = scoped.select("doc_id", "rank", "style", F.explode(F.arrays_zip("_m", "_s")).alias("z")).select("doc_id", "rank", "style", F.col("z._s").alias("scope"), F.col("z._m.start").alias("start"), F.col("z._m.number").alias("number"))
     by = ["doc_id", "rank", "scope"]
     runs = each.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).filter(F.col("_n") >= LEAST_RUN)
-    w = Window.partitionBy(*by).orderBy("start")
-    cut = runs.withColumn("_next", F.lead("start").over(w)).join(sources.select("doc_id", F.col("text").alias("_all")), "doc_id")
-    cut = cut.withColumn("end", F.coalesce("_next", F.length("_all").cast("long"))).withColumn("text", F.regexp_replace(F.substring("_all", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), "\\s+$", ""))
-    counted = cut.withColumn("_w", F.size(words(F.col("text"))))
-    judged = counted.groupBy(*by).agg(
+    ended = runs.withColumn("end", F.lead("start").over(Window.partitionBy(*by).orderBy("start")))
+    whole = cut(ended, sources, trimmed=True).withColumn("_w", F.size(words(F.col("text"))))
+    length = sources.select("doc_id", F.length("text").alias("_len"))
+    judged = whole.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("number").alias("_first"), F.median("_w").alias("_median"), F.avg((F.col("_w") >= LEAST_WORDS).cast("double")).alias("_share"),
-        ((F.max("start") - F.min("start")) / F.greatest(F.max(F.length("_all")), F.lit(1))).alias("_span"))
+        (F.max("start") - F.min("start")).alias("_span")).join(length, "doc_id").withColumn("_span", F.col("_span") / F.greatest("_len", F.lit(1)))
     good = judged.filter((F.col("_median") >= LEAST_WORDS) & (F.col("_span") >= LEAST_SPAN) & ((F.col("rank") == 0) | (F.col("_share") >= LEAST_SUBSTANCE)))
     best = good.groupBy("doc_id").agg(F.max_by(F.struct("rank", "scope"), F.struct(F.col("_first") <= 5, "_n", -F.col("rank"), -F.col("_first"))).alias("b")).select("doc_id", "b.*")
-    return cut.join(best, by, "left_semi").select("doc_id", "style", "number", "start", "end", "text")
+    return whole.join(best, by, "left_semi").select("doc_id", "style", "number", "start", "end", "text")
 
 
-def pages(sources: DataFrame, least: int = 3) -> DataFrame:
+def pages(sources: DataFrame, least: int = 3, first: str | None = None) -> DataFrame:
     """(doc_id, label, start, end, text) between page marks ([page 12], or Page 12 on a line of its own) whose numbers follow each
     other without a gap: the longest such run if it is the only longest and has at least `least` marks. Its last page, whose end is
-    not known, is left out."""
+    not known, is left out. first names a column of sources with the page on which the report begins: what stands before the
+    first mark is that page, if the mark is the next one."""
     lines = line_blocks(sources)
     marked = lines.withColumn("label", F.regexp_extract("text", "(?i)^\\s*(?:\\[page ([0-9]{1,5})\\]|page ([0-9]{1,5})\\s*$)", 0)).filter("label <> ''").withColumn("number", F.regexp_extract("label", "([0-9]+)", 1).cast("int"))
     w = Window.partitionBy("doc_id").orderBy("start")
@@ -79,22 +79,101 @@ def pages(sources: DataFrame, least: int = 3) -> DataFrame:
     sized = runs.groupBy("doc_id", "_run").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
     ranked = sized.withColumn("_top", F.max("_n").over(Window.partitionBy("doc_id"))).filter("_n = _top").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k"), F.max("_run").alias("_run")).filter("_k = 1")
     kept = runs.join(ranked.select("doc_id", "_run"), ["doc_id", "_run"]).select("doc_id", "number", "start")
+    if first:
+        opening = kept.groupBy("doc_id").agg(F.min("number").alias("_n"), F.min("start").alias("_at")).join(sources.select("doc_id", F.col(first).try_cast("int").alias("_first")), "doc_id")
+        kept = kept.unionByName(opening.filter("_first = _n - 1 and _at > 0").select("doc_id", F.col("_first").alias("number"), F.lit(0).cast("long").alias("start")))
     last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("start").desc())) == 1
     return _cut(kept.withColumn("_last", last), sources).filter("not _last").select("doc_id", F.col("number").cast("string").alias("label"), "start", "end", "text")
 
 
-def sections(sources: DataFrame) -> DataFrame:
-    """(doc_id, label, parents, start, end, text) of numbered sections (12, 12.1, 12-3) that ascend, from the source's first 70 % on
-    and over at least a tenth of it; parents are the labels above, the nearest first."""
-    lines = line_blocks(sources).withColumn("label", F.regexp_extract("text", "^\\s*([0-9]+(?:[.-][0-9]+)*)\\.?\\s+[\\p{Lu}(]", 1)).filter("label <> ''")
-    order = F.transform(F.split("label", "[.-]"), lambda x: x.cast("int"))
-    w = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    rising = lines.withColumn("_o", order).withColumn("_max", F.max("_o").over(w)).filter("_max is null or _o > _max")
-    span = rising.groupBy("doc_id").agg(F.min("start").alias("_lo"), F.max("start").alias("_hi"), F.count(F.lit(1)).alias("_n")).join(sources.select("doc_id", F.length("text").alias("_len")), "doc_id")
-    good = span.filter("_n >= 2 and _hi - _lo >= 0.1 * _len and _lo <= 0.7 * _len").select("doc_id")
+@F.arrow_udf(ArrayType(IntegerType()))
+def ascending_labels(labels: pa.Array) -> pa.Array:
+    """Scope of each section label (an array of numbers) of a list in reading order: it continues the scope whose last label is the
+    greatest below it of as many numbers; otherwise it begins one."""
+
+    def one(row: list[list[int]]) -> list[int]:
+        last: list[list[int]] = []
+        out = []
+        for label in row:
+            below = [(x, -i) for i, x in enumerate(last) if len(x) == len(label) and x < label]
+            at = -max(below)[1] if below else len(last)
+            last[at : at + 1] = [label]
+            out.append(at)
+        return out
+
+    return pa.array([None if r is None else one(r) for r in labels.to_pylist()], pa.list_(pa.int32()))
+
+
+def hyphenated(name: Column) -> Column:
+    """Whether a law numbers its provisions with hyphens (7-2), as court rules do."""
+    return F.coalesce(name.rlike("(?i)\\brules?\\b"), F.lit(False))
+
+
+def sections(sources: DataFrame, hyphens: str | None = None) -> DataFrame:
+    """(doc_id, label, parents, start, end, text) of a law's numbered sections: the longest of several readings of its marks, from the
+    first 70 % on and over at least a tenth of the source. parents are the labels above, the nearest first.
+
+    Readings: ascending whole or dotted numbers of one depth; with hyphens, a boolean column of sources, also hyphenated and mixed ones that
+    begin at 1-1. A reading has at least three marks. Dotted sections that occur once between a whole number and the next, and
+    belong to it, are sections of their own."""
+    wanted = sources.select("doc_id", F.col(hyphens).alias("_h")) if hyphens else sources.select("doc_id", F.lit(False).alias("_h"))
+    lines = line_blocks(sources).withColumn("label", F.regexp_extract("text", "^\\s*([0-9]{1,5}(?:[.-][0-9]{1,5}){0,3})\\.?\\s+[\\p{Lu}(\\[“\"]", 1)).filter("label <> ''").select("doc_id", "label", "start")
+    dot, dash = F.contains("label", F.lit(".")), F.contains("label", F.lit("-"))
+    style = F.when(dot & dash, "mixed").when(dash, "hyphen").otherwise("plain")
+    marks = lines.join(wanted, "doc_id").withColumns({"_style": style, "_o": F.transform(F.split("label", "[.-]"), lambda x: x.cast("int"))}).filter("_h or _style = 'plain'").drop("_h")
+    listed = marks.groupBy("doc_id", "_style").agg(F.array_sort(F.collect_list(F.struct("start", "label", "_o"))).alias("_m"))
+    scoped = listed.withColumn("_s", ascending_labels(F.transform("_m", lambda m: m["_o"])))
+    each = scoped.select("doc_id", "_style", F.explode(F.arrays_zip("_m", "_s")).alias("z")).select("doc_id", "_style", F.col("z._s").alias("_scope"), "z._m.*")
+    by = ["doc_id", "_style", "_scope"]
+    runs = each.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min_by("_o", "start").alias("_first"))
+    good = runs.filter((F.col("_n") >= 3) & ((F.col("_style") == "plain") | F.forall("_first", lambda x: x == 1)))
+    rank = F.struct("_n", F.when(F.col("_style") == "plain", 2).when(F.col("_style") == "hyphen", 1).otherwise(0), -F.col("_scope"))
+    best = good.groupBy("doc_id").agg(F.max_by(F.struct("_style", "_scope"), rank).alias("b")).select("doc_id", "b.*")
+    spine = each.join(best, by, "left_semi").withColumn("_depth", F.size("_o"))
+    upto = spine.withColumn("_next", F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))).filter("_depth = 1").select("doc_id", F.get("_o", F.lit(0)).alias("_parent"), F.col("start").alias("_from"), "_next")
+    inner = marks.filter(F.contains("label", F.lit(".")) & ~F.contains("label", F.lit("-"))).withColumn("_parent", F.get("_o", F.lit(0))).join(upto, ["doc_id", "_parent"]).filter("start > _from and (_next is null or start < _next)")
+    once = inner.groupBy("doc_id", "_parent", "label").agg(F.count(F.lit(1)).alias("_k"), F.min("start").alias("start")).filter("_k = 1").select("doc_id", "label", "start")
+    found = spine.select("doc_id", "label", "start").unionByName(once).distinct()
     parts = F.split("label", "\\.")
     parents = F.when(F.size(parts) > 1, F.transform(F.sequence(F.size(parts) - 1, F.lit(1)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).otherwise(F.array().cast("array<string>"))
-    return _cut(rising.join(good, "doc_id", "left_semi").select("doc_id", "label", parents.alias("parents"), "start"), sources).select("doc_id", "label", "parents", "start", "end", "text")
+    cut_ = _cut(found.withColumn("parents", parents), sources)
+    span = cut_.groupBy("doc_id").agg(F.min("start").alias("_lo"), F.max("end").alias("_hi")).join(sources.select("doc_id", F.length("text").alias("_len")), "doc_id")
+    sound = span.filter("_hi - _lo >= 0.1 * _len and _lo <= 0.7 * _len").select("doc_id")
+    return cut_.join(sound, "doc_id", "left_semi").select("doc_id", "label", "parents", "start", "end", "text")
+
+
+def section_map(laws: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label, start, end, text) of laws whose sections are given as a JSON map in column: in the map's order, joined by line
+    ends, with their places in the joined text. Blank sections are left out; labels that are no section numbers (up to four numbers
+    with dots or dashes) take their place in the text and have no row."""
+    entries = F.map_entries(F.from_json(column, "map<string,string>"))
+    some = F.filter(F.transform(entries, lambda e: F.struct(F.trim(e["key"]).alias("label"), F.trim(source_text(e["value"])).alias("text"))), lambda e: F.coalesce(e["text"], F.lit("")) != "")
+    listed = laws.select("doc_id", some.alias("_e"))
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_e"), F.lit(1))), lambda i: F.aggregate(F.slice("_e", F.lit(1), i - 1), F.lit(0).cast("long"), lambda n, e: n + F.length(e["text"]) + 1))
+    each = listed.filter(F.size("_e") > 0).select("doc_id", starts.alias("_s"), F.posexplode("_e").alias("_i", "_x"))
+    placed = each.select("doc_id", "_x.label", F.get("_s", F.col("_i")).alias("start"), "_x.text").withColumn("end", F.col("start") + F.length("text"))
+    return placed.filter(F.col("label").rlike("^[0-9]{1,8}(?:[.-][0-9]{1,8}){0,3}$")).select("doc_id", "label", "start", "end", "text")
+
+
+def structures(sources: DataFrame) -> DataFrame:
+    """(doc_id, kind, label, start, end, text) of sources (doc_id, source_kind, text and optionally name, sections, first_page), each by
+    what it is: laws by their section map where they have one, else by their sections; all others by their numbered paragraphs, or,
+    without these, by their pages."""
+    laws, others = sources.filter("source_kind = 'law'"), sources.filter("source_kind <> 'law'")
+    rows = lambda df, kind, label: df.select("doc_id", F.lit(kind).alias("kind"), label.alias("label"), "start", "end", "text")
+    found = []
+    plain = laws
+    if "sections" in sources.columns:
+        mapped = section_map(laws, "sections")
+        plain = laws.join(mapped.select("doc_id").distinct(), "doc_id", "left_anti")
+        found.append(rows(mapped, "section", F.col("label")))
+    named = plain.withColumn("_hyphens", hyphenated(F.col("name")) if "name" in sources.columns else F.lit(False))
+    found.append(rows(sections(named, "_hyphens"), "section", F.col("label")))
+    numbered = materialize(paragraphs(others), "paragraphs")
+    found.append(rows(numbered, "paragraph", F.concat(F.lit("par"), F.col("number").cast("string"))))
+    rest = others.join(numbered.select("doc_id").distinct(), "doc_id", "left_anti")
+    found.append(rows(pages(rest, first="first_page" if "first_page" in sources.columns else None), "page", F.concat(F.lit("page "), F.col("label"))))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def provisions(sources: DataFrame) -> DataFrame:
@@ -116,9 +195,23 @@ def provisions(sources: DataFrame) -> DataFrame:
 
 
 def sentence_before(text: Column, position: Column) -> Column:
-    """The last sentence that begins before the position (characters before an anchor): abbreviations and numbers don't end one."""
-    ended = F.regexp_replace(F.substring(text, F.lit(1), position), f"(?<!\\b(?:{_ABBREVIATED}|\\p{{Lu}}))([.!?][\"”’)\\]]*)\\s+(?=[\\p{{Lu}}“\"(\\[])", "$1␟")
-    return F.trim(F.element_at(F.split(F.rtrim(ended), "␟"), -1))
+    """The last sentence that begins before the position (characters before an anchor): abbreviations, numbers and ellipses don't end
+    one, line ends do. At most 1,200 characters before the position are looked at."""
+    ended = F.regexp_replace(F.substring(text, F.greatest(position - 1200, F.lit(0)) + 1, F.least(position, F.lit(1200))), f"(?<!\\b(?:{_ABBREVIATED}|\\p{{Lu}}))(?<!\\.\\.)([.!?][\"”’)\\]]*)\\s+(?=[\\p{{Lu}}“\"(\\[])|\\n", "$1␟")
+    return F.trim(F.element_at(F.split(F.rtrim(F.regexp_replace(ended, "␟\\s*$", "")), "␟"), -1))
+
+
+def anchor_position(text: Column, position: Column) -> Column:
+    """A place inside the sentence that a note at position belongs to: the mark that ends the sentence before the note, with closing quotation
+    marks and brackets between, else the position itself."""
+    before = F.rtrim(F.substring(text, F.lit(1), position))
+    closed = F.regexp_extract(before, "(?s)^(.*[.!?])\\s*[)\"'\\]}”’]+$", 1)
+    return F.when(before.rlike("[.!?]$"), F.length(before) - 1).when(closed != "", F.length(closed) - 1).otherwise(position)
+
+
+def introduction_end(text: Column) -> Column:
+    """Where the text behind the first heading 'Introduction' begins; 0 without one."""
+    return F.coalesce(F.length(F.regexp_extract(text, "(?is)^(.*?\\bIntroduction\\b\\s*)", 1)), F.lit(0))
 
 
 def propositions(paragraphs_: DataFrame, anchors: DataFrame) -> DataFrame:

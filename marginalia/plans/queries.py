@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import keys, references, text
 from marginalia.operators import chains, inventory, journals, lookup, quotes, scopes, sequences, splitting, structure
+from marginalia.sources.shared import materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -48,6 +49,7 @@ def name_citation_self_join(spark, sf_dir):
 def lookup_status(spark, sf_dir):
     (docs,) = _read(spark, sf_dir, "documents")
     keyed = docs.select("doc_id", F.md5(F.lower(F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", " ")))).alias("lookup_key"))
+    keyed = materialize(keyed, "keyed")
     index = keyed.select("lookup_key", F.col("doc_id").alias("row_id"), F.lit("citation").alias("lookup_type"))
     return lookup.exact_lookup(keyed, index).select("doc_id", "status", "hits")
 
@@ -366,7 +368,8 @@ def _comparable(c: str) -> str:
     c = f"lower(trim(regexp_replace({c}, '{_SPACE}', ' ', 'g')))"
     c = f"""regexp_replace({c}, '^["'']+|["'']+$', '', 'g')"""
     c = f"""regexp_replace({c}, '"([,.;:!?])', '\\1', 'g')"""
-    return f"trim(regexp_replace({c}, '[ ,.;:!?]+$', ''))"
+    c = f"regexp_replace({c}, '[ ,.;:!?]+$', '')"
+    return f"trim(regexp_replace({c}, '^\\[([a-z])\\]([a-z])', '\\1\\2'))"
 
 
 _EXACT = f"""q AS (SELECT item_id, {_comparable('text')} AS q FROM benchmark), d AS (SELECT doc_id, text, {_comparable('text')} AS d FROM documents),
@@ -405,9 +408,9 @@ SELECT p_partkey AS id, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'fo
     "line_block_offsets": f"""WITH {_LINES}, o AS (SELECT doc_id, block, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lines)
 SELECT doc_id, block::INT AS block, start, start + length(text) AS "end" FROM o""",
     "ngram_candidates": f"WITH {_GRAMS} SELECT * FROM cand",
-    "content_overlap": f"""WITH {_GRAMS}, p AS (SELECT item_id, doc_id, list_filter(list_distinct({_WORDS.format('b.text')}), lambda w: NOT list_contains({_STOP}, w)) AS q, {_WORDS.format('d.text')} AS d FROM cand JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
+    "content_overlap": f"""WITH {_GRAMS}, p AS (SELECT item_id, doc_id, list_filter(list_distinct({_WORDS.format('b.text')}), lambda w: NOT list_contains({_STOP}, w) AND NOT regexp_full_match(w, '\\p{{L}}')) AS q, {_WORDS.format('d.text')} AS d FROM cand JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
 n AS (SELECT item_id, doc_id, len(q) AS content, len(list_intersect(q, d)) AS common FROM p)
-SELECT item_id, doc_id, content::INT AS content, common::INT AS common, CASE WHEN content = 0 THEN false WHEN content <= 2 THEN common >= 1 WHEN content <= 4 THEN common >= 2 ELSE common * 100 >= content * 35 END AS plausible FROM n""",
+SELECT item_id, doc_id, content::INT AS content, common::INT AS common, CASE WHEN content = 0 THEN true WHEN content <= 2 THEN common >= 1 WHEN content <= 4 THEN common >= 2 ELSE common * 100 >= content * 35 END AS plausible FROM n""",
     "verify_quotes": f"""WITH {_LOCATED}, f AS (SELECT item_id, count(DISTINCT doc_id) AS sources, min((doc_id, block)) AS place FROM loc WHERE span IS NOT NULL GROUP BY 1)
 SELECT item_id, coalesce(sources, 0) AS sources, coalesce(f.place[1], -1) AS doc_id, coalesce(f.place[2], -1)::INT AS block, CASE WHEN sources > 0 THEN 'OG_PINPOINT_MATCH' ELSE 'NO_MATCH' END AS status FROM benchmark LEFT JOIN f USING (item_id)""",
     "inline_quotes": """WITH q AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[“"]([^”"]*)[”"]', 1), lambda x: trim(x) <> '') AS q FROM documents) SELECT doc_id, (i - 1)::INT AS n, q[i] AS quote FROM q, unnest(range(1, len(q) + 1)) AS u(i)""",

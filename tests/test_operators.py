@@ -1,6 +1,7 @@
 """The library's own operators on small rows, edge cases first."""
 
 import io
+import random
 import zipfile
 from collections import Counter
 from difflib import SequenceMatcher
@@ -8,8 +9,9 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import keys, references, similarity, text
-from marginalia.operators import chains, inventory, journals, lookup, quotes, sequences, splitting
+from marginalia.functions import citations, keys, references, shortforms, similarity, text
+from marginalia.operators import boundaries, chains, inventory, journals, links, lookup, quotes, scopes, sequences, splitting, structure
+from marginalia.operators import registry as reg
 from marginalia.sources import readers, sinks
 
 
@@ -42,7 +44,7 @@ def test_comparable_and_containment(spark):
 def test_plausible_thresholds(spark):
     pairs = [("cat", "the cat"), ("cat dog bird", "cat bird"), ("cat dog bird", "cat"), ("of the", "of the"), ("a1 a2 a3 a4 a5 a6", "a1 a2"), ("a1 a2 a3 a4 a5 a6", "a1 a2 a3")]
     rows = spark.createDataFrame(pairs, "q string, s string").select(text.plausible(F.col("q"), F.col("s")).alias("r")).collect()
-    assert [r.r for r in rows] == [True, True, False, False, False, True]
+    assert [r.r for r in rows] == [True, True, False, True, False, True]  # without content words nothing speaks against a quotation
 
 
 def test_inline_quotes(spark):
@@ -88,7 +90,34 @@ def test_matching_blocks_keep_operand_order(spark):
 
 def test_corrected_quotes(spark):
     rows = spark.createDataFrame([("the court has the final say", "the court has final say"), ("the court has the final say", "the high court has the last say"), ("x", "y"), ("x", "")], "s string, q string").select(similarity.corrected_quote("s", "q").alias("r")).collect()
-    assert [r.r for r in rows] == ["the court has ... final say", "the [high] court has the [last] say", "[y]", ""]
+    assert [r.r for r in rows] == ["the court has ... final say", "the [high] court has the [last] say", "[y]", "x"]
+    assert similarity.corrected("the test was run by all of them", "the testing was run ... by [A]ll") == "the test[ing] was run ... by [A]ll"
+    assert similarity.corrected("“The court held”, she said", "the court held") == "[t]he court held"
+    assert similarity.fragment("[12] In the event of doubt the tribunal shall hear all. " + "Other words follow. " * 30, "in the event of doubt a tribunal shall hear all") == "In the event of doubt the tribunal shall hear all"
+    assert similarity.fragment("nothing that is alike at all", "x y") == ""
+
+
+def test_tokens_and_exact_endings():
+    assert similarity.tokens("It's test[ing] [A]bc ... co-op “x”.") == ("It's", "test[ing]", "[A]bc", "...", "co", "-", "op", "“", "x", "”", ".")
+    assert [similarity.canonical(t) for t in ("[T]he", "“", "’", "–", "Word", "A-")] == ["the", '"', "'", "-", "word", "A-"]
+    assert similarity.exact_but_endings("they test all things", "test[ing] all things") and similarity.exact_but_endings("testing all", "test[ing] all") and not similarity.exact_but_endings("tests all", "test[ing] all")
+    assert similarity.matched_share("they test all things", "test[ing] all things.") == 1.0
+
+
+def test_whole_sources_are_aligned():
+    """A near copy late in the text scores, whatever resembles its first words earlier; long sources are met around several phrases."""
+    quote = "in the case of doubt the tribunal shall always hear both parties before it rules"
+    near = "in the event of doubt the tribunal shall always hear both parties before it rules"
+    early = "in the case of appeals nothing is heard. " + "filler words stand here and there. " * 100
+    assert similarity.matched_share(early + near, quote) >= 14 / 15
+    long = "in the case of appeals. " + "other words are written down in between. " * 2500 + near
+    assert len(long) > similarity.LONG_CHARS and similarity.matched_share(long, quote) >= 14 / 15
+    assert similarity.matched_share("unrelated text all over. " * 4000, quote) < 0.6
+    draw = random.Random(3)
+    for _ in range(50):
+        a, b = ([draw.choice("abcdefg") for _ in range(n)] for n in (40, 8))
+        blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+        assert similarity.matched_share(" ".join(a), " ".join(b)) == sum(m.size for m in blocks) / 8
 
 
 # ---- lookup
@@ -225,17 +254,111 @@ def test_marked_blocks_in_ascending_runs(spark):
 
 
 def test_notes_are_split(spark):
-    notes = [("d", 1, "Smith v Roe, 2020 SCC 1 at para 4 [Smith]; RSC 1985, c C-46, s 7; \"a; b\" (2001) 3 J 4"), ("d", 2, "Ibid at 9"), ("d", 3, "See Smith, supra note 1 at para 9; see also https://x.org/a;b c"), ("d", 4, "")]
+    notes = [("d", 1, "Smith v Roe, 2020 SCC 1 at para 4 [Smith]; RSC 1985, c C-46, s 7; Mary Roe, \"a b\" (2001) 3 JX 4"), ("d", 2, "Ibid at 9"), ("d", 3, "See Smith, supra note 1 at para 9; see also https://x.org/a.b c"), ("d", 4, "")]
     split = splitting.split_notes(spark.createDataFrame(notes, "doc_id string, footnote_id int, text string"))
     rows = {(r.footnote_id, r.part_index): r for r in split.collect()}
     assert set(rows) == {(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 2)}
-    assert (rows[1, 1].bare_citation, rows[1, 1].short_form, rows[1, 1].fragments, rows[1, 1].kind) == ("2020 SCC 1", "Smith", ["par4"], "case")
-    assert rows[1, 2].fragments == ["sec7"] and rows[1, 2].kind == "statute" and rows[2, 1].pages == [9] and rows[3, 2].link == "https://x.org/a;b"
+    assert (rows[1, 1].bare_citation, rows[1, 1].short_form, rows[1, 1].fragments, rows[1, 1].kind) == ("2020 SCC 1 at para 4", "Smith", ["par4"], "case")
+    assert rows[1, 2].fragments == ["sec7"] and rows[1, 2].kind == "statute" and rows[2, 1].pages == [9] and rows[3, 2].link == "https://x.org/a.b"
+    assert rows[1, 3].kind == "journal" and rows[1, 3].short_form == "Roe" and rows[2, 1].status == "complete" and rows[1, 1].citation_with_style.startswith("Smith")
     targets = {r.part: r.target for r in splitting.targets(split).collect()}
     assert targets["d/2/1"] == "d/1/3" and targets["d/3/1"] == "d/1/1" and targets["d/1/1"] is None
     assert column(spark, ["Ibid at para 25", "See Smith, supra note 3 at 5; ibid", "Smith v Roe, 2020 SCC 1"], splitting.pure_reference) == [True, True, False]
 
 
+NOTES = [
+    "R v Smith, 2020 SCC 5 at para 3; R v Jones, 2019 ONCA 7.", "R v Smith, 2020 SCC 5, citing R v Old, [1990] 1 SCR 33.", "Criminal Code, RSC 1985, c C-46, s 16. See Mary Roe, \"On Law\" (2001) 39:2 Osgoode Hall LJ 1.",
+    "Ibid at para 25.", "Just some prose; more.", "See Roe, supra note 5 at 20 and Doe note 7.", "R v A, 2001 SCC 1 and R v B, 2002 SCC 2", "", "  ", "See <https://a.org/x;y> (a; b).", "e.g. this v that. No. 5 is one.", None,
+    "Jane Doe, \"One\" (2001) 3 J 4, John Poe, \"Two\" (2002) 5 K 6", "Labour Act, RSC 1985, c L-2, the Canada Evidence Act, RSC 1985, c C-5",
+]
+
+
+def test_recall_first_parts_lose_nothing(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(NOTES)], "id int, text string")
+    got = {}
+    for r in boundaries.recall_parts(df).collect():
+        got.setdefault(r.id, []).append(r)
+    for i, t in enumerate(NOTES):
+        rows = sorted(got.pop(i, []), key=lambda r: r.part_index)
+        assert all(t[r.start : r.end] == r.verbatim for r in rows) and [r.part_index for r in rows] == list(range(1, len(rows) + 1))
+        left = "".join((t or "")[a:b] for a, b in zip([0, *(r.end for r in rows)], [*(r.start for r in rows), len(t or "")], strict=True))
+        assert not left.replace(";", "").strip()
+    assert not got
+
+
+def test_boundaries_and_their_reasons(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(NOTES)], "id int, text string")
+    why = {}
+    for r in boundaries.recall_parts(df).orderBy("id", "part_index").collect():
+        why.setdefault(r.id, []).append(r.reason)
+    assert why[0] == [None, "semicolon"] and why[1] == [None, "source_signal"] and why[2] == [None, "new_citation_sentence"] and why[3] == [None] and why[5] == [None, "conjoined_citation"] and why[6] == [None, "conjoined_citation"]
+    assert why[12] == [None, "new_author_title_frame"] and why[13] == [None, "new_legal_source_frame"] and why[10] == [None]
+    sure = {}
+    for r in boundaries.conservative_parts(df).orderBy("id", "part_index").collect():
+        sure.setdefault(r.id, []).append(r.verbatim)
+    assert set(sure) == {0, 1, 2, 3} and sure[1] == ["R v Smith, 2020 SCC 5,", "citing R v Old, [1990] 1 SCR 33."]
+    held = spark.createDataFrame([(1, "Roe, Law 1; Doe, Law 2, and Poe", ["Roe, Law 1", "Doe, Law 2", "nothing", "Poe"])], "id int, text string, parts array<string>")
+    assert [(s.start, s.end, s.verbatim) for s in boundaries.snapped(held).first().snapped] == [(0, 10, "Roe, Law 1"), (12, 22, "Doe, Law 2"), (None, None, None), (28, 31, "Poe")]
+
+
+def test_fields_of_parts(spark):
+    cites = [
+        "See also R v Brown, 2022 SCC 18 at paras 3-5, 7 [Brown (SCC)].", "Rules of Court, r 1-2", "Roe, supra note 4 at 763-64", "Jane Doe, Law (Toronto: Press, 2001) at 5", "Jane Doe, \"Part\" in John Poe, ed, Whole (Toronto: Press, 2001) 5",
+        "RSC 1985, c C-46, ss 7, 11(1)", "See https://a.org/b.", "Smith v Roe, 2020 SCC 1, quoting Doe v Poe, 2019 SCC 2",
+    ]
+    parts = spark.createDataFrame([(i, t) for i, t in enumerate(cites)], "id int, text string")
+    whole = boundaries.parts_between(parts.withColumn("boundaries", F.array().cast("array<struct<at: int, to: int, reason: string>>")))
+    got = {r.id: r for r in splitting.fields(whole).collect()}
+    assert got[0].kind == "case" and got[0].short_form == "Brown (SCC)" and got[0].fragments == ["par3", "par7"] and got[0].bare_citation == "2022 SCC 18 at paras 3-5, 7" and got[0].citation_with_style.startswith("R v")
+    assert got[2].pages == [763, 764] and got[2].short_form == "Roe" and got[2].kind == "other" and got[3].kind == "book" and got[3].short_form == "Doe" and got[3].pages == [5] and got[4].kind == "essay_collection"
+    assert got[5].fragments == ["sec7", "sec11(1)"] and got[6].link == "https://a.org/b" and got[6].kind == "website" and got[7].reasons == ["embedded_second_source"] and got[7].status == "partial"
+    assert column(spark, ["R v Brown, 2022 SCC 18 at para 3 (Abella J, dissenting)"], lambda c: splitting.lookup_citation(c, F.lit("case"))) == ["2022 SCC 18"]
+    assert column(spark, ["7", "672", "5"], lambda c: references.repaired_sections(F.array(F.concat(F.lit("sec"), c)), F.lit("see s 672.54 and s 5.1, s 5.2"))) == [["sec7"], ["sec672.54"], ["sec5"]]
+
+
+# ---- registry
+
+
+REGISTRY = [  # doc, seq, note, short form, verbatim, link, kind
+    ("d", 1, 1, "Ipeelee", "R v Ipeelee, 2012 SCC 13 [Ipeelee]", "https://a.org/1#par1", "case"), ("d", 2, 2, "", "R v Brown, 2022 SCC 18 [Brown (SCC); hereinafter Browne]", "https://a.org/2", "case"), ("d", 3, 3, "Supply Act", "Supply Chains Act, SC 2023, c 9", "", "statute"),
+    ("d", 4, 4, "Doe", "Jane Doe, \"On Brown and Ipeelee\" (2001) 3 J 4", "https://a.org/4", "journal"), ("d", 5, 5, "", "Fair Labour Standards Act, RSC 1985, c L-2", "https://a.org/5", "statute"), ("d", 6, 6, "Doe", "John Doe, Else", "https://a.org/6", "book"),
+    ("d", 7, 7, "", "words " * 50 + "Later Named", "https://a.org/7", "other"), ("e", 1, 1, "Ipeelee", "R v Ipeelee", "https://b.org/1", "case"),
+]
+
+
+def test_supra_tiers_and_abstentions(spark):
+    registry = spark.createDataFrame(REGISTRY, "doc_id string, seq int, note int, short_form string, verbatim string, link string, kind string")
+    asked = {
+        10: ("Ipeelee, supra note 1 at para 5", "https://a.org/1#par1", "note_number"), 11: ("Ipeelee, supra note 9", "https://a.org/1#par1", "exact_sf"), 12: ("Supply Act, supra note 3", None, "abstain_unlinked_target"),
+        13: ("Doe, supra note 99", None, "abstain_ambiguous_exact_sf"), 14: ("Labour Standards, supra note 99", "https://a.org/5", "token_verb"), 15: ("Browne, supra note 99", "https://a.org/2", "token_verb"), 16: ("supra note 99", None, "abstain_no_hint"),
+        17: ("Nobody, supra note 2", None, "abstain_no_match"), 18: ("Later Named, supra note 99", None, "abstain_no_match"), 19: ("See Brown (SCC), supra note 2", "https://a.org/2", "note_number"),
+    }
+    references_ = spark.createDataFrame([("d", k, v[0]) for k, v in asked.items()] + [("e", 0, "Ipeelee, supra note 1")], "doc_id string, seq int, verbatim string")
+    got = {(r.doc_id, r.seq): (r.link, r.method) for r in reg.resolve_supra(references_, registry).collect()}
+    assert got.pop(("e", 0)) == (None, "abstain_no_match")  # entries behind the reference don't count
+    assert got == {("d", k): v[1:] for k, v in asked.items()}
+
+
+def test_note_guard_and_fallbacks(spark):
+    registry = spark.createDataFrame(REGISTRY, "doc_id string, seq int, note int, short_form string, verbatim string, link string, kind string")
+    proposed = spark.createDataFrame([("d", 20, "X, supra note 3", "https://a.org/2#p"), ("d", 21, "X, supra note 1", "https://a.org/7"), ("d", 22, "X, supra note 90", "https://z.org"), ("d", 23, "ibid", "https://z.org")], "doc_id string, seq int, verbatim string, link string")
+    assert {r.seq: r.allowed for r in reg.note_guard(proposed, registry).collect()} == {20: True, 21: False, 22: True, 23: True}
+    asked = spark.createDataFrame([("d", 30, "supra note 5"), ("d", 31, "FLSA, supra note 90"), ("d", 32, "Nobody, supra note 5"), ("d", 33, "supra note 3")], "doc_id string, seq int, verbatim string")
+    got = {r.seq: (r.link, r.method) for r in reg.fallback_links(asked, registry).collect()}
+    assert got == {30: ("https://a.org/5", "bare_note_unique_citation"), 31: ("https://a.org/5", "inferred_short_form:legislation_acronym"), 32: (None, None), 33: (None, None)}
+    rows = reg.candidates(spark.createDataFrame([("d", 40, "Ipeelee, supra note 2")], "doc_id string, seq int, verbatim string"), registry).orderBy("rank").collect()
+    assert rows[0].link == "https://a.org/1#par1" and rows[0].score >= 20 and [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_short_forms_that_follow(spark):
+    rows = [("R v Ipeelee, 2012 SCC 13", "case"), ("Roe v Wade, 410 US 113", "case"), ("Fair Labour Standards Act, RSC 1985, c L-2", "statute"), ("Mary Roe and John Doe, \"Law\" (2001) 1 X 2", "journal"), ("Roe, Law [Roe]", "book"), ("Ibid", "case"), ("A Roe & B Doe and C Poe, Law", "book")]
+    got = [[(f.value, f.rule) for f in r.f] for r in spark.createDataFrame(rows, "v string, k string").select(shortforms.inferred_forms(F.col("v"), F.col("k")).alias("f")).collect()]
+    assert got[0] == [("R v Ipeelee", "case_style"), ("Ipeelee", "case_party")] and got[1] == [("Roe v Wade", "case_style"), ("Roe", "case_party"), ("Wade", "case_party")]
+    assert got[2] == [("Fair Labour Standards Act", "legislation_title"), ("FLSA", "legislation_acronym")] and got[3] == [("Roe, Doe", "secondary_authors")] and got[4] == got[5] == [] and got[6] == [("Roe, Doe & Poe", "secondary_authors")]
+    hints = ["Ipeelee, supra note 6", "and considerations in Brown (SCC), supra note 2", "See also Roe et al supra", "no reference", "see, e.g., x; Doe, supra note 1"]
+    assert column(spark, hints, shortforms.hint) == ["Ipeelee", "and considerations in Brown (SCC", "Roe et al", "", "Doe"]
+
+
 def test_inventories(spark, tmp_path):
     kind = "path string, sha256 string, size long"
     a, b = spark.createDataFrame([("1", "x", 1), ("2", "y", 1), ("3", "z", 1)], kind), spark.createDataFrame([("1", "x", 1), ("2", "new", 1), ("4", "z", 1)], kind)
@@ -434,3 +557,152 @@ def test_export_details(spark):
     assert sinks.projected(rows, "display-json", ["x", "y"]).first().row == '{"x":"a","y":1}'
     with pytest.raises(ValueError):
         sinks.projected(rows, "none", ["x"])
+
+
+# ---- what was added to chains, lookup, scopes, structure, sources
+
+
+def test_chain_paths_and_maps(spark):
+    rows = [("a", None, "", "12"), ("b", "a", "IBID", ""), ("c", "b", "SUPRA→1:1", ""), ("d", "c", "IBID", ""), ("x", "y", "IBID", ""), ("y", "x", "IBID", ""), ("z", "gone", "SUPRA→9:1", "")]
+    parts = spark.createDataFrame(rows, "part string, target string, label string, first_page string")
+    got = {r.part: (r.path, r.first_page) for r in chains.chain_paths(chains.resolve_chains(parts), "label").collect()}
+    assert got == {"a": ("", "12"), "b": ("IBID", "12"), "c": ("SUPRA→1:1 → IBID", "12"), "d": ("IBID → SUPRA→1:1 → IBID", "12"), "x": (None, ""), "y": (None, ""), "z": (None, "")}
+    said = {r.part: r.note for r in chains.chain_notes(chains.resolve_chains(parts)).collect()}
+    assert "loop" in said["x"] and "not found" in said["z"] and said["a"] is None
+    edges = spark.createDataFrame([(1, 2), (3, 2), (3, 2)], "source int, target int")
+    assert {tuple(r) for r in chains.reverse_map(edges).collect()} == {(2, 1), (2, 3)}
+    a, b = (spark.createDataFrame(x, "doc_key string, footnote_id int") for x in ([("d", 1), ("d", 2)], [("d", 2), ("e", 1)]))
+    assert chains.selection_union(a, b).count() == 3
+    held = chains.with_fields(spark.createDataFrame([("d", 1, 1), ("d", 9, 1)], "doc_id string, footnote_id int, part_index int"), spark.createDataFrame([("d", 1, 1, "SUPRA")], "doc_id string, footnote_id int, part_index int, ref_kind string"), ("ref_kind",))
+    assert {r.footnote_id: r.ref_kind for r in held.collect()} == {1: "SUPRA", 9: None}
+
+
+def test_long_paths(spark):
+    parts = spark.createDataFrame([(i, i - 1 if i else None, str(i)) for i in range(300)], "part long, target long, label string")
+    got = {r.part: r.path for r in chains.chain_paths(chains.resolve_chains(parts), "label").collect()}
+    assert got[299] == " → ".join(str(i) for i in range(299, 0, -1)) and got[1] == "1" and got[0] == ""
+
+
+def test_identities_and_locks(spark):
+    rows = [(1, "SCC", "2020 SCC 1", None), (2, "SCC", "2020 SCC 2", "[2020] 1 SCR 5"), (3, "SCC", "2020 SCC 2", None), (4, "REG", "NB Reg 82-73, r 4.1", None), (5, "REG", "NB Reg 82-73, r 41", None), (6, "BCCA", "2019 BCCA 7", None)]
+    corpus = spark.createDataFrame(rows, "row_id long, dataset string, citation_en string, citation2_en string")
+    asked = spark.createDataFrame([(1, "2020 S.C.C. 1"), (2, "2020 SCC 2"), (3, "[2020] 1 SCR 5"), (4, "NB Reg 82-73, r 4.1"), (5, "NB Reg 82-73, r 9"), (6, "2020 SCC 1 at para 5"), (7, "2021 SCC 9")], "id int, citation string")
+    got = {r.id: (r.status, r.row_id) for r in lookup.identities(asked, corpus, laws=True).collect()}
+    assert got == {1: ("found", 1), 2: ("ambiguous", None), 3: ("found", 2), 4: ("found", 4), 5: ("not_found", None), 6: ("found", 1), 7: ("not_found", None)}
+    aliases = spark.createDataFrame([("11dlr641", "2019 BCCA 7")], "citation_key string, canonical_citation string")
+    cases = spark.createDataFrame([(1, "2020 SCC 1"), (2, "Hunter v Southam, 11 DLR 641"), (3, "2020 ZZCA 5")], "id int, citation string")
+    locked = {r.id: (r.method, r.status, r.row_id) for r in lookup.locked_cases(cases, corpus, aliases).collect()}
+    assert locked == {1: ("citation", "found", 1), 2: ("alias", "found", 6), 3: ("not_covered", "not_covered", None)}
+    assert lookup.any_field(corpus, ["citation_en", "citation9"], "2019 BCCA 7").count() == 1 and lookup.any_field(corpus, ["citation_en"], " 2019 bcca 7 ").count() == 1
+
+
+def test_laws_and_their_addresses(spark):
+    cites = ["SOR/99-1", "rsc 1985, c C-46", "RSC 1985, c C-46", "Alta Reg 5/2001", "2020 BCCA 5", "nothing", "YOIC 2001/5"]
+    assert column(spark, cites, citations.dataset_of) == ["REGULATIONS-FED", "LEGISLATION-FED", "LEGISLATION-FED", "REGULATIONS-AB", "BCCA", None, "REGULATIONS-YT"]
+    urls = [("LEGISLATION-FED", "https://laws-lois.justice.gc.ca/eng/XML/C-46.xml"), ("LEGISLATION-FED", "https://laws-lois.justice.gc.ca/fra/XML/C-46.xml"), ("LEGISLATION-AB", "https://kings-printer.alberta.ca/1266.cfm?page=A.cfm&leg_type=Acts"), ("REGULATIONS-AB", "https://kings-printer.alberta.ca/1266.cfm?leg_type=Acts"), ("LEGISLATION-NL", "http://www.assembly.nl.ca/Legislation/sr/statutes/a.htm"), ("X", "https://laws.gnb.ca/en/document/cs/1")]
+    got = spark.createDataFrame(urls, "d string, u string").select(citations.current_law_source(F.col("d"), F.col("u")).alias("r")).collect()
+    assert [r.r for r in got] == [True, False, True, False, True, False]
+    web = [("website", "https://a.com/x", True), ("website", "https://www.example.org/x", False), ("case", "https://a.com", False), ("other", None, False), ("other", "other", False)]
+    assert [r.r for r in spark.createDataFrame(web, "k string, l string, w boolean").select(citations.prefilled_web(F.col("k"), F.col("l")).alias("r")).collect()] == [w for _, _, w in web]
+    said = [("case", "https://a.com", None, True), ("journal", "https://a.com", True, True), ("journal", "https://a.com", None, False), ("case", "other", None, False), ("website", "https://a.com", True, False)]
+    assert [r.r for r in spark.createDataFrame(said, "k string, l string, x boolean, w boolean").select(citations.reports_missing_text(F.col("k"), F.col("l"), F.col("x")).alias("r")).collect()] == [w for *_, w in said]
+    asked = spark.createDataFrame([("2020 BCCA 5 at para 3",), ("2020 ZZ 1",), ("none",)], "citation string")
+    routes = spark.createDataFrame([("BCCA", "bc/bcca")], "code string, route string")
+    assert [r.url for r in citations.case_urls(asked, routes).collect()] == ["https://example.org/en/bc/bcca/doc/2020/2020bcca5/2020bcca5.html#par3", "", ""]
+    laws = spark.createDataFrame([("LEGISLATION-FED", "RSC 1985, c C-46"), ("LEGISLATION-ON", "RSC 1985, c C-46"), ("REGULATIONS-NB", "NB Reg 82-73")], "d string, c string")
+    assert [r.r for r in laws.select(citations.law_url(F.col("d"), F.col("c")).alias("r")).collect()] == ["https://example.org/en/ca/laws/stat/rsc-1985-c-c-46/latest/rsc-1985-c-c-46.html", "", "https://example.org/en/nb/laws/regu/nb-reg-82-73/latest/nb-reg-82-73.html"]
+
+
+def test_cited_provisions_are_spread(spark):
+    cites = ["ss 7-9", "s 7-9", "ss 11(1)–(3)", "rules 2(a) to (c), 5", "s 4 and 6, 8.1", "ss 7 to 2", "article 3", "none", "ss 1 to 90"]
+    assert column(spark, cites, scopes.cited_provisions) == [["7", "8", "9"], ["7-9"], ["11(1)", "11(2)", "11(3)"], ["2(a)", "2(b)", "2(c)", "5"], ["4", "6", "8.1"], ["7", "2"], ["3"], [], ["1", "90"]]
+    assert column(spark, ["7(1)(a)", "7"], scopes.section_ancestors) == [["7(1)(a)", "7(1)", "7"], ["7"]]
+    asked = spark.createDataFrame([(1, 1, ["7(1)(a)", "9"]), (2, 1, ["7"])], "item_id int, doc_id int, sections array<string>")
+    blocks = spark.createDataFrame([(1, "7"), (1, "7(1)"), (1, "8")], "doc_id int, label string")
+    assert {tuple(r) for r in scopes.cited_sections(asked, blocks).collect()} == {(1, 1, "7(1)", False), (2, 1, "7", True)}
+
+
+def test_quotations_are_resolved_with_scores(spark):
+    words_ = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    lines = {1: "the tribunal shall hear both parties before it rules on costs", 2: "nothing of that kind is said here at all", 3: "the tribunal must hear both parties before it rules on costs", 4: " ".join(words_), 5: "and so the", 6: "matter rests there for good"}
+    blocks = spark.createDataFrame([(1, n, t) for n, t in lines.items()], "doc_id int, number long, text string")
+    source = spark.createDataFrame([(1, "\n".join(lines.values()))], "doc_id int, text string")
+    exact, near = lines[1], "the tribunal should hear both parties before it rules on costs"
+    asked = [(1, exact, [(1, 1)]), (2, exact, [(2, 2)]), (3, exact, []), (4, exact, [(90, 91)]), (5, near, [(3, 3)]), (6, near, []), (7, "and so the\nmatter rests there for good", [(5, 6)]), (8, "words that stand nowhere", []), (9, "hear both", []), (10, "so the matter rests there", [])]
+    got = {r.item_id: (r.location, r.score, r.labels) for r in scopes.resolve_scored(spark.createDataFrame([(i, 1, q, [{"low": a, "high": b} for a, b in s]) for i, q, s in asked], "item_id int, doc_id int, quote string, ranges array<struct<low: long, high: long>>"), blocks, source).collect()}
+    assert got[1] == ("cited", 1.0, ["1"]) and got[2] == ("alternate", 1.0, ["1"]) and got[3] == ("uncited", 1.0, ["1"]) and got[4] == ("scope_unavailable", 1.0, ["1"])
+    assert got[5][0] == "cited" and got[5][2] == ["3"] and 0.9 < got[5][1] < 1 and got[6][0] == "uncited_document" and got[7] == ("cited", 1.0, ["5–6"]) and got[8][0] == "unmatched" and got[9] == ("uncited", 1.0, []) and got[10][0] == "uncited"
+    located = scopes.locators(spark.createDataFrame([(["5"],), (["5", "6"],), ([],)], "labels array<string>"), "paragraph").collect()
+    assert [r.locator for r in located] == ["par5", None, None]
+
+
+def test_section_maps_and_structures(spark):
+    body = "words that fill the section up to some length indeed " * 3
+    law = "Title of the act\n" + "\n".join(f"{n} The {body}" for n in (1, 2, 3)) + f"\n3.1 The {body}\n3.2 The {body}\n4 The {body}"
+    rules = "\n".join(f"{n} The {body}" for n in ("1-1", "1-2", "2-1"))
+    pages_ = "front\n" + "\n".join(f"[page {n}]\n{body}" for n in (12, 13, 14))
+    rows = [(1, "law", "An Act", law, None, None), (2, "law", "Civil Rules", rules, None, None), (3, "law", "Mapped", "x", '{"16": "first one", "Schedule": "middle", "672.54": "last"}', None), (4, "case", "R v X", pages_, None, 11), (5, "case", "none", "plain", None, None)]
+    found = structure.structures(spark.createDataFrame(rows, "doc_id int, source_kind string, name string, text string, sections string, first_page int"))
+    got = {}
+    for r in found.orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).append((r.kind, r.label))
+    assert got[1] == [("section", x) for x in ("1", "2", "3", "3.1", "3.2", "4")] and got[2] == [("section", x) for x in ("1-1", "1-2", "2-1")] and got[3] == [("section", "16"), ("section", "672.54")]
+    assert got[4] == [("page", f"page {n}") for n in (11, 12, 13)] and 5 not in got
+    spans = {(r.label): (r.start, r.end, r.text) for r in structure.section_map(spark.createDataFrame(rows[2:3], "doc_id int, source_kind string, name string, text string, sections string, first_page int"), "sections").collect()}
+    assert spans == {"16": (0, 9, "first one"), "672.54": (17, 21, "last")}
+    at = [("He said so.” ", 12, 10), ("He said so, ", 11, 11), ("So it is.", 9, 8)]
+    assert [r.r for r in spark.createDataFrame(at, "t string, p int, w int").select(structure.anchor_position(F.col("t"), F.col("p")).alias("r")).collect()] == [w for *_, w in at]
+    assert column(spark, ["Title\nINTRODUCTION  Words", "none"], structure.introduction_end) == [20, 0]
+
+
+def test_articles_fit_what_is_cited(spark):
+    articles = spark.createDataFrame([(1, "On Law", "(2001) 39:2 OHLJ 1", "2001-05-01", "39", "2", "Osgoode Hall LJ", "OHLJ"), (2, "On Law", "(1980) 5 X 1", "1980-01-01", "5", "", "X Review", "X")], "article_id int, name_en string, citation_en string, document_date_en string, volume string, issue string, journal_name string, journal_abbrev string")
+    asked = [(1, "On Law", "2002", "38", "3", "osgoode"), (2, "On Law", "2001", "39", "2", "X Review"), (3, "On Law", None, None, None, None), (4, "OHLJ piece", None, None, None, None), (5, "On Law", "1990", None, None, None)]
+    queries_ = spark.createDataFrame(asked, "query_id int, title string, year string, volume string, issue string, journal string")
+    pairs = journals.title_candidates(queries_, articles, loose=True)
+    got = {tuple(r) for r in journals.fitting_candidates(queries_, articles, pairs).collect()}
+    assert got == {(1, 1), (3, 1), (3, 2), (4, 1)}
+    text_ = spark.createDataFrame([(7, "front [page 3] The words\nstand here. [Page 4] And there.")], "article_id int, text string")
+    spans = journals.page_spans(text_)
+    assert [(r.label, r.text) for r in spans.orderBy("start").collect()] == [("3", " The words\nstand here. "), ("4", " And there.")]
+    wanted = spark.createDataFrame([(1, 7, "the  words stand"), (2, 7, "and there"), (3, 7, "nowhere")], "item_id int, doc_id int, quote string")
+    assert {(r.item_id, r.label) for r in journals.pages_of_quotes(wanted, spans).collect()} == {(1, "3"), (2, "4")}
+    held = journals.article_texts(spark.createDataFrame([(7,), (8,)], "article_id int"), text_)
+    assert {r.article_id: r.text[:5] for r in held.collect()} == {7: "front", 8: ""}
+
+
+def test_origins_links_and_texts(spark):
+    rows = [("IBID", "", None, "", "", None, True), ("SUPRA", "https://a", False, "Roe", "Roe", None, False), ("SUPRA", "https://a", True, "Roe", "[roe]", None, True), ("SUPRA", "other", None, "Roe", "Doe", True, False), ("SUPRA", "", None, "", "Doe", True, True)]
+    got = spark.createDataFrame(rows, "k string, l string, d boolean, f string, o string, h boolean, w boolean").select(links.takes_origin(*[F.col(c) for c in "kldfoh"]).alias("r"), "w").collect()
+    assert all(r.r == r.w for r in got)
+    seen = spark.createDataFrame([("ALT_PINPOINT_MATCH", "c", "f", "s", "f"), ("OG_PINPOINT_MATCH", "c", "f", "s", "c"), ("NO_MATCH", "", None, "s", "s")], "st string, c string, f string, s string, w string")
+    assert all(r.r == r.w for r in seen.select(links.target_link(F.col("st"), F.col("c"), F.col("f"), F.col("s")).alias("r"), "w").collect())
+    parts = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], "g int, i int, t string")
+    assert {r.g: r.t for r in links.joined_text(parts, ["g"], "i", "t").collect()} == {1: "a\n\nb", 2: "c"}
+
+
+def test_snapshots_sidecars_and_logs(spark, tmp_path):
+    one, two = spark.range(3), spark.range(5)
+    root = str(tmp_path / "snap")
+    sinks.install(one, root, "r1"), sinks.install(two, root, "r2")
+    assert sinks.installed(spark, root).count() == 5
+    sinks.install(one, root, "r1")
+    assert sinks.installed(spark, root).count() == 3
+    about = sinks.write_sidecar(two, str(tmp_path / "side"), "out.xlsx", "2024-01-01T00:00:00").first()
+    again = sinks.write_sidecar(two.orderBy(F.col("id").desc()), str(tmp_path / "side2"), "out.xlsx", "2024-01-02T00:00:00").first()
+    assert about.rows == 5 and about.signature == again.signature != sinks.write_sidecar(one, str(tmp_path / "side3"), "o", "t").first().signature
+    sinks.log_timings(spark, str(tmp_path / "log"), [("a", 1.5)]), sinks.log_timings(spark, str(tmp_path / "log"), [("b", 2.0)])
+    assert {r.event for r in spark.read.json(str(tmp_path / "log")).collect()} == {"a", "b"}
+    sinks.write_csv(one, str(tmp_path / "csv"), bom=True)
+    assert next((tmp_path / "csv").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbfid")
+    quotes_ = spark.createDataFrame([("d", 1, "q one"), ("d", 1, "q two")], "doc_key string, footnote_id int, quote string")
+    targets_ = spark.createDataFrame([("d", 1, "supra_target", 4), ("d", 2, "ibid_target", 3)], "doc_key string, footnote_id int, reason string, source_footnote int")
+    notes = spark.createDataFrame([("d", 1, "Doc", "text one")], "doc_key string, footnote_id int, doc_name string, footnote_text string")
+    rows = {r.footnote_id: r for r in sinks.quote_manifest(quotes_, targets_, notes).collect()}
+    assert tuple(rows["1"].asDict()) == sinks.MANIFEST and rows["1"].include_reason == "quote;supra_target" and rows["1"].quotes_json == '["q one","q two"]' and rows["1"].supra_source_footnotes == "4" and rows["2"].ibid_source_footnotes == "3" and rows["2"].doc_name == ""
+    found = spark.createDataFrame([("a", "x", 5), ("b", "y", 2), ("c", "z", 5)], "path string, sha256 string, size long")
+    manifest = spark.createDataFrame([("a", "x", 5), ("b", "w", 5), ("c", "w", 5), ("d", "w", 5)], "path string, sha256 string, size long")
+    assert {r.path: r.state for r in inventory.verified(found, manifest).collect()} == {"a": "whole", "b": "partial", "c": "wrong", "d": "missing"}
+    cache = spark.createDataFrame([("exact", "e1", "A"), ("neutral", "n1", "B"), ("legacy", "l2", "C")], "level string, key string, answer string")
+    asked = spark.createDataFrame([(1, "e1", "n1", "l1"), (2, "e2", "n1", "l2"), (3, "e3", "n3", "l2"), (4, "x", None, "y")], "id int, request_key string, neutral_key string, legacy_key string")
+    assert {r.id: (r.level, r.answer) for r in inventory.cached_answers(asked, cache).collect()} == {1: ("exact", "A"), 2: ("neutral", "B"), 3: ("legacy", "C"), 4: (None, None)}
