@@ -5,7 +5,9 @@ import os
 import pytest
 
 import __spark_entry__
-from marginalia.plans import queries
+from marginalia.plans import legal, queries
+
+QUERIES, ORACLES = queries.QUERIES | legal.QUERIES, queries.ORACLES | legal.ORACLES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -26,11 +28,11 @@ def rows(table):
     return sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r.values())) for r in table.to_pylist())
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, db, name):
-    got = queries.QUERIES[name](spark, SF)
-    if name in queries.ORACLES:
-        assert rows(got.toArrow()) == rows(db.execute(queries.ORACLES[name]).to_arrow_table())
+    got = QUERIES[name](spark, SF)
+    if name in ORACLES:
+        assert rows(got.toArrow()) == rows(db.execute(ORACLES[name]).to_arrow_table())
     else:
         assert got.columns and got.count() >= 0
 
