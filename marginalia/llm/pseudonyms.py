@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from marginalia.llm.common import widened
-from marginalia.llm.words import slices, small_batches
+from marginalia.llm.words import numbered, slices, small_batches
 
 ROUNDS = 8
 _DIGITS, _HEX = "0123456789", "0123456789abcdef"
@@ -300,4 +300,4 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", spans: str = "pii"
             yield pa.RecordBatch.from_arrays([*columns, found], [*names, spans])
 
     found = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
-    return small_batches(df).mapInArrow(run, widened(df, StructField(spans, ArrayType(found))))
+    return small_batches(numbered(df)).mapInArrow(run, widened(df, StructField(spans, ArrayType(found))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
 from marginalia.llm.common import materialize, widened
-from marginalia.llm.words import slices, small_batches, texts
+from marginalia.llm.words import numbered, slices, small_batches, texts
 
 _SPACES, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"  # fixed: white space and symbols of the contract
 COUNTS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64()}
@@ -94,7 +94,7 @@ def with_votes(df: DataFrame, text: str = "text") -> DataFrame:
             said = votes_of(np.array([m[1] for m in measured], dtype=float).reshape(-1, len(RULES)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(said, pa.string())], [*names, *COUNTS, "votes"])
 
-    return small_batches(df).mapInArrow(run, widened(df, *(StructField(c, LongType()) for c in COUNTS), StructField("votes", StringType())))
+    return small_batches(numbered(df)).mapInArrow(run, widened(df, *(StructField(c, LongType()) for c in COUNTS), StructField("votes", StringType())))
 
 
 class VoteModel:

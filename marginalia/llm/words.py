@@ -43,6 +43,11 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with plain column names, under which any column can be handed to Python, whatever its own name holds."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces, so that a worker holds few texts as Python objects at once."""
     for batch in batches:

@@ -162,6 +162,23 @@ def test_bad_hosts_are_blocked_and_small_ones_are_shrunk(spark):
     assert got["bad.spam.com"][1] < got["one.spam.com"][1] < got["h1.fine.org"][1] and got["one.fine.org"][1] < got["h1.fine.org"][1]
 
 
+def test_urls_of_odd_rows(spark):
+    long = "http://a.b.co.uk/" + "x" * 200_000
+    rows = [(1, "http://a.b.co.uk/x"), (1, "http://a.b.co.uk/x"), (None, "http://a.b.co.uk/y"), (2, long), (3, None), (4, "http://10.0.0.1:80/"), (5, "http://[::1]:8080/p"), (6, "http://uk/"), (7, "http://:99/x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_reputation.filter_urls(pages, spark.createDataFrame([(1, 0), (2, 0)], "page_id long, good int")).collect()
+    assert len(got) == len(rows) and Counter(r.page_id for r in got) == Counter(i for i, _ in rows) and all(r.verdict in ("allow", "block") for r in got)
+    assert {r.page_id: r.host for r in got}[2] == "a.b.co.uk" and len({r.page_id: r.path for r in got}[2]) == 200_001
+
+
+def test_registered_domains(spark):
+    hosts = ["www.shop.co.uk", "co.uk", "uk", "a.b.example.com", "example.com:8080", "10.0.0.1", "10.0.0.1:80", "[::1]:80", "", "x.gov.au", "com.de", "a.com.de"]
+    found = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, h string").select("i", *[c.alias(n) for n, c in zip(("s", "d"), url_reputation.registered(F.col("h")), strict=True)]).orderBy("i").collect()
+    assert [(r.s, r.d) for r in found] == [
+        ("co.uk", "shop.co.uk"), ("co.uk", "co.uk"), ("uk", "uk"), ("com", "example.com"), ("com", "example.com"), ("10.0.0.1", "10.0.0.1"), ("10.0.0.1", "10.0.0.1"), ("[::1]", "[::1]"), ("", ""), ("gov.au", "x.gov.au"), ("com.de", "com.de"),
+        ("com.de", "a.com.de")]
+
+
 # ---- pseudonyms
 
 
@@ -370,6 +387,26 @@ def test_shards_are_even_and_keep_the_mixture(docs, empty, shards):
     assert sharding.interleave(empty, shards).collect() == []
 
 
+def test_shards_of_null_and_repeated_keys(spark):
+    rows = [(None, "a", "t")] * 40 + [(5, "a", "t")] * 40 + [(i, None, None) for i in range(30)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, source string, text string"), 8).collect()
+    sizes = Counter(r.shard for r in got)
+    assert Counter((r.doc_id, r.source, r.text) for r in got) == Counter(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+    assert all(abs(Counter(r.source for r in got if r.shard == s)["a"] - 10) <= 1 for s in sizes)
+
+
+def test_packing_of_null_and_repeated_keys(spark, tokenizer):
+    rows = spark.createDataFrame([(None, None)] * 30 + [(None, "a b c")] * 20 + [(3, "a b c")] * 20 + [(4, "word " * 900)], "doc_id long, text string")
+    got = packing.pack(rows, tokenizer, size=64).collect()
+    assert Counter(r.doc_id for r in got if r.piece == 0) == Counter({None: 50, 3: 20, 4: 1}) and "row" not in got[0].asDict()
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert len(r.ids) == 4 * r.length
+    assert all(sum(n for _, n in h) <= 64 and [o for o, _ in sorted(h)] == [sum(n for _, n in sorted(h)[:i]) for i in range(len(h))] for h in held.values())
+
+
 def test_rank_within_spreads_a_hot_key(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 2500, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id").withColumn("h", common.hash60("id"))
     got = common.rank_within(rows, "k", "h", [F.col("id")], 5, "rank", "of").collect()
@@ -616,9 +653,40 @@ def test_archives_round_trip(spark):
     assert least[7] == least[2] == "response" and least[3] == "revisit"
 
 
+def test_archives_are_standard(spark, tmp_path):
+    rows = [(1, "http://a/x", "same"), (2, "http://b/y", "same"), (3, None, "other"), (2, "http://b/y", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(warc.resolve_revisits(pages), str(tmp_path / "w"), date=F.lit("2020-02-02T00:00:00Z"))
+    records = []
+    for file in (tmp_path / "w").glob("*.txt"):
+        data = file.read_bytes()
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            n = int(fields["Content-Length"])
+            records.append((fields, rest[:n]))
+            assert rest[n : n + 4] == b"\r\n\r\n"
+            data = rest[n + 4 :]
+    by = {k: [r for r in records if r[0]["WARC-Type"] == k] for k in ("warcinfo", "response", "revisit")}
+    assert [len(v) for v in by.values()] == [1, 2, 2] and by["warcinfo"][0][0]["Content-Type"] == "application/warc-fields"
+    first = next(r for r in by["response"] if r[0]["X-Page-Key"] == "1")
+    assert first[1] == b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 4\r\n\r\nsame" and first[0]["Content-Type"] == "application/http; msgtype=response"
+    for fields, block in by["revisit"]:
+        assert fields["WARC-Refers-To"] == first[0]["WARC-Record-ID"] and fields["WARC-Refers-To-Target-URI"] == "http://a/x" and block.endswith(b"Content-Length: 4\r\n\r\n")
+    assert len({f["WARC-Record-ID"] for f, _ in records}) == 4 and all(f["WARC-Date"] == "2020-02-02T00:00:00Z" for f, _ in records)  # a row that repeats is one record, written twice
+
+
 # ---- clashing names
 
 
+def test_nested_columns_and_odd_names_pass_through(spark):
+    rows = spark.createDataFrame([(1, "mail a.1@b.org " + "word " * 60, "s", {"x": [1, 2]}, "t")], "doc_id long, text string, source string, `odd na`me` string, more string".replace("`odd na`me` string", "`odd name` map<string, array<int>>"))
+    rows = rows.withColumn("o.d d", F.struct(F.lit(1).alias("a b"), F.array(F.lit("z")).alias("c")))
+    assert pseudonyms.pseudonymize(rows, "k").columns == [*rows.columns, "pii"] and pseudonyms.pseudonymize(rows, "k").first()["odd name"] == {"x": [1, 2]}
+    assert quality.judge(rows).first()["o.d d"].c == ["z"] and quality.good_rows(rows).columns == rows.columns
+    assert mixing.mix(rows).first()["o.d d"]["a b"] == 1 and sharding.interleave(rows, 2).first()["o.d d"].c == ["z"] and near_duplicates.deduplicated(rows).columns == rows.columns
+
+
 def test_columns_with_clashing_names(spark, docs):
     clash = ["size", "source_size", "target", "copies", "shard", "slot", "votes", "quality", "kept", "base_failed", "n_words", "pii", "component_id", "sequence_id", "ids", "piece", "_row", "_rank", "_bucket", "_source", "_hash", "_u", "_salt", "_text", "_n"]
     odd = docs.limit(40).select("*", *[F.lit("mine").alias(c) for c in clash])

@@ -89,3 +89,22 @@ def test_sequences_hold_the_ids_of_every_copy(spark, folder):
         assert bytes(r.ids) == ids[4 * r.start : 4 * (r.start + r.length)] and len(r.ids) == 4 * r.length
         got[r.doc_id] += r.length
     assert got == whole
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_keep_odd_rows_defined(spark):
+    """Nulls in every column, repeated rows, ties and a very long text go through all stages."""
+    draw, words = random.Random(4), vocabulary(900)
+    long, usual = prose(draw, words, 60_000), prose(draw, words, 80)
+    docs = spark.createDataFrame([(1, long, "en", "a", 1), (2, usual, None, None, None), (2, usual, None, None, None), (None, prose(draw, words, 90), "en", "a", 2), (None, None, None, None, None), (3, "", "", "", 0)], DOCS)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    left = Counter((r.doc_id, len(r.text)) for r in docs.collect())
+    assert {k for k, _ in left} <= {1, 2, None} and (1, len(long)) in left
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter({k: sum(n for (d, _), n in left.items() if d == k) for k in {d for d, _ in left}})
