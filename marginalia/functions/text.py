@@ -32,7 +32,8 @@ def replace_all(column: Column, *rules: tuple[str, str]) -> Column:
 
 def squeezed(column: Column) -> Column:
     """White space collapsed to single spaces and trimmed."""
-    return F.trim(F.regexp_replace(column, "[ \\t\\n\\x0B\\f\\r\\u00A0]+", " "))
+    # single spaces are left alone, so that a match is where something changes
+    return F.trim(F.regexp_replace(column, "[ \\t\\n\\x0B\\f\\r\\u00A0]{2,}|[\\t\\n\\x0B\\f\\r\\u00A0]", " "))
 
 
 def source_text(column: Column) -> Column:
@@ -43,9 +44,11 @@ def source_text(column: Column) -> Column:
 def comparable(column: Column) -> Column:
     """How quotations are compared: quotation marks and dashes unified, hyphens inside words and white space as one space, outer
     quotation marks and punctuation at the end dropped, an editor's first letter ([T]he) without its brackets, lower case."""
-    c = F.translate(column, SINGLE_QUOTES + DOUBLE_QUOTES + DASHES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES))
-    c = F.lower(squeezed(F.regexp_replace(c, "(?<=[\\p{L}\\p{N}])-(?=[\\p{L}\\p{N}])", " ")))
-    return F.trim(replace_all(c, ('^["\']+|["\']+$', ""), ('"(?=[,.;:!?])', ""), ("[ ,.;:!?]+$", ""), (r"^\[([a-z])\](?=[a-z])", "$1")))
+    marks = SINGLE_QUOTES + DOUBLE_QUOTES + DASHES
+    c = F.translate(column, marks, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES))
+    c = F.lower(squeezed(F.regexp_replace(c, "-(?<=[\\p{L}\\p{N}]-)(?=[\\p{L}\\p{N}])", " ")))  # the dash first: it is rare
+    c = F.trim(F.rtrim(F.regexp_replace(F.btrim(c, F.lit("\"'")), '"(?=[,.;:!?])', ""), F.lit(" ,.;:!?")))
+    return F.when(c.startswith("["), F.regexp_replace(c, r"^\[([a-z])\](?=[a-z])", "$1")).otherwise(c)
 
 
 def words(column: Column) -> Column:

@@ -62,7 +62,7 @@ def exact_matches(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     hits = functools.reduce(DataFrame.unionByName, found).distinct()
     hay = lambda df: df.withColumn("_d", text.comparable(F.col("_t")))  # noqa: E731 - compared behind the join, so for the hits only
     met = sources.select("doc_id", F.col("text").alias("_t")).join(hits, "doc_id").join(small(q.select("item_id", "_q")), "item_id")
-    exact = hay(met).filter(text.contained(F.col("_q"), F.col("_d"))).select("item_id", "doc_id")
+    exact = materialize(hay(met).filter(text.contained(F.col("_q"), F.col("_d"))).select("item_id", "doc_id"), "matches")  # read more than once, as a rule
     if 2 not in have:
         return exact
     two = hay(sources.select("doc_id", F.col("text").alias("_t"))).join(small(q.filter("_n = 2").select("item_id", "_q")), text.contained(F.col("_q"), F.col("_d")))

@@ -47,7 +47,7 @@ def resolve(asked: DataFrame, blocks: DataFrame, sources: DataFrame, least_words
     q = asked.withColumn("_q", text.comparable(F.col("quote")))
     cited = F.size("ranges") > 0
     # the source first: only sources that have the quotation have their blocks searched
-    whole = q.join(sources.select("doc_id", text.comparable(F.col("text")).alias("_d")), "doc_id", "left").withColumn("_in", F.coalesce(text.contained(F.col("_q"), F.col("_d")), F.lit(False))).withColumn("_times", text.occurrences(F.col("_q"), F.col("_d"))).drop("_d")
+    whole = q.join(sources.select("doc_id", F.col("text").alias("_t")), "doc_id", "left").withColumn("_d", text.comparable(F.col("_t"))).drop("_t").withColumn("_in", F.coalesce(text.contained(F.col("_q"), F.col("_d")), F.lit(False))).withColumn("_times", text.occurrences(F.col("_q"), F.col("_d"))).drop("_d")
     hits = whole.filter("_in").join(blocks.select("doc_id", "number", text.comparable(F.col("text")).alias("_b")), "doc_id").withColumn("_hit", text.contained(F.col("_q"), F.col("_b"))).withColumn("_scope", in_scope(F.col("number"), F.col("ranges")))
     found = hits.groupBy("item_id", "doc_id").agg(
         F.bool_or("_scope").alias("_available"), F.bool_or(F.col("_hit") & F.col("_scope")).alias("_cited"), F.bool_or("_hit").alias("_any"),

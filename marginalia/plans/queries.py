@@ -42,7 +42,7 @@ def exact_lookup_batch(spark, sf_dir):
 
 def name_citation_self_join(spark, sf_dir):
     (part,) = _read(spark, sf_dir, "part")
-    names = part.filter("p_size >= 40").select(keys.name_key(F.col("p_name"), unicode=False).alias("lookup_key"))
+    names = part.select(keys.name_key(F.col("p_name"), unicode=False).alias("lookup_key"))
     return lookup.names_to_citations(names, lookup.lookup_index(_corpus(spark, sf_dir), unicode=False))
 
 
@@ -94,9 +94,15 @@ def quote_exact_match(spark, sf_dir):
     return quotes.exact_matches(quotes_, docs)
 
 
+def _matched_lines(docs, matches):
+    """The lines of the documents that have a match; no other document is cut."""
+    return quotes.line_blocks(docs.join(matches.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+
 def quote_block_location(spark, sf_dir):
     quotes_, docs = _read(spark, sf_dir, "benchmark", "documents")
-    return quotes.locate(quotes.exact_matches(quotes_, docs), quotes_, quotes.line_blocks(docs))
+    matches = quotes.exact_matches(quotes_, docs)
+    return quotes.locate(matches, quotes_, _matched_lines(docs, matches))
 
 
 def line_block_offsets(spark, sf_dir):
@@ -129,7 +135,8 @@ def quote_best_source(spark, sf_dir):
 def verify_quotes(spark, sf_dir):
     """The flagship: each quotation with the number of sources that have it, its first place, and the verdict."""
     quotes_, docs = _read(spark, sf_dir, "benchmark", "documents")
-    found = quotes.locate(quotes.exact_matches(quotes_, docs), quotes_, quotes.line_blocks(docs))
+    matches = quotes.exact_matches(quotes_, docs)
+    found = quotes.locate(matches, quotes_, _matched_lines(docs, matches))
     first = found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("sources"), F.min(F.struct("doc_id", "block")).alias("at"))
     return quotes_.select("item_id").join(first, "item_id", "left").select("item_id", F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("at.doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("at.block", F.lit(-1)).alias("block"), F.when(F.col("sources") > 0, "OG_PINPOINT_MATCH").otherwise("NO_MATCH").alias("status"))
 
@@ -335,8 +342,9 @@ def quote_locations(spark, sf_dir):
     """Passages in the documents that have them, with the first three lines as the cited scope."""
     quotes_, docs = _read(spark, sf_dir, "benchmark", "documents")
     ranges = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(2).cast("long").alias("high")))
-    asked = quotes.exact_matches(quotes_, docs).join(quotes_.select("item_id", F.col("text").alias("quote")), "item_id").withColumn("ranges", ranges)
-    found = scopes.resolve(asked, quotes.line_blocks(docs).withColumnRenamed("block", "number"), docs)
+    matches = quotes.exact_matches(quotes_, docs)
+    asked = matches.join(quotes_.select("item_id", F.col("text").alias("quote")), "item_id").withColumn("ranges", ranges)
+    found = scopes.resolve(asked, _matched_lines(docs, matches).withColumnRenamed("block", "number"), docs)
     return found.select("item_id", "doc_id", "location", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
@@ -391,7 +399,7 @@ ORACLES = {
     "exact_lookup_batch": f"""WITH {_CORPUS}, a AS (SELECT o_orderkey AS id, 'c4dot' || (o_custkey * 2) AS lookup_key FROM orders),
 h AS (SELECT lookup_key, min(substr(row_id, 3)::BIGINT) AS r, count(DISTINCT row_id) AS n FROM idx WHERE lookup_type = 'citation' GROUP BY 1)
 SELECT id, lookup_key, coalesce(n, 0) AS hits, CASE WHEN n = 1 THEN r ELSE -1 END AS row_id, CASE coalesce(n, 0) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM a LEFT JOIN h USING (lookup_key)""",
-    "name_citation_self_join": f"""WITH {_CORPUS}, n AS (SELECT DISTINCT lower(p_name) AS k FROM part WHERE p_size >= 40),
+    "name_citation_self_join": f"""WITH {_CORPUS}, n AS (SELECT DISTINCT lower(p_name) AS k FROM part),
 k AS (SELECT DISTINCT a.lookup_key, c.lookup_key AS citation_key FROM idx a JOIN n ON a.lookup_key = n.k JOIN idx c USING (row_id) WHERE a.lookup_type = 'name' AND c.lookup_type = 'citation')
 SELECT DISTINCT k.lookup_key, citation_key, row_id FROM k JOIN idx c ON c.lookup_key = citation_key WHERE c.lookup_type = 'citation'""",
     "lookup_status": """WITH k AS (SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS k FROM documents)
