@@ -22,7 +22,7 @@ _LOOSE = re.compile(r"\s\s|^\s|\s$")
 #: A space between two visible characters: no token reaches over it from the left, so what stands on either side is encoded
 #: alone, with the same ids as in the whole text.
 _SEAM = re.compile(r"(?<=\S)(?= \S)")
-_KEPT, _LONG = 400_000, 24
+_KEPT, _LONG = 200_000, 24
 
 
 def _merger(path: str) -> Callable[[str], list[int]] | None:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed: the 64-bit golden ratio, odd
-_KEPT = 1 << 19
+_KEPT = 1 << 18
 
 
 class WordHashes(dict):
