@@ -230,10 +230,10 @@ def test_valid_values_beside_other_numbers_and_words_change(text, value, kind):
 
 
 def test_no_match_passes_the_gate_unseen():
-    draw, parts = random.Random(5), ["ghp_", "gho_", "AKIA", "sk-", "token", "Secret", "api_key", "api-key", "apikey", "passwd", "password", "pwd", "=", ": ", '"', "@", "a.b", "XQ", "Zz", "7", "-", " ", "_"]
+    draw, parts = random.Random(5), ["ghp_", "gho_", "AKIA", "sk-", "token", "Secret", "api_key", "api-key", "apikey", "passwd", "password", "pwd", "\u017fecret", "to\u212aen", "=", ": ", '"', "@", "a.b", "XQ", "Zz", "7", "-", " ", "_"]
     for _ in range(20_000):
         text = "".join(draw.choice(parts) * draw.choice([1, 1, 1, 12]) for _ in range(draw.randint(1, 6)))
-        assert pseudonyms._GATE.search(text) or not pseudonyms._ALL.search(text), text
+        assert pseudonyms.possible(text) or not pseudonyms._ALL.search(text), text
     for text in ["ghp_" + "abcdefghijkl" * 3, "password=hunterhunter", "sk-abcdefghijklmnopqrstuvwx", "API-KEY: abcdefg"]:
         new, found = pseudonyms.Pseudonyms(b"k")(f"my {text} here")
         assert [f[0] for f in found] == ["secret"] and text not in new
