@@ -50,3 +50,16 @@ def unique_fragments(targets: DataFrame, lines: DataFrame) -> DataFrame:
     places = asked.join(flat.select("doc_id", F.col("_t").alias("_line")), "doc_id").groupBy("id", "block", "w", "_x", "p", "s").agg(F.sum((F.length("_line") - F.length(F.replace(F.col("_line"), F.col("_n"), F.lit("")))) / F.length("_n")).alias("_k"))
     best = places.filter("_k = 1").groupBy("id").agg(F.min(F.struct("w", "block", "p", "s")).alias("m")).select("id", "m.p", "m.s")
     return targets.join(best, "id", "left").withColumn("directive", F.when(F.col("p").isNotNull(), directive(F.col("p"), F.col("target"), F.lit(""), F.col("s")))).drop("p", "s")
+
+
+def verified_fragments(links: DataFrame, lines: DataFrame) -> DataFrame:
+    """links (id, doc_id, directive, target) with verified: whether the directive, read back, names one place only among the lines
+    (doc_id, block, text), inside one line, and what stands there is the target. A directive with an end names what begins with its
+    start and ends with its end."""
+    asked = links.withColumn("_d", parsed(F.col("directive"))).select("id", "doc_id", squeezed(F.col("target")).alias("_x"), "_d.*")
+    needle = F.concat_ws(" ", F.nullif("prefix", F.lit("")), F.when(F.col("end") == "", F.col("start")).otherwise(F.col("_x")), F.nullif("suffix", F.lit("")))
+    fits = F.when(F.col("end") == "", F.col("_x") == F.col("start")).otherwise(F.col("_x").startswith(F.col("start")) & F.col("_x").endswith(F.col("end")))
+    wanted = asked.select("id", "doc_id", needle.alias("_n"), (fits & (F.col("start") != "")).alias("_fits"))
+    met = lines.select("doc_id", squeezed(F.col("text")).alias("_t")).join(small(wanted), "doc_id").filter((F.length("_n") > 0) & F.contains("_t", "_n"))
+    places = met.groupBy("id").agg(F.sum((F.length("_t") - F.length(F.replace(F.col("_t"), F.col("_n"), F.lit("")))) / F.length("_n")).alias("_k"), F.bool_and("_fits").alias("_ok"))
+    return links.join(places, "id", "left").withColumn("verified", F.coalesce(F.col("_ok") & (F.col("_k") == 1), F.lit(False))).drop("_k", "_ok")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import references as refs
 from marginalia.functions import shortforms
+from marginalia.functions.citations import anchored_link
 from marginalia.sources.shared import materialize
 
 HEAD, WINDOW, BEST = 200, 3, 8  # fixed: characters of a citation that name it, notes to either side of a wrong number, candidates shown
@@ -122,3 +123,35 @@ def candidates(references: DataFrame, registry: DataFrame, proposition: str | No
     w = Window.partitionBy("doc_id", "seq")
     ranked = once.withColumn("_top", F.max("score").over(w)).filter("score > 0 or _top = 0").withColumn("rank", F.row_number().over(w.orderBy(F.col("score").desc(), "_at")))
     return ranked.filter(F.col("rank") <= BEST).select("doc_id", "seq", "rank", "link", "score")
+
+
+def reference_links(parts: DataFrame, rounds: int = 20) -> DataFrame:
+    """parts (doc_id, seq, note, verbatim, short_form, link and others) with link and method of references filled in: supras from the
+    entries before them, ibids from the part before them, each moved to the reference's own pinpoint. Citations keep their links.
+
+    A reference that gets a link is an entry for later ones, so the tiers are asked again, for what is still open, until a round
+    finds nothing new; a chain of references that only name each other takes a round a link, and more than `rounds` are an error."""
+    ibid = refs.is_ibid(F.col("verbatim")) & refs.supra_note(F.col("verbatim")).isNull()
+    kinds = F.when(ibid, "ibid").when(F.col("verbatim").rlike("(?i)\\bsupra\\b"), "supra").otherwise("own")
+    own = ["doc_id", "seq", "note", "verbatim", "short_form"]
+    now = materialize(parts.select(*own, kinds.alias("_kind"), F.when(kinds == "own", F.col("link")).alias("link"), F.lit(None).cast("string").alias("method")), "links")
+    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(rounds):
+        # a run of ibids has the link of what stands before it, a link that is null included
+        carried = now.withColumn("_before", F.last(F.when(F.col("_kind") != "ibid", F.struct("link")), ignorenulls=True).over(before)["link"])
+        pinned = anchored_link(F.col("_before"), F.col("verbatim"), F.lit(True))
+        moved = carried.withColumn("_got", (F.col("_kind") == "ibid") & F.col("link").isNull() & usable(F.col("_before")))
+        moved = moved.select(*own, "_kind", F.when(F.col("_got"), pinned).otherwise(F.col("link")).alias("link"), F.when(F.col("_got"), "previous").otherwise(F.col("method")).alias("method"))
+        moved = materialize(moved, "links")
+        open_ = moved.filter("_kind = 'supra' and link is null").select("doc_id", "seq", "verbatim")
+        found = resolve_supra(open_, moved.select(*own, "link")).select("doc_id", "seq", F.col("link").alias("_link"), F.col("method").alias("_method"))
+        joined = moved.join(found, ["doc_id", "seq"], "left")
+        pinned = anchored_link(F.col("_link"), F.col("verbatim"), F.lit(False))
+        after = materialize(joined.select(*own, "_kind", F.coalesce("link", pinned).alias("link"), F.when(F.col("link").isNull(), F.coalesce("_method", "method")).otherwise(F.col("method")).alias("method")), "links")
+        count = lambda df: df.filter("link is not null").count()
+        if count(after) == count(now):
+            break
+        now = after
+    else:
+        raise RuntimeError(f"links are not final after {rounds} rounds")
+    return parts.drop("link", "method").join(after.select("doc_id", "seq", "link", "method"), ["doc_id", "seq"])

@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import citations, keys, references, shortforms, similarity, text
+from marginalia.functions import citations, fragments, keys, references, shortforms, similarity, text
 from marginalia.operators import boundaries, chains, inventory, journals, links, lookup, quotes, scopes, sequences, splitting, structure
 from marginalia.operators import registry as reg
 from marginalia.sources import readers, sinks
@@ -706,3 +706,22 @@ def test_snapshots_sidecars_and_logs(spark, tmp_path):
     cache = spark.createDataFrame([("exact", "e1", "A"), ("neutral", "n1", "B"), ("legacy", "l2", "C")], "level string, key string, answer string")
     asked = spark.createDataFrame([(1, "e1", "n1", "l1"), (2, "e2", "n1", "l2"), (3, "e3", "n3", "l2"), (4, "x", None, "y")], "id int, request_key string, neutral_key string, legacy_key string")
     assert {r.id: (r.level, r.answer) for r in inventory.cached_answers(asked, cache).collect()} == {1: ("exact", "A"), 2: ("neutral", "B"), 3: ("legacy", "C"), 4: (None, None)}
+
+
+def test_references_get_links_from_references(spark):
+    rows = [
+        ("d", 1, 1, "R v Ipeelee, 2012 SCC 13", "Ipeelee", "https://a.org/1"), ("d", 2, 2, "Ibid at para 5", "", None), ("d", 3, 2, "Ibid", "", None), ("d", 4, 3, "Ipeelee, supra note 1 at para 9", "", None), ("d", 5, 4, "Ibid at para 7", "", "wrong"),
+        ("d", 6, 5, "Unknown, supra note 44", "", None), ("d", 7, 6, "Ibid", "", None), ("d", 8, 7, "Jane Doe, Law", "Doe", ""), ("d", 9, 8, "Doe, supra note 7", "", None), ("e", 1, 1, "Ibid", "", None),
+    ]
+    parts = spark.createDataFrame(rows, "doc_id string, seq int, note int, verbatim string, short_form string, link string").withColumn("more", F.lit(1))
+    got = {(r.doc_id, r.seq): (r.link, r.method) for r in reg.reference_links(parts).collect()}
+    assert got["d", 1] == ("https://a.org/1", None) and got["d", 2] == ("https://a.org/1#par5", "previous") and got["d", 3] == ("https://a.org/1", "previous")
+    assert got["d", 4] == ("https://a.org/1#par9", "note_number") and got["d", 5] == ("https://a.org/1#par7", "previous") and got["d", 6] == (None, "abstain_no_match") and got["d", 7] == (None, None)
+    assert got["d", 9] == (None, "abstain_unlinked_target") and got["e", 1] == (None, None) and len(got) == len(rows)
+
+
+def test_fragment_directives_are_verified(spark):
+    lines = spark.createDataFrame([(1, 0, "the court held so and the court erred"), (1, 1, "nothing else")], "doc_id int, block int, text string")
+    rows = [(1, 1, "#:~:text=the%20court,-erred", "the court"), (2, 1, "#:~:text=the%20court", "the court"), (3, 1, "#:~:text=court%20held", "court held"), (4, 1, "#:~:text=court%20held", "other"), (5, 1, "#:~:text=the%20court,so,-and", "the court held so"), (6, 1, "#:~:text=so%20nothing", "so nothing")]
+    got = {r.id: r.verified for r in fragments.verified_fragments(spark.createDataFrame(rows, "id int, doc_id int, directive string, target string"), lines).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False}
