@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.references import id_list
+from marginalia.functions.text import squeezed
 
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -142,3 +143,13 @@ def anchors(paragraphs: DataFrame) -> DataFrame:
     found = paragraphs.filter("part = 'paragraph'").select("doc_key", "number", pieces.alias("_p"), F.posexplode(ids).alias("_i", "footnote_id"))
     at = F.aggregate(F.slice("_p", F.lit(1), F.col("_i") + 1), F.lit(0), lambda s, x: s + F.length(x))
     return found.select("doc_key", F.col("footnote_id").cast("int").alias("footnote_id"), "number", at.alias("position"))
+
+
+def legal_paragraph(xml: Column, number: Column) -> Column:
+    """The text of a numbered paragraph of a LegalDocML judgment, found by its eId (para_5): from its element to the next paragraph's, or
+    the end of the body, without tags; empty where the judgment has no such paragraph."""
+    pattern = F.concat(F.lit('(?s)<[^<>]*\\beId="para_'), number.cast("string"), F.lit('"[^<>]*>(.*?)(?=<[^<>]*\\beId="para_[0-9]+"|</[A-Za-z:]*[bB]ody>|$)'))
+    plain = F.regexp_replace(F.regexp_extract(F.coalesce(xml, F.lit("")), pattern, 1), "<[^>]*>", " ")
+    for mark, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(mark), F.lit(c))
+    return squeezed(plain)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import citations, fragments, keys, references, shortforms, similarity, text
-from marginalia.operators import boundaries, chains, inventory, journals, links, lookup, quotes, scopes, sequences, splitting, structure
+from marginalia.operators import audit, boundaries, chains, inventory, journals, links, lookup, quotes, scopes, sequences, splitting, structure
 from marginalia.operators import registry as reg
 from marginalia.sources import readers, sinks
 
@@ -725,3 +725,20 @@ def test_fragment_directives_are_verified(spark):
     rows = [(1, 1, "#:~:text=the%20court,-erred", "the court"), (2, 1, "#:~:text=the%20court", "the court"), (3, 1, "#:~:text=court%20held", "court held"), (4, 1, "#:~:text=court%20held", "other"), (5, 1, "#:~:text=the%20court,so,-and", "the court held so"), (6, 1, "#:~:text=so%20nothing", "so nothing")]
     got = {r.id: r.verified for r in fragments.verified_fragments(spark.createDataFrame(rows, "id int, doc_id int, directive string, target string"), lines).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False}
+
+
+def test_audit_rows_of_a_document(spark):
+    rows = [
+        ("d", "paragraph", 0, "", "Introduction. The rule is old.⟦FN:2⟧ It was kept.⟦FN:3⟧"), ("d", "paragraph", 1, "", "Courts follow it.⟦FN:4⟧"), ("d", "footnote", 2, "", "* Thanks to all."),
+        ("d", "footnote", 3, "", "R v Able, 2020 SCC 5 at para 3 [Able]; Roe v Doe, 2019 ONCA 7."), ("d", "footnote", 4, "", "Able, supra note 1 at para 9."), ("d", "footnote", 5, "", "Ibid at para 2."), ("d", "footnote", 6, "", "Nobody, supra note 77."),
+    ]
+    got = {(r.footnote_id, r.part_index): r for r in audit.audit_rows(spark.createDataFrame(rows, "doc_key string, part string, number int, style string, text string")).collect()}
+    assert set(got) == {(2, 1), (3, 1), (3, 2), (4, 1), (5, 1), (6, 1)} and [got[k].display for k in ((2, 1), (3, 1), (4, 1), (6, 1))] == ["*", "1", "2", "4"]
+    assert got[4, 1].origin == "d/3/1" and got[5, 1].origin == "d/3/1" and got[5, 1].path == "IBID → SUPRA→3:1" and got[5, 1].ref_kind == "IBID" and got[3, 1].path == ""
+    assert got[6, 1].origin is None and "not found" in got[6, 1].note and got[3, 1].proposition == "It was kept." and got[4, 1].proposition == "Courts follow it." and got[5, 1].proposition is None
+
+
+def test_paragraphs_of_judgments(spark):
+    xml = '<akn:body><paragraph eId="para_4"><num>4.</num><p>Costs &amp; fees.</p></paragraph>\n<paragraph class="x" eId="para_5"><num>5.</num> <p>The <i>rule</i> holds.</p></paragraph><paragraph eId="para_55"><p>Else</p></paragraph></akn:body><p>tail</p>'
+    got = spark.createDataFrame([(xml, n) for n in (4, 5, 55, 6)] + [(None, 4)], "x string, n int").select(readers.legal_paragraph(F.col("x"), F.col("n")).alias("t")).collect()
+    assert [r.t for r in got] == ["4. Costs & fees.", "5. The rule holds.", "Else", "", ""]
