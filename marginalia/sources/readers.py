@@ -148,8 +148,8 @@ def anchors(paragraphs: DataFrame) -> DataFrame:
 def legal_paragraph(xml: Column, number: Column) -> Column:
     """The text of a numbered paragraph of a LegalDocML judgment, found by its eId (para_5): from its element to the next paragraph's, or
     the end of the body, without tags; empty where the judgment has no such paragraph."""
-    pattern = F.concat(F.lit('(?s)<[^<>]*\\beId="para_'), number.cast("string"), F.lit('"[^<>]*>(.*?)(?=<[^<>]*\\beId="para_[0-9]+"|</[A-Za-z:]*[bB]ody>|$)'))
-    plain = F.regexp_replace(F.regexp_extract(F.coalesce(xml, F.lit("")), pattern, 1), "<[^>]*>", " ")
+    pattern = F.concat(F.lit('(?s)<[^<>]*\\beId="para_'), number.cast("string"), F.lit('"[^<>]*>.*?(?=<[^<>]*\\beId="para_[0-9]+"|</[A-Za-z:]*[bB]ody>|$)'))
+    plain = F.regexp_replace(F.coalesce(F.regexp_substr(xml, pattern), F.lit("")), "<[^>]*>", " ")
     for mark, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(mark), F.lit(c))
     return squeezed(plain)
