@@ -16,9 +16,34 @@ def dealt(rows: DataFrame, block: Column, blocks: Column, node: str = "node") ->
     return placed.withColumns({"left": F.least("block", "_other"), "right": F.greatest("block", "_other")}).drop("_other")
 
 
-def by_unit(units: DataFrame, group: Sequence[str], work: Callable[[pa.Table], Iterable[tuple]], schema: str, names: Sequence[str]) -> DataFrame:
-    """What work gives for each unit, the rows that agree on the long or int columns group: tuples of arrays, one array a column
-    of schema. Rows of a unit are brought together by a shuffle and a sort within partitions; memory holds one unit."""
+def pairs_within(cuts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places (a, b), a before b, of all pairs of rows within units, which lie between the cuts: units of one size together, about
+    `most` pairs at once, so that many small units cost no more than their pairs."""
+    sizes, starts = np.diff(cuts), cuts[:-1]
+    for k in np.unique(sizes[sizes > 1]):
+        i, j = np.triu_indices(int(k), 1)
+        own = starts[sizes == k]
+        step = max(1, most // len(i))
+        for at in range(0, len(own), step):
+            first = own[at : at + step, None]
+            yield (first + i).ravel(), (first + j).ravel()
+
+
+def each_unit(one: Callable[[pa.Table], Iterable[tuple]]) -> Callable[[pa.Table, np.ndarray], Iterable[tuple]]:
+    """Work on several units by working on each of more than one row."""
+
+    def work(t: pa.Table, cuts: np.ndarray) -> Iterator[tuple]:
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if e - s > 1:
+                yield from one(t.slice(s, e - s).combine_chunks())
+
+    return work
+
+
+def by_unit(units: DataFrame, group: Sequence[str], work: Callable[[pa.Table, np.ndarray], Iterable[tuple]], schema: str, names: Sequence[str]) -> DataFrame:
+    """What work gives for units, the rows that agree on the long or int columns group: it is handed a table of whole units and where they
+    begin and end, and gives tuples of arrays, one a column of schema. Rows of a unit are brought together by a shuffle and a
+    sort within partitions; memory holds a batch of rows, or one unit where that is larger."""
     group = list(group)
 
     def starts(t: pa.Table) -> np.ndarray:
@@ -26,11 +51,9 @@ def by_unit(units: DataFrame, group: Sequence[str], work: Callable[[pa.Table], I
         return np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]]))
 
     def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cuts = starts(t)
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e - s > 1:
-                for columns in work(t.slice(s, e - s).combine_chunks()):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(names))
+        t = t.combine_chunks()
+        for columns in work(t, starts(t)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the unit that is not yet complete

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField
 
-from marginalia.llm.blocks import by_unit, dealt
+from marginalia.llm.blocks import by_unit, dealt, pairs_within
 from marginalia.llm.common import lookup, materialize, spread_join, widened
 from marginalia.llm.components import components
 
@@ -157,30 +157,30 @@ def _coded(df: DataFrame, index: Index) -> DataFrame:
 _UNIT = ("bucket", "left", "right")
 
 
-def _near(t: pa.Table, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of rows of a unit whose codes are near enough, and that no earlier table brings together."""
+def _near(t: pa.Table, cuts: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows within units whose codes are near enough, and that no earlier table brings together."""
     code = np.stack([t[c].to_numpy() for c in _CODE], axis=1).view(np.uint64)
-    block, bucket = t["block"].to_numpy(), t["bucket"][0].as_py()
-    apart = np.zeros((len(code), len(code)), dtype=np.uint16)
-    for w in range(WORDS):
-        apart += np.bitwise_count(code[:, None, w] ^ code[None, :, w])
-    near = np.triu(apart <= index.far, 1)
-    if t["left"][0].as_py() != t["right"][0].as_py():  # two blocks: each row against the rows of the other
-        near &= block[:, None] != block[None, :]
-    a, b = np.nonzero(near)
-    earlier = index.masks[: bucket >> 32]
-    new = np.ones(len(a), dtype=bool)
-    for s in range(0, len(a), 1 << 14):
-        differ = code[a[s : s + (1 << 14)]] ^ code[b[s : s + (1 << 14)]]
-        new[s : s + (1 << 14)] = ((differ[:, None, :] & earlier[None]) != 0).any(axis=2).all(axis=1)
-    return a[new], b[new]
+    block, table, across = t["block"].to_numpy(), t["bucket"].to_numpy() >> 32, t["left"].to_numpy() != t["right"].to_numpy()
+    found = [(np.empty(0, dtype=np.int64),) * 2]
+    for a, b in pairs_within(cuts):
+        apart = np.zeros(len(a), dtype=np.uint16)
+        for w in range(WORDS):
+            apart += np.bitwise_count(code[a, w] ^ code[b, w])
+        near = (apart <= index.far) & (~across[a] | (block[a] != block[b]))  # two blocks: each row against the rows of the other
+        a, b = a[near], b[near]
+        for s in range(0, len(a), 1 << 14):
+            x, y = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
+            agree = (((code[x] ^ code[y])[:, None, :] & index.masks[None]) == 0).all(axis=2)
+            new = agree.argmax(axis=1) == table[x]
+            found.append((x[new], y[new]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _flagged(units: DataFrame, index: Index) -> DataFrame:
     """The rows of units, without codes, that are in some pair to rerank. Pairs are not emitted."""
 
-    def work(t: pa.Table) -> Iterable[tuple]:
-        hit = np.unique(np.concatenate(_near(t, index)))
+    def work(t: pa.Table, cuts: np.ndarray) -> Iterable[tuple]:
+        hit = np.unique(np.concatenate(_near(t, cuts, index)))
         if len(hit):
             yield tuple(t[c].to_numpy()[hit] for c in (*_UNIT, "block", "node"))
 
@@ -204,11 +204,12 @@ def _reranked(units: DataFrame, index: Index, least: float) -> DataFrame:
     """(node, n, root): for the rows of each unit that are linked there, the linked vectors and the smallest row reached. A pair
     counts in the first table that brings it together, so neither pairs nor their duplicates are ever emitted."""
 
-    def work(t: pa.Table) -> Iterable[tuple]:
+    def work(t: pa.Table, cuts: np.ndarray) -> Iterable[tuple]:
         ids, many = t["node"].to_numpy(), t["many"].to_numpy()
         u, _ = unit_vectors(t["vector"], index.dim)
-        a, b = _near(t, index)
-        linked = (u @ u.T)[a, b] >= least
+        a, b = _near(t, cuts, index)
+        step = max(1, (1 << 22) // index.dim)
+        linked = np.concatenate([(u[a[s : s + step]] * u[b[s : s + step]]).sum(axis=1) >= least for s in range(0, len(a), step)] or [np.empty(0, dtype=bool)])
         a, b = a[linked], b[linked]
         if not len(a):
             return
