@@ -66,8 +66,8 @@ def evidence(text: Column) -> Column:
 def places(text: Column, ahead: str) -> Column:
     """Where the pattern begins to match, from 0: the text is cut before each match, and the lengths of the pieces added up."""
     pieces = F.split(text, f"(?={ahead})" if not ahead.startswith("(?<=") else ahead)
-    n = F.size(pieces)
-    sums = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.aggregate(F.slice(pieces, F.lit(1), i - 1), F.lit(0), lambda s, x: s + F.length(x)))
+    ends = F.struct(F.lit(0).alias("n"), F.array(F.lit(0)).alias("out"))
+    sums = F.aggregate(pieces, ends, lambda s, x: F.struct((s["n"] + F.length(x)).alias("n"), F.array_append(s["out"], s["n"] + F.length(x)).alias("out")))["out"]
     first = F.when(text.rlike(f"^(?:{ahead})"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.concat(first, F.filter(sums, lambda p: (p > 0) & (p < F.length(text)))))
 
