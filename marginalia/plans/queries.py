@@ -302,7 +302,7 @@ def note_parts(spark, sf_dir):
     """Documents as notes: every text cut into parts, counted by kind."""
     (docs,) = _read(spark, sf_dir, "documents")
     split = splitting.split_notes(docs.select("doc_id", F.lit(1).alias("footnote_id"), "text"))
-    return split.groupBy("kind").agg(F.count(F.lit(1)).alias("parts"), F.count_distinct("doc_id").alias("notes"), F.count_if(F.col("link") != "").alias("links"))
+    return split.groupBy("kind").agg(F.count(F.lit(1)).alias("parts"), F.count_distinct("doc_id").alias("notes"), F.count_if(F.col("link") != "other").alias("links"))
 
 
 def set_difference(spark, sf_dir):
