@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import chat, embedding_duplicates, mixing, near_duplicates, packing, pseudonyms, quality, sharding, url_reputation, warc
+from marginalia.llm import byte_pairs, chat, embedding_duplicates, mixing, near_duplicates, packing, pseudonyms, quality, sharding, url_reputation, warc
 
 #: (rule, verdict), as the contract of op2 fixes them.
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -74,7 +74,17 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_url_reputation, op3_pii_pseudonyms, op4_minhash, op5_source_mixing, op6_interleaved_shards, op7_chat_prefixes, op8_weak_supervision, op9_itq_embeddings, op10_warc_revisits)}
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_pairs.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    read = byte_pairs.decode(ids, ranks)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_url_reputation, op3_pii_pseudonyms, op4_minhash, op5_source_mixing, op6_interleaved_shards, op7_chat_prefixes, op8_weak_supervision, op9_itq_embeddings, op10_warc_revisits, op12_byte_bpe)}
 
 
 def _op2_sql() -> str:
