@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import byte_pairs, chat, embedding_duplicates, mixing, near_duplicates, packing, pseudonyms, quality, sharding, url_reputation, warc
+from marginalia.llm import byte_pairs, centroids, chat, embedding_duplicates, mixing, near_duplicates, packing, pseudonyms, quality, sharding, url_reputation, warc
 
 #: (rule, verdict), as the contract of op2 fixes them.
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -74,6 +74,10 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_yinyang_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.yinyang(_table(spark, sf_dir, "embeddings"), k=16, rounds=3))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,7 +88,7 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_url_reputation, op3_pii_pseudonyms, op4_minhash, op5_source_mixing, op6_interleaved_shards, op7_chat_prefixes, op8_weak_supervision, op9_itq_embeddings, op10_warc_revisits, op12_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_url_reputation, op3_pii_pseudonyms, op4_minhash, op5_source_mixing, op6_interleaved_shards, op7_chat_prefixes, op8_weak_supervision, op9_itq_embeddings, op10_warc_revisits, op11_yinyang_centroids, op12_byte_bpe)}
 
 
 def _op2_sql() -> str:
@@ -179,4 +183,18 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
 
 
-ORACLES = {"op9_itq_embeddings": _OP9_SQL, "op7_chat_prefixes": _op7_sql(), "op4_minhash": _OP4_SQL, "op2_url_reputation": _op2_sql(), "op5_source_mixing": _op5_sql(), "op10_warc_revisits": _op10_sql()}
+def _op11_sql() -> str:
+    nearest = "SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, (min(d * 16 + i) % 16)::INT AS i, min(d) AS d FROM (SELECT r, vec_id, v, i, list_sum(list_transform(range(1, 65), lambda j: (v[j] - c[j]) * (v[j] - c[j])))::BIGINT AS d FROM k, c{0}) GROUP BY r"
+    rounds = "".join(f"""
+a{n} AS MATERIALIZED ({nearest.format(n - 1)}),
+m{n} AS (SELECT i, list((s - ((s % n) + n) % n) // n ORDER BY j) AS m FROM (SELECT i, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{n}, range(1, 65) t(j) GROUP BY i, j) GROUP BY i),
+c{n} AS MATERIALIZED (SELECT i, coalesce(m, c) AS c FROM c{n - 1} LEFT JOIN m{n} USING (i)),""" for n in (1, 2, 3))
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS i, v AS c FROM k ORDER BY sha256('1:' || vec_id), v LIMIT 16),{rounds}
+a AS MATERIALIZED ({nearest.format(3)}), t AS (SELECT i, sum(d)::BIGINT AS own, (SELECT sum(d)::BIGINT FROM a) AS total FROM a GROUP BY i)
+SELECT vec_id, i AS cluster, d AS distance, own AS cluster_inertia, total AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN t USING (i) JOIN c3 USING (i)"""
+
+
+ORACLES = {"op11_yinyang_centroids": _op11_sql(), "op9_itq_embeddings": _OP9_SQL, "op7_chat_prefixes": _op7_sql(), "op4_minhash": _OP4_SQL, "op2_url_reputation": _op2_sql(), "op5_source_mixing": _op5_sql(), "op10_warc_revisits": _op10_sql()}
