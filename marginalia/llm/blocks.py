@@ -40,10 +40,11 @@ def each_unit(one: Callable[[pa.Table], Iterable[tuple]]) -> Callable[[pa.Table,
     return work
 
 
-def by_unit(units: DataFrame, group: Sequence[str], work: Callable[[pa.Table, np.ndarray], Iterable[tuple]], schema: str, names: Sequence[str]) -> DataFrame:
+def by_unit(units: DataFrame, group: Sequence[str], work: Callable[[pa.Table, np.ndarray], Iterable[tuple]], schema: str, names: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """What work gives for units, the rows that agree on the long or int columns group: it is handed a table of whole units and where they
     begin and end, and gives tuples of arrays, one a column of schema. Rows of a unit are brought together by a shuffle and a
-    sort within partitions; memory holds a batch of rows, or one unit where that is larger."""
+    sort within partitions; memory holds a batch of rows, or one unit where that is larger. With order, columns that end with those of
+    group, rows are dealt by ranges of them and come in their order."""
     group = list(group)
 
     def starts(t: pa.Table) -> np.ndarray:
@@ -68,4 +69,5 @@ def by_unit(units: DataFrame, group: Sequence[str], work: Callable[[pa.Table, np
             yield from done(held)
 
     parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return units.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(run, schema)
+    dealt = units.repartitionByRange(parts, *order).sortWithinPartitions(*order) if order else units.repartition(parts, *group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import byte_pairs, centroids, chat, embedding_duplicates, mixing, near_duplicates, packing, pseudonyms, quality, sharding, url_reputation, warc
+from marginalia.llm import byte_pairs, centroids, chat, embedding_duplicates, mixing, near_duplicates, packing, pseudonyms, quality, sharding, spelling, url_reputation, warc
 
 #: (rule, verdict), as the contract of op2 fixes them.
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -88,7 +88,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_url_reputation, op3_pii_pseudonyms, op4_minhash, op5_source_mixing, op6_interleaved_shards, op7_chat_prefixes, op8_weak_supervision, op9_itq_embeddings, op10_warc_revisits, op11_yinyang_centroids, op12_byte_bpe)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_url_reputation, op3_pii_pseudonyms, op4_minhash, op5_source_mixing, op6_interleaved_shards, op7_chat_prefixes, op8_weak_supervision, op9_itq_embeddings, op10_warc_revisits, op11_yinyang_centroids, op12_byte_bpe, op13_spelling_variants)}
 
 
 def _op2_sql() -> str:
@@ -197,4 +201,23 @@ a AS MATERIALIZED ({nearest.format(3)}), t AS (SELECT i, sum(d)::BIGINT AS own,
 SELECT vec_id, i AS cluster, d AS distance, own AS cluster_inertia, total AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN t USING (i) JOIN c3 USING (i)"""
 
 
-ORACLES = {"op11_yinyang_centroids": _op11_sql(), "op9_itq_embeddings": _OP9_SQL, "op7_chat_prefixes": _op7_sql(), "op4_minhash": _OP4_SQL, "op2_url_reputation": _op2_sql(), "op5_source_mixing": _op5_sql(), "op10_warc_revisits": _op10_sql()}
+def _op13_sql() -> str:
+    return f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i)) AS t),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+d AS MATERIALIZED (SELECT doc_id, r, count(*) AS k FROM r WHERE length(r) >= 7 GROUP BY 1, 2),
+b AS (SELECT doc_id, r, k, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || r, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END))) AS bytes FROM d),
+h AS (SELECT r, k, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295::BIGINT) AS h FROM b, crc),
+w AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substring(r, 1, (h % length(r))::INT) || substring(r, (h % length(r))::INT + 2) ELSE r END AS word, k FROM h)
+    WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+v AS MATERIALIZED (SELECT word, n, i, length(word) AS len, substring(word, 1, i - 1) || substring(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS MATERIALIZED (SELECT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.len = b.len AND a.word <> b.word
+    UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.v = w.word UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.v = w.word),
+g AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS best FROM p GROUP BY 1),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best[1] >= 10 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 10 * n THEN -best[1] END AS form_n FROM w LEFT JOIN g USING (word)),
+s AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT s.word, f.form FROM s JOIN f ON s.root = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT s.word, s.root FROM s JOIN f ON s.root = f.word WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN e USING (word)"""
+
+
+ORACLES = {"op13_spelling_variants": _op13_sql(), "op11_yinyang_centroids": _op11_sql(), "op9_itq_embeddings": _OP9_SQL, "op7_chat_prefixes": _op7_sql(), "op4_minhash": _OP4_SQL, "op2_url_reputation": _op2_sql(), "op5_source_mixing": _op5_sql(), "op10_warc_revisits": _op10_sql()}
