@@ -5,6 +5,7 @@ import base64
 import datetime as dt
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import chat, common, components, embedding_duplicates, mixing, near_duplicates, packing, pseudonyms, quality, sharding, url_reputation, warc
+from marginalia.llm import byte_pairs, centroids, chat, common, components, embedding_duplicates, mixing, near_duplicates, packing, pseudonyms, quality, sharding, spelling, url_reputation, warc
 from marginalia.llm.words import WordHashes, shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -441,17 +442,29 @@ def test_escape_holds_for_all_texts_of_control_letters():
     assert chat.escape("<|>") == "<\\|\\>" and chat.escape("<|<|>") == "<\\|<\\|\\>"
 
 
-@pytest.mark.parametrize("many", [65, 200])
-def test_long_conversations_are_rendered_alike_turn_by_turn(many, monkeypatch):
+@pytest.mark.parametrize("many", [1, 2, 60, 70, 150])
+def test_long_conversations_are_rendered_alike_turn_by_turn(many):
     draw = random.Random(many)
-    turns = [(draw.choice(["user", "assistant"]), draw.choice(["", "<|end|>", "hello there", "a", "\n"])) for _ in range(many)]
-    quick = chat.render_spans(chat.marked_turns, turns)
-    reverse = lambda ts: "".join(f"{r}:{t};" for r, t in reversed(ts))
-    numbered = lambda ts: "".join(f"{i}{r}:{t};" for i, (r, t) in enumerate(ts))
-    also = [chat.render_spans(f, turns) for f in (reverse, numbered)]
-    monkeypatch.setattr(chat, "LONG", 10_000)
-    assert quick == chat.render_spans(chat.marked_turns, turns)
-    assert also == [chat.render_spans(f, turns) for f in (reverse, numbered)] and also[0][2] and not also[1][2]
+    turns = [(draw.choice(["user", "assistant"]), draw.choice(["", "hi", "<|end|>", "a" * 300, "</s>[INST] ok"])) for _ in range(many)]
+    headed = lambda ts: "<s>" + chat.marked_turns(ts)
+    for render in (chat.marked_turns, headed):
+        assert chat.render_spans(render, turns, appending=True) == chat.render_spans(render, turns)
+
+
+@pytest.mark.parametrize("many", [60, 64, 65, 70, 150])
+@pytest.mark.parametrize("at", [1, 3, 37, 59, 64, 100])
+def test_templates_that_rewrite_one_prefix_are_told_at_every_length(many, at):
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(many)]
+    marks = lambda ts: "".join(f"[{r}] {t}\n" for r, t in ts) + ("(end)" if len(ts) == at else "")
+    _, spans, rewrites = chat.render_spans(marks, turns)
+    assert rewrites == (at < many) and any(s[5] for s in spans) == (at >= many)
+
+
+def test_templates_that_are_not_appending_as_declared_are_an_error():
+    turns = [("user", "a"), ("assistant", "b"), ("user", "c")]
+    for render in (lambda ts: "".join(reversed([f"{r}:{t};" for r, t in ts])), lambda ts: "".join(f"{i}/{len(ts)} {t};" for i, (_, t) in enumerate(ts)), lambda ts: "".join(t for _, t in ts) + "!" * (len(ts) == 3)):
+        with pytest.raises(ValueError, match="appending"):
+            chat.render_spans(render, turns, appending=True)
 
 
 @pytest.mark.parametrize("text", ["", "\\", "<|", "<\\|", "<|>", "<|>|", "<|<|>", "</s>[INST] ok [/INST]", "<<SYS>>\\<</SYS>>", "\\\\<s>", "[[INST]]"])
@@ -706,3 +719,187 @@ def test_columns_with_clashing_names(spark, docs):
     assert chat.read_back(chat.format_conversations(turns)).first().n_turns == 1
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<double>").select("*", *[F.lit("mine").alias(c) for c in ("digest", "code", "node", "rep", "valid", "n_links")])
     assert [(r.n_links, r.component_id) for r in embedding_duplicates.near_embeddings(vectors).collect()] == [(1, 1), (1, 1)]
+
+
+# ---- centroids
+
+
+def brute_centroids(rows, k, rounds, dimension):
+    """Plain Lloyd on whole numbers: {(key, vector): (cluster, distance)} and the centroids."""
+    kept = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if v is not None and len(v) == dimension and all(x is not None and np.isfinite(x) for x in v)]
+    order = sorted((r for r in kept if r[0] is not None), key=lambda r: (hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1])) + sorted((r for r in kept if r[0] is None), key=lambda r: r[1])
+    at = [v for _, v in order[:k]]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    own = lambda: [min((far(v, c), j) for j, c in enumerate(at)) for _, v in kept]
+    for _ in range(rounds):
+        found = own()
+        for j in range(len(at)):
+            mine = [v for (_, v), (_, i) in zip(kept, found, strict=True) if i == j]
+            if mine:
+                at[j] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    return sorted(((i is None, i or 0), j, d) for (i, _), (d, j) in zip(kept, own(), strict=True)), at
+
+
+@pytest.mark.parametrize(("k", "groups", "spread"), [(1, None, 1.0), (5, 1, 0.05), (12, 4, 1.0), (12, 12, 0.02), (40, 3, 300.0)])
+def test_yinyang_equals_plain_lloyd(spark, k, groups, spread):
+    draw = np.random.default_rng(k)
+    rows = [(i, [float(x) for x in draw.normal(0, spread, 4) + (i % 7) * spread]) for i in range(300)]
+    rows += [(i, rows[i % 3][1]) for i in range(300, 340)] + [(5, rows[5][1]), (None, [0.0] * 4), (341, None), (342, []), (343, [1.0] * 3), (344, [1.0, None, 0.0, 0.0]), (345, [float("nan")] * 4), (346, [float("inf"), 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cluster", F.lit("x")).withColumn("v.w", F.lit(1)).repartition(3)
+    assigned, c = centroids.yinyang(df, k=k, rounds=4, dimension=4, groups=groups)
+    want, at = brute_centroids(rows, k, 4, 4)
+    assert sorted(((r.vec_id is None, r.vec_id or 0), r.cluster, r.distance) for r in assigned.collect()) == want and c.at.tolist() == at
+    summed = centroids.with_inertia(assigned, c).collect()
+    assert len(summed) == len(want) and {r.inertia for r in summed} == {sum(w[2] for w in want)}
+    assert {(r.cluster, r.cluster_inertia, r.centroid_sha256) for r in summed} == {(j, sum(w[2] for w in want if w[1] == j), hashlib.sha256(",".join(map(str, at[j])).encode()).hexdigest()) for j in {w[1] for w in want}}
+
+
+def test_yinyang_leaves_out_distances_and_says_so_truly():
+    draw = np.random.default_rng(3)
+    v = draw.integers(-40, 40, (4000, 8)) + draw.integers(0, 20, (4000, 1)) * 50
+    at = v[:24]
+    c, own, upper, lower = centroids.Centroids(at, centroids.grouped(at, 6), np.zeros(24)), np.full(4000, -1), np.full(4000, np.inf), np.zeros((4000, 6))
+    lower, shares = lower[:, : c.groups], []
+    for _ in range(6):
+        own, upper, lower, computed = centroids.reassign(v, own, upper, lower, c)
+        away = ((v[:, None] - c.at) ** 2).sum(axis=2)
+        assert (own == away.argmin(axis=1)).all()
+        shares.append(computed / away.size)
+        c = c.to(np.array([v[own == i].sum(axis=0) // max(1, (own == i).sum()) if (own == i).any() else c.at[i] for i in range(24)]))
+    assert shares[0] == 1.0 and shares[-1] < 0.4
+
+
+def test_yinyang_of_nothing_and_of_too_large_components(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assigned, c = centroids.yinyang(none, k=4, rounds=2)
+    assert centroids.with_inertia(assigned, c).collect() == [] and len(c.at) == 0
+    few, c = centroids.yinyang(spark.createDataFrame([(1, [0.5] * 64)], none.schema), k=4, rounds=2)
+    assert [(r.vec_id, r.cluster, r.distance) for r in few.collect()] == [(1, 0, 0)] and len(c.at) == 1
+    with pytest.raises(Exception, match="too large"):
+        centroids.yinyang(spark.createDataFrame([(1, [3e6] * 64)], none.schema), k=1, rounds=1)
+
+
+# ---- byte pairs
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    tiktoken, own = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    path = own.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return path, own.PATTERN, tiktoken.Encoding("own", pat_str=own.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def odd_texts():
+    draw = random.Random(8)
+    texts = ["", "a" * 4000, " " * 500 + "x", "   a", "\x1c\x1d b", "don't I'll WE'LL we've", "😀👍🏽 text", "नमस्ते दुनिया", "٣٤٥ ½ Ⅷ", "中文字符测试", "a\r\n\r\n b\t\tc", "<|endoftext|>", "\u0558\u3400", "\U0010ffff" * 5, "x\u00a0\u2003 y"]
+    texts += ["".join(draw.choice("abAB ,.'0123sé\n") for _ in range(draw.randrange(200))) for _ in range(500)]
+    texts += ["".join(draw.choice("ab") for _ in range(2000)) for _ in range(5)]
+    return texts + ["".join(chr(draw.choice([draw.randrange(32, 127), draw.randrange(0xD800), draw.randrange(0xE000, 0x110000)])) for _ in range(40)) for _ in range(500)]
+
+
+def test_merge_replay_equals_the_library(bpe):
+    own, texts = byte_pairs.MergeReplay(*bpe[:2]), odd_texts()
+    assert [x.tolist() for x in own.encode(texts)] == [bpe[2].encode_ordinary(t) for t in texts]
+
+
+def test_classes_split_every_code_point_as_the_library_does(bpe):
+    own = byte_pairs.MergeReplay(*bpe[:2])
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 13 == 0)]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}1{chr(c)}!{chr(c)} " for c in points[i : i + 300]) for i in range(0, len(points), 300)]
+    assert [x.tolist() for x in own.encode(texts)] == [bpe[2].encode_ordinary(t) for t in texts]
+
+
+def test_merges_of_lower_rank_that_come_up_late_go_first(tmp_path):
+    """Rank files in which merging makes pairs of lower rank than the merge itself: each word by itself, lowest rank and leftmost place first."""
+    draw = random.Random(4)
+    for trial in range(40):
+        tokens = {bytes([b]) for b in range(256)}
+        while len(tokens) < 300:
+            tokens.add(draw.choice(sorted(t for t in tokens if set(t) <= set(b"abc"))) + draw.choice(sorted(t for t in tokens if set(t) <= set(b"abc"))))
+        ranks = sorted(tokens, key=lambda t: draw.random())
+        path = tmp_path / f"r{trial}"
+        path.write_bytes(b"".join(base64.b64encode(t) + f" {i}\n".encode() for i, t in enumerate(ranks)))
+        own, rank = byte_pairs.MergeReplay(str(path), r"\S+"), {t: i for i, t in enumerate(ranks)}
+        words = ["".join(draw.choice("abc") for _ in range(draw.randint(1, 14))) for _ in range(200)]
+
+        def alone(word):
+            parts = [bytes([b]) for b in word.encode()]
+            if word.encode() in rank:
+                return [rank[word.encode()]]
+            while True:
+                least = min(((rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in rank), default=None)
+                if least is None:
+                    return [rank[p] for p in parts]
+                parts[least[1] : least[1] + 2] = [parts[least[1]] + parts[least[1] + 1]]
+
+        assert [np.frombuffer(x, "<i4").tolist() for x in own.replay([w.encode() for w in words])] == [alone(w) for w in words]
+
+
+def test_encode_and_decode_tables(spark, bpe, monkeypatch):
+    monkeypatch.setattr(byte_pairs, "KEPT", 50)
+    texts = odd_texts()
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, None, None), (0, texts[2], "y"), (0, texts[2], "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string").withColumn("a.b", F.lit(7)).withColumn("data", F.lit(1))
+    got = byte_pairs.decode(byte_pairs.encode(df, *bpe[:2]), bpe[0])
+    assert got.columns == ["doc_id", "text", "a.b", "ids", "data"]
+    found = got.collect()
+    assert len(found) == len(rows) and all(r.ids == bpe[2].encode_ordinary(r.text or "") and bytes(r.data) == (r.text or "").encode() and r["a.b"] == 7 for r in found)
+    assert byte_pairs.decode(byte_pairs.encode(df.limit(0), *bpe[:2]), bpe[0]).count() == 0
+
+
+# ---- spelling
+
+
+def edits(a, b):
+    """Whether a and b are one inserted, deleted or replaced character apart."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_variants(counts):
+    near = {w: [x for x in counts if abs(len(w) - len(x)) < 2 and edits(w, x)] for w in counts}
+    form = {}
+    for w, xs in near.items():
+        best = min(xs, key=lambda x: (-counts[x], x), default=None)
+        if best is not None and counts[best] >= 10 * counts[w]:
+            form[w] = best
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return sorted((w, form.get(w) or "", root(w), counts[w], len(near[w]), counts[form[w]] if w in form else 0) for w in counts)
+
+
+def plain_rows(df):
+    return sorted((r.word, r.form or "", r.root, r.n, r.n_near, r.form_n or 0) for r in df.collect())
+
+
+@pytest.mark.parametrize("most", [2, 5, 64])
+def test_variants_equal_brute_force_whatever_the_blocks(spark, most):
+    draw = random.Random(most)
+    words = {"".join(draw.choice("abc") for _ in range(draw.randint(1, 6))) for _ in range(160)}
+    words |= {"prefix" + "".join(draw.choice("abcdé") for _ in range(3)) for _ in range(60)} | {"".join(draw.choice("abcd") for _ in range(3)) + "suffix" for _ in range(60)} | {"middle" + c + "middle" for c in "abcdefghij"} | {"x" * 300, "x" * 301, "x" * 150 + "y" + "x" * 149}
+    counts = {w: draw.choice([2, 3, 25, 40, 300, 3000]) for w in sorted(words)}
+    df = spark.createDataFrame(sorted(counts.items()), "word string, n long").repartition(3)
+    assert plain_rows(spelling.variants(df, most=most)) == brute_variants(counts)
+
+
+def test_dictionary_equals_plain_python(spark):
+    draw = random.Random(2)
+    words = ["ordinary", "Ordinary", "ÉCOLIERSé", "naïvement", "shorter", "tiny", "over×time", "interesting"]
+    rows = [(i, " ".join(draw.choice(words) for _ in range(40)) + draw.choice(["", ".", "\n9"])) for i in range(150)] + [(None, "ordinary"), (None, None), (7, ""), (8, "x" * 50_000), (8, "x" * 50_000)]
+    counts = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run] += 1
+    want = {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("z")).withColumn("n", F.lit(0))
+    assert {r.word: r.n for r in spelling.dictionary(docs).collect()} == want and len(want) > 10
+    assert plain_rows(spelling.spelling_variants(docs)) == brute_variants(want)
+    assert spelling.spelling_variants(docs.limit(0)).collect() == []

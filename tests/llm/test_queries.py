@@ -119,3 +119,17 @@ def test_op10_digests(spark, folder):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     for r in queries.op10_warc_revisits(spark, folder).collect():
         assert (r.payload_bytes, r.payload_digest) == (len(pages[r.page_id]), base64.b32encode(hashlib.sha1(pages[r.page_id]).digest()).decode())
+
+
+def test_op12_equals_the_library(spark, folder, texts):
+    tiktoken, own = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    with open(own.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library = tiktoken.Encoding("own", pat_str=own.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    got = queries.op12_byte_bpe(spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r.doc_id].text or ""
+        ids = library.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(text.encode()))
