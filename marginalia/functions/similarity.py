@@ -11,7 +11,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: Fixed: what a token is, the limits beyond which a source is long, the lengths of anchor phrases, punctuation that a quotation may
 #: add at its end, and marks that compare equal.
@@ -147,17 +147,15 @@ def title_ratio(query: pa.Array, title: pa.Array) -> pa.Array:
 
 
 def _inside(quoted: str, given: str) -> str | None:
-    """test[ing] of testing and test: one insertion into a word that is otherwise the same; None for other words."""
-    if set("[]") & set(quoted + given):
+    """test[ing] of testing and test: one insertion into a word that is otherwise the same; None for other words. What both begin with
+    and what both end with must cover the given word; the insertion is what they leave of the quoted one."""
+    added = len(quoted) - len(given)
+    if added <= 0 or added > max(4, len(given) // 2 + 1) or set("[]") & set(quoted + given):
         return None
-    steps = SequenceMatcher(None, given, quoted, autojunk=False).get_opcodes()
-    added = [s for s in steps if s[0] == "insert"]
-    if len(added) != 1 or any(s[0] not in ("equal", "insert") for s in steps):
+    head = next((i for i, (x, y) in enumerate(zip(quoted, given, strict=False)) if x != y), len(given))
+    if quoted[head + added :] != given[head:]:
         return None
-    n = added[0][4] - added[0][3]
-    if len(quoted) - n < min(3, len(given)) or n > max(4, len(given) // 2 + 1):
-        return None
-    return "".join(given[s[1] : s[2]] if s[0] == "equal" else f"[{quoted[s[3] : s[4]]}]" for s in steps)
+    return f"{given[:head]}[{quoted[head : head + added]}]{given[head:]}"
 
 
 def _shown(quoted: list[str], given: list[str]) -> list[str]:
@@ -222,30 +220,109 @@ def corrected_quote(source: pa.Array, quote: pa.Array) -> pa.Array:
     return _rows(pa.string(), corrected, source, quote)
 
 
-def fragment(source: str, quote: str, most: int = 900) -> str:
-    """The stretch of the source that the quotation stands for: aligned tokens, cut where more than 8 lie between, of which the
-    stretch with the most words is taken; without a paragraph's number before it; empty if there is none or it is too long."""
+#: Fixed: tokens that may lie between two stretches of one fragment, words by which a replaced stretch may differ, characters of a
+#: fragment, characters by which a quotation's beginning is looked for, and characters around what is found.
+GAP, UNEVEN, MOST_CHARS, START, AROUND = 8, 2, 900, 40, 400
+
+
+def best_region(source: list[str], quote: list[str]) -> tuple[int, int, int]:
+    """(from, to, shared): the window of words as long as the quotation that shares most words with it, counted with repeats; of equals
+    the first. The count is carried along as the window slides, so this takes time in proportion to the source."""
+    n = min(len(quote), len(source))
+    want: dict[str, int] = {}
+    for w in quote:
+        want[w] = want.get(w, 0) + 1
+    shared, best, at = 0, -1, 0
+    for i, w in enumerate(source):
+        if w in want:  # want holds what the window still lacks of each word; below 0 it has more than the quotation
+            want[w] -= 1
+            shared += want[w] >= 0
+        if i >= n and (out := source[i - n]) in want:
+            want[out] += 1
+            shared -= want[out] > 0
+        if i >= n - 1 and shared > best:
+            best, at = shared, i - n + 1
+    return at, at + n, max(best, 0)
+
+
+def region(source: str, quote: str) -> str:
+    """The stretch of a source in which a quotation is to be looked for: around its first START characters, if the source has them; in long
+    sources around the first of its phrases found, or none; else around the best region, a quotation before it and two behind."""
+    said, text = quote.strip(), source.strip()
+    own = [w.lower() for w in _WORDS.findall(said)]
+    plain = lambda s: "".join(_SAME.get(c, c) for c in s).lower()
+    low = plain(text)
+    if len(low) == len(text) and said and (at := low.find(plain(said[:START]))) >= 0:
+        return text[max(0, at - AROUND // 2) : at + len(said) + AROUND // 2]
+    spans = [(m[0].lower(), m.start(), m.end()) for m in _WORDS.finditer(text)]
+    if not spans or not own:
+        return text
+    words = [w for w, _, _ in spans]
+    if len(text) > LONG_CHARS:
+        line = "\0".join(["", *words, ""])
+        for phrase in _phrases(own):
+            if (at := line.find("\0".join(["", *phrase, ""]))) >= 0:
+                first = line.count("\0", 0, at)
+                return text[max(0, spans[first][1] - AROUND) : spans[first + len(phrase) - 1][2] + len(said) + AROUND]
+        return ""
+    lo, hi, _ = best_region(words, own)
+    return text[spans[max(0, lo - len(own))][1] : spans[min(len(spans), hi + 2 * len(own)) - 1][2]]
+
+
+def fragment(source: str, quote: str) -> str:
+    """The stretch of the source that the quotation stands for, without a paragraph's number before it; empty if there is none or it is
+    longer than MOST_CHARS. The quotation's region is looked at only, so the work doesn't grow with the square of the source.
+
+    Aligned stretches are equal runs of tokens, and replaced ones with about as many words; those with at most GAP tokens between
+    are one, and the one with most words is taken, of equals the shortest."""
+    source = region(source, quote)
     spans = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(source)]
     own = tokens(quote)
     alias = endings(own)
-    steps = SequenceMatcher(None, [_aligned(t[0], alias) for t in spans], [_aligned(t, alias) for t in own], autojunk=False).get_opcodes()
-    count = lambda ts: sum(map(wordlike, ts))
-    runs: list[list[int]] = []
-    for kind, i1, i2, j1, j2 in steps:
-        given, quoted = count(t[0] for t in spans[i1:i2]), count(own[j1:j2])
-        if kind not in ("equal", "replace") or not given or not quoted or (kind == "replace" and abs(given - quoted) > 2):
-            continue
-        if runs and i1 - runs[-1][1] <= 8:
-            runs[-1][1] = i2
+    upto = [0]
+    for t, _, _ in spans:
+        upto.append(upto[-1] + wordlike(t))
+    stretches: list[tuple[int, int]] = []
+    before = (0, 0)
+    for m in SequenceMatcher(None, [_aligned(t[0], alias) for t in spans], [_aligned(t, alias) for t in own], autojunk=False).get_matching_blocks():
+        # between two equal runs both sides may have other words: a replacement, if about as many
+        given, quoted = upto[m.a] - upto[before[0]], sum(map(wordlike, own[before[1] : m.b]))
+        if given and quoted and abs(given - quoted) <= UNEVEN:
+            stretches.append((before[0], m.a))
+        if upto[m.a + m.size] > upto[m.a]:
+            stretches.append((m.a, m.a + m.size))
+        before = (m.a + m.size, m.b + m.size)
+    joined: list[tuple[int, int]] = []
+    for a, z in stretches:
+        if joined and a - joined[-1][1] <= GAP:
+            joined[-1] = (joined[-1][0], z)
         else:
-            runs.append([i1, i2])
-    if not runs:
+            joined.append((a, z))
+    if not joined:
         return ""
-    lo, hi = max(runs, key=lambda r: (count(t[0] for t in spans[r[0] : r[1]]), r[0] - r[1]))
+    lo, hi = max(joined, key=lambda r: (upto[r[1]] - upto[r[0]], r[0] - r[1]))
     found = re.sub(r"\s+", " ", source[spans[lo][1] : spans[hi - 1][2]]).strip()
     if not (first := _WORDS.findall(quote)) or not first[0].isdigit():
         found = re.sub(r"^(?:\[\s*\d{1,4}\s*\]|\d{1,4}\s*\(\d{1,4}\)|\d{1,4})\s+(?=\S)", "", found)
-    return "" if len(found) > most or re.fullmatch(r"\[[^\]]+\]", found) else found
+    return "" if len(found) > MOST_CHARS or re.fullmatch(r"\[[^\]]+\]", found) else found
+
+
+def _each(kind: pa.DataType, one: Callable, source: pa.Array, quotes: pa.Array) -> pa.Array:
+    """one of a source and each of a list of quotations; null where either is."""
+    rows = zip(source.to_pylist(), quotes.to_pylist(), strict=True)
+    return pa.array([None if s is None or qs is None else [one(s, q) for q in qs] for s, qs in rows], pa.list_(kind))
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def match_scores(source: pa.Array, quotes: pa.Array) -> pa.Array:
+    """matched_share of each of several quotations in one source."""
+    return _each(pa.float64(), matched_share, source, quotes)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def source_fragments(source: pa.Array, quotes: pa.Array) -> pa.Array:
+    """fragment of each of several quotations in one source."""
+    return _each(pa.string(), fragment, source, quotes)
 
 
 @F.arrow_udf(StringType())

@@ -61,12 +61,20 @@ def content_words(column: Column) -> Column:
     return F.filter(F.array_except(words(column), F.array(*map(F.lit, STOP_WORDS))), lambda w: (F.length(w) > 1) | ~w.rlike("^\\p{L}$"))
 
 
+def enough(n: Column) -> Column:
+    """How many of n content words a source must share: 1 of up to 2, 2 of up to 4, else 35 %."""
+    return F.when(n <= 2, F.least(n, F.lit(1))).when(n <= 4, F.lit(2)).otherwise(((n * 35 + 99) / 100).cast("int"))
+
+
+def shares_enough(mine: Column, theirs: Column) -> Column:
+    """plausible, of content words."""
+    return F.size(F.array_intersect(mine, theirs)) >= enough(F.size(mine))
+
+
 def plausible(quote: Column, source: Column) -> Column:
-    """Whether enough of the quotation's content words stand in the source: 1 of up to 2, 2 of up to 4, else 35 %. A quotation
-    without content words can't be told and is plausible; a source without any is not."""
-    mine, theirs = content_words(quote), content_words(source)
-    n, shared = F.size(mine), F.size(F.array_intersect(mine, theirs))
-    return F.when(n == 0, True).when(n <= 2, shared >= 1).when(n <= 4, shared >= 2).otherwise(shared * 100 >= n * 35)
+    """Whether enough of the quotation's content words stand in the source. A quotation without content words can't be told and is
+    plausible; a source without any is not."""
+    return shares_enough(content_words(quote), content_words(source))
 
 
 def inline_quotes(column: Column) -> Column:

@@ -89,21 +89,53 @@ def with_fields(rows: DataFrame, parts: DataFrame, fields: tuple[str, ...], by:
     return rows.drop(*fields).join(held, list(by), "left")
 
 
+def _jumps(edges: DataFrame) -> list[DataFrame]:
+    """Tables (source, target) of where one target a source leads in 1, 2, 4, ... steps, as far as any path goes: the largest target of each."""
+    now = materialize(edges.groupBy("source").agg(F.max("target").alias("target")), "jumps")
+    out, most = [now], now.count()
+    while 2 ** len(out) <= most:
+        now = materialize(now.join(now.select(F.col("source").alias("target"), F.col("target").alias("_to")), "target").select("source", F.col("_to").alias("target")), "jumps")
+        if now.isEmpty():
+            break
+        out.append(now)
+    return out
+
+
 def selection_closure(selected: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """All nodes that the selected ones (node) need, over edges (source, target): the front moves on until nothing new is met,
-    however long the chains are. With rounds, an error if something new is met after so many."""
-    seen = materialize(selected.select("node").distinct(), "seen")
-    front, done = seen, 0
-    while True:
-        reached = edges.join(front.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node")).distinct()
+    """All nodes that the selected ones (node) need, over edges (source, target): however long the chains are. With rounds, an error if
+    something new is met after so many.
+
+    Tables of jumps of 1, 2, 4, ... steps along one edge a node are made first; what is reached is marked by jumps of growing
+    length, so a chain of n takes log2(n) rounds. Then one step along all other edges, from what is new, and jumps again, until nothing
+    new is met: a round more for each time that a path leaves the first edges."""
+    edges = materialize(edges.select("source", "target").distinct(), "edges")
+    jumps = _jumps(edges)
+    others = materialize(edges.join(jumps[0], ["source", "target"], "left_anti"), "others")
+    branching = not others.isEmpty()
+    follow = lambda nodes, table: table.join(nodes.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node")).distinct()
+    seen = front = materialize(selected.select("node").distinct(), "seen")
+    done = 0
+
+    def grown(seen: DataFrame, reached: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        nonlocal done
         new = materialize(reached.join(seen, "node", "left_anti"), "front")
         if new.isEmpty():
-            return seen
+            return None
         if done == rounds:
             raise RuntimeError(f"the closure is not complete after {rounds} rounds")
-        seen, front, done = seen.unionByName(new), new, done + 1
-        if done % 16 == 0:  # keeps the union short
-            seen = materialize(seen, "seen")
+        done += 1
+        return materialize(seen.unionByName(new), "seen"), new
+
+    while True:
+        for table in jumps:
+            # front holds all that is reached from it in fewer steps than the jump has
+            more = grown(seen, follow(front, table))
+            if more is None:
+                break
+            seen, front = more[0], materialize(front.unionByName(more[1]), "front")
+        if not branching or (more := grown(seen, follow(front, others))) is None:
+            return seen
+        seen, front = more
 
 
 def inherited(parts: DataFrame, fields: tuple[str, ...], inherit: str = "inherit") -> DataFrame:

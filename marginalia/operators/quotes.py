@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from marginalia.functions import similarity, text
-from marginalia.sources.shared import materialize, small
+from marginalia.sources.shared import materialize, small, spread_join
 
+#: Quotations that meet a source in one row.
+TOGETHER = 64
 MINIMUM, STRONG, MARGIN = 0.60, 0.98, 0.10  # fixed: thresholds of partial matches, of matches, and between a best and a second
 
 
@@ -39,16 +46,59 @@ def ngram_candidates(quotes: DataFrame, sources: DataFrame, n: int = 5, least: i
     return hashed(sources, "doc_id").join(small(hashed(quotes, "item_id")), "run").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
+def overlap_candidates(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(item_id, doc_id): every pair for which text.plausible holds, and others that share a rare word.
+
+    Of the n content words of a quotation a plausible source has at least k (1 of up to 2, 2 of up to 4, else 35 %), so it
+    has one of any n - k + 1 of them: the rarest are asked for. A quotation without content words asks for all of its
+    words. Sources are read once for the counts of the quotations' words and once for their places; both times only words of quotations
+    leave the scan. Words are spread over tasks where the list of asked words is too large to broadcast."""
+    mine = text.content_words(F.col("text"))
+    q = quotes.select("item_id", F.when(F.size(mine) > 0, mine).otherwise(F.array_distinct(text.words(F.col("text")))).alias("_w"), F.size(mine).alias("_n"))
+    asked = materialize(q.select("item_id", "_n", F.size("_w").alias("_all"), F.explode("_w").alias("word")), "asked")
+    held = lambda: sources.select("doc_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word"))
+    counts = held().join(small(asked.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("_docs"))
+    rarest = Window.partitionBy("item_id").orderBy("_docs", "word")
+    # a word that no source has comes first of all, and is dropped as it can meet none
+    ranked = asked.join(counts, "word", "left").withColumn("_docs", F.coalesce("_docs", F.lit(0))).withColumn("_r", F.row_number().over(rarest))
+    prefix = F.when(F.col("_n") == 0, F.col("_all")).otherwise(F.col("_n") - text.enough(F.col("_n")) + 1)
+    chosen = materialize(ranked.filter((F.col("_r") <= prefix) & (F.col("_docs") > 0)).select("item_id", "word", F.col("_docs").alias("_many")), "prefix")
+    return spread_join(held(), chosen, "word", "_many", F.xxhash64("doc_id")).select("item_id", "doc_id").distinct()
+
+
+def plausible_pairs(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(item_id, doc_id): the pairs for which text.plausible holds; of quotations without content words, the sources that share a word."""
+    q = quotes.select("item_id", text.content_words(F.col("text")).alias("_w"))
+    d = sources.select("doc_id", text.content_words(F.col("text")).alias("_d"))
+    met = grouped(overlap_candidates(quotes, sources), q, d)
+    fits = F.filter("asked", lambda x: text.shares_enough(x["_w"], F.col("_d")))
+    return met.select("doc_id", F.explode(F.transform(fits, lambda x: x["item_id"])).alias("item_id")).select("item_id", "doc_id")
+
+
+def grouped(pairs: DataFrame, quotes: DataFrame, sources: DataFrame, most: int = TOGETHER) -> DataFrame:
+    """Each source that pairs (item_id, doc_id) name, with asked, an array of the rows of quotes that are asked of it: about `most` in a row at
+    most, so that a source is met once for many quotations, and no task holds all of a source that everything quotes."""
+    met = materialize(pairs.select("item_id", "doc_id").distinct().join(small(quotes), "item_id"), "met")
+    many = met.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_of"))
+    dealt = met.join(small(many), "doc_id").withColumn("_g", F.pmod(F.xxhash64("item_id"), F.col("_of")))
+    rows = dealt.groupBy("doc_id", "_g").agg(F.collect_list(F.struct(*quotes.columns)).alias("asked")).drop("_g")
+    return sources.join(small(rows, 10_000), "doc_id")
+
+
 def exact_matches(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """(item_id, doc_id): sources that contain a quotation, both in comparable form.
 
     A quotation is looked for where its anchor occurs: of five pieces and more the three in its middle, of three and four the
-    second, of one the word itself, each of which a source that contains the quotation must have as whole pieces. Hashes of anchors
-    are joined; the texts are compared for the hits. Quotations of two pieces, which have no whole piece for certain, are
-    a list that every source is asked for."""
+    second, of one the word itself, each of which a source that contains the quotation must have as whole pieces. Of two pieces, which
+    may be cut out of longer ones, the last letters of the first and the first of the second are the anchor (up to three each).
+    Hashes of anchors are joined; the texts of hits are normalised once a source and compared with all quotations that hit it."""
     q = quotes.select("item_id", text.comparable(F.col("text")).alias("_q")).filter("_q <> ''").withColumn("_p", F.split("_q", " "))
     q = materialize(q.withColumn("_n", F.size("_p")), "asked")
-    have = {r[0] for r in q.select(F.when(F.col("_n") >= 5, 3).when(F.col("_n") >= 3, 1).when(F.col("_n") == 1, 0).otherwise(2)).distinct().collect()}  # at most four numbers
+    ends = lambda a, b, i, j: F.xxhash64(F.right(a, F.lit(i)), F.left(b, F.lit(j)), F.lit(10 * i + j))
+    ends_of = lambda i, j: lambda a, b: ends(a, b, i, j)
+    reach = lambda c: F.least(F.length(c), F.lit(3))
+    kind = F.when(F.col("_n") >= 5, 3).when(F.col("_n") >= 3, 1).when(F.col("_n") == 1, 0).otherwise(100 + 10 * reach(F.col("_p")[0]) + reach(F.get("_p", F.lit(1))))
+    have = sorted(r[0] for r in q.select(kind).distinct().collect())  # at most 3 + 16 numbers
     pieces = sources.select("doc_id", F.split(text.comparable(F.col("text")), " ").alias("_p"))
     asked = {
         3: q.filter("_n >= 5").select("item_id", F.explode(run_hashes(F.slice("_p", (F.col("_n") / 2).cast("int"), 3), 3)).alias("run")),
@@ -56,25 +106,40 @@ def exact_matches(quotes: DataFrame, sources: DataFrame) -> DataFrame:
         0: q.filter("_n = 1").select("item_id", F.xxhash64("_q").alias("run"))}
     alone = F.split(F.regexp_replace(F.array_join("_p", " "), "[^\\p{L}\\p{N}']+", " "), " ")
     held = {3: run_hashes(F.col("_p"), 3), 1: F.transform(F.array_distinct("_p"), lambda w: F.xxhash64(F.xxhash64(w))), 0: F.transform(F.array_distinct(alone), lambda w: F.xxhash64(w))}
-    found = [pieces.select("doc_id", F.explode(held[k]).alias("run")).join(small(asked[k]), "run").select("item_id", "doc_id") for k in (3, 1, 0) if k in have]
+    behind = F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0)))
+    for k in (x for x in have if x >= 100):
+        i, j = k // 10 % 10, k % 10
+        asked[k] = q.filter((F.col("_n") == 2) & (kind == k)).select("item_id", ends(F.col("_p")[0], F.col("_p")[1], i, j).alias("run"))
+        held[k] = F.array_distinct(F.zip_with(F.slice("_p", F.lit(1), F.size(behind)), behind, ends_of(i, j)))
+    found = [pieces.select("doc_id", F.explode(held[k]).alias("run")).join(small(asked[k]), "run").select("item_id", "doc_id") for k in have]
     if not found:
         found = [quotes.select("item_id").limit(0).join(sources.select("doc_id").limit(0))]
-    hits = functools.reduce(DataFrame.unionByName, found).distinct()
-    hay = lambda df: df.withColumn("_d", text.comparable(F.col("_t")))  # noqa: E731 - compared behind the join, so for the hits only
-    met = sources.select("doc_id", F.col("text").alias("_t")).join(hits, "doc_id").join(small(q.select("item_id", "_q")), "item_id")
-    exact = materialize(hay(met).filter(text.contained(F.col("_q"), F.col("_d"))).select("item_id", "doc_id"), "matches")  # read more than once, as a rule
-    if 2 not in have:
-        return exact
-    two = hay(sources.select("doc_id", F.col("text").alias("_t"))).join(small(q.filter("_n = 2").select("item_id", "_q")), text.contained(F.col("_q"), F.col("_d")))
-    return exact.unionByName(two.select("item_id", "doc_id"))
+    hits = materialize(functools.reduce(DataFrame.unionByName, found).distinct(), "hits")
+    named = sources.join(small(hits.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", text.comparable(F.col("text")).alias("_d"))
+    met = grouped(hits, q.select("item_id", "_q"), named)
+    inside = F.filter("asked", lambda x: text.contained(x["_q"], F.col("_d")))
+    return materialize(met.select("doc_id", F.explode(F.transform(inside, lambda x: x["item_id"])).alias("item_id")).select("item_id", "doc_id"), "matches")
+
+
+def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            lines = pc.split_pattern(batch.column(1).cast(pa.large_string()), "\n")
+            row, flat = pc.list_parent_indices(lines).to_numpy(), pc.list_flatten(lines)
+            size = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+            end = np.cumsum(size + 1) - 1
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            block = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
+            start = end - size - np.repeat((end - size)[first], np.diff(first, append=len(row)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(block, pa.int32()), pa.array(start), pa.array(start + size), flat.cast(pa.string())], ["doc_id", "block", "start", "end", "text"])
 
 
 def line_blocks(sources: DataFrame) -> DataFrame:
-    """(doc_id, block, start, end, text): the lines of each source with their offsets (from 0; end is behind the last character)."""
-    lines = sources.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "text"))
-    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long")
-    return lines.withColumn("start", start).select("doc_id", "block", "start", (F.col("start") + F.length("text")).alias("end"), "text")
+    """(doc_id, block, start, end, text): the lines of each source with their offsets in code points (from 0; end is behind the last). A null
+    text has none. Lengths are added up where the text lies, so nothing is shuffled."""
+    fields = [StructField("block", IntegerType()), StructField("start", LongType()), StructField("end", LongType()), StructField("text", StringType())]
+    return sources.select("doc_id", "text").mapInArrow(_cut_lines, StructType([sources.schema["doc_id"], *fields]))
 
 
 def cut(marks: DataFrame, sources: DataFrame, trimmed: bool = False) -> DataFrame:
@@ -125,20 +190,31 @@ def locate(matches: DataFrame, quotes: DataFrame, blocks: DataFrame) -> DataFram
 
 def scored(pairs: DataFrame, quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """pairs (item_id, doc_id) with exact and score; partial matches below MINIMUM or without enough shared content are dropped.
-    Exact pairs and implausible ones never reach the alignment, which sees whole sources (long ones around anchor phrases)."""
-    joined = pairs.join(small(quotes.select("item_id", F.col("text").alias("_q"))), "item_id").join(sources.select("doc_id", F.col("text").alias("_d")), "doc_id")
-    exact = text.contained(text.comparable(F.col("_q")), text.comparable(F.col("_d")))
-    judged = joined.withColumn("exact", exact).filter(F.col("exact") | text.plausible(F.col("_q"), F.col("_d")))
-    out = judged.withColumn("score", similarity.score(F.col("_d"), F.col("_q"), F.col("exact")))
+    Exact pairs and implausible ones never reach the alignment, which sees whole sources (long ones around anchor phrases). A source is
+    normalised once, and handed over with up to TOGETHER quotations at once."""
+    q = quotes.select("item_id", F.col("text").alias("_q"), text.comparable(F.col("text")).alias("_c"), text.content_words(F.col("text")).alias("_w"))
+    named = sources.join(small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
+    d = named.select("doc_id", F.col("text").alias("_t"), text.comparable(F.col("text")).alias("_d"), text.content_words(F.col("text")).alias("_v"))
+    judge = lambda x: F.struct(x["item_id"].alias("item_id"), x["_q"].alias("_q"), text.contained(x["_c"], F.col("_d")).alias("exact"), text.shares_enough(x["_w"], F.col("_v")).alias("_some"))
+    judged = grouped(pairs, q, d).select("doc_id", "_t", F.transform("asked", judge).alias("_j"))
+    split = judged.select("doc_id", "_t", F.filter("_j", lambda x: x["exact"]).alias("_exact"), F.filter("_j", lambda x: ~x["exact"] & x["_some"]).alias("_open"))
+    texts = F.transform("_open", lambda x: x["_q"])
+    some = F.size("_open") > 0
+    aligned = split.withColumn("_s", similarity.match_scores(F.when(some, F.col("_t")), F.when(some, texts)))
+    row = lambda x, exact, score: F.struct(x["item_id"].alias("item_id"), F.lit(exact).alias("exact"), score.alias("score"))
+    partial = F.coalesce(F.zip_with("_open", "_s", lambda x, y: row(x, False, y)), F.array().cast(f"array<struct<item_id: {dict(quotes.dtypes)['item_id']}, exact: boolean, score: double>>"))
+    out = aligned.select("doc_id", F.inline(F.concat(F.transform("_exact", lambda x: row(x, True, F.lit(1.0))), partial)))
     return out.filter(F.col("score") >= MINIMUM).select("item_id", "doc_id", "exact", F.round("score", 6).alias("score"))
 
 
 def corrections(matches: DataFrame, quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """matches (item_id, doc_id) with fragment, the stretch of the source that the quotation stands for, and corrected, the
-    quotation in that stretch's words: what it leaves out as ..., its own words in brackets."""
-    joined = matches.select("item_id", "doc_id").join(small(quotes.select("item_id", F.col("text").alias("_q"))), "item_id").join(sources.select("doc_id", F.col("text").alias("_d")), "doc_id")
-    found = joined.withColumn("fragment", similarity.source_fragment(F.col("_d"), F.col("_q"))).drop("_d")
-    return found.withColumn("corrected", similarity.corrected_quote(F.col("fragment"), F.col("_q"))).drop("_q")
+    """matches (item_id, doc_id and others) with fragment, the stretch of the source that the quotation stands for, and corrected, the
+    quotation in that stretch's words: what it leaves out as ..., its own words in brackets. Of long sources the region is found first
+    that has most of the quotation's words, and its ends are trimmed to the quotation's."""
+    met = grouped(matches, quotes.select("item_id", F.col("text").alias("_q")), sources.select("doc_id", F.col("text").alias("_d")))
+    listed = met.select("doc_id", "asked", similarity.source_fragments(F.col("_d"), F.transform("asked", lambda x: x["_q"])).alias("_f"))
+    each = listed.select("doc_id", F.inline(F.zip_with("asked", "_f", lambda x, f: F.struct(x["item_id"].alias("item_id"), x["_q"].alias("_q"), f.alias("fragment")))))
+    return matches.join(each, ["item_id", "doc_id"]).withColumn("corrected", similarity.corrected_quote(F.col("fragment"), F.col("_q"))).drop("_q")
 
 
 def clear_winner(scores: DataFrame, by: str = "item_id") -> DataFrame:

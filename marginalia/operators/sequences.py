@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.sources.shared import materialize
+
 
 def global_offsets(paragraphs: DataFrame, by: str, order: str, text: str, separator: int = 2) -> DataFrame:
     """paragraphs with offset, where each begins in the document that joins them with a separator of so many characters."""
@@ -65,7 +67,17 @@ def first_overlap(parts: DataFrame, links: DataFrame, by: str, width: int = 512)
     return met.groupBy(by, "link").agg(F.min("part").alias("part"))
 
 
+def running_sum(rows: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
+    """rows with the sum of weight over all rows up to this one, in order, which must tell rows apart. Rows are dealt by ranges of the
+    order and written; the ranges' totals, one row each, are added up first, so no task sees more than a range."""
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    totals = dealt.groupBy("_range").agg(F.sum(weight).alias("_total"))
+    before = totals.select("_range", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.sum(weight).over(inside)).drop("_range", "_before")
+
+
 def running_cap(rows: DataFrame, order: list[str], weight: str, most: int) -> DataFrame:
-    """Rows in order as long as the running sum of weight stays within most. A report's cap: one ordered pass."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_sum", F.sum(weight).over(w)).filter(F.col("_sum") <= most).drop("_sum")
+    """Rows in order as long as the running sum of weight stays within most."""
+    return running_sum(rows, order, weight, "_sum").filter(F.col("_sum") <= most).drop("_sum")

@@ -290,6 +290,54 @@ def quote_resolution(spark, sf_dir):
     return found.select("item_id", "doc_id", "location", "score", F.array_join("labels", ",").alias("labels"))
 
 
+def _altered(words: Column) -> Column:
+    """A text's words, every fourth with zqq for its letters, but for the first and last: no run of four words is left."""
+    return F.array_join(F.transform(words, lambda w, i: F.when((i % 4 == 3) & (i < F.size(words) - 1), F.regexp_replace(w, "\\p{L}+", "zqq")).otherwise(w)), " ")
+
+
+def _passages(spark, sf_dir) -> DataFrame:
+    """Passages as single lines (text) and altered (quote)."""
+    words = F.split(F.trim(F.regexp_replace("text", "\\s+", " ")), " ")
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("text"), _altered(words).alias("quote"))
+
+
+def made_quote_corrections(spark, sf_dir):
+    """Altered passages against all passages: no run is shared, and the score is the share of tokens left. What was changed is shown in brackets."""
+    passages = _passages(spark, sf_dir)
+    asked, sources = passages.select("item_id", F.col("quote").alias("text")), passages.select(F.col("item_id").alias("doc_id"), "text")
+    scores = quotes.scored(quotes.overlap_candidates(asked, sources), asked, sources)
+    return quotes.corrections(scores, asked, sources).select("item_id", "doc_id", "exact", "score", "corrected")
+
+
+def made_best_source(spark, sf_dir):
+    """Altered passages against all passages, of which every third stands in two sources: then there is no clear winner."""
+    passages = _passages(spark, sf_dir)
+    asked = passages.select("item_id", F.col("quote").alias("text"))
+    sources = passages.select(F.col("item_id").alias("doc_id"), "text").unionByName(passages.filter("item_id % 3 = 0").select((F.col("item_id") + 1_000_000).alias("doc_id"), "text"))
+    return quotes.clear_winner(quotes.scored(quotes.overlap_candidates(asked, sources), asked, sources))
+
+
+def made_quote_resolution(spark, sf_dir):
+    """Four passages are the blocks of a document; each, altered or as it is, is looked for in its document, with its own block, another or none cited."""
+    passages = _passages(spark, sf_dir).withColumn("doc_id", F.expr("item_id div 4"))
+    number = (F.col("item_id") % 4 + 1).cast("long")
+    blocks = passages.select("doc_id", number.alias("number"), "text")
+    sources = passages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    one = lambda n: F.array(F.struct(n.alias("low"), n.alias("high")))
+    cited = F.when(F.col("item_id") % 5 < 2, one(number)).when(F.col("item_id") % 5 == 2, one(number % 4 + 1)).when(F.col("item_id") % 5 == 3, one(number + 90)).otherwise(F.array().cast("array<struct<low: bigint, high: bigint>>"))
+    asked = passages.select("item_id", "doc_id", F.when(F.col("item_id") % 2 == 0, F.col("quote")).otherwise(F.col("text")).alias("quote"), cited.alias("ranges"))
+    found = scopes.resolve_scored(asked, blocks, sources)
+    return found.select("item_id", "doc_id", "location", "score", F.array_join("labels", ",").alias("labels"))
+
+
+#: Passages altered as _altered does, the tokens of a quotation without marks at its end, and how many of them are as they were.
+_MADE = """w AS (SELECT item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+a AS (SELECT item_id, w, array_to_string(list_transform(w, lambda x, i: CASE WHEN (i - 1) % 4 = 3 AND i < len(w) THEN regexp_replace(x, '\\p{L}+', 'zqq', 'g') ELSE x END), ' ') AS quote,
+    array_to_string(list_transform(w, lambda x, i: CASE WHEN (i - 1) % 4 = 3 AND i < len(w) THEN regexp_replace(x, '\\p{L}+', '[zqq]', 'g') ELSE x END), ' ') AS shown FROM w),
+t AS (SELECT *, regexp_extract_all(regexp_replace(quote, '[.,;:!?]+$', ''), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]') AS t FROM a),
+m AS (SELECT item_id, array_to_string(w, ' ') AS text, quote, shown, round(1 - len(list_filter(t, lambda x: x = 'zqq')) / len(t), 6) AS score FROM t)"""
+
+
 def supra_targets(spark, sf_dir):
     """References of every second customer to the note of the customer before it in its document, by name, to its second part."""
     notes = _notes(spark, sf_dir).filter("footnote_id % 5 = 0")
@@ -301,11 +349,15 @@ def supra_targets(spark, sf_dir):
 
 _NAMES = (
     note_boundaries, part_fields, conservative_notes, supra_tiers, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
-    specific_labels, combined_ranges, identity_lookup, law_datasets, current_laws, journal_filters, page_links, origin_fields, slug_repairs, link_cascade, quotation_manifest, fragment_links, quote_corrections, quote_resolution, supra_targets,
+    specific_labels, combined_ranges, identity_lookup, law_datasets, current_laws, journal_filters, page_links, origin_fields, slug_repairs, link_cascade, quotation_manifest, fragment_links, quote_corrections, quote_resolution, made_quote_corrections, made_best_source, made_quote_resolution, supra_targets,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
 ORACLES = {
+    "made_quote_corrections": f"WITH {_MADE} SELECT item_id, item_id AS doc_id, false AS exact, score, shown AS corrected FROM m",
+    "made_best_source": f"WITH {_MADE} SELECT item_id, item_id AS doc_id, false AS exact, score FROM m WHERE item_id % 3 <> 0",
+    "made_quote_resolution": f"""WITH {_MADE} SELECT item_id, item_id // 4 AS doc_id, CASE item_id % 5 WHEN 2 THEN 'alternate' WHEN 3 THEN 'scope_unavailable' WHEN 4 THEN 'uncited' ELSE 'cited' END AS location,
+    CASE WHEN item_id % 2 = 0 THEN score ELSE 1.0 END AS score, (item_id % 4 + 1)::VARCHAR AS labels FROM m""",
     "note_boundaries": f"WITH {_PARTS} SELECT doc_id, footnote_id, p.i AS part_index, p.v AS verbatim, coalesce(p.r, '') AS reason FROM p",
     "part_fields": f"WITH {_PARTS} SELECT doc_id, footnote_id, p.i AS part_index, p.kind AS kind, p.f AS fragments, p.s AS short_form, 'complete' AS status FROM p",
     "conservative_notes": "SELECT c_nationkey AS doc_id, c_custkey AS footnote_id, (CASE WHEN c_custkey % 5 = 2 THEN 1 ELSE 2 END)::BIGINT AS parts FROM customer WHERE c_custkey % 5 <> 4",

@@ -125,7 +125,17 @@ def content_overlap(spark, sf_dir):
 
 def quote_match_score(spark, sf_dir):
     quotes_, docs = _read(spark, sf_dir, "benchmark", "documents")
-    return quotes.scored(quotes.ngram_candidates(quotes_, docs).select("item_id", "doc_id"), quotes_, docs)
+    pairs = quotes.overlap_candidates(quotes_, docs).unionByName(quotes.exact_matches(quotes_, docs))
+    return quotes.scored(pairs, quotes_, docs)
+
+
+def plausible_pairs(spark, sf_dir):
+    """Passages, and quotations of two to six of their words in another order (so that no run is shared), against all documents."""
+    quotes_, docs = _read(spark, sf_dir, "benchmark", "documents")
+    words = F.split(F.regexp_replace("text", "[\\s]+", " "), " ")
+    short = F.array_join(F.reverse(F.slice(words, F.lit(4), (F.col("item_id") % 5 + 2).cast("int"))), " ")
+    asked = quotes_.select("item_id", "text").unionByName(quotes_.select((F.col("item_id") + 1_000_000).alias("item_id"), short.alias("text")))
+    return quotes.plausible_pairs(asked, docs)
 
 
 def quote_best_source(spark, sf_dir):
@@ -359,7 +369,7 @@ _NAMES = (
     lookup_index_build, exact_lookup_batch, name_citation_self_join, lookup_status, coverage_by_dataset, prefetch_statistics, alias_tails, unique_identity_status, dedupe_by_key, quote_exact_match, quote_block_location, line_block_offsets,
     ngram_candidates, content_overlap, quote_match_score, quote_best_source, verify_quotes, inline_quotes, url_extraction, link_parts, previous_part, chain_origin, chain_pointers, selection_closure, origin_inheritance, registry_tiers, asof_anchor,
     top_candidates, page_map_first, range_scope_join, interval_overlap, global_positions, display_numbering, repeat_suppression, verdict_rollup, verdict_counters, inventory_diff, median_gate, running_cap, id_lists, abbreviated_ranges,
-    title_search, title_candidates, note_parts, set_difference, row_positions, json_sections, paragraph_structure, marker_blocks, quote_locations, cited_scope_ranges,
+    plausible_pairs, title_search, title_candidates, note_parts, set_difference, row_positions, json_sections, paragraph_structure, marker_blocks, quote_locations, cited_scope_ranges,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -415,6 +425,10 @@ SELECT p_partkey AS id, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'fo
     "quote_block_location": f"WITH {_LOCATED} SELECT item_id, doc_id, block::INT AS block, span FROM loc WHERE span IS NOT NULL",
     "line_block_offsets": f"""WITH {_LINES}, o AS (SELECT doc_id, block, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lines)
 SELECT doc_id, block::INT AS block, start, start + length(text) AS "end" FROM o""",
+    "plausible_pairs": f"""WITH asked AS (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000000, array_to_string(list_reverse(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[4:5 + item_id % 5]), ' ') FROM benchmark),
+w AS (SELECT item_id, list_distinct({_WORDS.format('text')}) AS w FROM asked), c AS (SELECT item_id, w, list_filter(w, lambda x: NOT list_contains({_STOP}, x) AND (length(x) > 1 OR NOT regexp_matches(x, '^\\p{{L}}$'))) AS c FROM w),
+q AS (SELECT item_id, len(c) AS n, unnest(CASE WHEN len(c) > 0 THEN c ELSE w END) AS w FROM c), d AS (SELECT doc_id, unnest(list_distinct({_WORDS.format('text')})) AS w FROM documents)
+SELECT item_id, doc_id FROM q JOIN d USING (w) GROUP BY 1, 2 HAVING count(*) >= any_value(CASE WHEN n <= 2 THEN 1 WHEN n <= 4 THEN 2 ELSE (n * 35 + 99) // 100 END)""",
     "ngram_candidates": f"WITH {_GRAMS} SELECT * FROM cand",
     "content_overlap": f"""WITH {_GRAMS}, p AS (SELECT item_id, doc_id, list_filter(list_distinct({_WORDS.format('b.text')}), lambda w: NOT list_contains({_STOP}, w) AND NOT regexp_full_match(w, '\\p{{L}}')) AS q, {_WORDS.format('d.text')} AS d FROM cand JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
 n AS (SELECT item_id, doc_id, len(q) AS content, len(list_intersect(q, d)) AS common FROM p)

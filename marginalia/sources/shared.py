@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a table may have, counted, and still be broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows of a key from which a join spreads it over several tasks.
+HOT_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +36,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it has at most limit rows; larger ones are joined by shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread_join(big: DataFrame, asked: DataFrame, key: str, many: str, salt: Column, most: int = 64) -> DataFrame:
+    """big joined with asked, which is broadcast if it has few rows. Else a key of asked, whose column many says how many rows of big
+    hold it, is dealt over one task for HOT_ROWS of them, at most `most`; the list of such keys is counted before it is broadcast, and
+    beyond that all keys are dealt alike. asked should be a written table."""
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(asked.drop(many)), key)
+    hot = asked.filter(F.col(many) > HOT_ROWS).select(key, F.least(F.ceil(F.col(many) / HOT_ROWS), F.lit(most)).cast("int").alias("_salts")).distinct()
+    if hot.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        dealt, spread = big.withColumn("_salts", F.lit(most)), asked.withColumn("_salts", F.lit(most))
+    else:
+        dealt, spread = big.join(F.broadcast(hot), key, "left"), asked.join(F.broadcast(hot), key, "left")
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = dealt.withColumn("_salt", F.pmod(salt, salts).cast("int")).drop("_salts")
+    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts", many)
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")

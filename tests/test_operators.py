@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import citations, fragments, keys, references, shortforms, similarity, text
 from marginalia.operators import audit, boundaries, chains, inventory, journals, links, lookup, quotes, scopes, sequences, splitting, structure
 from marginalia.operators import registry as reg
-from marginalia.sources import readers, sinks
+from marginalia.sources import readers, shared, sinks
 
 
 def column(spark, values, f, kind="string"):
@@ -742,3 +742,116 @@ def test_paragraphs_of_judgments(spark):
     xml = '<akn:body><paragraph eId="para_4"><num>4.</num><p>Costs &amp; fees.</p></paragraph>\n<paragraph class="x" eId="para_5"><num>5.</num> <p>The <i>rule</i> holds.</p></paragraph><paragraph eId="para_55"><p>Else</p></paragraph></akn:body><p>tail</p>'
     got = spark.createDataFrame([(xml, n) for n in (4, 5, 55, 6)] + [(None, 4)], "x string, n int").select(readers.legal_paragraph(F.col("x"), F.col("n")).alias("t")).collect()
     assert [r.t for r in got] == ["4. Costs & fees.", "5. The rule holds.", "Else", "", ""]
+
+
+# ---- candidates, regions, closures and sums over whole tables
+
+
+def test_overlap_candidates_are_all_plausible_pairs(spark, monkeypatch):
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(60)] + list(text.STOP_WORDS[:6])
+    weights = [1 / (i + 1) for i in range(60)] + [3] * 6
+    say = lambda n: " ".join(draw.choices(words, weights, k=n))
+    q = spark.createDataFrame([(i, say(draw.randint(1, 9))) for i in range(80)] + [(80, "to the of"), (81, ""), (82, "... !"), (83, "w1 w1 w1")], "item_id int, text string")
+    d = spark.createDataFrame([(i, say(draw.randint(0, 60))) for i in range(120)] + [(120, ""), (121, None), (122, "the")], "doc_id int, text string")
+    both = q.withColumnRenamed("text", "q").crossJoin(d.withColumnRenamed("text", "d"))
+    want = {(r.item_id, r.doc_id) for r in both.filter(text.plausible(F.col("q"), F.col("d")) & (F.size(text.content_words(F.col("q"))) > 0)).collect()}
+    bare = {(r.item_id, r.doc_id) for r in both.filter((F.size(text.content_words(F.col("q"))) == 0) & F.arrays_overlap(text.words(F.col("q")), text.words(F.col("d")))).collect()}
+    for rows in (100_000, 0):  # broadcast, and dealt over tasks
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(shared, "HOT_ROWS", 20)
+        found = {(r.item_id, r.doc_id) for r in quotes.plausible_pairs(q, d).collect()}
+        assert found == want | bare and len(want) > 500 and bare
+        assert found <= {(r.item_id, r.doc_id) for r in quotes.overlap_candidates(q, d).collect()}
+
+
+def test_exact_matches_equal_brute_force_for_short_and_cut_quotations(spark):
+    draw = random.Random(9)
+    say = lambda n: " ".join("".join(draw.choice("abé") for _ in range(draw.randint(1, 5))) for _ in range(n))
+    sources = [(i, say(60)) for i in range(60)]
+    asked = []
+    for i in range(300):
+        whole = draw.choice(sources)[1]
+        at = draw.randrange(len(whole) - 14)
+        asked.append((i, whole[at : at + draw.randint(1, 14)]))
+    q, d = spark.createDataFrame(asked, "item_id int, text string"), spark.createDataFrame(sources, "doc_id int, text string")
+    both = q.select("item_id", text.comparable(F.col("text")).alias("q")).crossJoin(d.select("doc_id", text.comparable(F.col("text")).alias("d")))
+    want = {(r.item_id, r.doc_id) for r in both.filter(text.contained(F.col("q"), F.col("d"))).collect()}
+    got = [(r.item_id, r.doc_id) for r in quotes.exact_matches(q, d).collect()]
+    assert set(got) == want and len(got) == len(want) > 300
+
+
+def test_best_region_equals_the_exhaustive_window():
+    draw = random.Random(11)
+    for n in (1, 5, 60, 400):
+        source, quote = [draw.choice("abcdefgh") for _ in range(n)], [draw.choice("abcdxyz") for _ in range(draw.randint(1, 20))]
+        size = min(len(quote), n)
+        shares = [sum((Counter(source[i : i + size]) & Counter(quote)).values()) for i in range(n - size + 1)]
+        lo, hi, shared = similarity.best_region(source, quote)
+        assert (lo, hi, shared) == (shares.index(max(shares)), shares.index(max(shares)) + size, max(shares))
+
+
+def test_regions_of_long_sources():
+    draw = random.Random(12)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(3000)]
+    filler = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    said = "the court held that no duty of care arises where the harm was not foreseeable at all"
+    for front, rear in ((5000, 5000), (9000, 9000)):
+        source = f"{filler(front)} {said} {filler(rear)}"
+        changed = said.replace("the court held", "a panel ruled").replace("was not", "is hardly")
+        for quote in (said, changed):
+            assert said in similarity.region(source, quote) and len(similarity.region(source, quote)) < 1500
+    assert similarity.fragment(f"{filler(6000)} {said} {filler(200)}", said) == said
+    assert similarity.region("", "a") == "" and similarity.region("a b", "") == "a b"
+
+
+@pytest.mark.parametrize(("quoted", "given", "shown"), [("testing", "test", "test[ing]"), ("untested", "tested", "[un]tested"), ("foobar", "fobar", "fo[o]bar"), ("test", "testing", None), ("taste", "test", None), ("test", "test", None), ("abcdefgh", "ab", None), ("a[b]c", "ac", None)])
+def test_insertions_into_a_word(quoted, given, shown):
+    assert similarity._inside(quoted, given) == shown
+
+
+def test_closure_of_a_long_chain_takes_few_rounds(spark):
+    n = 10_000
+    edges = spark.range(n).selectExpr("id as source", "id + 1 as target").unionByName(spark.createDataFrame([(20_000, 20_001), (n, 3), (7, 30_000), (30_000, 30_001), (30_001, 9)], "source long, target long"))
+    got = {r.node for r in chains.selection_closure(spark.createDataFrame([(0,)], "node long"), edges, rounds=20).collect()}
+    assert got == set(range(n + 1)) | {30_000, 30_001}
+
+
+def test_closure_equals_a_walk_on_branching_graphs(spark):
+    draw = random.Random(13)
+    for n, many in ((30, 40), (60, 200)):
+        pairs = [(draw.randrange(n), draw.randrange(n)) for _ in range(many)]
+        start = [draw.randrange(n), n + 5]
+        seen, front = set(start), list(start)
+        while front:
+            node = front.pop()
+            for a, b in pairs:
+                if a == node and b not in seen:
+                    seen.add(b)
+                    front.append(b)
+        edges = spark.createDataFrame(pairs, "source int, target int")
+        assert {r.node for r in chains.selection_closure(spark.createDataFrame([(x,) for x in start], "node int"), edges).collect()} == seen
+
+
+def test_running_sums_over_ranges(spark):
+    draw = random.Random(14)
+    rows = [(draw.randrange(50), i, draw.randrange(-5, 9)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a int, b int, w int").repartition(5)
+    total, want = 0, {}
+    for a, b, w in sorted(rows):
+        total += w
+        want[b] = total
+    assert {r.b: r.s for r in sequences.running_sum(df, ["a", "b"], "w", "s").collect()} == want
+    assert sequences.running_sum(df.limit(0), ["a", "b"], "w", "s").count() == 0
+
+
+def test_lines_with_offsets(spark):
+    texts = ["a\nbé\n\n😀c", "", "\n", None, "x" * 100_000 + "\ny"]
+    got = quotes.line_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("block", F.lit(1))).collect()
+    want = []
+    for i, t in enumerate(texts):
+        at = 0
+        for j, line in enumerate((t or "").split("\n") if t is not None else []):
+            want.append((i, j, at, at + len(line), line))
+            at += len(line) + 1
+    assert sorted(map(tuple, got)) == want
