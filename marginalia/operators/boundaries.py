@@ -1,12 +1,20 @@
 """Where one citation of a note ends and the next begins. Nothing of a note is lost: its parts and what stands between make it up.
 
-Candidate places are found by looking ahead for what may begin a citation, and kept if there is evidence of a source on both sides. All
-of it is expressions over one row, so notes are split where they lie."""
+A note is scanned once for quotation marks, brackets and urls; citations are found by their forms, the longest of overlapping ones. Places
+where a citation may begin are kept if there is evidence of a source on both sides. Notes are short, and handed over in Arrow
+batches; they are split where they lie."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right, insort
+from dataclasses import dataclass
+from functools import cached_property
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Fixed: the forms by which citations are recognised.
 YEAR = "(?:17|18|19|20)[0-9]{2}"
@@ -15,7 +23,7 @@ NEUTRAL = f"\\b{YEAR}\\s+[A-Z][A-Z0-9-]{{1,15}}\\s+[0-9]+\\b"
 _SERIES = "[A-Z][A-Za-z&.'-]{1,16}(?:\\s+[A-Z][A-Za-z&.'-]{1,16}){0,4}"
 _EDITION = "(?:\\s+\\([0-9]+[A-Za-z]{0,3}\\))?\\s+[0-9]{1,5}"
 REPORTER = (
-    f"(?i:(?<![\\w.])(?:[\\[(]{YEAR}[\\])]\\s+(?:[0-9]{{1,4}}\\s+)?{_SERIES}{_EDITION}|[0-9]{{1,4}}\\s+{_SERIES}{_EDITION})"
+    f"(?i:(?<![\\w.])(?:\\[{YEAR}\\]\\s+(?:[0-9]{{1,4}}\\s+)?{_SERIES}{_EDITION}|\\({YEAR}\\)\\s+(?:[0-9]{{1,4}}\\s+)?{_SERIES}{_EDITION}|[0-9]{{1,4}}\\s+{_SERIES}{_EDITION})"
     "(?=\\s*(?:[,;.]|\\bat\\b|\\band\\b|\\bwith\\b|\\(|\\[|$)))")
 STATUTE = (
     "(?i:\\b(?:RSC|RSO|RSA|RSS|RSM|RSQ|RSY|RSBC|RSNL|RSNB|RSNS|RSPEI|RSNWT|SC|SO|SA|SS|SM|SQ|SY|SBC|SNL|SNB|SNS|SNWT|CQLR|CCSM)\\b"
@@ -23,7 +31,7 @@ STATUTE = (
 JOURNAL = f"\\(?{YEAR}\\)?\\s+[0-9]{{1,4}}(?::\\s*[A-Za-z0-9.-]+)?\\s+[A-Z][A-Za-z&.'’(), -]{{1,100}}?\\s+[0-9]{{1,5}}\\b"
 BOOK = f"\\([A-Z][A-Za-z .,'-]{{1,50}}:\\s*[^()]{{0,80}},?\\s*{YEAR}\\)"
 ANCHORS = {"neutral": NEUTRAL, "reporter": REPORTER, "statute": STATUTE, "journal": JOURNAL, "book": BOOK, "url": URL}
-_NAME = "[A-Z][A-Za-zÀ-ÖØ-öø-ÿ.'’\\-]*"
+_NAME = "[A-Z][A-Za-zÀ-ÖØ-öø-ÿ\\u0300-\\u036f.'’\\-]*"
 _ELSE = (
     "(?i:\\b(?:supra|ibid)\\b|\\b(?:above|below)\\s+note(?:\\s+[0-9]+)?\\b|\\bnote\\s+[0-9]+\\b)",
     f"(?i:[\"“][^\"”]{{3,240}}[\"”][^.;]{{0,220}}(?:\\b{YEAR}\\b|\\b(?:online|perma\\.cc|doi)\\b))",
@@ -38,16 +46,21 @@ STARTS = {
     "source_signal": (
         "(?i:\\b(?:citing|(?:as\\s+)?cited\\s+in|quoting|quoted\\s+in|discussing|(?:as\\s+)?discussed(?:\\s+e\\.?g\\.?)?\\s+in|applying|applied\\s+in|relying\\s+on|relied\\s+on|following|followed\\s+in|"
         "adopting|adopted\\s+in|(?:as\\s+)?amended\\s+by|amending|adding|rev[’']?d|reversed\\s+by|aff[’']?d|affirmed\\s+by|penalty\\s+at|republished\\b[^.;]{0,100}\\bin|"
-        "accord|but\\s+see|(?<!but\\s)see(?:\\s+also|\\s+generally|\\s*,?\\s*e\\.?g\\.?)?|contra|compare|cf\\.?)\\b)"),
+        "accord|but\\s+see|contra|compare|cf\\.?|see(?:\\s+also|\\s+generally|\\s*,?\\s*e\\.?g\\.?)?)\\b)"),
     "new_case_frame": "(?<!\\w)(?:R\\.?\\s+v\\.?|Reference\\s+re|In\\s+re|[A-Z][A-Za-z'’().& -]{1,70}\\s+(?:v\\.?|c))\\s+",
     "new_author_title_frame": f"(?<!\\w){_NAME}(?:\\s+(?:&|and|et\\s+al|{_NAME})){{1,8}}\\s*,?\\s*(?=[\"“])",
-    "new_note_reference": f"(?<!\\w){_NAME}(?:\\s+(?:et\\s+al|&|and|{_NAME})){{0,6}}\\s+note\\s+[0-9]+\\b",
+    "new_note_reference": f"(?i:(?<!\\w){_NAME}(?:\\s+(?:et\\s+al|&|and|{_NAME})){{0,6}}\\s+note\\s+[0-9]+\\b)",
     "conjoined_citation": "(?:\\b(?:and|or)\\s+(?=(?:the\\s+)?[A-Z])|&\\s+(?=[A-Z]))",
     "new_legal_source_frame": _LAW,
 }
-_AFTER_FIRST = ("new_case_frame", "new_author_title_frame", "new_note_reference", "new_legal_source_frame")  # the first of these begins no second source
-_SENTENCE = "(?<=[.!?]\\s{1,4})(?<!\\s\\s)(?=[(\\[\"'‘“]*[A-Z])"
-_NO_END = "(?i)(?:\\be\\.g|\\bi\\.e|\\bcf|\\bno|\\bv|\\bpara|\\bart|\\b[A-Z])\\.\\s*$"
+_SHORT_FORM_BEHIND = "\\band\\s+[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’.-]{2,50}\\s*\\.\\s*$"
+_SENTENCE = "[.!?]\\s+(?=[(\\[\"'‘“]*[A-Z])"
+_NO_END = "(?i)(?:\\be\\.g|\\bi\\.e|\\bcf|\\bno|\\bv|\\bpara|\\bart|\\b[A-Z])\\.$"
+#: Fixed: signals between clauses of notes that split without doubt, and what may stand between a citation and its url.
+_EXPLICIT = (
+    "(?i:(?<=[.!?])\\s+(?P<sentence>(?:but\\s+)?see(?:\\s+also|\\s+generally)?|cf\\.?|compare|contra)\\b|"
+    "\\b(?P<inline>citing|quoting|quoted\\s+in|discussing|discussed\\s+in|applying|applied\\s+in|relying\\s+on|relied\\s+on|following|followed\\s+in)\\b)")
+_ATTACHED = "(?i:\\s*(?:\\([^()]{0,160}\\)\\s*)?,?\\s*(?:online:?|available\\s+at|at)\\s*<?\\s*)"
 _REF_NUM = "[0-9]+(?:\\.[0-9]+)?[a-z]?(?:\\s*\\([A-Za-z0-9]+\\))*(?:\\s*[-–]\\s*[0-9]+(?:\\.[0-9]+)?[a-z]?(?:\\s*\\([A-Za-z0-9]+\\))*)?"
 _REF_NUMS = f"{_REF_NUM}(?:\\s*(?:,|and|&)\\s*{_REF_NUM})*"
 #: A part that is nothing but one ibid or supra with a pinpoint.
@@ -55,95 +68,207 @@ REFERENCE = (
     "(?i)^\\s*(?:(?:see(?:,?\\s+e\\.?g\\.?,?)?(?:\\s+also)?|but\\s+see|contra|compare|cf\\.?|see\\s+generally|citing|quoting|discussing|discussed\\s+in|applying)\\s+)?"
     "(?:ibid\\.?|(?:[^,;.]{1,60}\\s*,\\s*)?supra(?:\\s+(?:note|nn?\\.?)\\s+[0-9]+)?)(?:\\s*,)?"
     f"(?:\\s+(?:at\\s+(?:paras?\\.?|pp?\\.?|pages?)?\\s*{_REF_NUMS}(?:ff)?|(?:paras?\\.?|ss?\\.?|(?:sub)?sections?|arts?\\.?|articles?)\\s+{_REF_NUMS}(?:ff)?))?\\s*[.;]?\\s*$")
-_BOUND = "array<struct<at: int, to: int, reason: string>>"
-
-
-def evidence(text: Column) -> Column:
-    """Whether a stretch of a note cites a source."""
-    return text.rlike(EVIDENCE)
-
-
-def places(text: Column, ahead: str) -> Column:
-    """Where the pattern begins to match, from 0: the text is cut before each match, and the lengths of the pieces added up."""
-    pieces = F.split(text, f"(?={ahead})" if not ahead.startswith("(?<=") else ahead)
-    ends = F.struct(F.lit(0).alias("n"), F.array(F.lit(0)).alias("out"))
-    sums = F.aggregate(pieces, ends, lambda s, x: F.struct((s["n"] + F.length(x)).alias("n"), F.array_append(s["out"], s["n"] + F.length(x)).alias("out")))["out"]
-    first = F.when(text.rlike(f"^(?:{ahead})"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.concat(first, F.filter(sums, lambda p: (p > 0) & (p < F.length(text)))))
-
-
-def _part(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, end - start)
+_BOUND = StructType([StructField("at", IntegerType()), StructField("to", IntegerType()), StructField("reason", StringType())])
+_ANCHOR = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())])
+_FORMS = {kind: re.compile(p) for kind, p in ANCHORS.items()}
+_HINTS = re.compile("|".join(f"(?:{p})" for p in (*_ELSE[:4], _LAW)))
+_PROVISION, _STARTS = re.compile(_ELSE[4]), {reason: re.compile(p) for reason, p in STARTS.items()}
+_URLS, _PURE, _GLUE = re.compile(URL), re.compile(REFERENCE), re.compile(f"\\s*,\\s*|(?P<url>{_ATTACHED})")
+_OPENERS, _CLOSERS = "([{", {")": "(", "]": "[", "}": "{"}
 
+Bound = tuple[int, int, str]
 
-def _quoted(text: Column, at: Column) -> Column:
-    """Whether a place lies inside quotation marks."""
-    before = F.substring(text, F.lit(1), at)
-    return before.rlike("“[^”]*$") | (F.regexp_count(before, F.lit('"')) % 2 == 1)
 
+@dataclass(frozen=True)
+class Rule:
+    """A way in which a citation can begin: whether its first place in a note begins a second source, whether it holds inside quotation
+    marks, whether what follows must cite a source too, and whether stretches end at the semicolons and sentences only."""
 
-def _bound(at: Column, to: Column, reason: Column) -> Column:
-    return F.struct(at.cast("int").alias("at"), to.cast("int").alias("to"), reason.alias("reason"))
+    reason: str
+    from_first: bool = True
+    in_quotes: bool = True
+    needs_behind: bool = True
+    hard_stretches: bool = False
 
 
-def _evidenced(text: Column, reason: str):
-    """Adds a place to the boundaries known so far, if the stretches before and behind it, up to the next ones, cite sources."""
+RULES = (
+    Rule("source_signal", in_quotes=False, hard_stretches=True), Rule("new_case_frame", from_first=False), Rule("new_author_title_frame", from_first=False), Rule("new_note_reference", from_first=False, needs_behind=False),
+    Rule("conjoined_citation", in_quotes=False), Rule("new_legal_source_frame", in_quotes=False),
+)
 
-    def kept(known: Column, p: Column) -> Column:
-        left = F.coalesce(F.array_max(F.transform(F.filter(known, lambda b: (b["at"] < p) & (b["to"] <= p)), lambda b: b["to"])), F.lit(0))
-        right = F.coalesce(F.array_min(F.transform(F.filter(known, lambda b: b["at"] > p), lambda b: b["at"])), F.length(text))
-        return F.when(evidence(_part(text, left, p)) & evidence(_part(text, p, right)), F.concat(known, F.array(_bound(p, p, F.lit(reason))).cast(_BOUND))).otherwise(known)
 
-    return kept
+def anchors_of(text: str) -> list[Bound]:
+    """(start, end, kind) of the citations in a text: of forms that overlap the longest, of equals the first."""
+    found = sorted(((m.start(), m.end(), kind) for kind, form in _FORMS.items() for m in form.finditer(text)), key=lambda x: (x[0] - x[1], x[0]))
+    taken: list[Bound] = []
+    for one in found:
+        if all(one[1] <= other[0] or other[1] <= one[0] for other in taken):
+            taken.append(one)
+    return sorted(taken)
+
+
+class Note:
+    """The text of a note, what is open at each of its places, and where it cites sources."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._cites: dict[tuple[int, int], bool] = {}
+
+    @cached_property
+    def scan(self) -> tuple[bytearray, bytearray, list[int]]:
+        """For each place whether it lies inside quotation marks, whether it lies outside of quotation marks, brackets (however deep) and urls,
+        and the last square bracket before it (1 opened, -1 closed, 0 none)."""
+        text = self.text
+        spoken, top, square = bytearray(len(text) + 1), bytearray(len(text) + 1), [0] * (len(text) + 1)
+        hidden = bytearray(len(text) + 1)
+        for m in _URLS.finditer(text):
+            hidden[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+        any_open, curly, straight, last = False, False, False, 0
+        brackets: list[str] = []
+        for i, c in enumerate(text):
+            spoken[i], square[i] = any_open, last
+            last = 1 if c == "[" else -1 if c == "]" else last
+            any_open = True if c == "“" else False if c == "”" else any_open != (c == '"')
+            if hidden[i]:
+                continue
+            top[i] = not (curly or straight or brackets)
+            if c in "“”":
+                curly = c == "“"
+            elif c == '"':
+                straight = not straight
+            elif curly or straight:
+                continue
+            elif c in _OPENERS:
+                brackets.append(c)
+            elif c in _CLOSERS and _CLOSERS[c] in brackets:
+                del brackets[len(brackets) - 1 - brackets[::-1].index(_CLOSERS[c])]
+        spoken[len(text)], square[len(text)] = any_open, last
+        return spoken, top, square
+
+    def cites(self, start: int, end: int) -> bool:
+        """Whether a stretch cites a source."""
+        if (start, end) not in self._cites:
+            part = self.text[start:end]
+            self._cites[start, end] = bool(_HINTS.search(part) or _PROVISION.match(part) or any(form.search(part) for form in _FORMS.values()))
+        return self._cites[start, end]
+
+    def _sentences(self) -> list[Bound]:
+        """Sentences that cite a source, but for the first."""
+        ends = [m for m in re.finditer(_SENTENCE, self.text) if not self.scan[0][m.start()] and not re.search(_NO_END, self.text[max(0, m.start() - 8) : m.start() + 1])]
+        starts = [m.end() for m in ends]
+        return [(s, s, "new_citation_sentence") for s, e in zip(starts, [*starts[1:], len(self.text)], strict=False) if self.text[:s].strip() and self.cites(s, e)]
+
+    def _places(self, rule: Rule) -> list[tuple[int, int]]:
+        spoken, _, square = self.scan
+        found = [m.span() for m in _STARTS[rule.reason].finditer(self.text)]
+        if not rule.in_quotes:
+            found = [x for x in found if not spoken[x[0]]]
+        if rule.reason == "new_legal_source_frame":
+            found = [x for x in found if square[x[0]] != 1]
+        found = found if rule.from_first else found[1:]
+        if rule.reason == "new_case_frame":
+            found = [x for x in found if self.text[x[0] - 1 : x[0]] != "(" and not re.search(r"(?i)(?:\b(?:and|or)|&)\s*$", self.text[max(0, x[0] - 12) : x[0]])]
+        return found
+
+    def boundaries(self) -> list[Bound]:
+        """(at, to, reason), ascending: where a part ends, where the next begins, and the rule that says so."""
+        size = len(self.text)
+        known = [(i, i + 1, "semicolon") for i, c in enumerate(self.text) if c == ";"] + self._sentences()
+        hard = sorted({0, size, *(x for at, to, _ in known for x in (at, to))})
+        ends = {at: to for at, to, _ in sorted(known)}  # a boundary ends where it begins, or one behind
+        ats = sorted(ends)
+
+        def add(at: int, reason: str) -> None:
+            known.append((at, at, reason))
+            if at not in ends:
+                ends[at] = at
+                insort(ats, at)
+
+        for rule in RULES:
+            if rule.reason == "conjoined_citation" and not anchors_of(self.text) and re.match(r"(?i)^\s*(?:see|compare|cf\.?|contra)\b", self.text) and (m := re.search(_SHORT_FORM_BEHIND, self.text)):
+                add(m.start(), "conjoined_short_form")
+            places = self._places(rule)
+            for at, end in places:
+                if rule.hard_stretches:
+                    left, right = hard[bisect_right(hard, at) - 1], hard[bisect_left(hard, end)]
+                else:
+                    i, j = bisect_left(ats, at) - 1, bisect_right(ats, at)
+                    left, right = ends[ats[i]] if i >= 0 else 0, ats[j] if j < len(ats) else size
+                if rule.reason == "new_legal_source_frame" and places[bisect_left(places, (left, 0))][0] >= at:
+                    continue  # the first law of a stretch begins no second source
+                if self.cites(left, at) and (not rule.needs_behind or self.cites(at, right)):
+                    add(at, rule.reason)
+        cuts = {at for at, to, _ in known if to > at}
+        once: dict[tuple[int, int], str] = {}
+        for at, to, reason in sorted(known):
+            if to > at or not {at, at - 1} & cuts:
+                once.setdefault((at, to), reason)
+        return [(at, to, reason) for (at, to), reason in once.items()]
+
+    def _clear(self, start: int, end: int) -> bool:
+        """Whether a stretch is one reference, or one citation with what is attached to it."""
+        part = self.text[start:end].strip()
+        if part and _PURE.fullmatch(part):
+            return True
+        found = anchors_of(part)
+        gaps = [(_GLUE.fullmatch(part[a[1] : b[0]]), b[2]) for a, b in zip(found, found[1:], strict=False)]
+        return bool(found) and all(m and (m["url"] is None or kind == "url") for m, kind in gaps)
+
+    def sure_boundaries(self) -> list[Bound] | None:
+        """Boundaries of a note that splits without doubt: semicolons on the top level, and signals between two clear clauses; None where
+        a part is not clear, or there is no boundary and the note is no reference."""
+        top = self.scan[1]
+        known = [(i, i + 1, "top_level_semicolon") for i, c in enumerate(self.text) if c == ";" and top[i]]
+        for m in re.finditer(_EXPLICIT, self.text):
+            at = m.start("sentence") if m["sentence"] else m.start("inline")
+            left, right = max((to for _, to, _ in known if to <= at), default=0), min((x for x, _, _ in known if x >= at), default=len(self.text))
+            if top[at] and self._clear(left, at) and self._clear(at, right):
+                known.append((at, at, "explicit_source_signal"))
+        known.sort()
+        if not known:
+            return [] if _PURE.fullmatch(self.text) else None
+        stretches = zip([0, *(to for _, to, _ in known)], [*(at for at, _, _ in known), len(self.text)], strict=True)
+        return known if all(self._clear(a, z) for a, z in stretches) else None
+
+
+def _structs(rows: list, kind: StructType) -> pa.Array:
+    names = kind.fieldNames()
+    return pa.array([None if r is None else [dict(zip(names, x, strict=True)) for x in r] for r in rows], pa.list_(pa.struct([(n, pa.string() if n in ("reason", "kind") else pa.int32()) for n in names])))
+
+
+@F.arrow_udf(ArrayType(_BOUND))
+def note_bounds(text: pa.Array) -> pa.Array:
+    """Note.boundaries of each text; null for null."""
+    return _structs([None if t is None else Note(t).boundaries() for t in text.to_pylist()], _BOUND)
+
+
+@F.arrow_udf(ArrayType(_BOUND))
+def sure_bounds(text: pa.Array) -> pa.Array:
+    """Note.sure_boundaries of each text; null for null and for texts that don't split without doubt."""
+    return _structs([None if t is None else Note(t).sure_boundaries() for t in text.to_pylist()], _BOUND)
+
+
+@F.arrow_udf(ArrayType(_ANCHOR))
+def anchor_spans(text: pa.Array) -> pa.Array:
+    """anchors_of each text; null for null."""
+    return _structs([None if t is None else anchors_of(t) for t in text.to_pylist()], _ANCHOR)
 
 
 def with_boundaries(notes: DataFrame, text: str = "text", name: str = "boundaries") -> DataFrame:
     """notes with an array of (at, to, reason), ascending: where a part ends, where the next begins, and the rule that says so. Every
     semicolon is one; a sentence with evidence of a source begins a part; the other rules, one after the other, need evidence on
-    both sides, up to the boundaries known by then."""
-    c = F.col(text)
-    semicolons = F.transform(places(c, ";"), lambda p: _bound(p, p + 1, F.lit("semicolon")))
-    starts = F.filter(places(c, _SENTENCE), lambda p: ~_quoted(c, p) & ~F.substring(c, F.lit(1), p).rlike(_NO_END) & (F.trim(F.substring(c, F.lit(1), p)) != ""))
-    done = notes.withColumn(name, semicolons.cast(_BOUND)).withColumn("_s", starts)
-    ends = F.concat(F.slice("_s", F.lit(2), F.greatest(F.size("_s") - 1, F.lit(0))), F.array(F.length(c)))
-    done = done.withColumn("_s", F.zip_with("_s", F.slice(ends, F.lit(1), F.size("_s")), lambda s, e: F.struct(s.alias("s"), e.alias("e"))))
-    sentences = F.transform(F.filter("_s", lambda x: evidence(_part(c, x["s"], x["e"]))), lambda x: _bound(x["s"], x["s"], F.lit("new_citation_sentence")))
-    done = done.withColumn(name, F.concat(name, sentences.cast(_BOUND))).drop("_s")
-    for reason, pattern in STARTS.items():
-        if reason == "conjoined_citation":
-            short = F.length(F.regexp_extract(c, "(?s)^(.*\\b)and\\s+[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’.-]{2,50}\\s*\\.\\s*$", 1))
-            anchored = c.rlike("|".join(f"(?:{p})" for p in ANCHORS.values()))
-            lone = ~anchored & c.rlike("(?i)^\\s*(?:see|compare|cf\\.?|contra)\\b") & (short > 0)
-            done = done.withColumn(name, F.when(lone, F.concat(name, F.array(_bound(short, short, F.lit("conjoined_short_form"))).cast(_BOUND))).otherwise(F.col(name)))
-        found = places(c, pattern)
-        if reason in ("source_signal", "conjoined_citation", "new_legal_source_frame"):
-            found = F.filter(found, lambda p: ~_quoted(c, p))
-        if reason == "new_legal_source_frame":
-            found = F.filter(found, lambda p: ~F.substring(c, F.lit(1), p).rlike("\\[[^\\]]*$"))
-        if reason == "new_case_frame":
-            found = F.filter(found, lambda p, i: (i == 0) | ~F.substring(c, F.lit(1), p).rlike("(?i)(?:\\(|(?:\\b(?:and|or)|&)\\s*)$"))
-        done = done.withColumn("_f", found)
-        found = F.slice("_f", F.lit(2), F.greatest(F.size("_f") - 1, F.lit(0))) if reason in _AFTER_FIRST else F.col("_f")
-        done = done.withColumn(name, F.aggregate(found, F.col(name), _evidenced(c, reason))).drop("_f")
-    cuts = F.transform(F.filter(name, lambda b: b["to"] > b["at"]), lambda b: b["at"])
-    done = done.withColumn("_c", cuts)
-    alone = F.array_sort(F.filter(name, lambda b: (b["to"] > b["at"]) | (~F.array_contains("_c", b["at"]) & ~F.array_contains("_c", b["at"] - 1))))
-    done = done.withColumn(name, alone).drop("_c")
-    again = lambda b, i: (i > 0) & (b["at"] == F.get(F.col(name), i - 1)["at"]) & (b["to"] == F.get(F.col(name), i - 1)["to"])
-    return done.withColumn(name, F.filter(name, lambda b, i: ~F.coalesce(again(b, i), F.lit(False))))
-
-
-def _anchors_of(text: Column) -> Column:
-    """The kinds of anchors that a part has, in a fixed order; 'reference' alone for an ibid or supra. What reads as a neutral citation or
-    an article is no reporter's citation too."""
-    rest = F.regexp_replace(F.regexp_replace(text, JOURNAL, "·"), NEUTRAL, "·")
-    found = F.array_compact(F.array(*[F.when((rest if name == "reporter" else text).rlike(p), name) for name, p in ANCHORS.items()]))
-    return F.when(text.rlike(REFERENCE), F.array(F.lit("reference"))).otherwise(found)
+    both sides: signals up to semicolons and sentences, the others up to the boundaries known by then."""
+    return notes.withColumn(name, note_bounds(F.col(text)))
+
+
+def _part(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, start + 1, end - start)
 
 
 def parts_between(bounded: DataFrame, text: str = "text", name: str = "boundaries") -> DataFrame:
     """bounded notes with part_index (from 1), start, end, verbatim (without white space at its ends), reason (of the boundary before it; null
-    for the first) and anchors: one row a part that is not blank."""
+    for the first), anchor_spans (start, end and kind of its citations, from the part's start) and anchors (their kinds; 'reference' alone for
+    an ibid or supra): one row a part that is not blank."""
     own = [c for c in bounded.columns if c != name]
     starts = F.concat(F.array(F.struct(F.lit(0).alias("s"), F.lit(None).cast("string").alias("reason"))), F.transform(name, lambda b: F.struct(b["to"].alias("s"), b["reason"].alias("reason"))))
     ends = F.concat(F.transform(name, lambda b: b["at"]), F.array(F.length(text)))
@@ -152,7 +277,8 @@ def parts_between(bounded: DataFrame, text: str = "text", name: str = "boundarie
     each = bounded.select(*own, F.posexplode(F.filter(raw, lambda p: F.regexp_replace(p["v"], "\\s", "") != "")).alias("_i", "_p"))
     start, verbatim = F.col("_p.s") + lead(F.col("_p.v")), F.regexp_replace(F.col("_p.v"), "^\\s+|\\s+$", "")
     out = each.select(*own, (F.col("_i") + 1).alias("part_index"), start.cast("int").alias("start"), verbatim.alias("verbatim"), F.col("_p.reason").alias("reason"))
-    return out.withColumn("end", F.col("start") + F.length("verbatim")).withColumn("anchors", _anchors_of(F.col("verbatim")))
+    out = out.withColumn("end", F.col("start") + F.length("verbatim")).withColumn("anchor_spans", anchor_spans(F.col("verbatim")))
+    return out.withColumn("anchors", F.when(F.col("verbatim").rlike(REFERENCE), F.array(F.lit("reference"))).otherwise(F.transform("anchor_spans", lambda a: a["kind"])))
 
 
 def recall_parts(notes: DataFrame, text: str = "text") -> DataFrame:
@@ -160,33 +286,11 @@ def recall_parts(notes: DataFrame, text: str = "text") -> DataFrame:
     return parts_between(with_boundaries(notes.filter(F.col(text).rlike("\\S")), text), text)
 
 
-def top_level(text: Column, at: Column) -> Column:
-    """Whether a place lies outside quotation marks, brackets and urls."""
-    before = F.substring(text, F.lit(1), at)
-    spoken = F.regexp_replace(F.regexp_replace(before, "“[^”]*(?:”|$)", ""), "\"[^\"]*(?:\"|$)", "")
-    closed = spoken
-    for _ in range(3):  # brackets in brackets
-        closed = F.regexp_replace(closed, "\\([^()\\[\\]{}]*\\)|\\[[^()\\[\\]{}]*\\]|\\{[^()\\[\\]{}]*\\}", "")
-    in_url = before.rlike("(?i)(?:https?://|www\\.)[^\\s<>]*$") & ~F.substring(text, at + 1, F.lit(1)).rlike("\\s|^$")
-    return ~_quoted(text, at) & ~closed.rlike("[(\\[{]") & ~in_url
-
-
 def conservative_parts(notes: DataFrame, text: str = "text") -> DataFrame:
     """The parts of notes that split without doubt: at semicolons on the top level and signals between two clauses, each of which
     is one cluster of anchors or a reference. Notes with a doubtful clause are left out."""
-    c = F.col(text)
-    semicolons = F.transform(F.filter(places(c, ";"), lambda p: top_level(c, p)), lambda p: _bound(p, p + 1, F.lit("top_level_semicolon")))
-    signals = F.filter(places(c, "(?i:(?<=[.!?]\\s{1,3})(?:but\\s+see|see|cf|compare|contra)\\b|\\b(?:citing|quoting|quoted\\s+in|discussing|discussed\\s+in|applying|applied\\s+in|relying\\s+on|relied\\s+on|following|followed\\s+in)\\b)"), lambda p: (p > 0) & top_level(c, p))
-    bounds = F.array_sort(F.concat(semicolons.cast(_BOUND), F.transform(signals, lambda p: _bound(p, p, F.lit("explicit_source_signal"))).cast(_BOUND)))
-    found = parts_between(notes.filter(c.rlike("\\S")).withColumn("boundaries", bounds), text)
-    attached = "\\s*(?:\\([^()]{0,160}\\)\\s*)?,?\\s*(?:online:?|available\\s+at|at)\\s*<?\\s*"
-    some = "|".join(f"(?:{p})" for k, p in ANCHORS.items() if k != "url")
-    cluster = f"^[^;]*?(?:{some}|{URL})(?:(?:\\s*,\\s*(?:{some}))|(?:(?:\\s*,\\s*|{attached})(?:{URL})))*"
-    one = F.col("verbatim").rlike(REFERENCE) | (F.regexp_replace("verbatim", cluster, "") .rlike(f"^(?!.*(?:{some}|{URL})).*$") & F.col("verbatim").rlike(f"{some}|{URL}"))
-    key = [x for x in notes.columns if x != text]
-    doubtful = found.groupBy(*key).agg(F.bool_and(one).alias("_sure"), F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("verbatim").rlike(REFERENCE), 1).otherwise(0)).alias("_ref"))
-    sure = doubtful.filter("_sure and (_n > 1 or _ref = 1)").select(*key)
-    return found.join(sure, key, "left_semi")
+    sure = notes.filter(F.col(text).rlike("\\S")).withColumn("boundaries", sure_bounds(F.col(text)))
+    return parts_between(sure.filter("boundaries is not null"), text)
 
 
 def snapped(notes: DataFrame, proposed: str = "parts", text: str = "text") -> DataFrame:

@@ -46,6 +46,34 @@ def note_boundaries(spark, sf_dir):
     return found.select("doc_id", "footnote_id", "part_index", "verbatim", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+def note_rules(spark, sf_dir):
+    """A note a customer in seven forms that reach the rules which note_boundaries' forms don't: names that are not cut in two, signals in
+    a row, cases, authors, notes, short forms and laws that follow each other."""
+    k, n = F.col("c_custkey"), 1 + F.col("c_custkey") % 900
+    forms = (
+        _text("2020 SCC ", n, ", Smith Jones v Brown", k, ", 2019 ONCA 7"), _text("R v Able", k, ", 2020 SCC ", n, ", citing Smith, quoting R v Baker", k, ", 2019 ONCA 7"),
+        _text("R v Able", k, ", 2020 SCC ", n, ", R v Baker", k, ", 2019 ONCA 7."), _text('Jane Doe, "One" (2001) 3 J ', n, ', John Poe, "Two" (2002) 5 K 6'), _text("Roe, supra note ", n, " at 20, Doe note 7"), _text("See Roe and Doe."),
+        _text("Labour Act, RSC 1985, c L-", n, ", the Canada Evidence Act, RSC 1985, c C-5"))
+    text = F.element_at(F.array(*forms), (k % 7 + 1).cast("int"))
+    found = boundaries.recall_parts(_table(spark, sf_dir, "customer").select(k.alias("id"), text.alias("text")))
+    return found.select("id", "part_index", "verbatim", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def nested_notes(spark, sf_dir):
+    """Notes whose first semicolon lies one to ten brackets deep: they split without doubt at the other one."""
+    k, deep = F.col("c_custkey"), (F.col("c_custkey") % 10 + 1).cast("int")
+    text = F.concat(F.repeat(F.lit("("), deep), _text("R v Able", k, ", 2001 SCC 1; x"), F.repeat(F.lit(")"), deep), F.lit("; R v Baker, 2002 SCC 2"))
+    return boundaries.conservative_parts(_table(spark, sf_dir, "customer").select(k.alias("id"), text.alias("text"))).select("id", "part_index", "start", "end")
+
+
+def anchor_places(spark, sf_dir):
+    """Where a text cites a case, twice, a law, an article, a book and a page of the web."""
+    k, n = F.col("c_custkey"), 1 + F.col("c_custkey") % 900
+    text = _text("R v Able", k, ", 2020 SCC ", n, ", [1990] 1 SCR ", n, "; Criminal Code, RSC 1985, c C-", n, '; Roe, "On Law" (2001) 39:2 Osgoode Hall LJ ', n, "; Poe, Law (Toronto: Press, 2001), online: https://a.org/", k)
+    found = _table(spark, sf_dir, "customer").select(k.alias("id"), text.alias("_t")).select("id", "_t", F.inline(boundaries.anchor_spans(F.col("_t"))))
+    return found.select("id", "kind", "start", "end")
+
+
 def part_fields(spark, sf_dir):
     found = splitting.split_notes(_notes(spark, sf_dir))
     return found.select("doc_id", "footnote_id", "part_index", "kind", F.array_join("fragments", ",").alias("fragments"), "short_form", "status")
@@ -348,7 +376,7 @@ def supra_targets(spark, sf_dir):
 
 
 _NAMES = (
-    note_boundaries, part_fields, conservative_notes, supra_tiers, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
+    note_boundaries, note_rules, nested_notes, anchor_places, part_fields, conservative_notes, supra_tiers, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
     specific_labels, combined_ranges, identity_lookup, law_datasets, current_laws, journal_filters, page_links, origin_fields, slug_repairs, link_cascade, quotation_manifest, fragment_links, quote_corrections, quote_resolution, made_quote_corrections, made_best_source, made_quote_resolution, supra_targets,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -358,6 +386,21 @@ ORACLES = {
     "made_best_source": f"WITH {_MADE} SELECT item_id, item_id AS doc_id, false AS exact, score FROM m WHERE item_id % 3 <> 0",
     "made_quote_resolution": f"""WITH {_MADE} SELECT item_id, item_id // 4 AS doc_id, CASE item_id % 5 WHEN 2 THEN 'alternate' WHEN 3 THEN 'scope_unavailable' WHEN 4 THEN 'uncited' ELSE 'cited' END AS location,
     CASE WHEN item_id % 2 = 0 THEN score ELSE 1.0 END AS score, (item_id % 4 + 1)::VARCHAR AS labels FROM m""",
+    "note_rules": """WITH n AS (SELECT c_custkey AS id, c_custkey::VARCHAR AS k, (1 + c_custkey % 900)::VARCHAR AS n FROM customer),
+p AS (SELECT id, unnest(CASE id % 7 WHEN 0 THEN [{'i': 1, 'v': '2020 SCC ' || n || ', Smith Jones v Brown' || k || ', 2019 ONCA 7', 'r': ''}]
+    WHEN 1 THEN [{'i': 1, 'v': 'R v Able' || k || ', 2020 SCC ' || n || ',', 'r': ''}, {'i': 2, 'v': 'citing Smith,', 'r': 'source_signal'}, {'i': 3, 'v': 'quoting R v Baker' || k || ', 2019 ONCA 7', 'r': 'source_signal'}]
+    WHEN 2 THEN [{'i': 1, 'v': 'R v Able' || k || ', 2020 SCC ' || n || ',', 'r': ''}, {'i': 2, 'v': 'R v Baker' || k || ', 2019 ONCA 7.', 'r': 'new_case_frame'}]
+    WHEN 3 THEN [{'i': 1, 'v': 'Jane Doe, "One" (2001) 3 J ' || n || ',', 'r': ''}, {'i': 2, 'v': 'John Poe, "Two" (2002) 5 K 6', 'r': 'new_author_title_frame'}]
+    WHEN 4 THEN [{'i': 1, 'v': 'Roe, supra note ' || n || ' at 20,', 'r': ''}, {'i': 2, 'v': 'Doe note 7', 'r': 'new_note_reference'}]
+    WHEN 5 THEN [{'i': 1, 'v': 'See Roe', 'r': ''}, {'i': 2, 'v': 'and Doe.', 'r': 'conjoined_short_form'}]
+    ELSE [{'i': 1, 'v': 'Labour Act, RSC 1985, c L-' || n || ',', 'r': ''}, {'i': 2, 'v': 'the Canada Evidence Act, RSC 1985, c C-5', 'r': 'new_legal_source_frame'}] END) AS p FROM n)
+SELECT id, p.i AS part_index, p.v AS verbatim, p.r AS reason FROM p""",
+    "nested_notes": """WITH n AS (SELECT c_custkey AS id, 2 * (c_custkey % 10 + 1) + length('R v Able' || c_custkey || ', 2001 SCC 1; x') AS e FROM customer)
+SELECT id, 1 AS part_index, 0 AS start, e AS "end" FROM n UNION ALL SELECT id, 2, e + 2, e + 2 + length('R v Baker, 2002 SCC 2') FROM n""",
+    "anchor_places": """WITH n AS (SELECT c_custkey AS id, c_custkey::VARCHAR AS k, (1 + c_custkey % 900)::VARCHAR AS n FROM customer),
+t AS (SELECT id, 'R v Able' || k || ', 2020 SCC ' || n || ', [1990] 1 SCR ' || n || '; Criminal Code, RSC 1985, c C-' || n || '; Roe, "On Law" (2001) 39:2 Osgoode Hall LJ ' || n || '; Poe, Law (Toronto: Press, 2001), online: https://a.org/' || k AS t,
+    unnest([{'k': 'neutral', 'v': '2020 SCC ' || n}, {'k': 'reporter', 'v': '[1990] 1 SCR ' || n}, {'k': 'statute', 'v': 'RSC 1985, c C-' || n}, {'k': 'journal', 'v': '(2001) 39:2 Osgoode Hall LJ ' || n}, {'k': 'book', 'v': '(Toronto: Press, 2001)'}, {'k': 'url', 'v': 'https://a.org/' || k}]) AS a FROM n)
+SELECT id, a.k AS kind, strpos(t, a.v) - 1 AS start, strpos(t, a.v) - 1 + length(a.v) AS "end" FROM t""",
     "note_boundaries": f"WITH {_PARTS} SELECT doc_id, footnote_id, p.i AS part_index, p.v AS verbatim, coalesce(p.r, '') AS reason FROM p",
     "part_fields": f"WITH {_PARTS} SELECT doc_id, footnote_id, p.i AS part_index, p.kind AS kind, p.f AS fragments, p.s AS short_form, 'complete' AS status FROM p",
     "conservative_notes": "SELECT c_nationkey AS doc_id, c_custkey AS footnote_id, (CASE WHEN c_custkey % 5 = 2 THEN 1 ELSE 2 END)::BIGINT AS parts FROM customer WHERE c_custkey % 5 <> 4",

@@ -855,3 +855,36 @@ def test_lines_with_offsets(spark):
             want.append((i, j, at, at + len(line), line))
             at += len(line) + 1
     assert sorted(map(tuple, got)) == want
+
+
+# ---- the scanner of notes
+
+
+def test_names_are_left_whole_and_signals_measured_between_hard_places():
+    cut = lambda t: [b[2] for b in boundaries.Note(t).boundaries()]
+    assert cut("2020 SCC 1, Smith Jones v Brown, 2019 ONCA 7") == []
+    assert cut("R v Able, 2020 SCC 1, citing Smith, quoting R v Baker, 2019 ONCA 7") == ["source_signal", "source_signal"]
+    assert cut("R v A, 2020 SCC 1 (R v B, 2019 ONCA 7)") == [] and cut("doe note 5 at 3, roe note 6") == ["new_note_reference"]
+
+
+@pytest.mark.parametrize("deep", [1, 3, 10])
+def test_brackets_quotations_and_urls_hide_semicolons(deep):
+    note = boundaries.Note
+    for a, z in ("()", "[]", "{}"):
+        text = a * deep + "R v A, 2001 SCC 1; x" + z * deep + "; R v B, 2002 SCC 2"
+        assert note(text).sure_boundaries() == [(text.rindex(";"), text.rindex(";") + 1, "top_level_semicolon")]
+    for text in ("“a; ” R v A, 2001 SCC 1", '"a;" R v A, 2001 SCC 1', "https://a.org/a;b", "(R v A, 2001 SCC 1; ]"):
+        assert note(text).sure_boundaries() is None and not any(note(text).scan[1][i] for i, c in enumerate(text) if c == ";")
+
+
+def test_of_overlapping_anchors_the_longest_stays():
+    draw = random.Random(15)
+    pieces = ["R v A, ", "2020 SCC 5", ", ", "[1990] 1 SCR 33", "(2001) 39:2 Hall LJ 7", "RSC 1985, c C-46", "(Toronto: Press, 2001)", " at 5", "https://a.org/x", "; ", "12 Foo 3, "]
+    for _ in range(300):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randint(1, 8)))
+        found = boundaries.anchors_of(text)
+        assert found == sorted(found) and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+        for kind, form in boundaries._FORMS.items():
+            for m in form.finditer(text):
+                over = [x for x in found if x[0] < m.end() and m.start() < x[1]]
+                assert (m.start(), m.end(), kind) in found or max(x[1] - x[0] for x in over) >= m.end() - m.start()
