@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import citations, fragments, shortforms
 from marginalia.operators import boundaries, chains, journals, links, lookup, quotes, registry, scopes, sequences, splitting, structure
-from marginalia.sources import sinks
+from marginalia.sources import readers, sinks
 
 
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,18 @@ def anchor_places(spark, sf_dir):
     return found.select("id", "kind", "start", "end")
 
 
+def note_propositions(spark, sf_dir):
+    """Five customers are the paragraphs of a document, in forms that end sentences in different ways; the fourth opens a quotation that the fifth,
+    with the note, closes."""
+    k = F.col("c_custkey")
+    mark = F.concat(F.lit("⟦FN:"), k.cast("string"), F.lit("⟧"))
+    forms = (
+        _text("First ", k, " claim. Second claim stands", mark, " here. Third."), _text("He said “no duty. It ends here”.", mark, " More."), _text("See s. 7 of Act ", k, ", it holds.", mark, " Next."),
+        _text("Value 3.5 is ", k, "? Then it is so. The panel wrote “first part ", k, "."), _text("Last part”, it added", mark, " then. Third."))
+    body = _table(spark, sf_dir, "customer").select(F.expr("c_custkey div 5").alias("doc_key"), (k % 5).alias("number"), F.lit("paragraph").alias("part"), F.element_at(F.array(*forms), (k % 5 + 1).cast("int")).alias("text"))
+    return structure.propositions(body, readers.anchors(body)).select("footnote_id", "position", "proposition")
+
+
 def part_fields(spark, sf_dir):
     found = splitting.split_notes(_notes(spark, sf_dir))
     return found.select("doc_id", "footnote_id", "part_index", "kind", F.array_join("fragments", ",").alias("fragments"), "short_form", "status")
@@ -376,7 +388,7 @@ def supra_targets(spark, sf_dir):
 
 
 _NAMES = (
-    note_boundaries, note_rules, nested_notes, anchor_places, part_fields, conservative_notes, supra_tiers, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
+    note_boundaries, note_rules, nested_notes, anchor_places, note_propositions, part_fields, conservative_notes, supra_tiers, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
     specific_labels, combined_ranges, identity_lookup, law_datasets, current_laws, journal_filters, page_links, origin_fields, slug_repairs, link_cascade, quotation_manifest, fragment_links, quote_corrections, quote_resolution, made_quote_corrections, made_best_source, made_quote_resolution, supra_targets,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -386,6 +398,9 @@ ORACLES = {
     "made_best_source": f"WITH {_MADE} SELECT item_id, item_id AS doc_id, false AS exact, score FROM m WHERE item_id % 3 <> 0",
     "made_quote_resolution": f"""WITH {_MADE} SELECT item_id, item_id // 4 AS doc_id, CASE item_id % 5 WHEN 2 THEN 'alternate' WHEN 3 THEN 'scope_unavailable' WHEN 4 THEN 'uncited' ELSE 'cited' END AS location,
     CASE WHEN item_id % 2 = 0 THEN score ELSE 1.0 END AS score, (item_id % 4 + 1)::VARCHAR AS labels FROM m""",
+    "note_propositions": """SELECT c_custkey AS footnote_id, CASE c_custkey % 5 WHEN 0 THEN length('First ' || c_custkey || ' claim. Second claim stands') WHEN 1 THEN length('He said “no duty. It ends here”.') WHEN 2 THEN length('See s. 7 of Act ' || c_custkey || ', it holds.') ELSE length('Last part”, it added') END AS position,
+    CASE c_custkey % 5 WHEN 0 THEN 'Second claim stands here.' WHEN 1 THEN 'He said “no duty. It ends here”.' WHEN 2 THEN 'See s. 7 of Act ' || c_custkey || ', it holds.' ELSE 'The panel wrote “first part ' || (c_custkey - 1) || '. Last part”, it added then.' END AS proposition
+FROM customer WHERE c_custkey % 5 <> 3""",
     "note_rules": """WITH n AS (SELECT c_custkey AS id, c_custkey::VARCHAR AS k, (1 + c_custkey % 900)::VARCHAR AS n FROM customer),
 p AS (SELECT id, unnest(CASE id % 7 WHEN 0 THEN [{'i': 1, 'v': '2020 SCC ' || n || ', Smith Jones v Brown' || k || ', 2019 ONCA 7', 'r': ''}]
     WHEN 1 THEN [{'i': 1, 'v': 'R v Able' || k || ', 2020 SCC ' || n || ',', 'r': ''}, {'i': 2, 'v': 'citing Smith,', 'r': 'source_signal'}, {'i': 3, 'v': 'quoting R v Baker' || k || ', 2019 ONCA 7', 'r': 'source_signal'}]

@@ -888,3 +888,29 @@ def test_of_overlapping_anchors_the_longest_stays():
             for m in form.finditer(text):
                 over = [x for x in found if x[0] < m.end() and m.start() < x[1]]
                 assert (m.start(), m.end(), kind) in found or max(x[1] - x[0] for x in over) >= m.end() - m.start()
+
+
+# ---- propositions
+
+
+@pytest.mark.parametrize(("text", "at", "said"), [
+    ("First one. Then Smith v. Roe held it. Next", 36, "Then Smith v. Roe held it."), ("No end", 6, "No end"), ("It is 3.5 of all. Yes", 5, "It is 3.5 of all."), ("One ... two. Three", 5, "One ... two."), ("a\nb c\nd", 3, "b c"), ("He left.” She stayed.", 12, "She stayed."), ("", 0, ""),
+])
+def test_sentences_around_places(text, at, said):
+    start, end = structure.sentence_around(text, at)
+    assert text[start:end].strip() == said
+
+
+def test_propositions_carry_their_state_over_paragraphs(spark):
+    docs = {
+        "a": ["A Study⟦FN:1⟧ of law", "Introduction", "The rule is old. It held⟦FN:2⟧ firm."],
+        "b": ["Introduction The duty is owed.⟦FN:1⟧ So it is.⟦FN:2⟧ Again⟦FN:2⟧."],
+        "c": ["He wrote “one. Two.", "", "Three” and left⟦FN:1⟧ us. “Open once. Closed⟦FN:2⟧” here."],
+        "d": ["“Shut.” Then⟦FN:5⟧ more.", "Open “one. Two.⟦FN:6⟧ Three” is⟦FN:7⟧ it"],
+    }
+    body = spark.createDataFrame([(k, i, "paragraph", t) for k, v in docs.items() for i, t in enumerate(v)], "doc_key string, number int, part string, text string")
+    got = {(r.doc_key, r.footnote_id, r.position): r.proposition for r in structure.propositions(body, readers.anchors(body)).collect()}
+    assert got == {
+        ("a", 1, 7): "", ("a", 2, 24): "It held firm.", ("b", 1, 30): "The duty is owed.", ("b", 2, 40): "So it is.", ("b", 2, 46): None, ("c", 1, 15): "He wrote “one. Two. Three” and left us.", ("c", 2, 38): "“Open once. Closed” here.",
+        ("d", 5, 12): "Then more.", ("d", 6, 15): "Open “one. Two.", ("d", 7, 25): "Three” is it"}
+    assert structure.propositions(body.limit(0), readers.anchors(body.limit(0))).collect() == []
