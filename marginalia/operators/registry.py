@@ -10,6 +10,8 @@ from marginalia.functions import shortforms
 from marginalia.functions.citations import anchored_link
 from marginalia.sources.shared import materialize
 
+#: Letters by which words are looked up.
+GRAM = 3
 HEAD, WINDOW, BEST = 200, 3, 8  # fixed: characters of a citation that name it, notes to either side of a wrong number, candidates shown
 _DEALT = 16
 #: Fixed: words that tell candidates apart least.
@@ -36,9 +38,55 @@ def _entries(registry: DataFrame) -> DataFrame:
         shortforms.reference_text(named).alias("_named"), shortforms.definitions(F.col("verbatim")).alias("_defined"), F.col("link").alias("_link"), base(F.col("link")).alias("_base"), usable(F.col("link")).alias("_usable"))
 
 
-def _pool(met: DataFrame, method: str) -> DataFrame:
-    """One row a reference: how many documents a tier's entries lie in, and the link of the first."""
-    return met.groupBy("doc_id", "seq").agg(F.count_distinct("_base").alias("_n"), F.min_by("_link", "_at").alias("_first")).withColumn("_method", F.lit(method))
+def _asked(references: DataFrame) -> DataFrame:
+    said = shortforms.hint(F.col("verbatim"))
+    return references.select("doc_id", "seq", shortforms.bare_form(said).alias("_hint"), shortforms.hint_tokens(said).alias("_tokens"), refs.supra_note(F.col("verbatim")).cast("string").alias("_note"))
+
+
+def _meetings(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, seq, _at, _rule): the earlier entries of its document that a reference names, and how, by their texts alone: note (the note's
+    number, and all words of the hint in the entry's name), exact_sf, token_sf, token_verb, bracket_definition.
+
+    Numbers, short forms and definitions are equality joins. Words may stand inside longer ones, so references look entries up by three letters
+    of their longest word, which every entry that holds it has; the letters of a document's entries are its index."""
+    at = ["doc_id", "seq", "_at"]
+    held = lambda text: (F.size("_tokens") > 0) & F.forall("_tokens", lambda t: F.contains(F.col(text), t))
+    rule = lambda met, name: met.filter("_at < seq").select(*at, F.lit(name).alias("_rule"))
+    numbered = rule(asked.join(entries.drop("_tokens"), ["doc_id", "_note"]).filter(held("_named")), "note")
+    hinted = asked.filter("_hint <> ''").select("doc_id", "seq", "_hint")
+    exact = rule(hinted.join(entries.select("doc_id", "_at", F.col("_form").alias("_hint")), ["doc_id", "_hint"]), "exact_sf")
+    defined = rule(hinted.join(entries.select("doc_id", "_at", F.explode("_defined").alias("_hint")), ["doc_id", "_hint"]), "bracket_definition")
+    longest = F.array_max(F.transform("_tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    worded = asked.filter(F.size("_tokens") > 0).select("doc_id", "seq", "_tokens", F.left(longest, F.lit(GRAM)).alias("_gram"))
+    widths = [r[0] for r in worded.select(F.length("_gram")).distinct().collect()]  # at most GRAM numbers
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_named") - w + 1, F.lit(1))), lambda i: F.substring("_named", i, F.lit(w)))
+    grams = F.flatten(F.array(*map(cut, widths))) if widths else F.array().cast("array<string>")
+    index = entries.select("doc_id", "_at", "_named", "_short", F.explode(F.array_distinct(grams)).alias("_gram"))
+    met = worded.join(index, ["doc_id", "_gram"]).filter((F.col("_at") < F.col("seq")) & held("_named"))
+    named = met.select(*at, F.explode(F.array_compact(F.array(F.lit("token_verb"), F.when((F.col("_short") != "") & held("_short"), "token_sf")))).alias("_rule"))
+    return numbered.unionByName(exact).unionByName(defined).unionByName(named)
+
+
+def _decided(asked: DataFrame, met: DataFrame) -> DataFrame:
+    """(doc_id, seq, link, method) of asked, by the entries met (doc_id, seq, _at, _rule, _link, _base, _usable) with their links."""
+    usable_ = lambda name: F.col("_usable") & (F.col("_rule") == name)
+    tiers = ("exact_sf", "token_sf", "token_verb")
+    pools = [x for name in tiers for x in (F.min(F.when(usable_(name), F.col("_base"))).alias(f"_lo_{name}"), F.max(F.when(usable_(name), F.col("_base"))).alias(f"_hi_{name}"), F.min_by(F.when(usable_(name), F.col("_link")), F.when(usable_(name), F.col("_at"))).alias(f"_first_{name}"))]
+    bracket = usable_("bracket_definition")
+    found = met.groupBy("doc_id", "seq").agg(
+        F.bool_or(F.col("_rule") == "note").alias("_has_note"), F.min_by(F.when(usable_("note"), F.col("_link")), F.when(usable_("note"), F.col("_at"))).alias("_noted"), *pools,
+        (F.min(F.when(bracket, F.col("_base"))) == F.max(F.when(bracket, F.col("_base")))).alias("_one_defined"), F.max_by(F.when(bracket, F.col("_link")), F.when(bracket, F.col("_at"))).alias("_defined"))
+    joined = asked.select("doc_id", "seq", ((F.col("_hint") == "") & (F.size("_tokens") == 0)).alias("_nothing")).join(found, ["doc_id", "seq"], "left")
+    by_note, by_bracket = F.coalesce("_has_note", F.lit(False)), F.coalesce("_one_defined", F.lit(False))
+    some = lambda name: F.col(f"_lo_{name}").isNotNull()
+    pool = F.coalesce(*[F.when(some(name), F.lit(name)) for name in tiers])  # the first tier with any entry decides
+    one = F.coalesce(*[F.when(some(name), F.col(f"_lo_{name}") == F.col(f"_hi_{name}")) for name in tiers], F.lit(False))
+    first = F.coalesce(*[F.when(some(name), F.col(f"_first_{name}")) for name in tiers])
+    link = F.when(by_note, F.col("_noted")).when(one, first).when(by_bracket, F.col("_defined"))
+    method = (
+        F.when(F.col("_nothing"), "abstain_no_hint").when(by_note & F.col("_noted").isNotNull(), "note_number").when(by_note, "abstain_unlinked_target").when(one, pool).when(by_bracket, "bracket_definition")
+        .when(pool.isNotNull(), F.concat(F.lit("abstain_ambiguous_"), pool)).otherwise("abstain_no_match"))
+    return joined.select("doc_id", "seq", link.alias("link"), method.alias("method"))
 
 
 def resolve_supra(references: DataFrame, registry: DataFrame) -> DataFrame:
@@ -49,36 +97,10 @@ def resolve_supra(references: DataFrame, registry: DataFrame) -> DataFrame:
     is known and has no link: abstain_unlinked_target. Then exact_sf (the hint is an entry's short form), token_sf (all of its words
     are in one), token_verb (all are in the short form or the first 200 characters): the first of these with any entry decides, if all its
     entries lie in one document; abstain_ambiguous_<tier> otherwise. Last bracket_definition: a citation defines the hint in
-    brackets. abstain_no_hint and abstain_no_match are left.
-
-    Number, short form and definition are equality joins. References that need the tiers by words meet the entries of their
-    document, dealt over tasks, so that a long document is not one task's."""
-    said = shortforms.hint(F.col("verbatim"))
-    asked = references.select("doc_id", "seq", shortforms.bare_form(said).alias("_hint"), shortforms.hint_tokens(said).alias("_tokens"), refs.supra_note(F.col("verbatim")).cast("string").alias("_note"))
-    asked = materialize(asked, "supra")
-    entries = materialize(_entries(registry), "registry")
-    linked = entries.filter("_usable")
-    all_in = lambda text: (F.size("_tokens") > 0) & F.forall("_tokens", lambda t: F.contains(F.col(text), t))
-    numbered = asked.join(entries, ["doc_id", "_note"]).filter((F.col("_at") < F.col("seq")) & all_in("_named"))
-    note = numbered.groupBy("doc_id", "seq").agg(F.min_by(F.when(F.col("_usable"), F.col("_link")), F.when(F.col("_usable"), F.col("_at"))).alias("_noted"))
-    note = materialize(note, "by_note")
-    rest = asked.join(note, ["doc_id", "seq"], "left_anti")
-    exact = materialize(_pool(rest.filter("_hint <> ''").join(linked, (rest["doc_id"] == linked["doc_id"]) & (F.col("_hint") == F.col("_form")) & (F.col("_at") < F.col("seq"))).drop(linked["doc_id"]), "exact_sf"), "exact")
-    worded = rest.filter(F.size("_tokens") > 0).join(exact, ["doc_id", "seq"], "left_anti").withColumn("_deal", F.pmod(F.xxhash64("seq"), F.lit(_DEALT)).cast("int"))
-    spread = linked.drop("_note").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(_DEALT - 1))))
-    met = worded.join(spread, ["doc_id", "_deal"]).filter((F.col("_at") < F.col("seq")) & all_in("_named"))
-    met = materialize(met.select("doc_id", "seq", "_at", "_link", "_base", ((F.col("_short") != "") & all_in("_short")).alias("_in_short")), "worded")
-    short = _pool(met.filter("_in_short"), "token_sf")
-    pools = exact.unionByName(short).unionByName(_pool(met, "token_verb").join(short, ["doc_id", "seq"], "left_anti"))
-    defined = linked.select("doc_id", "_at", "_link", "_base", F.explode("_defined").alias("_hint"))
-    bracket = rest.filter("_hint <> ''").join(defined, ["doc_id", "_hint"]).filter("_at < seq").groupBy("doc_id", "seq").agg(F.count_distinct("_base").alias("_bases"), F.max_by("_link", "_at").alias("_defined"))
-    found = asked.join(note.withColumn("_has_note", F.lit(True)), ["doc_id", "seq"], "left").join(pools, ["doc_id", "seq"], "left").join(bracket, ["doc_id", "seq"], "left")
-    nothing, by_note, by_pool, by_bracket = (F.col("_hint") == "") & (F.size("_tokens") == 0), F.coalesce("_has_note", F.lit(False)), F.col("_n") == 1, F.col("_bases") == 1
-    link = F.when(by_note, F.col("_noted")).when(by_pool, F.col("_first")).when(by_bracket, F.col("_defined"))
-    method = (
-        F.when(nothing, "abstain_no_hint").when(by_note & F.col("_noted").isNotNull(), "note_number").when(by_note, "abstain_unlinked_target").when(by_pool, F.col("_method")).when(by_bracket, "bracket_definition")
-        .when(F.col("_n") > 1, F.concat(F.lit("abstain_ambiguous_"), F.col("_method"))).otherwise("abstain_no_match"))
-    return references.join(found.select("doc_id", "seq", link.alias("link"), method.alias("method")), ["doc_id", "seq"], "left")
+    brackets. abstain_no_hint and abstain_no_match are left."""
+    asked, entries = materialize(_asked(references), "supra"), materialize(_entries(registry), "registry")
+    met = _meetings(asked, entries).join(entries.select("doc_id", "_at", "_link", "_base", "_usable"), ["doc_id", "_at"])
+    return references.join(_decided(asked, met), ["doc_id", "seq"], "left")
 
 
 def note_guard(proposed: DataFrame, registry: DataFrame) -> DataFrame:
@@ -128,33 +150,59 @@ def candidates(references: DataFrame, registry: DataFrame, proposition: str | No
     return ranked.filter(F.col("rank") <= BEST).select("doc_id", "seq", "rank", "link", "score")
 
 
-def reference_links(parts: DataFrame, rounds: int = 20) -> DataFrame:
+def reference_links(parts: DataFrame, rounds: int = 20, choices: DataFrame | None = None) -> DataFrame:
     """parts (doc_id, seq, note, verbatim, short_form, link and others) with link and method of references filled in: supras from the
     entries before them, ibids from the part before them, each moved to the reference's own pinpoint. Citations keep their links.
 
-    A reference that gets a link is an entry for later ones, so the tiers are asked again, for what is still open, until a round
-    finds nothing new; a chain of references that only name each other takes a round a link, and more than `rounds` are an error."""
+    The result is that of going through a document in order, where a reference that gets a link is an entry for later ones. Which entries a
+    reference names depends on their texts, and is found once. Then rounds follow, in which references are decided again if the
+    link of an entry that they name is new or another than before, until none changes; references point backwards only, so
+    this ends. A chain of references that only name each other takes a round a link; more than `rounds` are an error.
+
+    choices (doc_id, seq, rank) are picks by someone else among the candidates of references without a link: they are taken (chosen) if
+    note_guard allows, else noted (choice_rejected), and the rounds go on with them."""
     ibid = refs.is_ibid(F.col("verbatim")) & refs.supra_note(F.col("verbatim")).isNull()
     kinds = F.when(ibid, "ibid").when(F.col("verbatim").rlike("(?i)\\bsupra\\b"), "supra").otherwise("own")
     own = ["doc_id", "seq", "note", "verbatim", "short_form"]
-    now = materialize(parts.select(*own, kinds.alias("_kind"), F.when(kinds == "own", F.col("link")).alias("link"), F.lit(None).cast("string").alias("method")), "links")
     before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(rounds):
-        # a run of ibids has the link of what stands before it, a link that is null included
-        carried = now.withColumn("_before", F.last(F.when(F.col("_kind") != "ibid", F.struct("link")), ignorenulls=True).over(before)["link"])
-        pinned = anchored_link(F.col("_before"), F.col("verbatim"), F.lit(True))
-        moved = carried.withColumn("_got", (F.col("_kind") == "ibid") & F.col("link").isNull() & usable(F.col("_before")))
-        moved = moved.select(*own, "_kind", F.when(F.col("_got"), pinned).otherwise(F.col("link")).alias("link"), F.when(F.col("_got"), "previous").otherwise(F.col("method")).alias("method"))
-        moved = materialize(moved, "links")
-        open_ = moved.filter("_kind = 'supra' and link is null").select("doc_id", "seq", "verbatim")
-        found = resolve_supra(open_, moved.select(*own, "link")).select("doc_id", "seq", F.col("link").alias("_link"), F.col("method").alias("_method"))
-        joined = moved.join(found, ["doc_id", "seq"], "left")
-        pinned = anchored_link(F.col("_link"), F.col("verbatim"), F.lit(False))
-        after = materialize(joined.select(*own, "_kind", F.coalesce("link", pinned).alias("link"), F.when(F.col("link").isNull(), F.coalesce("_method", "method")).otherwise(F.col("method")).alias("method")), "links")
-        count = lambda df: df.filter("link is not null").count()
-        if count(after) == count(now):
-            break
-        now = after
-    else:
+    kinded = parts.select(*own, kinds.alias("_kind"), F.when(kinds == "own", F.col("link")).alias("_given"))
+    # a run of ibids has the link of what stands before it, a link that is null included
+    known = materialize(kinded.withColumn("_from", F.last(F.when(F.col("_kind") != "ibid", F.col("seq")), ignorenulls=True).over(before)), "parts")
+    asked = materialize(_asked(known.filter("_kind = 'supra'")), "supra")
+    met = materialize(_meetings(asked, materialize(_entries(known.withColumn("link", F.lit(None).cast("string"))), "registry")), "meetings")
+    texts = known.select("doc_id", "seq", "verbatim", "_from")
+    now = materialize(known.select("doc_id", "seq", "_kind", F.col("_given").alias("link"), F.lit(None).cast("string").alias("method")), "links")
+
+    def settled(now: DataFrame, new: DataFrame | None) -> DataFrame:
+        """Links once no round changes any; new: (doc_id, seq) of those that changed last, none for all."""
+        for done in range(rounds + 1):
+            named = met if new is None else met.join(new.select("doc_id", F.col("seq").alias("_at")), ["doc_id", "_at"], "left_semi")
+            due = asked if new is None else asked.join(named.select("doc_id", "seq").distinct(), ["doc_id", "seq"], "left_semi")
+            entries = now.select("doc_id", F.col("seq").alias("_at"), F.col("link").alias("_link"), base(F.col("link")).alias("_base"), usable(F.col("link")).alias("_usable"))
+            supra = _decided(due, met.join(entries, ["doc_id", "_at"]))
+            origin = now.select("doc_id", F.col("seq").alias("_from"), F.col("link").alias("_link"))
+            origin = origin if new is None else origin.join(new.select("doc_id", F.col("seq").alias("_from")), ["doc_id", "_from"], "left_semi")
+            after = now.filter("_kind = 'ibid'").select("doc_id", "seq").join(texts, ["doc_id", "seq"]).join(origin, ["doc_id", "_from"])
+            has = usable(F.col("_link"))  # what had a link before may have none now
+            previous = after.select("doc_id", "seq", F.when(has, anchored_link(F.col("_link"), F.col("verbatim"), F.lit(True))).alias("link"), F.when(has, "previous").alias("method"))
+            pinned = supra.join(texts, ["doc_id", "seq"]).select("doc_id", "seq", anchored_link(F.col("link"), F.col("verbatim"), F.lit(False)).alias("link"), "method")
+            found = pinned.unionByName(previous).select("doc_id", "seq", F.col("link").alias("_l"), F.col("method").alias("_m"), F.lit(True).alias("_hit"))
+            picked = F.coalesce(F.col("method").isin("chosen", "choice_rejected"), F.lit(False)) & F.col("_l").isNull()  # a pick stays where nothing better comes
+            joined = now.join(found, ["doc_id", "seq"], "left").withColumn("_got", F.coalesce("_hit", F.lit(False)) & ~picked)
+            after = joined.select("doc_id", "seq", "_kind", F.when(F.col("_got"), F.col("_l")).otherwise(F.col("link")).alias("link"), F.when(F.col("_got"), F.col("_m")).otherwise(F.col("method")).alias("method"), (F.col("_got") & ~F.col("_l").eqNullSafe(F.col("link"))).alias("_changed"))
+            after = materialize(after, "links")
+            new, now = after.filter("_changed").select("doc_id", "seq"), after.drop("_changed")
+            if new.isEmpty():
+                return now
         raise RuntimeError(f"links are not final after {rounds} rounds")
-    return parts.drop("link", "method").join(after.select("doc_id", "seq", "link", "method"), ["doc_id", "seq"])
+
+    now = settled(now, None)
+    if choices is not None:
+        entries = known.select(*own).join(now.select("doc_id", "seq", "link"), ["doc_id", "seq"])
+        open_ = known.join(now.filter("_kind = 'supra' and link is null").select("doc_id", "seq"), ["doc_id", "seq"], "left_semi").join(choices.select("doc_id", "seq").distinct(), ["doc_id", "seq"], "left_semi").select("doc_id", "seq", "verbatim")
+        picked = candidates(open_, entries.filter(usable(F.col("link")))).join(choices.select("doc_id", "seq", "rank"), ["doc_id", "seq", "rank"]).select("doc_id", "seq", "link")
+        guarded = note_guard(open_.join(picked, ["doc_id", "seq"]), entries)
+        taken = materialize(guarded.select("doc_id", "seq", F.when(F.col("allowed"), anchored_link(F.col("link"), F.col("verbatim"), F.lit(False))).alias("_l"), F.when(F.col("allowed"), "chosen").otherwise("choice_rejected").alias("_m")), "chosen")
+        now = materialize(now.join(taken, ["doc_id", "seq"], "left").select("doc_id", "seq", "_kind", F.coalesce("_l", "link").alias("link"), F.coalesce("_m", "method").alias("method")), "links")
+        now = settled(now, taken.filter("_l is not null").select("doc_id", "seq"))
+    return parts.drop("link", "method").join(now.select("doc_id", "seq", "link", "method"), ["doc_id", "seq"])

@@ -121,6 +121,17 @@ m AS (SELECT *, CASE WHEN form = 0 THEN CASE WHEN linked THEN 'note_number' ELSE
 SELECT doc_id, seq, CASE WHEN method NOT LIKE 'abstain%' THEN l END AS link, method FROM m"""
 
 
+def ordered_links(spark, sf_dir):
+    """Five customers are a document: a citation, a supra to it with a short form of its own, an ibid to that, a supra by the new short form,
+    and an ibid to that, so that links take three rounds to reach all."""
+    k, d = F.col("c_custkey"), F.expr("c_custkey div 5")
+    form = F.col("c_custkey") % 5
+    verbatim = F.element_at(F.array(_text("R v Able", d, ", 2020 SCC 1"), _text("Able", d, ", supra note 1 at para 7"), _text("Ibid at para 9"), _text("Later", d, ", supra at para 11"), _text("Ibid at para 12")), (form + 1).cast("int"))
+    short = F.when(form == 0, _text("Able", d)).when(form == 1, _text("Later", d)).otherwise("")
+    parts = _table(spark, sf_dir, "customer").select(d.alias("doc_id"), form.alias("seq"), (form + 1).alias("note"), verbatim.alias("verbatim"), short.alias("short_form"), F.when(form == 0, _text("https://a.org/", d, "#par1")).alias("link"))
+    return registry.reference_links(parts).select("doc_id", "seq", F.coalesce("link", F.lit("")).alias("link"), F.coalesce("method", F.lit("")).alias("method"))
+
+
 def note_guard(spark, sf_dir):
     """Links proposed for the same references: the customer's own, but a wrong one for every fourth."""
     asked, entries = _registry(spark, sf_dir)
@@ -388,7 +399,7 @@ def supra_targets(spark, sf_dir):
 
 
 _NAMES = (
-    note_boundaries, note_rules, nested_notes, anchor_places, note_propositions, part_fields, conservative_notes, supra_tiers, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
+    note_boundaries, note_rules, nested_notes, anchor_places, note_propositions, part_fields, conservative_notes, supra_tiers, ordered_links, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
     specific_labels, combined_ranges, identity_lookup, law_datasets, current_laws, journal_filters, page_links, origin_fields, slug_repairs, link_cascade, quotation_manifest, fragment_links, quote_corrections, quote_resolution, made_quote_corrections, made_best_source, made_quote_resolution, supra_targets,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -420,6 +431,8 @@ SELECT id, a.k AS kind, strpos(t, a.v) - 1 AS start, strpos(t, a.v) - 1 + length
     "part_fields": f"WITH {_PARTS} SELECT doc_id, footnote_id, p.i AS part_index, p.kind AS kind, p.f AS fragments, p.s AS short_form, 'complete' AS status FROM p",
     "conservative_notes": "SELECT c_nationkey AS doc_id, c_custkey AS footnote_id, (CASE WHEN c_custkey % 5 = 2 THEN 1 ELSE 2 END)::BIGINT AS parts FROM customer WHERE c_custkey % 5 <> 4",
     "supra_tiers": _SUPRA,
+    "ordered_links": """SELECT c_custkey // 5 AS doc_id, c_custkey % 5 AS seq, 'https://a.org/' || (c_custkey // 5) || CASE c_custkey % 5 WHEN 0 THEN '#par1' WHEN 1 THEN '#par7' WHEN 2 THEN '#par9' WHEN 3 THEN '#par11' ELSE '#par12' END AS link,
+    CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'note_number' WHEN 3 THEN 'exact_sf' ELSE 'previous' END AS method FROM customer""",
     "note_guard": """SELECT c.c_nationkey AS doc_id, c.c_custkey + 1000000000 AS seq, CASE WHEN count(e.c_custkey) = 0 THEN true ELSE coalesce(bool_or(e.c_custkey = c.c_custkey AND c.c_custkey % 4 <> 0), false) END AS allowed
 FROM customer c LEFT JOIN customer e ON e.c_nationkey = c.c_nationkey AND e.c_custkey BETWEEN c.c_custkey - 3 AND c.c_custkey + 3 AND e.c_custkey % 7 <> 0 GROUP BY 1, 2""",
     "fallback_links": """SELECT c_nationkey AS doc_id, c_custkey + 1000000000 AS seq, CASE WHEN c_custkey % 7 <> 0 THEN 'https://a.org/' || c_custkey || '#par1' END AS link,

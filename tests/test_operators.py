@@ -914,3 +914,34 @@ def test_propositions_carry_their_state_over_paragraphs(spark):
         ("a", 1, 7): "", ("a", 2, 24): "It held firm.", ("b", 1, 30): "The duty is owed.", ("b", 2, 40): "So it is.", ("b", 2, 46): None, ("c", 1, 15): "He wrote “one. Two. Three” and left us.", ("c", 2, 38): "“Open once. Closed” here.",
         ("d", 5, 12): "Then more.", ("d", 6, 15): "Open “one. Two.", ("d", 7, 25): "Three” is it"}
     assert structure.propositions(body.limit(0), readers.anchors(body.limit(0))).collect() == []
+
+
+# ---- links in order
+
+
+def test_links_follow_the_order_of_the_document(spark):
+    a, b = "https://a.org/1", "https://b.org/2"
+    rows = [
+        (1, 1, 1, "R v Able, 2020 SCC 1 [Able]", "Able", a), (1, 2, 2, "Able, supra note 1 at para 7 [Later]", "Later", None), (1, 3, 3, "Ibid at para 9", "", None), (1, 4, 4, "Later, supra at para 2", "", None),
+        # a second 'Later' of another document, further down, makes the last of them ambiguous only
+        (1, 5, 5, "R v Baker, 2020 SCC 2 [Later]", "Later", b), (1, 6, 6, "Later, supra at para 3", "", None), (1, 7, 7, "Ibid", "", None), (2, 1, 1, "Able, supra note 1", "", None), (2, 2, 2, "Ibid", "", None),
+        # no word of the hint is in the named note; an entry by part of a word
+        (3, 1, 1, "Workers v Crown, 2001 SCC 3", "", a), (3, 2, 2, "Worker, supra note 9", "", None), (3, 3, 3, "Nobody, supra note 1", "", None)]
+    parts = spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, seq int, note int, verbatim string, short_form string, link string, more string")
+    got = {(r.doc_id, r.seq): (r.link, r.method) for r in reg.reference_links(parts).collect()}
+    assert got == {
+        (1, 1): (a, None), (1, 2): (a + "#par7", "note_number"), (1, 3): (a + "#par9", "previous"), (1, 4): (a + "#par2", "exact_sf"), (1, 5): (b, None), (1, 6): (None, "abstain_ambiguous_exact_sf"), (1, 7): (None, None),
+        (2, 1): (None, "abstain_no_match"), (2, 2): (None, None), (3, 1): (a, None), (3, 2): (a, "token_verb"), (3, 3): (None, "abstain_no_match")}
+    picks = spark.createDataFrame([(1, 6, 1), (2, 1, 1), (1, 2, 1)], "doc_id int, seq int, rank int")
+    chosen = {(r.doc_id, r.seq): (r.link, r.method) for r in reg.reference_links(parts, choices=picks).collect()}
+    first = {r.seq: r.link for r in reg.candidates(parts.filter("doc_id = 1 and seq = 6"), parts.filter("doc_id = 1 and seq < 6").withColumn("link", F.coalesce("link", F.lit(a)))).filter("rank = 1").collect()}
+    assert chosen[1, 6] == (first[6].split("#")[0] + "#par3", "chosen") and chosen[1, 7] == (chosen[1, 6][0], "previous")
+    assert {k: v for k, v in chosen.items() if k not in ((1, 6), (1, 7))} == {k: v for k, v in got.items() if k not in ((1, 6), (1, 7))}
+
+
+def test_a_chain_of_references_takes_a_round_a_link(spark):
+    rows = [(1, 0, 0, "R v Able, 2020 SCC 1 [N0]", "N0", "https://a.org/1")] + [(1, i, i, f"N{i - 1}, supra at para {i} [N{i}]", f"N{i}", None) for i in range(1, 6)]
+    parts = spark.createDataFrame(rows, "doc_id int, seq int, note int, verbatim string, short_form string, link string")
+    assert {r.seq: r.link for r in reg.reference_links(parts, rounds=8).collect()} == {0: "https://a.org/1"} | {i: f"https://a.org/1#par{i}" for i in range(1, 6)}
+    with pytest.raises(RuntimeError):
+        reg.reference_links(parts, rounds=3)
