@@ -113,3 +113,18 @@ def rank_within(df: DataFrame, group: str, hashed: str, ties: list[Column], bits
     if total:
         out = out.withColumn(total, F.col("_total"))
     return out.drop("_bucket", "_before", "_total")
+
+
+def with_copies(rows: DataFrame, digest: str, copy: str = "_copy") -> DataFrame:
+    """rows with a column copy that spreads rows which are alike: 0, but where more than HOT_ROWS rows share a digest it numbers them from 0.
+    With a hash of digest and copy, rows get their places by what they hold, however they lie in files: which of equal rows has which
+    number makes no difference. rows should be a written table."""
+    hot = materialize(rows.groupBy(digest).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS), "copies")
+    found = hot.agg(F.count(F.lit(1)), F.max("_n")).first()
+    if not found[0]:
+        return rows.withColumn(copy, F.lit(0).cast("long"))
+    keys = hot.select(digest)
+    keys = F.broadcast(keys) if found[0] <= BROADCAST_ROWS else keys
+    mine = materialize(rows.join(keys, digest, "left_semi").withColumn("_spread", hash60(F.monotonically_increasing_id())), "copies")
+    ranked = rank_within(mine, digest, "_spread", [], bucket_bits(found[1]), copy).drop("_spread").withColumn(copy, F.col(copy).cast("long"))
+    return rows.join(keys, digest, "left_anti").withColumn(copy, F.lit(0).cast("long")).unionByName(ranked.select(*rows.columns, copy))

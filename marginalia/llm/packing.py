@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from marginalia.llm.common import bucket_bits, hash60, materialize, rank_within, widened
+from marginalia.llm.common import bucket_bits, hash60, materialize, rank_within, widened, with_copies
 from marginalia.llm.words import process_own, slices, small_batches
 
 #: White space that a chunk's encoding could depend on beyond its own characters: runs, and at either end.
@@ -102,21 +103,19 @@ def id_code(tokenizer: str, end: int = 2) -> str:
 
 def cut_pieces(df: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, key: str = "doc_id", text: str = "text", code: str = "<u4") -> DataFrame:
     """Token ids of each row (null text: empty) with the id `end` behind them, cut into pieces of size tokens, of which the first
-    may be shorter: (doc_id, piece, start, length, ids as numbers of the given code, row: a running number of the task, which
-    tells repeated rows apart). Every row has at least one piece, an empty table has none. Whole texts, however long."""
+    may be shorter: (doc_id, piece, start, length, ids as numbers of the given code, row: a hash of the text). Every row has at least one piece, an empty table has none. Whole texts, however long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = process_own(TokenBytes, tokenizer)
         last = np.array([end], dtype="<u4").tobytes()
-        seen = 0
         for batch in slices(batches):
             keys, pieces, starts, lengths, data, rows = [], [], [], [], [], []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(tokens(t or "") + last, dtype="<u4").astype(code)
-                n, seen = len(ids), seen + 1
+                n, row = len(ids), xxhash.xxh3_64_intdigest(t or "") - (1 << 63)
                 cuts = [0, *range(n - (n - 1) // size * size, n, size), n]
                 for i, (a, b) in enumerate(itertools.pairwise(cuts)):
-                    keys.append(doc), pieces.append(i), starts.append(a), lengths.append(b - a), data.append(ids[a:b].tobytes()), rows.append(seen)
+                    keys.append(doc), pieces.append(i), starts.append(a), lengths.append(b - a), data.append(ids[a:b].tobytes()), rows.append(row)
             columns = [pa.array(keys, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(data, pa.binary()), pa.array(rows, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids", "row"])
 
@@ -235,8 +234,9 @@ def assign(pieces: DataFrame, size: int = 1024, seed: int = 3, code: str = "<u4"
     pieces should be materialized, as it is read three times.
 
     Only the histogram (size numbers) is packed on the driver; the table of slots it gives back is bounded by the histogram too.
-    The order within a length is a hash of key, piece and row, so that neither null nor repeated keys fall into one range of it.
-    Repeated rows are pieces of their own; an empty table gives none."""
+    The order within a length is a hash of key, piece and text, so it doesn't depend on files, and neither null nor repeated keys fall into
+    one range of it; pieces that repeat more than a few hundred times are numbered too. Repeated rows are pieces of their own; an empty
+    table gives none."""
     histogram = np.zeros(size + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most size rows
         histogram[row[0]] = row[1]
@@ -250,7 +250,8 @@ def assign(pieces: DataFrame, size: int = 1024, seed: int = 3, code: str = "<u4"
             at += length
         sequences += n
     table = {k: tuple(np.array(c) for c in zip(*v, strict=True)) for k, v in slots.items()}
-    hashed = pieces.withColumn("_hash", hash60(F.lit(seed), F.col("doc_id"), F.col("piece"), F.col("row")))
+    alike = with_copies(pieces.withColumn("_digest", F.xxhash64("doc_id", "piece", "row")), "_digest")
+    hashed = alike.withColumn("_hash", hash60(F.lit(seed), F.col("_digest"), F.col("_copy"))).drop("_digest", "_copy")
     ranked = rank_within(hashed, "length", "_hash", [F.col("doc_id"), F.col("piece"), F.col("row")], bucket_bits(int(histogram.sum())), "_rank").drop("_hash", "row")
     names = [c for c in ranked.columns if c != "_rank"]
 

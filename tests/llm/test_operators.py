@@ -903,3 +903,22 @@ def test_dictionary_equals_plain_python(spark):
     assert {r.word: r.n for r in spelling.dictionary(docs).collect()} == want and len(want) > 10
     assert plain_rows(spelling.spelling_variants(docs)) == brute_variants(want)
     assert spelling.spelling_variants(docs.limit(0)).collect() == []
+
+
+# ---- places by content
+
+
+def test_shards_and_sequences_dont_depend_on_files(spark, tmp_path, monkeypatch):
+    own = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    draw, words = random.Random(21), vocabulary(60, 21)
+    rows = [(i if i % 5 else None, prose(draw, words, draw.randint(0, 30)), None if i % 11 == 0 else f"s{i % 3}") for i in range(400)] + [(7, "the same row", "s1")] * 90 + [(None, None, None)] * 50
+    found, packed = [], []
+    for files in (1, 3, 7):
+        path = str(tmp_path / str(files))
+        spark.createDataFrame(draw.sample(rows, len(rows)), "doc_id long, text string, source string").repartition(files).write.parquet(path)
+        df = spark.read.parquet(path)
+        found.append(sorted(((r.doc_id is None, r.doc_id or 0), r.text or "", r.source or "", r.shard, r.slot) for r in sharding.interleave(df, 8).collect()))
+        packed.append(sorted(((r.doc_id is None, r.doc_id or 0), r.piece, bytes(r.ids), r.sequence_id, r.offset) for r in packing.pack(df, own.path("byte_bpe_50k.json"), size=64).collect()))
+    assert found[0] == found[1] == found[2] and packed[0] == packed[1] == packed[2]
+    assert len({(r[3], r[4]) for r in found[0]}) == len(rows)
