@@ -23,7 +23,7 @@ _BASE32 = _CAPS + "234567"  # fixed: letters of access key ids
 #: What is looked for, in this order; the first kind that takes a stretch of text keeps it. Every pattern starts at a boundary.
 PATTERNS = {
     "email": r"(?<![\w.+\-])[\w.+\-]*\w@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z2-7]{16}(?![A-Za-z0-9])|(?i:token|secret|api[_\-]?key|passwd|password|pwd)[\"']?[ ]?[=:][ ]?[\"']?[^\s\"']{6,}|gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|sk-[A-Za-z0-9]{20,})",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z2-7]{16}(?![A-Za-z0-9])|(?i:aws_secret_access_key|token|secret|api[_\-]?key|passwd|password|pwd)[\"']?[ ]?[=:][ ]?[\"']?[^\s\"']{6,}|gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|xox[abprs]-[A-Za-z0-9\-]{10,}|sk-(?:[a-z]+-)?[A-Za-z0-9_]{20,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9\-/.])(?:[0-9]{4}(?P<sep1>[\-/.])[0-9]{1,2}(?P=sep1)[0-9]{1,2}|[0-9]{1,2}(?P<sep2>[\-/.])[0-9]{1,2}(?P=sep2)[0-9]{4})(?![0-9]|[\-/.][0-9])",
@@ -33,7 +33,7 @@ PATTERNS = {
 }
 _ALL = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
 _KINDS = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
-_DIGIT_GROUP = re.compile("[0-9]+")
+_STRETCH, _GROUP = re.compile(r"[0-9]+(?:[ \-][0-9]+)*"), re.compile("[0-9]+")
 _TOKEN = re.compile(r"[A-Za-z0-9]+")
 #: Digits in groups of a card number: if their check fails they are a mistyped card, and no phone numbers.
 _FOURS = re.compile(r"[0-9]{4}([ \-])[0-9]{4}(?:\1[0-9]{4})*\1[0-9]{1,4}")
@@ -41,7 +41,7 @@ _CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20
 #: One of these stands in every stretch that a pattern can match: a digit, an e-mail's sign, or the name or prefix of a secret, here
 #: without case. Texts without any are left alone at once.
 _MARK = re.compile("[0-9@]")
-_NAMES = ("akia", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "token", "secret", "api", "passwd", "password", "pwd")
+_NAMES = ("akia", "sk-", "xox", "eyj", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "token", "secret", "api", "passwd", "password", "pwd")
 
 
 def possible(text: str) -> bool:
@@ -96,11 +96,51 @@ def _refill(model: str, digits: str) -> str:
     return "".join(next(it) if c.isascii() and c.isdigit() else c for c in model)
 
 
+class Digits:
+    """A stretch of digit groups, one space or hyphen between each, in which cards are looked for: sums of digits, plain and doubled, up to
+    each place, tell in one step whether a run of groups passes the Luhn test."""
+
+    def __init__(self, text: str, start: int):
+        self.text, self.end = text, _STRETCH.match(text, start).end()
+        groups = [(m.start(), m.end()) for m in _GROUP.finditer(text, start, self.end)]
+        self.at = {a: i for i, (a, _) in enumerate(groups)}
+        self.groups, self.before, self.found = groups, [0], {}
+        digits = "".join([text[a:z] for a, z in groups])
+        self.digits = digits
+        for a, z in groups:
+            self.before.append(self.before[-1] + z - a)
+        twice = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
+        # sums[p]: digits at places of parity p plain, the others doubled
+        self.sums = ([0], [0])
+        for i, c in enumerate(map(int, digits)):
+            self.sums[i % 2].append(self.sums[i % 2][-1] + c)
+            self.sums[1 - i % 2].append(self.sums[1 - i % 2][-1] + twice[c])
+
+    def holds(self, start: int) -> bool:
+        return start in self.at
+
+    def cards(self, start: int) -> list[tuple[bool, int]]:
+        if start in self.found:
+            return self.found[start]
+        first, found = self.at[start], []
+        lo = self.before[first]
+        for i in range(first, len(self.groups)):
+            hi, end = self.before[i + 1], self.groups[i][1]
+            if hi - lo > 19:
+                break
+            sums = self.sums[(hi - 1) % 2]
+            if hi - lo >= 13 and (sums[hi] - sums[lo]) % 10 == 0 and len(set(self.digits[lo:hi])) > 1 and not (self.text[end : end + 1] == "." and self.text[end + 1 : end + 2].isdigit()):
+                found.append((tuple(z - a for a, z in self.groups[first : i + 1]) not in _CARD_GROUPS, end))
+        self.found[start] = sorted(found, key=lambda c: (c[0], -c[1]))
+        return self.found[start]
+
+
 class Pseudonyms:
     """Replaces what PATTERNS finds and its check confirms. Equal values, however they are punctuated, get equal digits."""
 
     def __init__(self, key: bytes):
         self.key, self.known = key, {}
+        self.digits: Digits | None = None
 
     def _moved(self, tweak: str, size: int, value: int) -> int:
         found = self.known.get((tweak, size))
@@ -145,7 +185,7 @@ class Pseudonyms:
     def secret(self, s: str) -> str | None:
         if s.startswith("AKIA") and len(s) == 20 and not set(s[4:]) - set(_BASE32):
             return "AKIA" + self._text("akia", s[4:], _BASE32)
-        head = re.match(r"(?:[A-Za-z_\-]+[\"']?[ ]?[=:][ ]?[\"']?|gh[pousr]_|sk-)", s)[0]
+        head = re.match(r"(?:[A-Za-z_\-]+[\"']?[ ]?[=:][ ]?[\"']?|gh[pousr]_|xox[abprs]-|sk-(?:[a-z]+-)?|eyJ)", s)[0]
         value = s[len(head) :]
         if not set(value) - set(_HEX):
             return head + self._text("hex", value, _HEX)
@@ -213,20 +253,12 @@ class Pseudonyms:
         body = self._text("card", digits[:-1], _DIGITS)
         return _refill(s, body + luhn_digit(body))
 
-    def _cards(self, text: str, start: int) -> list[tuple[bool, int, str]]:
-        """The stretches of whole digit groups from start that are valid cards: (grouped otherwise than cards are, end, new),
-        those in a card's groups first, then the longest."""
-        found, groups, digits, at = [], [], 0, start
-        while digits <= 19 and (m := _DIGIT_GROUP.match(text, at)):
-            groups.append(m.end() - at)
-            digits += groups[-1]
-            decimal = text[m.end() : m.end() + 1] == "." and text[m.end() + 1 : m.end() + 2].isdigit()
-            if 13 <= digits <= 19 and not decimal and (new := self.card(text[start : m.end()])) is not None:
-                found.append((tuple(groups) not in _CARD_GROUPS, m.end(), new))
-            if text[m.end() : m.end() + 1] not in (" ", "-"):
-                break
-            at = m.end() + 1
-        return sorted(found, key=lambda c: (c[0], -c[1]))
+    def _cards(self, text: str, start: int) -> list[tuple[bool, int]]:
+        """The stretches of whole digit groups from start that are valid cards: (grouped otherwise than cards are, end), those in a
+        card's groups first, then the longest. What was found at a place is kept as long as the search stays in its stretch of digits."""
+        if self.digits is None or self.digits.text is not text or not self.digits.holds(start):
+            self.digits = Digits(text, start)
+        return self.digits.cards(start)
 
     def _candidate(self, text: str, start: int, kind: str, barred: int) -> tuple[tuple[str, int, int, str] | None, int]:
         """What stands from start on: (kind, start, end, new) of the first kind, from kind on, one of whose stretches passes its
@@ -238,7 +270,7 @@ class Pseudonyms:
             if k == "card":
                 own = self._cards(text, start)
                 if own and not own[0][0]:
-                    return (k, start, *own[0][1:]), 0
+                    return (k, start, own[0][1], self.card(text[start : own[0][1]])), 0
                 # a card in its own groups that begins inside goes before one that only fits by its check digit
                 for group in re.finditer(r"(?<=[ \-])[0-9]+", m[0]):
                     inner = self._cards(text, start + group.start())
@@ -247,13 +279,13 @@ class Pseudonyms:
                         for before in _KINDS["phone"].finditer(text, start, at - 1):
                             if (new := self.phone(before[0])) is not None:
                                 return ("phone", before.start(), before.end(), new), 0
-                        return (k, at, *inner[0][1:]), 0
+                        return (k, at, inner[0][1], self.card(text[at : inner[0][1]])), 0
                 if own and "-" in (held := text[start : own[0][1]]) and " " in held:  # so does a phone number of one mark between others
                     for before in _KINDS["phone"].finditer(text, start, own[0][1]):
                         if len(set(re.sub("[0-9]", "", before[0]))) == 1 and (new := self.phone(before[0])) is not None:
                             return ("phone", before.start(), before.end(), new), 0
                 if own:
-                    return (k, start, *own[0][1:]), 0
+                    return (k, start, own[0][1], self.card(text[start : own[0][1]])), 0
                 if _FOURS.fullmatch(m[0]):
                     barred = max(barred, m.end())
             elif k == "iban":  # the whole stretch, then without its last words
@@ -269,6 +301,7 @@ class Pseudonyms:
         if not possible(text):
             return text, []
         out, at, place, found, pos, barred = [], 0, 0, [], 0, 0
+        self.digits = None
         while m := _ALL.search(text, pos):
             kind = next(k for k in PATTERNS if m[k] is not None)
             hit, mistyped = self._candidate(text, m.start(), kind, barred)

@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -922,3 +923,37 @@ def test_shards_and_sequences_dont_depend_on_files(spark, tmp_path, monkeypatch)
         packed.append(sorted(((r.doc_id is None, r.doc_id or 0), r.piece, bytes(r.ids), r.sequence_id, r.offset) for r in packing.pack(df, own.path("byte_bpe_50k.json"), size=64).collect()))
     assert found[0] == found[1] == found[2] and packed[0] == packed[1] == packed[2]
     assert len({(r[3], r[4]) for r in found[0]}) == len(rows)
+
+
+def test_long_texts_of_digits_take_time_in_proportion():
+    draw = random.Random(22)
+    change, took = pseudonyms.Pseudonyms(b"k"), []
+    for n in (20_000, 80_000):
+        text = " ".join(draw.choice("0123456789") for _ in range(n))
+        began = time.process_time()
+        new, found = change(text)
+        took.append(time.process_time() - began)
+        assert len(new) == len(text) and len(found) > n // 100
+    assert took[1] < 10 * took[0] and took[1] < 20
+
+
+def test_cards_by_sums_are_those_by_the_plain_test():
+    draw = random.Random(23)
+    for _ in range(300):
+        text = "".join(draw.choice("0123456789012345 -") for _ in range(60)).strip(" -").replace("  ", " ").replace("--", "-").replace("- ", "-").replace(" -", " ")
+        if not text[:1].isdigit():
+            continue
+        digits = pseudonyms.Digits(text, 0)
+        for a, _ in digits.groups:
+            want = []
+            for _, z in (g for g in digits.groups if g[0] >= a):
+                plain = re.sub(r"\D", "", text[a:z])
+                if 13 <= len(plain) <= 19 and pseudonyms.luhn_digit(plain[:-1]) == plain[-1] and len(set(plain)) > 1:
+                    want.append(z)
+            assert sorted(z for _, z in digits.cards(a)) == want
+
+
+@pytest.mark.parametrize("secret", ["aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "xoxb-123456789012-abcdefGHIJKL", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N", "sk-proj-abcdEFGH1234567890abcdEFGH"])
+def test_more_kinds_of_secrets(secret):
+    new, found = pseudonyms.Pseudonyms(b"k")(f"a {secret} b")
+    assert [f[0] for f in found] == ["secret"] and len(new) == len(secret) + 4 and secret[-8:] not in new

@@ -4,6 +4,7 @@ import base64
 import binascii
 import hashlib
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -133,3 +134,31 @@ def test_op12_equals_the_library(spark, folder, texts):
         text = texts[r.doc_id].text or ""
         ids = library.encode_ordinary(text)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(text.encode()))
+
+
+def test_op3_by_a_plain_search_of_its_own(spark, folder, texts):
+    """Values found by other patterns and checks than the operator's: each is replaced by one of its format that passes the same check, equal ones
+    by equal ones and different ones by different ones, over all documents."""
+
+    def luhn(s):
+        digits = [int(c) for c in s if c.isdigit()]
+        return sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))) % 10 == 0
+
+    def iban(s):
+        plain = s.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+    ssn = lambda s: s[:3] not in ("000", "666") and s < "900" and s[4:6] != "00" and s[7:] != "0000"
+    kinds = {
+        "card": (r"(?<![\d\-. ])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d]|[ .\-]\d)", luhn), "email": (r"(?<![\w.+\-])[A-Za-z0-9]+(?:[.+\-][A-Za-z0-9]+)*@[a-z0-9\-]+(?:\.[a-z0-9\-]+)+", lambda s: True),
+        "ssn": (r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)", ssn), "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){3,7}(?! ?[A-Za-z0-9])", iban)}
+    maps, seen = defaultdict(dict), Counter()
+    for r in queries.op3_pii_pseudonyms(spark, folder).collect():
+        for kind, (pattern, valid) in kinds.items():
+            old, new = ([m[0] for m in re.finditer(pattern, t or "") if valid(m[0])] for t in (texts[r.doc_id].text, r.text))
+            assert len(old) == len(new), (kind, old, new)
+            for a, b in zip(old, new, strict=True):
+                assert a != b and len(a) == len(b) and [c.isalnum() for c in a] == [c.isalnum() for c in b]
+                assert maps[kind].setdefault(a, b) == b
+                seen[kind] += 1
+    assert seen["email"] >= 3 and all(len(set(m.values())) == len(m) for m in maps.values())
