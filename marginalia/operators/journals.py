@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.references import page_link
 from marginalia.functions.similarity import score, title_ratio
 from marginalia.functions.text import squeezed, words
-from marginalia.sources.shared import small
+from marginalia.sources.shared import materialize, small, spread_join
 
 FLOOR, ACCEPT = 0.50, 0.70  # fixed: similarity that a candidate needs, and that a link needs
 
@@ -31,6 +31,52 @@ def title_candidates(queries: DataFrame, articles: DataFrame, loose: bool = Fals
     return met.filter("_n >= _need").select("query_id", "article_id")
 
 
+def _grams(column: Column, n: int) -> Column:
+    """All different stretches of n characters; a shorter text is one itself."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))), lambda i: F.substring(column, i, F.lit(n))))
+
+
+def containing(pieces: DataFrame, texts: DataFrame, n: int = 3) -> DataFrame:
+    """(piece_id, text_id): the texts (text_id, text) that contain a piece (piece_id, piece), inside words too and whatever the case; blank
+    pieces are in none.
+
+    A piece is looked up by the rarest of its stretches of n characters, by how many texts have each; pieces shorter than n by
+    themselves, in an index of stretches of their length. Only stretches of pieces leave the scan of the texts; places of
+    frequent ones are dealt over tasks, and what is met is compared whole."""
+    asked = pieces.select("piece_id", F.lower("piece").alias("_p")).filter(F.length(F.trim("_p")) > 0)
+    asked = materialize(asked.withColumn("_n", F.least(F.length("_p"), F.lit(n))), "pieces")
+    widths = [r[0] for r in asked.select("_n").distinct().collect()]  # at most n numbers
+    if not widths:
+        return asked.select("piece_id").join(texts.select("text_id"), F.lit(False))
+    own = asked.select("piece_id", "_p", F.explode(F.coalesce(*[F.when(F.col("_n") == w, _grams(F.col("_p"), w)) for w in widths])).alias("gram"))
+    low = texts.select("text_id", F.lower("text").alias("_t")).filter(F.col("_t").isNotNull())
+    held = low.select("text_id", "_t", F.explode(F.flatten(F.array(*[_grams(F.col("_t"), w) for w in widths]))).alias("gram"))
+    counts = held.select("gram").join(small(own.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_many"))
+    # a piece with a stretch that no text has is in none
+    known = own.join(counts, "gram", "left").groupBy("piece_id", "_p").agg(F.min(F.struct(F.coalesce("_many", F.lit(0)).alias("_many"), "gram")).alias("_r")).filter("_r._many > 0")
+    rarest = materialize(known.select("piece_id", "_p", "_r.gram", "_r._many"), "rarest")
+    met = spread_join(held, rarest, "gram", "_many", F.xxhash64("text_id"))
+    return met.filter(F.contains("_t", "_p")).select("piece_id", "text_id").distinct()
+
+
+def like_candidates(queries: DataFrame, articles: DataFrame, loose: bool = False) -> DataFrame:
+    """(query_id, article_id) as title_candidates, but the query's words count inside longer words of the title too: strict, the first three
+    longer words all; loose, one of the first five, in the citation too where the articles have it. Queries without a longer word have
+    none. A strict query is looked up by its longest word, and the others are looked for in what that finds."""
+    keys = F.array_distinct(F.slice(F.filter(words(F.col("title")), lambda w: F.length(w) > 2), 1, 5 if loose else 3))
+    q = queries.select("query_id", keys.alias("_keys")).filter("size(_keys) > 0")
+    own = F.concat_ws("\n", "name_en", "citation_en") if loose and "citation_en" in articles.columns else F.col("name_en")
+    held = articles.select(F.col("article_id").alias("text_id"), own.alias("text"))
+    longest = F.array_max(F.transform("_keys", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = q.select("query_id", "_keys", F.explode("_keys").alias("piece")) if loose else q.select("query_id", "_keys", longest.alias("piece"))
+    once = asked.select("piece").distinct().select(F.col("piece").alias("piece_id"), "piece")  # a word that many queries have is looked up once
+    met = asked.join(containing(once, held).withColumnRenamed("piece_id", "piece"), "piece")
+    if not loose:
+        low = held.select("text_id", F.lower("text").alias("_t"))
+        met = met.filter("size(_keys) = 1").select("query_id", "text_id").unionByName(met.filter("size(_keys) > 1").join(low, "text_id").filter(F.forall("_keys", lambda w: F.contains(F.col("_t"), w))).select("query_id", "text_id"))
+    return met.select("query_id", F.col("text_id").alias("article_id")).distinct()
+
+
 def metadata_fits(year: Column, citation: Column, date: Column, volume: Column, have_volume: Column, issue: Column | None = None, have_issue: Column | None = None, hint: Column | None = None, names: tuple[Column, ...] = ()) -> Column:
     """Whether an article fits what a citation says of it; what the citation lacks fits. Year: within one of the date's, or one of these
     years in the citation. Volume: within one, or its digits in the citation. Issue: within one, or behind a colon in the citation.

@@ -308,6 +308,16 @@ def title_candidates(spark, sf_dir):
     return journals.title_candidates(asked, articles)
 
 
+def title_substrings(spark, sf_dir):
+    """Titles made of cut words (the first without its first letter, the second without its last), looked for inside the words of all names."""
+    (part,) = _read(spark, sf_dir, "part")
+    w = F.split("p_name", " ")
+    cut = F.concat_ws(" ", F.substring(w[0], 2, 100), F.substring(w[1], F.lit(1), F.length(w[1]) - 1))
+    asked = part.select(cut.alias("title")).distinct().select(F.col("title").alias("query_id"), "title")
+    articles = part.select(F.col("p_partkey").alias("article_id"), F.col("p_name").alias("name_en"))
+    return journals.like_candidates(asked, articles)
+
+
 def note_parts(spark, sf_dir):
     """Documents as notes: every text cut into parts, counted by kind."""
     (docs,) = _read(spark, sf_dir, "documents")
@@ -369,7 +379,7 @@ _NAMES = (
     lookup_index_build, exact_lookup_batch, name_citation_self_join, lookup_status, coverage_by_dataset, prefetch_statistics, alias_tails, unique_identity_status, dedupe_by_key, quote_exact_match, quote_block_location, line_block_offsets,
     ngram_candidates, content_overlap, quote_match_score, quote_best_source, verify_quotes, inline_quotes, url_extraction, link_parts, previous_part, chain_origin, chain_pointers, selection_closure, origin_inheritance, registry_tiers, asof_anchor,
     top_candidates, page_map_first, range_scope_join, interval_overlap, global_positions, display_numbering, repeat_suppression, verdict_rollup, verdict_counters, inventory_diff, median_gate, running_cap, id_lists, abbreviated_ranges,
-    plausible_pairs, title_search, title_candidates, note_parts, set_difference, row_positions, json_sections, paragraph_structure, marker_blocks, quote_locations, cited_scope_ranges,
+    plausible_pairs, title_search, title_candidates, title_substrings, note_parts, set_difference, row_positions, json_sections, paragraph_structure, marker_blocks, quote_locations, cited_scope_ranges,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -469,6 +479,9 @@ UNION ALL SELECT path, 'remove' FROM a WHERE path NOT IN (SELECT path FROM b)"""
 SELECT array_to_string(ids, ',') AS ids, count(*) AS n FROM s GROUP BY 1""",
     "abbreviated_ranges": """WITH r AS (SELECT DISTINCT l_partkey AS a, l_quantity::BIGINT AS b FROM lineitem), t AS (SELECT *, (10 ** length(b::VARCHAR))::BIGINT AS s FROM r)
 SELECT a AS first, b AS last, CASE WHEN b >= a THEN b WHEN a - a % s + b >= a THEN a - a % s + b ELSE a - a % s + b + s END AS "end" FROM t""",
+    "title_substrings": f"""WITH q AS (SELECT DISTINCT substr(string_split(p_name, ' ')[1], 2) || ' ' || substr(string_split(p_name, ' ')[2], 1, length(string_split(p_name, ' ')[2]) - 1) AS title FROM part),
+k AS (SELECT title, list_filter({_WORDS.format('title')}, lambda x: length(x) > 2)[1:3] AS k FROM q)
+SELECT title AS query_id, p_partkey AS article_id FROM k JOIN part ON len(k) > 0 AND len(list_filter(k, lambda x: NOT contains(lower(p_name), x))) = 0""",
     "title_candidates": f"""WITH w AS (SELECT p_partkey, list_filter({_WORDS.format('p_name')}, lambda x: length(x) > 2)[1:3] AS k, {_WORDS.format('p_name')} AS w, p_name FROM part), q AS (SELECT min(p_partkey) AS query_id, any_value(list_distinct(k)) AS k FROM w GROUP BY p_name)
 SELECT query_id, p_partkey AS article_id FROM q JOIN w ON len(q.k) > 0 AND list_has_all(w.w, q.k)""",
     "marker_blocks": """WITH t AS (SELECT conv_id, turn, '[' || (turn + 1) || '] ' || replace(text, chr(10), ' ') AS line FROM conversations),

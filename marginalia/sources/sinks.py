@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,15 +87,41 @@ def log_timings(spark: SparkSession, path: str, events: list[tuple[str, float]])
 
 def install(df: DataFrame, root: str, revision: str) -> str:
     """Write a snapshot under its revision and then point to it: every install adds a numbered pointer, and none is ever overwritten,
-    so a reader meets the old snapshot or the new one and never half of one. A revision that is there already, whole, is kept."""
+    so a reader meets the old snapshot or the new one and never half of one. A revision that is there already, whole, is kept.
+    Two writers never take one number: a pointer is a file that is created only if it is not there, and who comes late tries the next."""
     spark = df.sparkSession
-    path, pointers = f"{root}/{revision}", f"{root}/pointers"
+    path = f"{root}/{revision}"
     df.write.mode("overwrite" if not _exists(spark, f"{path}/_SUCCESS") else "ignore").parquet(path)
-    last = _pointers(spark, root).agg(F.max("number")).first()[0] or 0
-    spark.createDataFrame([(last + 1, revision, path)], "number long, revision string, path string").coalesce(1).write.mode("append").json(pointers)
+    number = (_pointers(spark, root).agg(F.max("number")).first()[0] or 0) + 1
+    while not _created(spark, f"{root}/pointers/{number:012d}.json", json.dumps({"number": number, "revision": revision, "path": path}) + "\n"):
+        number += 1
     return path
 
 
+def _created(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a small file if none of its name is there; whether that was so. Hadoop's local file system looks first and creates then, which two
+    writers can do at once, so local files are created by the operating system, which does both in one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    if files.getUri().getScheme() == "file":
+        try:
+            with open(place.toUri().getPath(), "x") as out:
+                out.write(content)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = files.create(place, False)
+    except Py4JJavaError:
+        if files.exists(place):
+            return False
+        raise
+    out.write(bytearray(content.encode()))
+    out.close()
+    return True
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

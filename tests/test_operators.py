@@ -945,3 +945,42 @@ def test_a_chain_of_references_takes_a_round_a_link(spark):
     assert {r.seq: r.link for r in reg.reference_links(parts, rounds=8).collect()} == {0: "https://a.org/1"} | {i: f"https://a.org/1#par{i}" for i in range(1, 6)}
     with pytest.raises(RuntimeError):
         reg.reference_links(parts, rounds=3)
+
+
+# ---- substrings, pointers
+
+
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_pieces_inside_texts_are_those_of_a_plain_search(spark, monkeypatch, rows):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    draw = random.Random(16)
+    texts = [(i, "".join(draw.choice("abcÉ %_ ") for _ in range(draw.randint(0, 40)))) for i in range(150)] + [(150, None), (151, "")]
+    pieces = [(i, "".join(draw.choice("abcé%_ ") for _ in range(draw.randint(1, 6)))) for i in range(200)] + [(200, "  "), (201, ""), (202, None), (203, "aBc")]
+    got = [(r.piece_id, r.text_id) for r in journals.containing(spark.createDataFrame(pieces, "piece_id int, piece string"), spark.createDataFrame(texts, "text_id int, text string")).collect()]
+    want = {(i, j) for i, p in pieces for j, t in texts if p and p.strip() and t and p.lower() in t.lower()}
+    assert set(got) == want and len(got) == len(want) > 200
+    none = spark.createDataFrame([], "piece_id int, piece string")
+    assert journals.containing(none, spark.createDataFrame(texts, "text_id int, text string")).collect() == []
+
+
+def test_cut_words_of_titles(spark):
+    asked = spark.createDataFrame([(1, "aw of ontrac"), (2, "ontrac aw"), (3, "of"), (4, "zzz law"), (5, "2001 law")], "query_id int, title string")
+    articles = spark.createDataFrame([(1, "The Lawyer's Contracts", "(2001) 1 X 1"), (2, "Contract without it", "y"), (3, None, None)], "article_id int, name_en string, citation_en string")
+    assert {tuple(r) for r in journals.like_candidates(asked, articles).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    assert {tuple(r) for r in journals.like_candidates(asked, articles, loose=True).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (4, 1), (5, 1)}
+
+
+def test_two_writers_never_take_one_number(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "snapshots")
+    one = lambda i: sinks.install(spark.createDataFrame([(i,)], "n int"), root, f"r{i}")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(one, range(12)))
+    taken = [r.number for r in sinks._pointers(spark, root).collect()]
+    assert sorted(taken) == list(range(1, 13)) and {r.revision for r in sinks._pointers(spark, root).collect()} == {f"r{i}" for i in range(12)}
+    one(99)
+    assert [r.n for r in sinks.installed(spark, root).collect()] == [99]
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda i: sinks._created(spark, f"{root}/once", str(i)), range(16))) == 1
