@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from marginalia.functions.text import source_text, words
 from marginalia.operators.quotes import cut, line_blocks
@@ -178,22 +178,102 @@ def structures(sources: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, found)
 
 
+#: Fixed: what a line of a provision begins with, and what Roman numerals are worth.
+_CHILD = re.compile(r"^[ \t]*\(([0-9]+(?:\.[0-9]+)?|[A-Za-z](?:\.[0-9]+)?|[ivxlcdmIVXLCDM]+)\)(?=\s|$)", re.MULTILINE)
+_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+
+
+def roman(token: str) -> int | None:
+    """What a Roman numeral is worth; None for other words."""
+    worth = [_ROMAN.get(c, 0) for c in token.lower()]
+    if not worth or 0 in worth:
+        return None
+    return sum(-n if n < max(worth[i:]) else n for i, n in enumerate(worth))
+
+
+class Levels:
+    """Where a label stands among (1), (a), (i) and (A), one below the other: each level counts upwards, and begins anew below the next."""
+
+    def __init__(self) -> None:
+        self.counts: dict[int, tuple[int, ...]] = {}
+        self.labels: dict[int, str] = {}
+
+    def _is_roman(self, token: str, letter: int, number: int, behind: str | None) -> bool:
+        """Whether a letter that is a Roman numeral too counts as one: if it goes on with the numerals, or begins them, and not with the letters. (i)
+        behind (h) can do both: it is a numeral if (ii) follows; so can others, which go with the numerals that are open."""
+        open_ = 3 in self.counts
+        goes_on = number == (self.counts[3][0] if open_ else 0) + 1
+        if 2 not in self.counts:
+            return goes_on and (open_ or (behind or "").lower() == "ii")
+        next_letter = letter == self.counts[2][0] + 1
+        if goes_on != next_letter:
+            return goes_on
+        if goes_on:
+            return open_ or (behind or "").lower() == "ii"
+        return open_ or token.lower() == "i"
+
+    def path(self, token: str, behind: str | None) -> str | None:
+        """The labels above a label and its own; None where it doesn't count upwards and so is no provision's. behind: the label after it."""
+        bare, *suffix = token.split(".")
+        number, letter = roman(bare), ord(bare[0].lower()) - 96
+        if bare.isdigit():
+            level, value = 1, int(bare)
+        elif number is not None and not suffix and (len(bare) > 1 or self._is_roman(bare, letter, number, behind)):
+            level, value = 3, number
+        elif len(bare) > 1:
+            return None
+        else:
+            level, value = (4 if bare.isupper() else 2), letter
+        count = (value, *map(int, suffix))
+        if level in self.counts and count <= self.counts[level]:
+            return None
+        self.counts = {n: c for n, c in self.counts.items() if n < level} | {level: count}
+        self.labels = {n: x for n, x in self.labels.items() if n < level} | {level: f"({token})"}
+        return "".join(self.labels[n] for n in sorted(self.labels))
+
+
+def nested(text: str, label: str = "") -> list[tuple[str, int, int]]:
+    """(path, start, end) of the provisions in a text, each up to the next label at the start of a line; behind label, the text's own, one may
+    stand on its first line too."""
+    found = [(m[1], m.start()) for m in _CHILD.finditer(text)]
+    if label and (m := re.match(rf"[ \t]*{re.escape(label)}\.?[ \t]*(?=\()", text)) and (first := _CHILD.match(text[m.end() :])):
+        found.insert(0, (first[1], m.end()))
+    levels = Levels()
+    out = []
+    for i, (token, start) in enumerate(found):
+        behind, end = found[i + 1] if i + 1 < len(found) else (None, len(text))
+        if (path := levels.path(token, behind)) is not None:
+            out.append((path, start, end))
+    return out
+
+
+_NESTED = ArrayType(StructType([StructField("path", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
+
+
+@F.arrow_udf(_NESTED)
+def nested_paths(text: pa.Array, label: pa.Array) -> pa.Array:
+    """nested of each text with its label; null for a null text."""
+    kind = pa.list_(pa.struct([("path", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    rows = zip(text.to_pylist(), label.to_pylist(), strict=True)
+    return pa.array([None if t is None else [{"path": p, "start": a, "end": z} for p, a, z in nested(t, n or "")] for t, n in rows], kind)
+
+
 def provisions(sources: DataFrame) -> DataFrame:
-    """(doc_id, block, path, text) of the lines of a provision that begin with (1), (a), (i) or (A): path joins the labels above and
-    the line's own, as (1)(a)(ii). A letter that could be a roman numeral is a letter if it follows the last letter."""
-    lines = line_blocks(sources).withColumn("label", F.regexp_extract("text", "^\\s*\\(([0-9]{1,3}|[a-z]{1,5}|[A-Z])\\)", 1)).filter("label <> ''")
-    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    roman = F.col("label").rlike("^[ivxl]+$")
-    letter = F.last(F.when(F.col("label").rlike("^[a-z]$") & (~roman | F.col("label").isin("l")), F.ascii("label")), ignorenulls=True).over(before)
-    follows = (F.length("label") == 1) & (F.ascii("label") - F.coalesce(letter, F.lit(0)) == 1)
-    level = F.when(F.col("label").rlike("^[0-9]"), 1).when(F.col("label").rlike("^[A-Z]$"), 4).when(roman & ~follows, 3).otherwise(2)
-    placed = lines.withColumn("level", level)
-    now = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    for n in (1, 2, 3, 4):
-        placed = placed.withColumn(f"_l{n}", F.last(F.when(F.col("level") == n, F.struct("block", "label")), ignorenulls=True).over(now))
-    higher = lambda n: F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"_l{m}.block"), F.lit(-1)) for m in range(1, n)])
-    part = lambda n: F.when((F.col("level") >= n) & (F.col(f"_l{n}.block") > higher(n)), F.concat(F.lit("("), F.col(f"_l{n}.label"), F.lit(")")))
-    return placed.select("doc_id", "block", F.concat_ws("", *[part(n) for n in (1, 2, 3, 4)]).alias("path"), "text")
+    """(doc_id, block, path, text, start, end) of the lines of a provision that begin with (1), (a), (i) or (A): path joins the labels above
+    and the line's own, as (1)(a)(ii); block and text are the line's, start and end reach to the next label. Labels that don't count upwards
+    are none. A letter that could be a Roman numeral is what goes on with the letters or numerals before it, by what follows it."""
+    each = sources.select("doc_id", F.col("text").alias("_t"), F.inline(nested_paths(F.col("text"), F.lit(""))))
+    before = F.substring("_t", F.lit(1), F.col("start"))
+    line = F.substring_index(F.substring(F.col("_t"), F.col("start") + 1, F.length("_t")), "\n", 1)
+    return each.select("doc_id", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).alias("block"), "path", line.alias("text"), "start", "end")
+
+
+def provision_blocks(laws: DataFrame) -> DataFrame:
+    """(doc_id, label, locator, start, end) of sections (doc_id, label, start, text) and of all provisions in them: sec3, sec3(2), sec3(2)(a)(i)."""
+    found = laws.select("doc_id", "label", "start", F.length("text").alias("_n"), nested_paths(F.col("text"), F.col("label")).alias("_p"))
+    whole = F.array(F.struct(F.lit("").alias("path"), F.lit(0).alias("start"), F.col("_n").alias("end")))
+    each = found.select("doc_id", "label", F.col("start").alias("_at"), F.explode(F.concat(whole, "_p")).alias("_x"))
+    return each.select("doc_id", "label", F.concat(F.lit("sec"), "label", "_x.path").alias("locator"), (F.col("_at") + F.col("_x.start")).cast("long").alias("start"), (F.col("_at") + F.col("_x.end")).cast("long").alias("end"))
 
 
 def sentence_before(text: Column, position: Column) -> Column:

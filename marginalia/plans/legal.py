@@ -86,6 +86,17 @@ def note_propositions(spark, sf_dir):
     return structure.propositions(body, readers.anchors(body)).select("footnote_id", "position", "proposition")
 
 
+def nested_provisions(spark, sf_dir):
+    """A section a customer: letters to (b), one to nine Roman numerals below (b), then letters to (l) at most, of which (c), (d) and (i) are numerals too."""
+    k = F.col("c_custkey")
+    numerals = F.array(*map(F.lit, ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")))
+    letters = F.array(*map(F.lit, "cdefghijkl"))
+    marks = F.concat(F.array(F.lit("1"), F.lit("a"), F.lit("b")), F.slice(numerals, F.lit(1), (k % 9 + 1).cast("int")), F.slice(letters, F.lit(1), (k % 10 + 1).cast("int")))
+    text = F.concat(k.cast("string"), F.lit(" "), F.array_join(F.transform(marks, lambda m: F.concat(F.lit("("), m, F.lit(") words"))), "\n"))
+    laws = _table(spark, sf_dir, "customer").select(k.alias("doc_id"), k.cast("string").alias("label"), F.lit(100).cast("long").alias("start"), text.alias("text"))
+    return structure.provision_blocks(laws).select("doc_id", "locator", "start", "end")
+
+
 def part_fields(spark, sf_dir):
     found = splitting.split_notes(_notes(spark, sf_dir))
     return found.select("doc_id", "footnote_id", "part_index", "kind", F.array_join("fragments", ",").alias("fragments"), "short_form", "status")
@@ -399,7 +410,7 @@ def supra_targets(spark, sf_dir):
 
 
 _NAMES = (
-    note_boundaries, note_rules, nested_notes, anchor_places, note_propositions, part_fields, conservative_notes, supra_tiers, ordered_links, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
+    note_boundaries, note_rules, nested_notes, anchor_places, note_propositions, nested_provisions, part_fields, conservative_notes, supra_tiers, ordered_links, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
     specific_labels, combined_ranges, identity_lookup, law_datasets, current_laws, journal_filters, page_links, origin_fields, slug_repairs, link_cascade, quotation_manifest, fragment_links, quote_corrections, quote_resolution, made_quote_corrections, made_best_source, made_quote_resolution, supra_targets,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -409,6 +420,12 @@ ORACLES = {
     "made_best_source": f"WITH {_MADE} SELECT item_id, item_id AS doc_id, false AS exact, score FROM m WHERE item_id % 3 <> 0",
     "made_quote_resolution": f"""WITH {_MADE} SELECT item_id, item_id // 4 AS doc_id, CASE item_id % 5 WHEN 2 THEN 'alternate' WHEN 3 THEN 'scope_unavailable' WHEN 4 THEN 'uncited' ELSE 'cited' END AS location,
     CASE WHEN item_id % 2 = 0 THEN score ELSE 1.0 END AS score, (item_id % 4 + 1)::VARCHAR AS labels FROM m""",
+    "nested_provisions": """WITH m AS (SELECT c_custkey AS k, list_concat(['(1)', '(1)(a)', '(1)(b)'], list_transform(['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][1:c_custkey % 9 + 1], lambda x: '(1)(b)(' || x || ')'),
+    list_transform(string_split('cdefghijkl', '')[1:c_custkey % 10 + 1], lambda x: '(1)(' || x || ')')) AS p FROM customer),
+e AS (SELECT k, p, i, p[i] AS path, length(regexp_extract(p[i], '\\([a-z0-9]+\\)$')) + 6 AS n FROM m, range(1, 30) t(i) WHERE i <= len(p)),
+o AS (SELECT *, 100 + length(k::VARCHAR || ' ') + coalesce(sum(n + 1) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM e)
+SELECT k AS doc_id, 'sec' || k || path AS locator, start::BIGINT AS start, (start + n + CASE WHEN i < len(p) THEN 1 ELSE 0 END)::BIGINT AS "end" FROM o
+UNION ALL SELECT k, 'sec' || k, 100, max(start + n)::BIGINT FROM o GROUP BY k""",
     "note_propositions": """SELECT c_custkey AS footnote_id, CASE c_custkey % 5 WHEN 0 THEN length('First ' || c_custkey || ' claim. Second claim stands') WHEN 1 THEN length('He said “no duty. It ends here”.') WHEN 2 THEN length('See s. 7 of Act ' || c_custkey || ', it holds.') ELSE length('Last part”, it added') END AS position,
     CASE c_custkey % 5 WHEN 0 THEN 'Second claim stands here.' WHEN 1 THEN 'He said “no duty. It ends here”.' WHEN 2 THEN 'See s. 7 of Act ' || c_custkey || ', it holds.' ELSE 'The panel wrote “first part ' || (c_custkey - 1) || '. Last part”, it added then.' END AS proposition
 FROM customer WHERE c_custkey % 5 <> 3""",

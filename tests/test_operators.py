@@ -984,3 +984,25 @@ def test_two_writers_never_take_one_number(spark, tmp_path):
     assert [r.n for r in sinks.installed(spark, root).collect()] == [99]
     with ThreadPoolExecutor(8) as pool:
         assert sum(pool.map(lambda i: sinks._created(spark, f"{root}/once", str(i)), range(16))) == 1
+
+
+# ---- nested provisions
+
+
+@pytest.mark.parametrize(("marks", "paths"), [
+    ("1 a i ii iii iv v vi b", "1 1a 1ai 1aii 1aiii 1aiv 1av 1avi 1b"), ("1 a b i ii c d", "1 1a 1b 1bi 1bii 1c 1d"), ("1 g h i j", "1 1g 1h 1i 1j"), ("1 g h i ii j", "1 1g 1h 1hi 1hii 1j"), ("a i A B ii A", "a ai aiA aiB aii aiiA"),
+    ("2 a 1 3 b", "2 2a 3 3b"), ("1 a a b", "1 1a 1b"), ("1 1.1 2", "1 1.1 2"), ("u v w", "u v w"), ("i ii iii iv v", "i ii iii iv v"), ("1 a xl", "1 1a 1axl"), ("zz 1", "1"),
+])
+def test_labels_by_what_may_follow(marks, paths):
+    text = "\n".join(f"({m}) words" for m in marks.split())
+    got = ["".join(p).replace("(", "").replace(")", "") for p, _, _ in structure.nested(text)]
+    assert got == paths.split()
+
+
+def test_provisions_of_sections(spark):
+    law = "Duties of the Minister under this enactment.\n(1) Report.\n(2) Publish.\n(a) Public.\n(i) Every year."
+    rows = [(1, "3", 50, law), (1, "4", 900, "4 (1) First\n(2) Second"), (2, "7", 0, "no provisions"), (3, "8", 0, None)]
+    got = {(r.doc_id, r.locator): (r.start, r.end) for r in structure.provision_blocks(spark.createDataFrame(rows, "doc_id int, label string, start long, text string")).collect() if r.start is not None and r.end is not None}
+    assert {k for k in got if k[0] == 1} == {(1, f"sec{x}") for x in ("3", "3(1)", "3(2)", "3(2)(a)", "3(2)(a)(i)", "4", "4(1)", "4(2)")} and got[1, "sec4(1)"] == (902, 912)
+    assert got[1, "sec3"] == (50, 50 + len(law)) and got[1, "sec3(2)(a)(i)"] == (50 + law.index("(i)"), 50 + len(law)) and got[2, "sec7"] == (0, 13)
+    assert [structure.roman(x) for x in ("iv", "IX", "xl", "mcmxc", "a", "")] == [4, 9, 40, 1990, None, None]
