@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import citations, fragments, shortforms
 from marginalia.operators import boundaries, chains, journals, links, lookup, quotes, registry, scopes, sequences, splitting, structure
-from marginalia.sources import readers, sinks
+from marginalia.sources import judgments, readers, sinks
 
 
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,27 @@ def nested_provisions(spark, sf_dir):
     return structure.provision_blocks(laws).select("doc_id", "locator", "start", "end")
 
 
+def judgment_paragraphs(spark, sf_dir):
+    """Judgments of customers: a paragraph with its number, one with a nested one, character data and numeric entities, and one eId twice."""
+    k = F.col("c_custkey")
+    xml = _text(
+        '<a:akomaNtoso xmlns:a="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><a:body><a:paragraph eId="para_', k + 1, '"><a:num>', k + 1, ".</a:num> <a:p>Held &#8220;", F.col("c_name"), "&#8221; &amp; others</a:p>\n</a:paragraph>",
+        '<a:paragraph eId="para_', k + 2, '"><a:num>x</a:num><a:p>Outer <![CDATA[a < b]]></a:p> <a:paragraph eId="para_', k + 2, '__a"><a:num>(a)</a:num> <a:p>inner&#x20;', k, "</a:p></a:paragraph></a:paragraph>",
+        '<a:paragraph eId="twice"><a:p>1</a:p></a:paragraph><a:paragraph eId="twice"><a:p>2</a:p></a:paragraph></a:body></a:akomaNtoso>')
+    table = _table(spark, sf_dir, "customer").select(k.alias("doc_id"), xml.alias("xml"))
+    return judgments.judgment_paragraphs(table).select("doc_id", "eid", F.coalesce("number", F.lit(-1)).alias("number"), "text")
+
+
+def judgment_addresses(spark, sf_dir):
+    """A feed a customer, whose entry has the customer's citation; every third customer has a second page, every fourth another host's."""
+    k = F.col("c_custkey")
+    entry = lambda host, page: _text('<entry><t:identifier type="ukncn">[2020] EWCA Civ ', k, '</t:identifier><link rel="self" href="https://a.org/x"/><link rel="alternate" href="https://', host, "/ewca/", k, page, '"/></entry>')
+    feed = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:t="https://t.org">'), F.when(k % 4 == 0, entry("b.org", "")).otherwise(entry("a.org", "")), F.when(k % 3 == 0, entry("a.org", "/2")).otherwise(""), F.lit("</feed>"))
+    customer = _table(spark, sf_dir, "customer")
+    asked = customer.select(k.alias("id"), _text("[2020]  EWCA Civ ", k).alias("citation"), F.when(k % 2 == 0, k % 50).alias("number"))
+    return judgments.judgment_addresses(asked, customer.select(feed.alias("feed")), "a.org").select("id", F.coalesce("url", F.lit("")).alias("url"))
+
+
 def part_fields(spark, sf_dir):
     found = splitting.split_notes(_notes(spark, sf_dir))
     return found.select("doc_id", "footnote_id", "part_index", "kind", F.array_join("fragments", ",").alias("fragments"), "short_form", "status")
@@ -410,7 +431,7 @@ def supra_targets(spark, sf_dir):
 
 
 _NAMES = (
-    note_boundaries, note_rules, nested_notes, anchor_places, note_propositions, nested_provisions, part_fields, conservative_notes, supra_tiers, ordered_links, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
+    note_boundaries, note_rules, nested_notes, anchor_places, note_propositions, nested_provisions, judgment_paragraphs, judgment_addresses, part_fields, conservative_notes, supra_tiers, ordered_links, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
     specific_labels, combined_ranges, identity_lookup, law_datasets, current_laws, journal_filters, page_links, origin_fields, slug_repairs, link_cascade, quotation_manifest, fragment_links, quote_corrections, quote_resolution, made_quote_corrections, made_best_source, made_quote_resolution, supra_targets,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -426,6 +447,10 @@ e AS (SELECT k, p, i, p[i] AS path, length(regexp_extract(p[i], '\\([a-z0-9]+\\)
 o AS (SELECT *, 100 + length(k::VARCHAR || ' ') + coalesce(sum(n + 1) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM e)
 SELECT k AS doc_id, 'sec' || k || path AS locator, start::BIGINT AS start, (start + n + CASE WHEN i < len(p) THEN 1 ELSE 0 END)::BIGINT AS "end" FROM o
 UNION ALL SELECT k, 'sec' || k, 100, max(start + n)::BIGINT FROM o GROUP BY k""",
+    "judgment_paragraphs": """SELECT c_custkey AS doc_id, p.e AS eid, p.n::INT AS number, p.t AS text FROM (SELECT c_custkey, unnest([{'e': 'para_' || (c_custkey + 1), 'n': c_custkey + 1, 't': 'Held “' || c_name || '” & others'},
+    {'e': 'para_' || (c_custkey + 2), 'n': c_custkey + 2, 't': 'Outer a < b (a) inner ' || c_custkey}, {'e': 'para_' || (c_custkey + 2) || '__a', 'n': -1, 't': 'inner ' || c_custkey}]) AS p FROM customer)""",
+    "judgment_addresses": """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 3 = 0 THEN '' WHEN c_custkey % 4 = 0 AND c_custkey % 3 <> 0 THEN ''
+    ELSE 'https://a.org/ewca/' || c_custkey || CASE WHEN c_custkey % 4 = 0 THEN '/2' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN '#para_' || (c_custkey % 50) ELSE '' END END AS url FROM customer""",
     "note_propositions": """SELECT c_custkey AS footnote_id, CASE c_custkey % 5 WHEN 0 THEN length('First ' || c_custkey || ' claim. Second claim stands') WHEN 1 THEN length('He said “no duty. It ends here”.') WHEN 2 THEN length('See s. 7 of Act ' || c_custkey || ', it holds.') ELSE length('Last part”, it added') END AS position,
     CASE c_custkey % 5 WHEN 0 THEN 'Second claim stands here.' WHEN 1 THEN 'He said “no duty. It ends here”.' WHEN 2 THEN 'See s. 7 of Act ' || c_custkey || ', it holds.' ELSE 'The panel wrote “first part ' || (c_custkey - 1) || '. Last part”, it added then.' END AS proposition
 FROM customer WHERE c_custkey % 5 <> 3""",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import citations, fragments, keys, references, shortforms, similarity, text
 from marginalia.operators import audit, boundaries, chains, inventory, journals, links, lookup, quotes, scopes, sequences, splitting, structure
 from marginalia.operators import registry as reg
-from marginalia.sources import readers, shared, sinks
+from marginalia.sources import judgments, readers, shared, sinks
 
 
 def column(spark, values, f, kind="string"):
@@ -1006,3 +1006,12 @@ def test_provisions_of_sections(spark):
     assert {k for k in got if k[0] == 1} == {(1, f"sec{x}") for x in ("3", "3(1)", "3(2)", "3(2)(a)", "3(2)(a)(i)", "4", "4(1)", "4(2)")} and got[1, "sec4(1)"] == (902, 912)
     assert got[1, "sec3"] == (50, 50 + len(law)) and got[1, "sec3(2)(a)(i)"] == (50 + law.index("(i)"), 50 + len(law)) and got[2, "sec7"] == (0, 13)
     assert [structure.roman(x) for x in ("iv", "IX", "xl", "mcmxc", "a", "")] == [4, 9, 40, 1990, None, None]
+
+
+def test_judgments_and_feeds_that_are_no_xml(spark):
+    table = spark.createDataFrame([(1, None), (2, ""), (3, "<a><b></a>"), (4, '<x><paragraph eId="para_1">a<num>1</num>b<p>c <i>d</i></p>e</paragraph><paragraph>no id</paragraph></x>')], "doc_id int, xml string")
+    assert [tuple(r) for r in judgments.judgment_paragraphs(table).collect()] == [(4, "para_1", 1, "abc de")]
+    feed = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><link rel="alternate" type="{}" href="{}"/><identifier xmlns="n" type="ukncn">[2020] UKSC 1</identifier></entry></feed>'
+    for kind, url, want in (("text/html", "https://A.org/1", "https://A.org/1#para_3"), ("application/pdf", "https://a.org/1", None), ("text/html", "http://a.org/1", None), ("text/html", "https://a.org.evil.com/1", None)):
+        asked = spark.createDataFrame([(1, "[2020] uksc 1", 3)], "id int, citation string, number int")
+        assert judgments.judgment_addresses(asked, spark.createDataFrame([(feed.format(kind, url),), (None,), ("<x",)], "feed string"), "a.org").first().url == want
