@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions import citations, fragments, shortforms
-from marginalia.operators import boundaries, chains, journals, links, lookup, quotes, registry, scopes, sequences, splitting, structure
+from marginalia.functions import citations, fragments, keys, shortforms
+from marginalia.operators import audit, boundaries, chains, journals, links, lookup, quotes, registry, scopes, sequences, splitting, structure
 from marginalia.sources import judgments, readers, sinks
 
 
@@ -118,6 +118,65 @@ def judgment_addresses(spark, sf_dir):
     return judgments.judgment_addresses(asked, customer.select(feed.alias("feed")), "a.org").select("id", F.coalesce("url", F.lit("")).alias("url"))
 
 
+def snapped_parts(spark, sf_dir):
+    """Proposed parts of a note, with other white space than the note's, one that doesn't stand in it, and one that repeats the first."""
+    k = F.col("c_custkey")
+    parts = F.array(_text("Roe", k, ", Law 1"), _text("Doe, Law ", k), F.lit("nothing"), _text("Roe", k, ", Law 1"), F.lit("Poe"))
+    notes = _table(spark, sf_dir, "customer").select(k.alias("id"), _text("Roe", k, ",\tLaw 1; Doe, Law\n", k, ", Roe", k, ", Law 1, Poe").alias("text"), parts.alias("parts"))
+    found = boundaries.snapped(notes).select("id", F.posexplode("snapped").alias("i", "p"))
+    return found.select("id", "i", F.coalesce("p.start", F.lit(-1)).alias("start"), F.coalesce("p.end", F.lit(-1)).alias("end"), F.coalesce("p.verbatim", F.lit("")).alias("verbatim"))
+
+
+def quoted_pages(spark, sf_dir):
+    """Names and brands looked for on the pages of articles made of them, with other white space and case."""
+    part = _table(spark, sf_dir, "part")
+    articles = part.select(F.col("p_partkey").alias("article_id"), _text("front [page 3] words (", F.col("p_name"), ")\nhere. [Page 4] And ", F.col("p_brand"), " there.").alias("text"))
+    asked = part.select(F.col("p_partkey").alias("item_id"), F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("("), F.replace(F.upper("p_name"), F.lit(" "), F.lit("  ")), F.lit(")\there"))).when(F.col("p_size") % 3 == 1, F.col("p_brand")).otherwise("nowhere").alias("quote"))
+    return journals.pages_of_quotes(asked, journals.page_spans(articles)).select("item_id", "label")
+
+
+def rows_by_place(spark, sf_dir):
+    """The rows of files at the places that an index names, and fields that the corpus lacks."""
+    k = F.col("c_custkey")
+    corpus = _table(spark, sf_dir, "customer").select(_text("f", k % 3).alias("path"), F.expr("c_custkey div 3").alias("row"), "c_name")
+    located = _table(spark, sf_dir, "orders").select("o_orderkey", _text("f", F.col("o_custkey") % 4).alias("path"), F.expr("o_custkey div 3").alias("row"))
+    found = lookup.fetch_rows(located, corpus, ("c_name", "missing"))
+    return found.select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("c_name"), F.coalesce("missing", F.lit("")).alias("missing"))
+
+
+def case_locks(spark, sf_dir):
+    """Cases by citation where their court is in the corpus, by alias where only the alias's is, and otherwise not covered."""
+    k = F.col("c_custkey")
+    customer = _table(spark, sf_dir, "customer")
+    corpus = customer.filter(k % 5 > 0).select(F.lit("SCC").alias("dataset"), k.alias("row_id"), _text("2020 SCC ", k).alias("citation_en"))
+    aliases = customer.select(keys.citation_key(_text("2019 XYZ ", k), True).alias("citation_key"), _text("2020 SCC ", k).alias("canonical_citation"))
+    asked = customer.select(k.alias("id"), F.when(k % 3 == 0, _text("2020 SCC ", k)).when(k % 3 == 1, _text("2019 XYZ ", k)).otherwise(_text("2018 ABC ", k)).alias("citation"))
+    return lookup.locked_cases(asked, corpus, aliases).select("id", "method", "status", F.coalesce(F.col("row_id").cast("long"), F.lit(-1)).alias("row_id"))
+
+
+def checked_fragments(spark, sf_dir):
+    """Directives for words that stand once, twice, with context that tells them apart, and over a line's end."""
+    k = F.col("c_custkey")
+    customer = _table(spark, sf_dir, "customer")
+    lines = customer.select(k.alias("doc_id"), F.posexplode(F.array(_text("alpha word ", k, " beta"), _text("gamma word ", k, " delta once"), F.lit("the end"))).alias("block", "text"))
+    word = _text("word ", k)
+    target = F.when(k % 4 == 0, F.lit("once")).when(k % 4 < 3, word).otherwise("once the")
+    named = fragments.directive(F.when(k % 4 == 2, F.lit("alpha")), target, F.lit(""), F.lit(""))
+    return fragments.verified_fragments(customer.select(k.alias("id"), k.alias("doc_id"), named.alias("directive"), target.alias("target")), lines).select("id", "verified")
+
+
+def audited_documents(spark, sf_dir):
+    """Three customers are a document: paragraphs with a note each, a citation, an ibid and a supra by the printed number."""
+    k, d, form = F.col("c_custkey"), F.expr("c_custkey div 3"), F.col("c_custkey") % 3
+    customer = _table(spark, sf_dir, "customer")
+    key = _text("d", d)
+    body = customer.select(key.alias("doc_key"), F.lit("paragraph").alias("part"), form.cast("int").alias("number"), F.lit("").alias("style"), _text("An old one. Claim ", k, " stands.⟦FN:", k + 1, "⟧ More.").alias("text"))
+    note = F.element_at(F.array(_text("R v Able", d, ", 2020 SCC ", k + 1, " [Able", d, "]."), _text("Ibid at para 2."), _text("Able", d, ", supra note 1 at para 9.")), (form + 1).cast("int"))
+    notes = customer.select(key.alias("doc_key"), F.lit("footnote").alias("part"), (k + 1).cast("int").alias("number"), F.lit("").alias("style"), note.alias("text"))
+    rows = audit.audit_rows(body.unionByName(notes))
+    return rows.select("doc_id", "footnote_id", "display", "ref_kind", "origin", "path", "proposition")
+
+
 def part_fields(spark, sf_dir):
     found = splitting.split_notes(_notes(spark, sf_dir))
     return found.select("doc_id", "footnote_id", "part_index", "kind", F.array_join("fragments", ",").alias("fragments"), "short_form", "status")
@@ -431,7 +490,7 @@ def supra_targets(spark, sf_dir):
 
 
 _NAMES = (
-    note_boundaries, note_rules, nested_notes, anchor_places, note_propositions, nested_provisions, judgment_paragraphs, judgment_addresses, part_fields, conservative_notes, supra_tiers, ordered_links, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
+    note_boundaries, note_rules, nested_notes, anchor_places, note_propositions, nested_provisions, judgment_paragraphs, judgment_addresses, snapped_parts, quoted_pages, rows_by_place, case_locks, checked_fragments, audited_documents, part_fields, conservative_notes, supra_tiers, ordered_links, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
     specific_labels, combined_ranges, identity_lookup, law_datasets, current_laws, journal_filters, page_links, origin_fields, slug_repairs, link_cascade, quotation_manifest, fragment_links, quote_corrections, quote_resolution, made_quote_corrections, made_best_source, made_quote_resolution, supra_targets,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -451,6 +510,17 @@ UNION ALL SELECT k, 'sec' || k, 100, max(start + n)::BIGINT FROM o GROUP BY k"""
     {'e': 'para_' || (c_custkey + 2), 'n': c_custkey + 2, 't': 'Outer a < b (a) inner ' || c_custkey}, {'e': 'para_' || (c_custkey + 2) || '__a', 'n': -1, 't': 'inner ' || c_custkey}]) AS p FROM customer)""",
     "judgment_addresses": """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 3 = 0 THEN '' WHEN c_custkey % 4 = 0 AND c_custkey % 3 <> 0 THEN ''
     ELSE 'https://a.org/ewca/' || c_custkey || CASE WHEN c_custkey % 4 = 0 THEN '/2' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN '#para_' || (c_custkey % 50) ELSE '' END END AS url FROM customer""",
+    "snapped_parts": """WITH n AS (SELECT c_custkey AS id, c_custkey::VARCHAR AS k, length(c_custkey::VARCHAR) AS n FROM customer)
+SELECT id, 0 AS i, 0 AS start, 10 + n AS "end", 'Roe' || k || ',' || chr(9) || 'Law 1' AS verbatim FROM n UNION ALL SELECT id, 1, 12 + n, 21 + 2 * n, 'Doe, Law' || chr(10) || k FROM n
+UNION ALL SELECT id, 2, -1, -1, '' FROM n UNION ALL SELECT id, 3, 23 + 2 * n, 33 + 3 * n, 'Roe' || k || ', Law 1' FROM n UNION ALL SELECT id, 4, 35 + 3 * n, 38 + 3 * n, 'Poe' FROM n""",
+    "quoted_pages": "SELECT p_partkey AS item_id, CASE p_size % 3 WHEN 0 THEN '3' ELSE '4' END AS label FROM part WHERE p_size % 3 < 2",
+    "rows_by_place": """SELECT o_orderkey, coalesce(c_name, '') AS c_name, '' AS missing FROM orders LEFT JOIN customer ON c_custkey % 3 = o_custkey % 4 AND c_custkey // 3 = o_custkey // 3""",
+    "case_locks": """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'citation' WHEN 1 THEN 'alias' ELSE 'not_covered' END AS method, CASE WHEN c_custkey % 3 = 2 THEN 'not_covered' WHEN c_custkey % 5 = 0 THEN 'not_found' ELSE 'found' END AS status,
+    CASE WHEN c_custkey % 3 = 2 OR c_custkey % 5 = 0 THEN -1 ELSE c_custkey END AS row_id FROM customer""",
+    "checked_fragments": "SELECT c_custkey AS id, c_custkey % 4 IN (0, 2) AS verified FROM customer",
+    "audited_documents": """WITH c AS (SELECT c_custkey AS k, 'd' || (c_custkey // 3) AS d, c_custkey % 3 AS f, c_custkey - c_custkey % 3 + 1 AS first FROM customer)
+SELECT d AS doc_id, (k + 1)::INT AS footnote_id, (f + 1)::VARCHAR AS display, CASE f WHEN 0 THEN '' WHEN 1 THEN 'IBID' ELSE 'SUPRA' END AS ref_kind, d || '/' || first || '/1' AS origin,
+    CASE f WHEN 0 THEN '' WHEN 1 THEN 'IBID' ELSE 'SUPRA→' || first || ':1' END AS path, 'Claim ' || k || ' stands.' AS proposition FROM c""",
     "note_propositions": """SELECT c_custkey AS footnote_id, CASE c_custkey % 5 WHEN 0 THEN length('First ' || c_custkey || ' claim. Second claim stands') WHEN 1 THEN length('He said “no duty. It ends here”.') WHEN 2 THEN length('See s. 7 of Act ' || c_custkey || ', it holds.') ELSE length('Last part”, it added') END AS position,
     CASE c_custkey % 5 WHEN 0 THEN 'Second claim stands here.' WHEN 1 THEN 'He said “no duty. It ends here”.' WHEN 2 THEN 'See s. 7 of Act ' || c_custkey || ', it holds.' ELSE 'The panel wrote “first part ' || (c_custkey - 1) || '. Last part”, it added then.' END AS proposition
 FROM customer WHERE c_custkey % 5 <> 3""",

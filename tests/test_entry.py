@@ -34,7 +34,8 @@ def test_query_equals_its_sql(spark, db, name):
     if name in ORACLES:
         assert rows(got.toArrow()) == rows(db.execute(ORACLES[name]).to_arrow_table())
     else:
-        assert got.columns and got.count() >= 0
+        # what has no SQL has a test of its own; here it must give rows, but for corrections, as the tables hold no partial quotations
+        assert got.columns and (got.count() > 0 or name == "quote_corrections")
 
 
 def test_title_search_asks_every_part(spark):
