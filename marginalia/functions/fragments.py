@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from marginalia.functions.text import squeezed
-from marginalia.sources.shared import small
+from marginalia.sources.shared import grouped, small
 
-#: Words of context that are tried before and behind a target, in this order.
+#: Fixed: words of context that are tried before and behind a target, in this order; words and characters from which a target is long; words by
+#: which each end of a long one is named.
 WINDOWS = (0, 2, 4, 8, 12, 16, 24, 32)
+LONG_WORDS, LONG_CHARS, BOUNDARY = 30, 220, 5
 
 
 def encoded(column: Column) -> Column:
@@ -34,22 +38,59 @@ def parsed(column: Column) -> Column:
     return F.struct(at(prefix, 1).alias("prefix"), at(target, 1).alias("start"), at(target, 2).alias("end"), at(suffix, 1).alias("suffix"))
 
 
+def _around(line: str, target: str, n: int) -> tuple[str, str]:
+    """Up to n words before the target's first place in a line, and up to n behind it."""
+    at = line.find(target)
+    return " ".join(line[:at].split()[-n:] if n else []), " ".join(line[at + len(target) :].split()[:n])
+
+
+def least_context(lines: list[str], target: str) -> tuple[str, str, str, str] | None:
+    """(prefix, start, end, suffix) of the directive of least context that names one place only, in one line; None where no window does.
+
+    A long target is named by its first and last words, if the first ones stand once with their context and the last ones once behind them;
+    otherwise by all of it. Windows grow until a search through the document finds one place."""
+    whole = "\n".join(lines)
+    held = [line for line in lines if target and target in line]
+    words = target.split()
+    if len(words) > LONG_WORDS or len(target) > LONG_CHARS:
+        start, end = " ".join(words[:BOUNDARY]), " ".join(words[-BOUNDARY:])
+        for n in WINDOWS:
+            for line in held:
+                prefix, _ = _around(line, target, n)
+                if target.count(end) == 1 and len(words) > 2 * BOUNDARY and whole.count(f"{prefix} {start}".strip()) == 1:
+                    return prefix, start, end, ""
+    for n in WINDOWS:
+        for line in held:
+            prefix, suffix = _around(line, target, n)
+            if whole.count(" ".join(x for x in (prefix, target, suffix) if x)) == 1:
+                return prefix, target, "", suffix
+    return None
+
+
+_PARTS = StructType([StructField(n, StringType()) for n in ("prefix", "start", "end", "suffix")])
+
+
+@F.arrow_udf(ArrayType(_PARTS))
+def least_contexts(lines: pa.Array, targets: pa.Array) -> pa.Array:
+    """least_context of each of several targets in the lines of one document."""
+    rows = []
+    for held, asked in zip(lines.to_pylist(), targets.to_pylist(), strict=True):
+        found = [least_context(held, t) for t in asked]
+        rows.append([None if f is None else dict(zip(_PARTS.fieldNames(), f, strict=True)) for f in found])
+    return pa.array(rows, pa.list_(pa.struct([(n, pa.string()) for n in _PARTS.fieldNames()])))
+
+
 def unique_fragments(targets: DataFrame, lines: DataFrame) -> DataFrame:
     """targets (id, doc_id, target) with the directive of least context that names one place only, in one line of lines (doc_id,
-    block, text); null where no window does. Context is taken from the line, so a directive never reaches over its end."""
-    flat = lines.select("doc_id", "block", squeezed(F.col("text")).alias("_t"))
-    met = flat.join(small(targets.select("id", "doc_id", squeezed(F.col("target")).alias("_x"))), "doc_id").filter((F.length("_x") > 0) & F.contains("_t", "_x"))
-    at = F.instr(F.col("_t"), F.col("_x"))
-    around = met.withColumn("_b", F.rtrim(F.substring("_t", F.lit(1), at - 1))).withColumn("_a", F.ltrim(F.substring(F.col("_t"), at + F.length("_x"), F.length("_t"))))
-    last = lambda c, n: F.lit("") if not n else F.regexp_extract(c, f"((?:\\S+\\s+){{0,{n - 1}}}\\S+)$", 1)
-    first = lambda c, n: F.lit("") if not n else F.regexp_extract(c, f"^(\\S+(?:\\s+\\S+){{0,{n - 1}}})", 1)
-    tries = F.array(*[F.struct(F.lit(i).alias("w"), last(F.col("_b"), n).alias("p"), first(F.col("_a"), n).alias("s")) for i, n in enumerate(WINDOWS)])
-    each = around.select("id", "doc_id", "block", "_x", F.explode(tries).alias("z")).select("id", "doc_id", "block", "_x", "z.*")
-    needle = F.concat_ws(" ", F.nullif("p", F.lit("")), "_x", F.nullif("s", F.lit("")))
-    asked = each.withColumn("_n", needle).distinct()
-    places = asked.join(flat.select("doc_id", F.col("_t").alias("_line")), "doc_id").groupBy("id", "block", "w", "_x", "p", "s").agg(F.sum((F.length("_line") - F.length(F.replace(F.col("_line"), F.col("_n"), F.lit("")))) / F.length("_n")).alias("_k"))
-    best = places.filter("_k = 1").groupBy("id").agg(F.min(F.struct("w", "block", "p", "s")).alias("m")).select("id", "m.p", "m.s")
-    return targets.join(best, "id", "left").withColumn("directive", F.when(F.col("p").isNotNull(), directive(F.col("p"), F.col("target"), F.lit(""), F.col("s")))).drop("p", "s")
+    block, text); null where no window does. Context is taken from the line, so a directive never reaches over its end. The lines of a
+    document are met once for many targets."""
+    asked = targets.select(F.col("id").alias("item_id"), "doc_id", squeezed(F.col("target")).alias("_x"))
+    named = lines.join(small(asked.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.struct("block", squeezed(F.col("text")).alias("t")).alias("_l"))
+    whole = named.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("_l")), lambda x: x["t"]).alias("_lines"))
+    met = grouped(asked, asked.select("item_id", "_x"), whole)
+    found = met.select("asked", least_contexts(F.col("_lines"), F.transform("asked", lambda x: x["_x"])).alias("_f"))
+    best = found.select(F.inline(F.zip_with("asked", "_f", lambda x, f: F.struct(x["item_id"].alias("id"), f.alias("_p"))))).filter("_p is not null")
+    return targets.join(best, "id", "left").withColumn("directive", F.when(F.col("_p").isNotNull(), directive(F.col("_p.prefix"), F.col("_p.start"), F.col("_p.end"), F.col("_p.suffix")))).drop("_p")
 
 
 def verified_fragments(links: DataFrame, lines: DataFrame) -> DataFrame:

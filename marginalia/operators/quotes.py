@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from marginalia.functions import similarity, text
-from marginalia.sources.shared import materialize, small, spread_join
+from marginalia.sources.shared import grouped, materialize, small, spread_join
 
-#: Quotations that meet a source in one row.
-TOGETHER = 64
 MINIMUM, STRONG, MARGIN = 0.60, 0.98, 0.10  # fixed: thresholds of partial matches, of matches, and between a best and a second
 
 
@@ -75,16 +73,6 @@ def plausible_pairs(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     return met.select("doc_id", F.explode(F.transform(fits, lambda x: x["item_id"])).alias("item_id")).select("item_id", "doc_id")
 
 
-def grouped(pairs: DataFrame, quotes: DataFrame, sources: DataFrame, most: int = TOGETHER) -> DataFrame:
-    """Each source that pairs (item_id, doc_id) name, with asked, an array of the rows of quotes that are asked of it: about `most` in a row at
-    most, so that a source is met once for many quotations, and no task holds all of a source that everything quotes."""
-    met = materialize(pairs.select("item_id", "doc_id").distinct().join(small(quotes), "item_id"), "met")
-    many = met.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_of"))
-    dealt = met.join(small(many), "doc_id").withColumn("_g", F.pmod(F.xxhash64("item_id"), F.col("_of")))
-    rows = dealt.groupBy("doc_id", "_g").agg(F.collect_list(F.struct(*quotes.columns)).alias("asked")).drop("_g")
-    return sources.join(small(rows, 10_000), "doc_id")
-
-
 def exact_matches(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """(item_id, doc_id): sources that contain a quotation, both in comparable form.
 
@@ -191,7 +179,7 @@ def locate(matches: DataFrame, quotes: DataFrame, blocks: DataFrame) -> DataFram
 def scored(pairs: DataFrame, quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """pairs (item_id, doc_id) with exact and score; partial matches below MINIMUM or without enough shared content are dropped.
     Exact pairs and implausible ones never reach the alignment, which sees whole sources (long ones around anchor phrases). A source is
-    normalised once, and handed over with up to TOGETHER quotations at once."""
+    normalised once, and handed over with many quotations at once."""
     q = quotes.select("item_id", F.col("text").alias("_q"), text.comparable(F.col("text")).alias("_c"), text.content_words(F.col("text")).alias("_w"))
     named = sources.join(small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
     d = named.select("doc_id", F.col("text").alias("_t"), text.comparable(F.col("text")).alias("_d"), text.content_words(F.col("text")).alias("_v"))

@@ -414,6 +414,18 @@ def fragment_links(spark, sf_dir):
     return fragments.unique_fragments(targets, lines).select("id", "directive")
 
 
+def made_fragments(spark, sf_dir):
+    """Links to words that stand once, to words that their neighbours tell apart, and to a long passage by its ends."""
+    k = F.col("c_custkey")
+    long = _text("begin ", k, " of it now ", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " "), " and here it ends")
+    customer = _table(spark, sf_dir, "customer")
+    lines = customer.select(k.alias("doc_id"), F.posexplode(F.array(_text("alpha  word ", k, " beta"), _text("gamma word ", k, " delta once"), F.concat(F.lit("so "), long, F.lit(" indeed")))).alias("block", "text"))
+    target = F.when(k % 4 == 0, F.lit("once")).when(k % 4 == 1, _text("word ", k)).when(k % 4 == 2, long).otherwise("nowhere")
+    found = fragments.unique_fragments(customer.select(k.alias("id"), k.alias("doc_id"), target.alias("target")), lines)
+    checked = fragments.verified_fragments(found.filter("directive is not null").select("id", "doc_id", "directive", "target"), lines).select("id", "verified")
+    return found.join(checked, "id", "left").select("id", F.coalesce("directive", F.lit("")).alias("directive"), F.coalesce("verified", F.lit(False)).alias("verified"))
+
+
 def quote_corrections(spark, sf_dir):
     """Partial matches shown with the words of their sources."""
     passages, docs = _table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents")
@@ -491,7 +503,7 @@ def supra_targets(spark, sf_dir):
 
 _NAMES = (
     note_boundaries, note_rules, nested_notes, anchor_places, note_propositions, nested_provisions, judgment_paragraphs, judgment_addresses, snapped_parts, quoted_pages, rows_by_place, case_locks, checked_fragments, audited_documents, part_fields, conservative_notes, supra_tiers, ordered_links, note_guard, fallback_links, inferred_forms, chain_paths, deep_closure, provision_ranges, section_structure, page_structure, provision_paths, section_maps, cited_sections,
-    specific_labels, combined_ranges, identity_lookup, law_datasets, current_laws, journal_filters, page_links, origin_fields, slug_repairs, link_cascade, quotation_manifest, fragment_links, quote_corrections, quote_resolution, made_quote_corrections, made_best_source, made_quote_resolution, supra_targets,
+    specific_labels, combined_ranges, identity_lookup, law_datasets, current_laws, journal_filters, page_links, origin_fields, slug_repairs, link_cascade, quotation_manifest, fragment_links, made_fragments, quote_corrections, quote_resolution, made_quote_corrections, made_best_source, made_quote_resolution, supra_targets,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -521,6 +533,8 @@ UNION ALL SELECT id, 2, -1, -1, '' FROM n UNION ALL SELECT id, 3, 23 + 2 * n, 33
     "audited_documents": """WITH c AS (SELECT c_custkey AS k, 'd' || (c_custkey // 3) AS d, c_custkey % 3 AS f, c_custkey - c_custkey % 3 + 1 AS first FROM customer)
 SELECT d AS doc_id, (k + 1)::INT AS footnote_id, (f + 1)::VARCHAR AS display, CASE f WHEN 0 THEN '' WHEN 1 THEN 'IBID' ELSE 'SUPRA' END AS ref_kind, d || '/' || first || '/1' AS origin,
     CASE f WHEN 0 THEN '' WHEN 1 THEN 'IBID' ELSE 'SUPRA→' || first || ':1' END AS path, 'Claim ' || k || ' stands.' AS proposition FROM c""",
+    "made_fragments": """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '#:~:text=once' WHEN 1 THEN '#:~:text=alpha-,word%20' || c_custkey || ',-beta'
+    WHEN 2 THEN '#:~:text=begin%20' || c_custkey || '%20of%20it%20now,w40%20and%20here%20it%20ends' ELSE '' END AS directive, c_custkey % 4 <> 3 AS verified FROM customer""",
     "note_propositions": """SELECT c_custkey AS footnote_id, CASE c_custkey % 5 WHEN 0 THEN length('First ' || c_custkey || ' claim. Second claim stands') WHEN 1 THEN length('He said “no duty. It ends here”.') WHEN 2 THEN length('See s. 7 of Act ' || c_custkey || ', it holds.') ELSE length('Last part”, it added') END AS position,
     CASE c_custkey % 5 WHEN 0 THEN 'Second claim stands here.' WHEN 1 THEN 'He said “no duty. It ends here”.' WHEN 2 THEN 'See s. 7 of Act ' || c_custkey || ', it holds.' ELSE 'The panel wrote “first part ' || (c_custkey - 1) || '. Last part”, it added then.' END AS proposition
 FROM customer WHERE c_custkey % 5 <> 3""",

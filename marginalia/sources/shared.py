@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Rows of a key from which a join spreads it over several tasks.
 HOT_ROWS = 500
+#: Rows that meet a document in one row.
+TOGETHER = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,3 +55,14 @@ def spread_join(big: DataFrame, asked: DataFrame, key: str, many: str, salt: Col
     dealt = dealt.withColumn("_salt", F.pmod(salt, salts).cast("int")).drop("_salts")
     spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts", many)
     return dealt.join(spread, [key, "_salt"]).drop("_salt")
+
+
+def grouped(pairs: DataFrame, items: DataFrame, documents: DataFrame, most: int = TOGETHER) -> DataFrame:
+    """Each of documents (doc_id and others) that pairs (item_id, doc_id) name, with asked, an array of the rows of items (item_id and others)
+    that are asked of it: about `most` in a row, so that a document is met once for many items, and no task holds all that are asked of
+    one."""
+    met = materialize(pairs.select("item_id", "doc_id").distinct().join(small(items), "item_id"), "met")
+    many = met.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_of"))
+    dealt = met.join(small(many), "doc_id").withColumn("_g", F.pmod(F.xxhash64("item_id"), F.col("_of")))
+    rows = dealt.groupBy("doc_id", "_g").agg(F.collect_list(F.struct(*items.columns)).alias("asked")).drop("_g")
+    return documents.join(small(rows, 10_000), "doc_id")

@@ -1015,3 +1015,22 @@ def test_judgments_and_feeds_that_are_no_xml(spark):
     for kind, url, want in (("text/html", "https://A.org/1", "https://A.org/1#para_3"), ("application/pdf", "https://a.org/1", None), ("text/html", "http://a.org/1", None), ("text/html", "https://a.org.evil.com/1", None)):
         asked = spark.createDataFrame([(1, "[2020] uksc 1", 3)], "id int, citation string, number int")
         assert judgments.judgment_addresses(asked, spark.createDataFrame([(feed.format(kind, url),), (None,), ("<x",)], "feed string"), "a.org").first().url == want
+
+
+# ---- fragments
+
+
+def test_least_contexts_are_unique_and_no_smaller_ones_are():
+    draw = random.Random(17)
+    for _ in range(400):
+        lines = [" ".join(draw.choice(["ab", "b", "abc", "c"]) for _ in range(draw.randint(0, 12))) for _ in range(4)]
+        target = draw.choice([" ".join(draw.choice(["ab", "b", "c"]) for _ in range(draw.randint(1, 3))), "b a", "zz"])
+        found = fragments.least_context(lines, target)
+        places = lambda p, s: sum(line.count(" ".join(x for x in (p, target, s) if x)) for line in lines)
+        tried = [(n, fragments._around(line, target, n)) for n in fragments.WINDOWS for line in lines if target in line]
+        unique = [around for _, around in tried if places(*around) == 1]
+        assert (found[0], found[3]) == unique[0] if unique else found is None
+    long = " ".join(f"w{i}" for i in range(35))
+    assert fragments.least_context([f"a {long} b"], long) == ("", "w0 w1 w2 w3 w4", "w30 w31 w32 w33 w34", "")
+    assert fragments.least_context([f"a {long} b", "x w0 w1 w2 w3 w4 y"], long) == ("a", "w0 w1 w2 w3 w4", "w30 w31 w32 w33 w34", "")
+    assert fragments.least_context([], "a") is None and fragments.least_context(["a"], "") is None
