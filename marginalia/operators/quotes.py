@@ -176,22 +176,36 @@ def locate(matches: DataFrame, quotes: DataFrame, blocks: DataFrame) -> DataFram
     return hits.withColumn("span", F.when(has("_one"), 1).when(has("_two") & ~has("_second"), 2)).filter("span is not null").select("item_id", "doc_id", "block", "span")
 
 
+def asked_texts(quotes: DataFrame, quote: str = "text") -> DataFrame:
+    """(item_id, _q, _c, _w): quotations as judged compares them: as they are, in comparable form, and their content words."""
+    return quotes.select("item_id", F.col(quote).alias("_q"), text.comparable(F.col(quote)).alias("_c"), text.content_words(F.col(quote)).alias("_w"))
+
+
+def held_texts(sources: DataFrame, *keep: str) -> DataFrame:
+    """keep, and _t, _d, _v: texts as judged compares them, each normalised once."""
+    return sources.select(*keep, F.col("text").alias("_t"), text.comparable(F.col("text")).alias("_d"), text.content_words(F.col("text")).alias("_v"))
+
+
+def judged(met: DataFrame, *keep: str, plausible: bool = True) -> DataFrame:
+    """keep, item_id, exact and score of what grouped brought together (held_texts with asked_texts): 1 where the text contains the quotation, else
+    the matched share. Implausible pairs are dropped unless plausible is false. Only inexact ones reach the alignment."""
+    judge = lambda x: F.struct(x["item_id"].alias("item_id"), x["_q"].alias("_q"), F.coalesce(text.contained(x["_c"], F.col("_d")), F.lit(False)).alias("exact"), text.shares_enough(x["_w"], F.col("_v")).alias("_some"))
+    split = met.select(*keep, "_t", F.transform("asked", judge).alias("_j"))
+    open_ = F.filter("_j", lambda x: ~x["exact"] & (x["_some"] | F.lit(not plausible)))
+    split = split.select(*keep, "_t", F.filter("_j", lambda x: x["exact"]).alias("_exact"), open_.alias("_open"))
+    some = F.size("_open") > 0
+    aligned = split.withColumn("_s", similarity.match_scores(F.when(some, F.col("_t")), F.when(some, F.transform("_open", lambda x: x["_q"]))))
+    row = lambda x, exact, score: F.struct(x["item_id"].alias("item_id"), F.lit(exact).alias("exact"), score.alias("score"))
+    whole = F.transform("_exact", lambda x: row(x, True, F.lit(1.0)))
+    return aligned.select(*keep, F.inline(F.concat(whole, F.coalesce(F.zip_with("_open", "_s", lambda x, y: row(x, False, y)), F.slice(whole, 1, 0)))))
+
+
 def scored(pairs: DataFrame, quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """pairs (item_id, doc_id) with exact and score; partial matches below MINIMUM or without enough shared content are dropped.
     Exact pairs and implausible ones never reach the alignment, which sees whole sources (long ones around anchor phrases). A source is
     normalised once, and handed over with many quotations at once."""
-    q = quotes.select("item_id", F.col("text").alias("_q"), text.comparable(F.col("text")).alias("_c"), text.content_words(F.col("text")).alias("_w"))
     named = sources.join(small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
-    d = named.select("doc_id", F.col("text").alias("_t"), text.comparable(F.col("text")).alias("_d"), text.content_words(F.col("text")).alias("_v"))
-    judge = lambda x: F.struct(x["item_id"].alias("item_id"), x["_q"].alias("_q"), text.contained(x["_c"], F.col("_d")).alias("exact"), text.shares_enough(x["_w"], F.col("_v")).alias("_some"))
-    judged = grouped(pairs, q, d).select("doc_id", "_t", F.transform("asked", judge).alias("_j"))
-    split = judged.select("doc_id", "_t", F.filter("_j", lambda x: x["exact"]).alias("_exact"), F.filter("_j", lambda x: ~x["exact"] & x["_some"]).alias("_open"))
-    texts = F.transform("_open", lambda x: x["_q"])
-    some = F.size("_open") > 0
-    aligned = split.withColumn("_s", similarity.match_scores(F.when(some, F.col("_t")), F.when(some, texts)))
-    row = lambda x, exact, score: F.struct(x["item_id"].alias("item_id"), F.lit(exact).alias("exact"), score.alias("score"))
-    partial = F.coalesce(F.zip_with("_open", "_s", lambda x, y: row(x, False, y)), F.array().cast(f"array<struct<item_id: {dict(quotes.dtypes)['item_id']}, exact: boolean, score: double>>"))
-    out = aligned.select("doc_id", F.inline(F.concat(F.transform("_exact", lambda x: row(x, True, F.lit(1.0))), partial)))
+    out = judged(grouped(pairs, asked_texts(quotes), held_texts(named, "doc_id")), "doc_id")
     return out.filter(F.col("score") >= MINIMUM).select("item_id", "doc_id", "exact", F.round("score", 6).alias("score"))
 
 

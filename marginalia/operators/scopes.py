@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from marginalia.functions import text
 from marginalia.functions.references import range_end
 from marginalia.functions.similarity import score
-from marginalia.sources.shared import materialize
+from marginalia.operators.quotes import asked_texts, held_texts, judged
+from marginalia.sources.shared import grouped, materialize, small
 
 _LIST = "([0-9]+(?:\\s*(?:[-–—,]|and|to)\\s*[0-9]+)*)"
 
@@ -140,20 +141,23 @@ def resolve_scored(asked: DataFrame, blocks: DataFrame, sources: DataFrame, mini
     of at least minimum; else the best other block if it is alone or ahead of the second by margin. Labels of quotations of fewer than
     least_words words are given only if the source has it once. What no block has is scored against the whole source
     (the same with _document), and is unmatched below minimum, with that score."""
-    q = asked.select("item_id", "doc_id", "quote", "ranges")
-    whole = q.join(sources.select("doc_id", F.col("text").alias("_all")), "doc_id", "left")
-    ranges = q.filter(F.size("ranges") > 0).select("item_id", "doc_id", F.explode("ranges").alias("r")).filter("r.high > r.low").select("item_id", "doc_id", "r.low", "r.high")
+    by = ["item_id", "doc_id"]
+    q = asked.select(*by, "quote", "ranges")
+    pair = F.struct(*by).alias("item_id")  # ranges are a pair's own, so pairs are what is asked
+    wanted = asked_texts(q.select(pair, "quote"), "quote")
+    pairs = q.select(pair, "doc_id")
+    named = lambda df: df.join(small(q.select("doc_id").distinct()), "doc_id", "left_semi")
+    alone = judged(grouped(pairs, wanted, held_texts(named(blocks), "doc_id", "number")), "number")
+    alone = alone.select("item_id.*", "number", F.col("number").alias("_to"), "score", F.col("exact").alias("_exact"))
+    ranges = q.filter(F.size("ranges") > 0).select(*by, F.explode("ranges").alias("r")).filter("r.high > r.low").select(*by, "r.low", "r.high")
     inside = blocks.join(ranges, "doc_id").filter("number between low and high")
-    spans = inside.groupBy("item_id", "doc_id", "low", "high").agg(F.array_sort(F.collect_list(F.struct("number", "text"))).alias("_m")).filter("size(_m) = high - low + 1")
-    spans = spans.select("item_id", "doc_id", F.col("low").alias("number"), F.col("high").alias("_to"), F.array_join(F.transform("_m", lambda m: m["text"]), "\n").alias("text"))
-    single = q.select("item_id", "doc_id").join(blocks.select("doc_id", "number", F.col("number").alias("_to"), "text"), "doc_id")
-    pairs = single.unionByName(spans.select(*single.columns)).join(q, ["item_id", "doc_id"])
+    spans = inside.groupBy(*by, "low", "high").agg(F.array_sort(F.collect_list(F.struct("number", "text"))).alias("_m")).filter("size(_m) = high - low + 1")
+    spans = spans.select(*by, F.col("low").alias("number"), F.col("high").alias("_to"), F.array_join(F.transform("_m", lambda m: m["text"]), "\n").alias("text")).join(q, by)
     exact = text.contained(text.comparable(F.col("quote")), text.comparable(F.col("text")))
-    pairs = pairs.withColumn("_exact", exact).filter(F.col("_exact") | text.plausible(F.col("quote"), F.col("text")))
-    scored = pairs.withColumn("score", score(F.col("text"), F.col("quote"), F.col("_exact"))).filter(F.col("score") >= minimum)
-    scored = scored.select("item_id", "doc_id", "number", "_to", "score", "_exact", (in_scope(F.col("number"), F.col("ranges")) | (F.col("_to") > F.col("number"))).alias("_cited"), (F.col("_to") > F.col("number")).alias("_wide"))
+    wide = spans.withColumn("_exact", exact).filter(F.col("_exact") | text.plausible(F.col("quote"), F.col("text"))).withColumn("score", score(F.col("text"), F.col("quote"), F.col("_exact")))
+    both = alone.unionByName(wide.select(*alone.columns)).filter(F.col("score") >= minimum).join(q.select(*by, "ranges"), by)
+    scored = both.select(*by, "number", "_to", "score", "_exact", (in_scope(F.col("number"), F.col("ranges")) | (F.col("_to") > F.col("number"))).alias("_cited"), (F.col("_to") > F.col("number")).alias("_wide"))
     scored = materialize(scored, "scored")
-    by = ["item_id", "doc_id"]
     high = scored.filter((F.col("score") >= strong) & F.col("_cited"))
     best = high.groupBy(*by).agg(F.max(F.when(F.col("_wide"), F.col("score"))).alias("_w"), F.max(F.when(~F.col("_wide"), F.col("score"))).alias("_s"), F.coalesce(F.bool_or(F.col("_exact") & ~F.col("_wide")), F.lit(False)).alias("_has"))
     narrow = F.col("_w").isNull() | F.coalesce(F.col("_has") | (F.col("_s") >= F.col("_w")), F.lit(False))
@@ -170,15 +174,18 @@ def resolve_scored(asked: DataFrame, blocks: DataFrame, sources: DataFrame, mini
     label = F.when(F.col("_wide"), F.concat_ws("–", F.col("number").cast("string"), F.col("_to").cast("string"))).otherwise(F.col("number").cast("string"))
     found = chosen.withColumn("_l", label).groupBy(*by).agg(F.min("_rule").alias("_rule"), F.max("score").alias("_score"), F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "number", "_l"))).alias("_labels"))
     available = blocks.join(q.select(*by, F.explode("ranges").alias("r")), "doc_id").filter("number between r.low and r.high").select(*by).distinct().withColumn("_available", F.lit(True))
-    joined = whole.join(found, by, "left").join(available, by, "left")
+    found = materialize(found, "found")
+    lacking = q.join(found, by, "left_anti")
+    in_all = judged(grouped(lacking.select(pair, "doc_id"), wanted, held_texts(named(sources), "doc_id")), plausible=False).select("item_id.*", F.coalesce("score", F.lit(0.0)).alias("_all_score"))
+    # few words may stand in the source more than once: only those are counted
+    few = found.filter(F.col("_rule").isin(2, 4)).join(q.filter(F.size(text.words(F.col("quote"))) < least_words), by)
+    times = few.join(sources.select("doc_id", F.col("text").alias("_all")), "doc_id", "left").select(*by, text.occurrences(text.comparable(F.col("quote")), text.comparable(F.col("_all"))).alias("_times"), F.lit(True).alias("_few"))
+    joined = q.join(found, by, "left").join(available, by, "left").join(in_all, by, "left").join(times, by, "left")
     missing = F.col("_rule").isNull()
-    inside_all = text.contained(text.comparable(F.col("quote")), text.comparable(F.col("_all")))
-    all_score = F.coalesce(score(F.when(missing, F.col("_all")), F.when(missing, F.col("quote")), F.coalesce(inside_all, F.lit(False))), F.lit(0.0))
-    joined = joined.withColumn("_doc", F.when(missing, all_score))
+    joined = joined.withColumn("_doc", F.when(missing, F.coalesce("_all_score", F.lit(0.0))))
     place = F.when(F.coalesce("_available", F.lit(False)), "alternate").when(F.size("ranges") > 0, "scope_unavailable").otherwise("uncited")
     location = F.when(F.col("_rule").isin(1, 3), "cited").when(~missing, place).when(F.col("_doc") >= minimum, F.concat(place, F.lit("_document"))).otherwise("unmatched")
-    times = text.occurrences(text.comparable(F.col("quote")), text.comparable(F.col("_all")))
-    short = F.col("_rule").isin(2, 4) & (F.size(text.words(F.col("quote"))) < least_words) & ~times.eqNullSafe(F.lit(1))
+    short = F.coalesce("_few", F.lit(False)) & ~F.col("_times").eqNullSafe(F.lit(1))
     none = F.array().cast("array<string>")
     labels = F.when(missing | short, none).otherwise(F.transform("_labels", lambda x: x["_l"]))
     return joined.select("item_id", "doc_id", location.alias("location"), F.round(F.coalesce("_score", "_doc"), 6).alias("score"), labels.alias("labels"))
