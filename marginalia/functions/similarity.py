@@ -313,10 +313,32 @@ def _each(kind: pa.DataType, one: Callable, source: pa.Array, quotes: pa.Array)
     return pa.array([None if s is None or qs is None else [one(s, q) for q in qs] for s, qs in rows], pa.list_(kind))
 
 
+def _counted(ts: tuple[str, ...]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for t in ts:
+        out[t] = out.get(t, 0) + 1
+    return out
+
+
+def match_shares(source: str, quotes: list[str], least: float) -> list[float]:
+    """matched_share of each quotation in one source; 0 for those that can't reach least, as the source has too few of their tokens,
+    counted with repeats, in whatever order. These are told without alignment."""
+    if len(source) > LONG_CHARS:
+        return [matched_share(source, q) for q in quotes]
+    held = _counted(tokens(source))
+    out = []
+    for q in quotes:
+        own = _core(q)
+        shared = sum(min(n, held.get(t, 0)) for t, n in _counted(own).items())
+        out.append(matched_share(source, q) if not own or shared >= least * len(own) or endings(own) or sum(held.values()) > LONG_TOKENS else 0.0)
+    return out
+
+
 @F.arrow_udf(ArrayType(DoubleType()))
-def match_scores(source: pa.Array, quotes: pa.Array) -> pa.Array:
-    """matched_share of each of several quotations in one source."""
-    return _each(pa.float64(), matched_share, source, quotes)
+def match_scores(source: pa.Array, quotes: pa.Array, least: pa.Array) -> pa.Array:
+    """match_shares of each row; null where a text or the list is."""
+    rows = zip(source.to_pylist(), quotes.to_pylist(), least.to_pylist(), strict=True)
+    return pa.array([None if s is None or qs is None else match_shares(s, qs, n) for s, qs, n in rows], pa.list_(pa.float64()))
 
 
 @F.arrow_udf(ArrayType(StringType()))

@@ -186,15 +186,17 @@ def held_texts(sources: DataFrame, *keep: str) -> DataFrame:
     return sources.select(*keep, F.col("text").alias("_t"), text.comparable(F.col("text")).alias("_d"), text.content_words(F.col("text")).alias("_v"))
 
 
-def judged(met: DataFrame, *keep: str, plausible: bool = True) -> DataFrame:
+def judged(met: DataFrame, *keep: str, plausible: bool = True, least: float = MINIMUM) -> DataFrame:
     """keep, item_id, exact and score of what grouped brought together (held_texts with asked_texts): 1 where the text contains the quotation, else
-    the matched share. Implausible pairs are dropped unless plausible is false. Only inexact ones reach the alignment."""
+    the matched share, which may be 0 where it can't reach least. Implausible pairs are dropped unless plausible is false. Only inexact ones
+    that can reach least are aligned."""
     judge = lambda x: F.struct(x["item_id"].alias("item_id"), x["_q"].alias("_q"), F.coalesce(text.contained(x["_c"], F.col("_d")), F.lit(False)).alias("exact"), text.shares_enough(x["_w"], F.col("_v")).alias("_some"))
-    split = met.select(*keep, "_t", F.transform("asked", judge).alias("_j"))
+    # written, as Spark would else work out every comparison anew for each of the columns that are made of it
+    split = materialize(met.select(*keep, "_t", F.transform("asked", judge).alias("_j")), "judged")
     open_ = F.filter("_j", lambda x: ~x["exact"] & (x["_some"] | F.lit(not plausible)))
     split = split.select(*keep, "_t", F.filter("_j", lambda x: x["exact"]).alias("_exact"), open_.alias("_open"))
     some = F.size("_open") > 0
-    aligned = split.withColumn("_s", similarity.match_scores(F.when(some, F.col("_t")), F.when(some, F.transform("_open", lambda x: x["_q"]))))
+    aligned = split.withColumn("_s", similarity.match_scores(F.when(some, F.col("_t")), F.when(some, F.transform("_open", lambda x: x["_q"])), F.lit(float(least))))
     row = lambda x, exact, score: F.struct(x["item_id"].alias("item_id"), F.lit(exact).alias("exact"), score.alias("score"))
     whole = F.transform("_exact", lambda x: row(x, True, F.lit(1.0)))
     return aligned.select(*keep, F.inline(F.concat(whole, F.coalesce(F.zip_with("_open", "_s", lambda x, y: row(x, False, y)), F.slice(whole, 1, 0)))))
