@@ -206,6 +206,7 @@ def scored(pairs: DataFrame, quotes: DataFrame, sources: DataFrame) -> DataFrame
     """pairs (item_id, doc_id) with exact and score; partial matches below MINIMUM or without enough shared content are dropped.
     Exact pairs and implausible ones never reach the alignment, which sees whole sources (long ones around anchor phrases). A source is
     normalised once, and handed over with many quotations at once."""
+    pairs = materialize(pairs.select("item_id", "doc_id"), "pairs")  # read more than once
     named = sources.join(small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
     out = judged(grouped(pairs, asked_texts(quotes), held_texts(named, "doc_id")), "doc_id")
     return out.filter(F.col("score") >= MINIMUM).select("item_id", "doc_id", "exact", F.round("score", 6).alias("score"))
