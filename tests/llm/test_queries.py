@@ -33,6 +33,23 @@ def test_query_equals_its_sql(spark, name, folder):
     assert got.num_rows and rows(got) == rows(db.execute(queries.ORACLES[name]).to_arrow_table())
 
 
+def test_op2_judges_by_the_rules_of_its_contract(spark, tmp_path):
+    db = pytest.importorskip("duckdb").connect()
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    urls = [f"http://{host}{name}/{path}{tail}" for name, path in (r.split("/", 1) for r in rules) for host in ("", "WWW.") for tail in ("", "1?q", "9/x#f")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op2_url_reputation(spark, str(tmp_path)).toArrow()
+    for r in got.to_pylist():
+        fits = [x for x in rules if (r["host"] == x.split("/")[0] or r["host"].endswith("." + x.split("/")[0])) and r["path"].startswith("/" + x.split("/", 1)[1])]
+        assert (r["rule"], r["verdict"]) == (max(fits, key=len), rules[max(fits, key=len)]), urls[r["page_id"]]
+    assert {r["rule"] for r in got.to_pylist()} == set(rules)
+    for name in ("pages", "labels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert rows(got) == rows(db.execute(queries.ORACLES["op2_url_reputation"]).to_arrow_table())
+
+
 @pytest.fixture(scope="module", params=TABLES)
 def folder(request):
     return request.param
