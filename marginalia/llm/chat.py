@@ -111,21 +111,20 @@ def render_spans(render: Callable[[Sequence[Turn]], str], turns: Sequence[Turn],
     return last, spans, rewrites
 
 
-def format_conversations(turns: DataFrame, render: Callable[[Sequence[Turn]], str] = marked_turns, appending: bool | None = None) -> DataFrame:
+def format_conversations(turns: DataFrame, render: Callable[[Sequence[Turn]], str] = marked_turns, appending: bool = False) -> DataFrame:
     """(conv_id, formatted, spans, rewrites_history), one row a conversation of turns (conv_id, turn, role, text).
 
     Turns are taken by turn, ties by role and text, nulls first; a null role or text is empty; repeated rows are turns of their
     own; rows with null conv_id are one conversation; an empty table gives none. A conversation is one row and one rendering, so
-    its turns meet in one task, in memory in proportion to its text. appending is as in render_spans; the template of our own is known
-    to append, others aren't unless declared."""
-    known = render is marked_turns if appending is None else appending
+    its turns meet in one task, in memory in proportion to its text. All prefixes are rendered and compared, also those of our own
+    template; appending is a caller's declaration as in render_spans."""
     said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("turns"))
     listed = whole.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [render_spans(render, list(zip(r, t, strict=True)), appending=known) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            done = [render_spans(render, list(zip(r, t, strict=True)), appending=appending) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             names = [f.name for f in _SPANS.value_type]
             spans = pa.array([[dict(zip(names, s, strict=True)) for s in d[1]] for d in done], _SPANS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()), spans, pa.array([d[2] for d in done], pa.bool_())], ["conv_id", "formatted", "spans", "rewrites_history"])

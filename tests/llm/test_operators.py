@@ -489,6 +489,22 @@ def test_conversations_read_back(spark):
     assert chat.format_conversations(turns.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("declared", [{}, {"appending": False}])
+def test_every_prefix_of_our_own_template_is_rendered_and_compared(spark, monkeypatch, tmp_path, declared):
+    seen = tmp_path / "lengths"
+
+    def template(turns):
+        with open(seen, "a") as out:
+            print(len(turns), file=out)
+        return "".join([f"[{r}] {t};" for r, t in turns]) + "(end)" * (len(turns) == 3)
+
+    monkeypatch.setattr(chat, "marked_turns", template)
+    turns = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(6)], "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(turns, chat.marked_turns, **declared).collect()
+    assert len(got) == 1 and got[0].rewrites_history and not any(s.loss for s in got[0].spans)
+    assert set(map(int, seen.read_text().split())) == set(range(7))
+
+
 # ---- quality
 
 
