@@ -223,14 +223,25 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
 
 
 class Decoder:
-    """Ids to bytes."""
+    """Lists of ids to bytes. The tokens of all lists are taken from one table in a row, which is the bytes of all rows as they
+    follow each other: no id becomes an object of Python."""
 
     def __init__(self, ranks_path: str):
         with open(ranks_path, "rb") as lines:
-            self.tokens = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
-
-    def __call__(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+            tokens = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+        self.tokens = pa.array(map(tokens.get, range(max(tokens) + 1)), pa.large_binary())
+
+    def __call__(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list; null: none. A null or unknown id is an error."""
+        found = self.tokens.take(ids.flatten())
+        if found.null_count:
+            raise ValueError("an id is null or not in the file")
+        if not len(found):
+            return pa.array([b""] * len(ids), pa.binary())
+        _, ends, data = found.buffers()
+        lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        cuts = np.frombuffer(ends, dtype=np.int64, count=len(found) + 1)[np.cumsum([0, *lengths])]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts.tobytes()), data]).cast(pa.binary())
 
 
 def decode(df: DataFrame, ranks: str, ids: str = "ids", data: str = "data") -> DataFrame:
@@ -243,7 +254,6 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", data: str = "data") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = process_own(Decoder, ranks)
         for batch in slices(batches):
-            found = [own(x or []) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*names, data])
+            yield pa.RecordBatch.from_arrays([*batch.columns, own(batch.column(at))], [*names, data])
 
     return small_batches(numbered(df)).mapInArrow(run, widened(df, StructField(data, BinaryType())))

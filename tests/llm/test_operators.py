@@ -7,10 +7,12 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -866,6 +868,25 @@ def test_encode_and_decode_tables(spark, bpe, monkeypatch):
     assert byte_pairs.decode(byte_pairs.encode(df.limit(0), *bpe[:2]), bpe[0]).count() == 0
 
 
+def test_decoder_makes_no_objects_of_ids(bpe):
+    own, draw, known = byte_pairs.Decoder(bpe[0]), random.Random(6), sorted(bpe[2]._mergeable_ranks.values())
+    lists = [None, [], *[[draw.choice(known) for _ in range(draw.randrange(40))] for _ in range(300)], None, []]
+    want = [bpe[2].decode_bytes(x or []) for x in lists]
+    for kind in (pa.list_(pa.int32()), pa.large_list(pa.int64())):
+        held = pa.array(lists, kind)
+        assert own(held).to_pylist() == want and own(held.slice(5, 9)).to_pylist() == want[5:14] and own(held).type == pa.binary()
+        assert own(held.slice(0, 2)).to_pylist() == [b"", b""] and own(held.slice(0, 0)).to_pylist() == []
+        for wrong in ([[5, None]], [[-1]], [[10**6]]):
+            with pytest.raises((ValueError, IndexError)):
+                own(pa.array(wrong, kind))
+    many = pa.array([[7] * 500] * 1000, pa.list_(pa.int32()))
+    tracemalloc.start()
+    assert own(many).to_pylist() == [bpe[2].decode_bytes([7]) * 500] * 1000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * 500 * 1000  # a list of the ids alone takes 8 bytes for each
+
+
 # ---- spelling
 
 
