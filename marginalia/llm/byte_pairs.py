@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
 from marginalia.llm.common import widened
-from marginalia.llm.words import numbered, process_own, slices, small_batches
+from marginalia.llm.words import numbered, process_own, runs, slices, small_batches
 
 #: Words whose ids a worker keeps, and the bytes a word may have to be kept; a table that is
 #: full keeps what the texts at hand need.
@@ -187,18 +187,6 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(values, pa.int32())).cast(pa.list_(pa.int32()))
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """(from, to) of neighbouring texts that together have at most SLICE characters, or of one that has more."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t) > SLICE:
-            yield start, i
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Every row of df with the ids of its whole text, an array of ints. ranks is the path of a rank file that every executor has;
     pattern cuts a text into words, each of which is encoded by itself; special tokens are none.
@@ -216,7 +204,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
         own = process_own(MergeReplay, ranks, pattern)
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in _runs(texts):
+            for a, b in runs(texts, SLICE):
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, _lists(own.encode(texts[a:b]))], [*names, ids])
 
     return small_batches(numbered(df)).mapInArrow(run, widened(df, StructField(ids, ArrayType(IntegerType()))))

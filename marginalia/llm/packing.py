@@ -16,19 +16,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from marginalia.llm.common import bucket_bits, hash60, materialize, rank_within, widened, with_copies
-from marginalia.llm.words import process_own, slices, small_batches
+from marginalia.llm.words import process_own, runs, slices, small_batches
 
 #: White space that a chunk's encoding could depend on beyond its own characters: runs, and at either end.
 _LOOSE = re.compile(r"\s\s|^\s|\s$")
 #: A space between two visible characters: no token reaches over it from the left, so what stands on either side is encoded
 #: alone, with the same ids as in the whole text.
 _SEAM = re.compile(r"(?<=\S)(?= \S)")
-_KEPT, _LONG = 200_000, 24
+_RARE_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: Words whose ids a worker keeps, characters of a word that is kept, and characters of text whose words are learnt at once.
+_KEPT, _LONG, _LEARNT = 400_000, 24, 1 << 22
 
 
-def _merger(path: str) -> Callable[[str], list[int]] | None:
-    """An encoder of single words with the merges of the tokenizer's file, several times as fast as the tokenizer on words that
-    it has not met; None if the file isn't a plain byte-level BPE whose ids follow the order of its merges."""
+def _loose(text: str) -> bool:
+    """Whether _LOOSE is found in a text that isn't empty; searches for single stretches are faster where a text holds nothing but spaces and line ends."""
+    if any(c in text for c in _RARE_SPACES):
+        return bool(_LOOSE.search(text))
+    return text[0] in " \n" or text[-1] in " \n" or any(two in text for two in ("  ", "\n\n", " \n", "\n "))
+
+
+def _merger(path: str) -> tuple[Callable[[str], list[int]], np.ndarray] | None:
+    """An encoder of words of letters with the merges of the tokenizer's file, several times as fast as the tokenizer on words that
+    it has not met, and which of its ids begin with a space; None if the file isn't a plain byte-level BPE whose ids follow the order of its merges."""
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
@@ -41,21 +50,56 @@ def _merger(path: str) -> Callable[[str], list[int]] | None:
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
     letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(shown))}
     ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if i < 256 + len(merges)}
-    return tiktoken.Encoding("words", pat_str=r" ?\p{L}+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    spaced = np.zeros(256 + len(merges), dtype=bool)
+    spaced[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
+    return tiktoken.Encoding("words", pat_str=r" ?\p{L}+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary, spaced
 
 
 class TokenBytes(dict):
     """Ids of texts, as little-endian unsigned 32-bit numbers. A dictionary of the ids of chunks met before, each a word that
-    a space precedes; emptied when it grows too large. Words at the start of a line have a dictionary of their own."""
+    a space precedes; emptied when it grows too large. Words at the start of a line have a dictionary of their own. Words of
+    letters are learnt ahead, all those of some texts in one call; the others when they are met."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path).encode
-        self._letters = _merger(path)
+        self._letters, self._spaced = _merger(path) or (None, None)
         self._heads: dict[str, bytes] = {}
         self._line_end = self.chunk("\n")
         self._marks = {c: self.chunk(c) for c in ".,;:!?"}
+        self._bare = bool(self._letters) and self._ids("a") == self.chunk("a")  # no space is put before a text
+        self._taken: dict[str, bool] = {}
+
+    def _ids(self, letters: str) -> bytes:
+        return np.array(self._letters(letters), dtype="<u4").tobytes()
+
+    def _is_letter(self, c: str) -> bool:
+        if c not in self._taken:
+            self._taken[c] = bool(self._letters(c))
+        return self._taken[c]
+
+    def learn(self, texts: list[str]) -> None:
+        """Put the words of letters of these texts into the dictionary. They are encoded in one row: each begins with the one space
+        in it, so the tokens that begin with a space tell where the words do."""
+        if not self._letters:
+            return
+        here = set()
+        for t in texts:
+            here.update(t.split())
+        here = {w for x in here if len(w := x[:-1] if x[-1] in self._marks else x) <= _LONG and w.isalpha()}
+        if len(self) + len(here) > _KEPT // 4 * 3:  # the words met last stay, with room for those that are met
+            kept = {w: self[w] for w in here if w in self}
+            self.clear()
+            self.update(kept)
+        new = [w for w in here if w not in self]
+        odd = {c for c in set().union(*new) if not self._is_letter(c)}
+        if odd:  # what the encoder doesn't take for letters would be passed over
+            new = [w for w in new if odd.isdisjoint(w)]
+        ids = np.array(self._letters("".join([f" {w}" for w in new])), dtype="<u4")
+        cuts = [*(4 * np.flatnonzero(self._spaced[ids])).tolist(), 4 * len(ids)]
+        data = ids.tobytes()
+        self.update((w, data[a:b]) for w, (a, b) in zip(new, itertools.pairwise(cuts), strict=True))
 
     def chunk(self, text: str) -> bytes:
         return np.array(self._encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -64,7 +108,7 @@ class TokenBytes(dict):
         if word[-1] in self._marks and word[:-1].isalpha():  # letters and the mark behind them are encoded apart
             ids = self[word[:-1]] + self._marks[word[-1]]
         elif self._letters and word.isalpha():
-            ids = np.array(self._letters(f" {word}"), dtype="<u4").tobytes()
+            ids = self._ids(f" {word}")
         else:
             ids = self.chunk(f" {word}")
         if len(word) <= _LONG:
@@ -78,13 +122,19 @@ class TokenBytes(dict):
         if ids is None:
             if len(self._heads) >= _KEPT // 4:
                 self._heads.clear()
-            ids = self._heads[word] = self.chunk(word)
+            if self._bare and word[-1:] in self._marks and word[:-1].isalpha():
+                ids = self._head(word[:-1]) + self._marks[word[-1]]
+            elif self._bare and word.isalpha():
+                ids = self._ids(word)
+            else:
+                ids = self.chunk(word)
+            self._heads[word] = ids
         return ids
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _LOOSE.search(text):
+        if _loose(text):
             first, *rest = _SEAM.split(text)
             return self.chunk(first) + b"".join([self[c[1:]] for c in rest])
         lines = []
@@ -110,12 +160,15 @@ def cut_pieces(df: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, ke
         last = np.array([end], dtype="<u4").tobytes()
         for batch in slices(batches):
             keys, pieces, starts, lengths, data, rows = [], [], [], [], [], []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(tokens(t or "") + last, dtype="<u4").astype(code)
-                n, row = len(ids), xxhash.xxh3_64_intdigest(t or "") - (1 << 63)
-                cuts = [0, *range(n - (n - 1) // size * size, n, size), n]
-                for i, (a, b) in enumerate(itertools.pairwise(cuts)):
-                    keys.append(doc), pieces.append(i), starts.append(a), lengths.append(b - a), data.append(ids[a:b].tobytes()), rows.append(row)
+            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for x, y in runs(texts, _LEARNT):
+                tokens.learn(texts[x:y])
+                for doc, t in zip(docs[x:y], texts[x:y], strict=True):
+                    ids = np.frombuffer(tokens(t) + last, dtype="<u4").astype(code)
+                    n, row = len(ids), xxhash.xxh3_64_intdigest(t) - (1 << 63)
+                    cuts = [0, *range(n - (n - 1) // size * size, n, size), n]
+                    for i, (a, b) in enumerate(itertools.pairwise(cuts)):
+                        keys.append(doc), pieces.append(i), starts.append(a), lengths.append(b - a), data.append(ids[a:b].tobytes()), rows.append(row)
             columns = [pa.array(keys, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(data, pa.binary()), pa.array(rows, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids", "row"])
 

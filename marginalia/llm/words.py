@@ -55,6 +55,18 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(i, rows)
 
 
+def runs(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of neighbouring texts that together have at most so many characters, or of one that has more."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if i > start and held + len(t) > most:
+            yield start, i
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -103,6 +103,37 @@ def test_chunked_tokens_equal_those_of_the_whole_text(tokenizer):
         assert chunked(text) == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_words_are_learnt_in_one_call_and_equal_those_of_the_whole_text(tokenizer, monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole, draw = Tokenizer.from_file(tokenizer), random.Random(12)
+    letters = [chr(c) for c in range(0x3000) if chr(c).isalpha()] + ["\U00031350", "\u1c89", "\ua7cb", "\U0001e030", "中"]
+    word = lambda: "".join(draw.choice(["abcdefgh", letters][draw.random() < 0.1]) for _ in range(1)) + "".join(draw.choice("abcdefghé") for _ in range(draw.randint(0, 30)))
+    texts = ["".join(draw.choice([word(), word(), word() + draw.choice(".,;:!?-1"), "7", "x-y"]) + draw.choice([" ", " ", " ", "\n", draw.choice(["  ", "\t", "\xa0", "\n "])]) for _ in range(60)).strip() for _ in range(150)]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    for kept in (400_000, 40):  # also where the table is too small for what is learnt
+        monkeypatch.setattr(packing, "_KEPT", kept)
+        own = packing.TokenBytes(tokenizer)
+        own.learn([]), own.learn([""])
+        for i in range(0, len(texts), 50):
+            own.learn(texts[i : i + 50])
+            assert [own(t) for t in texts[i : i + 50]] == want[i : i + 50]
+    own = packing.TokenBytes(tokenizer)
+    asked, ask = [], own._letters
+    monkeypatch.setattr(own, "_letters", lambda x: asked.append(x) or ask(x))
+    plain = " ".join("".join(draw.choice("abcdefgh") for _ in range(9)) for _ in range(5000))
+    own.learn([plain])
+    assert own(plain) == np.array(whole.encode(plain, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert len(asked) < 12  # the row of words, its letters, and the first word
+
+
+def test_loose_texts_are_those_that_the_pattern_finds():
+    draw = random.Random(13)
+    for _ in range(20_000):
+        text = "".join(draw.choice("aab \n\t\xa0\x1c\u2028\u3000") if draw.random() < 0.5 else draw.choice("ab \n") for _ in range(draw.randint(1, 7)))
+        assert packing._loose(text) == bool(packing._LOOSE.search(text)), repr(text)
+
+
 def test_packed_pieces_rebuild_every_document(docs, empty, tokenizer):
     from tokenizers import Tokenizer
 
