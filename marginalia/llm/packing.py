@@ -35,9 +35,14 @@ def _loose(text: str) -> bool:
     return text[0] in " \n" or text[-1] in " \n" or any(two in text for two in ("  ", "\n\n", " \n", "\n "))
 
 
-def _merger(path: str) -> tuple[Callable[[str], list[int]], np.ndarray] | None:
+#: What a byte-level tokenizer merges within, in texts of printable ASCII whose only space stands first.
+_PRINTED = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+"
+
+
+def _merger(path: str) -> tuple[Callable[[str], list[int]], np.ndarray, Callable[[str], list[int]] | None, list[str]] | None:
     """An encoder of words of letters with the merges of the tokenizer's file, several times as fast as the tokenizer on words that
-    it has not met, and which of its ids begin with a space; None if the file isn't a plain byte-level BPE whose ids follow the order of its merges."""
+    it has not met; which of its ids begin with a space; an encoder of words of printable ASCII, which must hold none of the
+    tokens that the file adds; and these. None if the file isn't a plain byte-level BPE whose ids follow the order of its merges."""
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
@@ -52,7 +57,9 @@ def _merger(path: str) -> tuple[Callable[[str], list[int]], np.ndarray] | None:
     ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if i < 256 + len(merges)}
     spaced = np.zeros(256 + len(merges), dtype=bool)
     spaced[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
-    return tiktoken.Encoding("words", pat_str=r" ?\p{L}+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary, spaced
+    encoder = lambda pattern: tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    printed = encoder(_PRINTED) if stated["pre_tokenizer"].get("use_regex", True) else None
+    return encoder(r" ?\p{L}+"), spaced, printed, [a["content"] for a in stated.get("added_tokens", [])]
 
 
 class TokenBytes(dict):
@@ -64,7 +71,7 @@ class TokenBytes(dict):
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path).encode
-        self._letters, self._spaced = _merger(path) or (None, None)
+        self._letters, self._spaced, self._printed, self._added = _merger(path) or (None, None, None, [])
         self._heads: dict[str, bytes] = {}
         self._line_end = self.chunk("\n")
         self._marks = {c: self.chunk(c) for c in ".,;:!?"}
@@ -74,6 +81,12 @@ class TokenBytes(dict):
     def _ids(self, letters: str) -> bytes:
         return np.array(self._letters(letters), dtype="<u4").tobytes()
 
+    def _odd(self, text: str) -> bytes:
+        """The ids of a word that holds more than letters, with or without a space before it."""
+        if self._printed and text.isascii() and text.isprintable() and " " not in text[1:] and not any(a in text for a in self._added):
+            return np.array(self._printed(text), dtype="<u4").tobytes()
+        return self.chunk(text)
+
     def _is_letter(self, c: str) -> bool:
         if c not in self._taken:
             self._taken[c] = bool(self._letters(c))
@@ -87,12 +100,12 @@ class TokenBytes(dict):
         here = set()
         for t in texts:
             here.update(t.split())
-        here = {w for x in here if len(w := x[:-1] if x[-1] in self._marks else x) <= _LONG and w.isalpha()}
-        if len(self) + len(here) > _KEPT // 4 * 3:  # the words met last stay, with room for those that are met
+        fresh = {w for x in here.difference(self) if len(w := x[:-1] if x[-1] in self._marks else x) <= _LONG and w.isalpha()}
+        if len(self) + len(fresh) > _KEPT // 4 * 3:  # the words met last stay, with room for those that are met
             kept = {w: self[w] for w in here if w in self}
             self.clear()
             self.update(kept)
-        new = [w for w in here if w not in self]
+        new = [w for w in fresh if w not in self]
         odd = {c for c in set().union(*new) if not self._is_letter(c)}
         if odd:  # what the encoder doesn't take for letters would be passed over
             new = [w for w in new if odd.isdisjoint(w)]
@@ -110,7 +123,7 @@ class TokenBytes(dict):
         elif self._letters and word.isalpha():
             ids = self._ids(f" {word}")
         else:
-            ids = self.chunk(f" {word}")
+            ids = self._odd(f" {word}")
         if len(word) <= _LONG:
             if len(self) >= _KEPT:
                 self.clear()
@@ -127,7 +140,7 @@ class TokenBytes(dict):
             elif self._bare and word.isalpha():
                 ids = self._ids(word)
             else:
-                ids = self.chunk(word)
+                ids = self._odd(word) if self._bare else self.chunk(word)
             self._heads[word] = ids
         return ids
 

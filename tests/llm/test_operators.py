@@ -127,6 +127,20 @@ def test_words_are_learnt_in_one_call_and_equal_those_of_the_whole_text(tokenize
     assert len(asked) < 12  # the row of words, its letters, and the first word
 
 
+def test_words_of_printable_characters_equal_those_of_the_whole_text(tokenizer, monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole, draw = Tokenizer.from_file(tokenizer), random.Random(14)
+    own, asked = packing.TokenBytes(tokenizer), []
+    pieces = ["a", "B", "it's", "we'LL", "'s", "''re", "7", "42", "-", "--", "@", "x.org", "/", "<|", "|>", "<|endoftext|>", "é", "\x1c", "\x7f", "\t", "½", "٣", "_", "don't"]
+    texts = [draw.choice([" ", "\n"]).join("".join(draw.choice(pieces) for _ in range(draw.randint(1, 14))) for _ in range(20)) for _ in range(400)]
+    for t in texts:
+        assert own(t) == np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(t)
+    monkeypatch.setattr(own, "chunk", lambda x: asked.append(x) or b"")
+    own("see http://a.b/c?d=1 " + "x-1" * 40 + "\n9-x 8:30")
+    assert asked == []
+
+
 def test_loose_texts_are_those_that_the_pattern_finds():
     draw = random.Random(13)
     for _ in range(20_000):
