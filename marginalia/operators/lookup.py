@@ -100,15 +100,25 @@ def rule_suffix(citation: Column) -> Column:
 def identities(asked: DataFrame, corpus: DataFrame, laws: bool = False, unicode: bool = True) -> DataFrame:
     """asked (id, citation) with status and row_id of the one row of corpus that its citation names, in any of the corpus's citation
     fields: by the whole key, else by the key without pinpoints. With laws, a row whose citation ends in another rule or section
-    than the asked one's is not meant. Two rows are ambiguous; a name never decides."""
+    than the asked one's is not meant. Two rows are ambiguous; a name never decides.
+
+    The corpus is added up by key before citations meet it, so that a citation meets a row or two, however many rows its key has."""
     have = [c for c in CITATIONS if c in corpus.columns]
     rows = corpus.unpivot(["row_id"], have, "_field", "_cited").filter(F.trim(F.coalesce("_cited", F.lit(""))) != "")
     keyed = lambda df, c, x: df.withColumns({f"{x}literal": citation_key(F.col(c), unicode), f"{x}broad": broad_citation_key(F.col(c), unicode), f"{x}suffix": rule_suffix(F.col(c))})
     rows, wanted = keyed(rows, "_cited", "_"), keyed(asked.select("id", "citation"), "citation", "asked_")
-    literal = wanted.filter("asked_literal <> ''").join(rows, F.col("asked_literal") == F.col("_literal")).select("id", "asked_literal", "asked_broad", "row_id", F.col("_literal").alias("literal_key"), F.col("_broad").alias("broad_key"))
-    other = (F.col("asked_suffix") != "") & (F.col("_suffix") != "") & (F.col("asked_suffix") != F.col("_suffix")) if laws else F.lit(False)
-    loose = wanted.filter("asked_broad <> ''").join(rows, F.col("asked_broad") == F.col("_broad")).filter(~other).select("id", "asked_literal", "asked_broad", "row_id", F.lit(None).cast("string").alias("literal_key"), F.col("_broad").alias("broad_key"))
-    found = unique_identity(literal.unionByName(loose))
+    ends = [F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")]  # a key has one row if its least and its greatest are the same
+    rows = rows.withColumns({"_lo": F.col("row_id"), "_hi": F.col("row_id")})
+    literal = wanted.join(rows.filter("_literal <> ''").groupBy(F.col("_literal").alias("asked_literal")).agg(*ends), "asked_literal").select("id", F.lit(1).alias("_tier"), "_lo", "_hi")
+    by = rows.filter("_broad <> ''").groupBy(F.col("_broad").alias("asked_broad"), F.col("_suffix").alias("_of") if laws else F.lit("*").alias("_of")).agg(*ends)
+    if laws:  # a citation without a suffix means any row (*), others the rows of their own suffix and those without one
+        by = by.unionByName(by.groupBy("asked_broad").agg(*ends).withColumn("_of", F.lit("*")))
+    of = F.when(F.col("asked_suffix") == "", F.array(F.lit("*"))).otherwise(F.array(F.lit(""), F.col("asked_suffix"))) if laws else F.array(F.lit("*"))
+    loose = wanted.select("id", "asked_broad", F.explode(of).alias("_of")).join(by, ["asked_broad", "_of"]).select("id", F.lit(2).alias("_tier"), "_lo", "_hi")
+    per = literal.unionByName(loose).groupBy("id", "_tier").agg(*ends)
+    best = per.groupBy("id").agg(F.min(F.struct("_tier", "_lo", "_hi")).alias("_b"))
+    one = F.col("_b._lo") == F.col("_b._hi")
+    found = best.select("id", F.when(one, "found").when(~one, "ambiguous").otherwise("not_found").alias("status"), F.when(one, F.col("_b._lo")).alias("row_id"))
     return asked.join(found, "id", "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
 
 

@@ -20,6 +20,25 @@ def column(spark, values, f, kind="string"):
     return [r.r for r in sorted(rows, key=lambda r: r.i)]
 
 
+def most_rows(df):
+    """The most rows that an operator of df's plan gives when it is run."""
+    df.collect()
+    plan, most = df._jdf.queryExecution().executedPlan(), 0
+
+    def walk(node):
+        nonlocal most
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        inner = [node.children().apply(i) for i in range(node.children().size())]
+        kind = node.getClass().getSimpleName()
+        inner += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        for n in inner:
+            walk(n)
+
+    walk(plan)
+    return most
+
+
 # ---- keys and texts
 
 
@@ -596,6 +615,20 @@ def test_identities_and_locks(spark):
     assert lookup.any_field(corpus, ["citation_en", "citation9"], "2019 BCCA 7").count() == 1 and lookup.any_field(corpus, ["citation_en"], " 2019 bcca 7 ").count() == 1
 
 
+def test_identities_of_common_citations_meet_a_row_a_key(spark):
+    corpus = spark.range(3000).select(F.col("id").alias("row_id"), F.concat(F.lit("2021 BCCA "), (F.col("id") % 2).cast("string"), F.when(F.col("id") == 7, ", s 5").otherwise("")).alias("citation_en"))
+    asked = spark.range(6000).select("id", F.concat(F.lit("2021 BCCA "), (F.col("id") % 3).cast("string"), F.when(F.col("id") == 1, ", s 5").when(F.col("id") == 4, ", s 6").otherwise("")).alias("citation"))
+    for laws in (False, True):
+        out = lookup.identities(asked, corpus, laws=laws, unicode=False)
+        joined = most_rows(out)
+        got = {r.id: (r.status, r.row_id) for r in out.collect()}
+        assert joined <= 20_000  # 12,000,000 where each citation met each row of its key
+        assert got[1] == ("found", 7) and got[0] == got[3] == got[4] == ("ambiguous", None) and got[2] == ("not_found", None)
+    few = spark.createDataFrame([(1, "NB Reg 1, s 4"), (2, "NB Reg 1, s 5"), (3, "NB Reg 2")], "row_id long, citation_en string")
+    wanted = spark.createDataFrame([(1, "NB Reg 1, s 4 "), (2, "NB Reg 1, s 6"), (3, "NB Reg 1"), (4, "NB Reg 2, s 8"), (5, None)], "id int, citation string")
+    assert {r.id: (r.status, r.row_id) for r in lookup.identities(wanted, few, laws=True).collect()} == {1: ("found", 1), 2: ("not_found", None), 3: ("ambiguous", None), 4: ("found", 3), 5: ("not_found", None)}
+
+
 def test_laws_and_their_addresses(spark):
     cites = ["SOR/99-1", "rsc 1985, c C-46", "RSC 1985, c C-46", "Alta Reg 5/2001", "2020 BCCA 5", "nothing", "YOIC 2001/5"]
     assert column(spark, cites, citations.dataset_of) == ["REGULATIONS-FED", "LEGISLATION-FED", "LEGISLATION-FED", "REGULATIONS-AB", "BCCA", None, "REGULATIONS-YT"]
