@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import zipfile
 from collections import Counter
 from difflib import SequenceMatcher
@@ -471,6 +472,26 @@ def test_pages_and_sections(spark):
     assert [(r.label, r.parents) for r in rows] == [("1", []), ("2", []), ("2.1", ["2"]), ("10", [])]
 
 
+def test_texts_are_cut_at_any_place_at_the_cost_of_the_piece(spark):
+    import pyarrow as pa
+
+    from marginalia.operators import structure
+
+    texts = spark.createDataFrame([(1, "a😀b \n"), (2, None), (3, "xyz")], "doc_id int, text string")
+    marks = spark.createDataFrame([(1, 0, 2, "p"), (1, 1, None, "q"), (1, 4, 4, "r"), (2, 0, None, "s"), (9, 0, 1, "t")], "doc_id int, start long, end long, label string")
+    rows = lambda **how: sorted((r.doc_id, r.label, r.start, r.end, r.text) for r in quotes.cut(marks, texts, **how).collect())
+    assert rows() == [(1, "p", 0, 2, "a😀"), (1, "q", 1, 5, "😀b \n"), (1, "r", 4, 4, ""), (2, "s", 0, None, None)]
+    assert [r[-1] for r in rows(trimmed=True)] == ["a😀", "😀b", "", None]
+    law = "\n".join(f"{n} The owner shall keep the thing in good order, and so on" for n in range(1, 40_001))
+    began = time.time()
+    found = structure.sections(spark.createDataFrame([(1, law)], "doc_id int, text string")).agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    assert tuple(found) == (40_000, len(law) - 39_999) and time.time() - began < 30  # characters counted from the beginning for each section: minutes
+    began = time.time()
+    assert structure.ascending_labels.func(pa.array([[[n] for n in range(30_000, 0, -1)]], pa.list_(pa.list_(pa.int32())))).to_pylist() == [list(range(30_000))]
+    assert structure.ascending_labels.func(pa.array([[[1], [3], [1, 1], [2], [3], [1, 2], [2]], None], pa.list_(pa.list_(pa.int32())))).to_pylist() == [[0, 0, 1, 2, 2, 1, 3], None]
+    assert time.time() - began < 10  # every label compared with all scopes: half a minute
+
+
 def test_sentences_and_propositions(spark):
     from marginalia.operators import structure
 
