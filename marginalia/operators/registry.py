@@ -10,8 +10,8 @@ from marginalia.functions import shortforms
 from marginalia.functions.citations import anchored_link
 from marginalia.sources.shared import materialize
 
-#: Letters by which words are looked up.
-GRAM = 3
+#: Letters by which words are looked up: shorter ones (a word has three at least) and those of WIDE letters and more.
+GRAM, WIDE = 3, 6
 HEAD, WINDOW, BEST = 200, 3, 8  # fixed: characters of a citation that name it, notes to either side of a wrong number, candidates shown
 _DEALT = 16
 #: Fixed: words that tell candidates apart least.
@@ -47,8 +47,9 @@ def _meetings(asked: DataFrame, entries: DataFrame) -> DataFrame:
     """(doc_id, seq, _at, _rule): the earlier entries of its document that a reference names, and how, by their texts alone: note (the note's
     number, and all words of the hint in the entry's name), exact_sf, token_sf, token_verb, bracket_definition.
 
-    Numbers, short forms and definitions are equality joins. Words may stand inside longer ones, so references look entries up by three letters
-    of their longest word, which every entry that holds it has; the letters of a document's entries are its index."""
+    Numbers, short forms and definitions are equality joins. Words may stand inside longer ones, so a reference looks entries up by the rarest
+    of the stretches of WIDE letters of its words (of GRAM in shorter words), by how many entries of its document have each. An entry that
+    holds a word has all of its stretches, and within a run of letters and digits, as words are made of these."""
     at = ["doc_id", "seq", "_at"]
     held = lambda text: (F.size("_tokens") > 0) & F.forall("_tokens", lambda t: F.contains(F.col(text), t))
     rule = lambda met, name: met.filter("_at < seq").select(*at, F.lit(name).alias("_rule"))
@@ -56,13 +57,22 @@ def _meetings(asked: DataFrame, entries: DataFrame) -> DataFrame:
     hinted = asked.filter("_hint <> ''").select("doc_id", "seq", "_hint")
     exact = rule(hinted.join(entries.select("doc_id", "_at", F.col("_form").alias("_hint")), ["doc_id", "_hint"]), "exact_sf")
     defined = rule(hinted.join(entries.select("doc_id", "_at", F.explode("_defined").alias("_hint")), ["doc_id", "_hint"]), "bracket_definition")
-    longest = F.array_max(F.transform("_tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    worded = asked.filter(F.size("_tokens") > 0).select("doc_id", "seq", "_tokens", F.left(longest, F.lit(GRAM)).alias("_gram"))
-    widths = [r[0] for r in worded.select(F.length("_gram")).distinct().collect()]  # at most GRAM numbers
-    cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_named") - w + 1, F.lit(1))), lambda i: F.substring("_named", i, F.lit(w)))
-    grams = F.flatten(F.array(*map(cut, widths))) if widths else F.array().cast("array<string>")
-    index = entries.select("doc_id", "_at", "_named", "_short", F.explode(F.array_distinct(grams)).alias("_gram"))
-    met = worded.join(index, ["doc_id", "_gram"]).filter((F.col("_at") < F.col("seq")) & held("_named"))
+    worded = asked.filter(F.size("_tokens") > 0).select("doc_id", "seq", "_tokens")
+    wide = lambda c: F.when(F.length(c) >= WIDE, WIDE).otherwise(GRAM)
+    cut = lambda c, w: F.transform(F.sequence(F.lit(1), F.length(c) - w + 1), lambda i: F.substring(c, i, w))
+    grams = F.array_distinct(F.flatten(F.transform("_tokens", lambda t: cut(t, wide(t)))))
+    own = materialize(worded.select("doc_id", "seq", F.explode(grams).alias("_gram")), "grams")
+    widths = [r[0] for r in own.select(F.length("_gram")).distinct().collect()]  # GRAM, WIDE or both
+    runs = F.array_distinct(F.regexp_extract_all("_named", F.lit("[a-z0-9]+"), F.lit(0)))
+    pieces = lambda w: F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= w), lambda r: cut(r, F.lit(w))))
+    places = F.concat(*map(pieces, widths)) if widths else F.array().cast("array<string>")
+    index = entries.select("doc_id", "_at", F.explode(F.array_distinct(places)).alias("_gram"))
+    index = materialize(index.join(own.select("doc_id", "_gram").distinct(), ["doc_id", "_gram"], "left_semi"), "places")
+    counts = index.groupBy("doc_id", "_gram").agg(F.count(F.lit(1)).alias("_many"))
+    # a reference with a stretch that no entry of its document has names none
+    rarest = own.join(counts, ["doc_id", "_gram"], "left").groupBy("doc_id", "seq").agg(F.min(F.struct(F.coalesce("_many", F.lit(0)).alias("_many"), "_gram")).alias("_r")).filter("_r._many > 0").select("doc_id", "seq", "_r._gram")
+    near = rarest.join(index, ["doc_id", "_gram"]).filter("_at < seq").select(*at)
+    met = near.join(worded, ["doc_id", "seq"]).join(entries.select("doc_id", "_at", "_named", "_short"), ["doc_id", "_at"]).filter(held("_named"))
     named = met.select(*at, F.explode(F.array_compact(F.array(F.lit("token_verb"), F.when((F.col("_short") != "") & held("_short"), "token_sf")))).alias("_rule"))
     return numbered.unionByName(exact).unionByName(defined).unionByName(named)
 
@@ -98,7 +108,8 @@ def resolve_supra(references: DataFrame, registry: DataFrame) -> DataFrame:
     are in one), token_verb (all are in the short form or the first 200 characters): the first of these with any entry decides, if all its
     entries lie in one document; abstain_ambiguous_<tier> otherwise. Last bracket_definition: a citation defines the hint in
     brackets. abstain_no_hint and abstain_no_match are left."""
-    asked, entries = materialize(_asked(references), "supra"), materialize(_entries(registry), "registry")
+    # dealt, as a table in few files would have its texts read by few tasks, here and in all that follows
+    asked, entries = materialize(_asked(references.repartition("doc_id", "seq")), "supra"), materialize(_entries(registry.repartition("doc_id", "seq")), "registry")
     met = _meetings(asked, entries).join(entries.select("doc_id", "_at", "_link", "_base", "_usable"), ["doc_id", "_at"])
     return references.join(_decided(asked, met), ["doc_id", "seq"], "left")
 

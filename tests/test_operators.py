@@ -346,6 +346,21 @@ REGISTRY = [  # doc, seq, note, short form, verbatim, link, kind
 ]
 
 
+def test_supra_meets_entries_by_the_rarest_stretch_of_its_words(spark):
+    k = F.col("id")
+    entries = spark.range(2000).select(F.lit(1).alias("doc_id"), k.alias("seq"), k.alias("note"), F.concat(F.lit("Form"), k.cast("string"), F.lit("x")).alias("short_form"), F.concat(F.lit("R v Accused"), k.cast("string"), F.lit("y, 2020 SCC 5")).alias("verbatim"), F.concat(F.lit("https://a.org/"), k.cast("string")).alias("link"))
+    asked = spark.range(2000).select(F.lit(1).alias("doc_id"), (k + 5000).alias("seq"), F.concat(F.when(k % 2 == 0, "see the Form").otherwise("Accused"), k.cast("string"), F.when(k % 2 == 0, "x").otherwise("y"), F.lit(", supra note 99999")).alias("verbatim"))
+    out = reg.resolve_supra(asked, entries).select("seq", "link", "method")
+    assert most_rows(out) <= 20_000  # 66,876 with an index of all three-letter stretches; the 4,000,000 pairs that it compared are dropped in the join and counted nowhere
+    assert {r.seq: (r.link, r.method) for r in out.collect()} == {5000 + i: (f"https://a.org/{i}", "token_sf" if i % 2 == 0 else "token_verb") for i in range(2000)}
+    # words inside longer ones, short words, letters beyond a to z, and a word that no entry has
+    rows = [(1, 1, "1", "", "R v McDonaldson, 2020 SCC 1", "a"), (1, 2, "2", "Oak", "Roe on oaks", "b"), (1, 3, "3", "", "R v Cafés du Monde", "c")]
+    held = spark.createDataFrame(rows, "doc_id int, seq int, note string, short_form string, verbatim string, link string")
+    said = [(1, 10, "Donald, supra note 77"), (1, 11, "oak, supra note 77"), (1, 12, "see the oak, supra note 77"), (1, 13, "Monde Cafés, supra note 77"), (1, 14, "Monde Nobody, supra note 77"), (2, 15, "Donald, supra note 77"), (1, 0, "Donald, supra note 77")]
+    got = {r.seq: (r.link, r.method) for r in reg.resolve_supra(spark.createDataFrame(said, "doc_id int, seq int, verbatim string"), held).collect()}
+    assert got == {10: ("a", "token_verb"), 11: ("b", "exact_sf"), 12: ("b", "token_sf"), 13: ("c", "token_verb"), 14: (None, "abstain_no_match"), 15: (None, "abstain_no_match"), 0: (None, "abstain_no_match")}
+
+
 def test_supra_tiers_and_abstentions(spark):
     registry = spark.createDataFrame(REGISTRY, "doc_id string, seq int, note int, short_form string, verbatim string, link string, kind string")
     asked = {
