@@ -638,6 +638,25 @@ def test_long_paths(spark):
     assert got[299] == " → ".join(str(i) for i in range(299, 0, -1)) and got[1] == "1" and got[0] == ""
 
 
+def test_scored_resolution_reads_its_tables_once(spark):
+    def counted(rows, schema):
+        read = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return spark.createDataFrame(rows, schema).mapInArrow(run, schema), read
+
+    asked, n_asked = counted([(1, 1, "the owner shall keep it", [(1, 1)]), (2, 1, "nothing of the kind at all", [])], "item_id int, doc_id int, quote string, ranges array<struct<low: long, high: long>>")
+    blocks, n_blocks = counted([(1, 1, "the owner shall keep it in order"), (1, 2, "more of it"), (2, 1, "not asked")], "doc_id int, number long, text string")
+    sources, n_sources = counted([(1, "the owner shall keep it in order\nmore of it"), (2, "not asked")], "doc_id int, text string")
+    got = {r.item_id: (r.location, r.labels) for r in scopes.resolve_scored(asked, blocks, sources).collect()}
+    assert got == {1: ("cited", ["1"]), 2: ("unmatched", [])}
+    assert (n_asked.value, n_blocks.value, n_sources.value) == (2, 3, 2)
+
+
 def test_identities_and_locks(spark):
     rows = [(1, "SCC", "2020 SCC 1", None), (2, "SCC", "2020 SCC 2", "[2020] 1 SCR 5"), (3, "SCC", "2020 SCC 2", None), (4, "REG", "NB Reg 82-73, r 4.1", None), (5, "REG", "NB Reg 82-73, r 41", None), (6, "BCCA", "2019 BCCA 7", None)]
     corpus = spark.createDataFrame(rows, "row_id long, dataset string, citation_en string, citation2_en string")
