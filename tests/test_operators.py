@@ -638,6 +638,17 @@ def test_long_paths(spark):
     assert got[299] == " → ".join(str(i) for i in range(299, 0, -1)) and got[1] == "1" and got[0] == ""
 
 
+def test_long_notes_without_sources_are_not_searched_from_the_left_for_each_place():
+    long = "the owner and The keeper of it, as said and " * 2000
+    began = time.time()
+    assert boundaries.Note(long).boundaries() == [] and time.time() - began < 5  # each of 2,000 places asked what lies left of it
+    assert [b[2] for b in boundaries.Note(long + "2020 SCC 1 and The Labour Act, RSC 1985, c L-2").boundaries()] == ["conjoined_citation"]
+    assert [b[2] for b in boundaries.Note("Doe above note. Roe ſupra").boundaries()] == ["new_citation_sentence"]
+    spoken, top, square = boundaries.Note('a "b" [c (d] “e” https://x.y/[z] f').scan
+    assert [len(x) for x in (spoken, top, square)] == [35] * 3 and [i for i in range(35) if spoken[i]] == [3, 4, 14, 15]
+    assert [i for i in range(34) if top[i]] == [0, 1, 2, 5, 6] and square[6:8] == [0, 1] and square[12:14] == [-1, -1]
+
+
 def test_scored_resolution_reads_its_tables_once(spark):
     def counted(rows, schema):
         read = spark.sparkContext.accumulator(0)
