@@ -329,6 +329,21 @@ def test_near_duplicates_equal_brute_force(docs, k, small, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_rows_of_many_keys_pass_a_sieve_of_bounded_size(spark, monkeypatch):
+    assert near_duplicates.ID_LIMIT <= 100_000  # 1,000,000 keys were broadcast, through the driver
+    monkeypatch.setattr(near_duplicates, "ID_LIMIT", 1000)
+    rows = spark.range(-3000, 60_000).select(F.when(F.col("id") != 7, F.col("id")).alias("node"), F.col("id").cast("string").alias("text"))
+    wanted = spark.range(0, 60_000, 3).select(F.col("id").alias("node")).unionByName(spark.range(5).select(F.lit(3).cast("long").alias("node")))
+    for bits, most in ((16, 20_200), (2, 63_000)):
+        monkeypatch.setattr(near_duplicates, "SIEVE_BITS", bits)
+        assert 20_000 <= near_duplicates.sieved(rows, wanted.distinct(), "node", 20_000).count() <= most
+        got = near_duplicates.only(rows, wanted, "node")
+        assert got.columns == ["node", "text"] and sorted(r.node for r in got.collect()) == list(range(0, 60_000, 3))
+    monkeypatch.setattr(near_duplicates, "ID_LIMIT", 0)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i // 3 * 50, i // 3 * 50 + 40)) + (f" x{i}" if i % 3 == 2 else "")) for i in range(90)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs).collect()} == {i: i // 3 * 3 for i in range(90)}
+
+
 def test_near_duplicates_of_odd_tables(spark, docs, empty):
     assert near_duplicates.near_duplicates(empty).collect() == [] and near_duplicates.deduplicated(empty).collect() == []
     rows = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (3, "A B C D E F"), (9, None), (8, "")], "doc_id long, text string")
